@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import sha256_hex
 from .decontaminate import find_contamination
+from .language import identify
 from .line_dedup import drop_repeated_lines
+from .neighbours import search, usable
 from .packing import pack
 from .sharding import shard_documents
 
@@ -44,6 +46,17 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_best_fit_packing, op6_decontamination)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), per_language=120)
+    return out.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = usable(_read(spark, sf_dir, "embeddings"))
+    queries = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return search(vectors, queries, k=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_best_fit_packing, op6_decontamination, op9_language_id, op10_nearest_neighbours)}
 
 ORACLES: dict[str, str] = {}
