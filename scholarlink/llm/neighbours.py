@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
 Every vector goes to the cell of its nearest coarse centroid; its residual is coded by one of 256 codewords in each of M
-parts. A query looks into the `probes` cells whose centroids have the largest inner product with it, sums the entries of its
+parts. A query looks into the share `probes` of the cells, those whose centroids have the largest inner product with it, sums the entries of its
 asymmetric distance table over the codes there, and the best `rerank` of each cell are measured again exactly, in double
 precision, on the original vectors. Cells of more than BLOCK vectors, or visited by more than BLOCK queries, are searched in
 blocks, so that no group is large.
@@ -19,9 +19,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, StructType
 
 from .common import fields, only, stash
 
@@ -80,7 +79,7 @@ def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30) * n < sample).orderBy("vec_id").toPandas()
     if not len(rows):
         rows = vectors.limit(1).toPandas()
-    return (Codebook(np.stack(rows["embedding"]), max(1, min(4096, int(n**0.5))), parts) if len(rows) else None), n
+    return (Codebook(np.stack(rows["embedding"]), max(1, min(4096, int(n**0.5 / 2))), parts) if len(rows) else None), n
 
 
 def _assign(vectors: DataFrame, shared) -> DataFrame:
@@ -119,17 +118,18 @@ def _blocked(rows: DataFrame, size: int, key: str, name: str) -> tuple[DataFrame
     return rows.join(F.broadcast(n), "cell").withColumn(name, F.pmod(F.xxhash64(key, F.lit(5)), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), n
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 48, rerank: int = 100, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.6, rerank: int = 60, block: int = BLOCK) -> DataFrame:
     """queries (query_id, vector) against vectors (vec_id, embedding), both as usable() gives them -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     vectors = stash(vectors, "vectors")
     book, _ = train(vectors)
     shared = spark.sparkContext.broadcast(book)  # at most 4,096 centroids and 256 codewords a part
     index, n_i = _blocked(stash(_assign(vectors, shared), "index"), block, "vec_id", "i")
-    wanted, n_q = _blocked(_probe(queries, shared, probes), block, "query_id", "q")
+    wanted, n_q = _blocked(_probe(queries, shared, max(8, round(probes * len(book.centroids)) if book else 0)), block, "query_id", "q")
     spread = lambda rows, n, name: rows.join(F.broadcast(n), "cell").withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1))).drop(f"n_{name}")
     index, wanted = spread(index, n_q, "q"), spread(wanted, n_i, "i")
-    schema = StructType([queries.schema["query_id"], *fields(vec_id="long", score="double")])
+    best_of = ArrayType(StructType(fields(away="double", vec_id="long")))  # away: the score's negative, so that arrays sort as wanted
+    schema = StructType([queries.schema["query_id"], *fields(best=best_of)])
 
     def look(key, asked, there):
         out = []
@@ -152,9 +152,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: int = 48
                     short = short[ids[short] != own]
                     exact = (x[short] * v).sum(axis=1)
                     best = np.lexsort((ids[short], -exact))[:k]
-                    out.append(pd.DataFrame({"query_id": own, "vec_id": ids[short][best], "score": exact[best]}))
-        return pd.concat(out) if out else pd.DataFrame({n: [] for n in schema.names})
+                    out.append((own, [{"away": -a, "vec_id": int(b)} for a, b in zip(exact[best].tolist(), ids[short][best], strict=True)]))
+        return pd.DataFrame(out, columns=schema.names)
 
     found = wanted.groupBy("cell", "i", "q").cogroup(index.groupBy("cell", "i", "q")).applyInPandas(look, schema)
-    place = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))  # k of each cell
+    ranked = top.select("query_id", F.posexplode("best").alias("at", "b"))
+    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score"))
