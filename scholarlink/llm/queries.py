@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import sha256_hex
 from .decontaminate import find_contamination
+from .jaccard import near_duplicates
 from .language import identify
 from .line_dedup import drop_repeated_lines
 from .neighbours import search, usable
@@ -46,6 +47,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), sha256_hex(F.array_join("items", ",")).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_read(spark, sf_dir, "documents"), n=5, percent=75)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), per_language=120)
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -57,6 +62,6 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, queries, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_best_fit_packing, op6_decontamination, op9_language_id, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op9_language_id, op10_nearest_neighbours)}
 
 ORACLES: dict[str, str] = {}
