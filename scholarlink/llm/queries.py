@@ -14,6 +14,7 @@ from .language import identify
 from .line_dedup import drop_repeated_lines
 from .neighbours import search, usable
 from .packing import pack
+from .phrases import repeated_words
 from .sharding import shard_documents
 
 
@@ -37,6 +38,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_words(_read(spark, sf_dir, "documents"), window=50).drop("removed")
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048)
 
@@ -62,6 +67,6 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, queries, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op9_language_id, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op9_language_id, op10_nearest_neighbours)}
 
 ORACLES: dict[str, str] = {}
