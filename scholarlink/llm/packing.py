@@ -11,8 +11,9 @@ often as they come. An empty table gives no rows.
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,26 +28,41 @@ END = 0
 GROUP = 200_000
 #: Entries of a task's cache of encoded words; emptied when full.
 CACHE = 400_000
+#: Fixed values of the byte-level BPE: what its pre-tokenizer takes for a piece, and its special token.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPECIAL = ("<|endoftext|>",)
 PIECES = fields(piece="int", start="long", length="long", ids_crc32="long")
 
 
+def byte_letters() -> str:
+    """The letter that byte-level vocabularies write for each byte: itself where it prints, else the next of those from U+0100 on."""
+    prints = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return "".join(chr(b) if b in prints else chr(next(rest)) for b in range(256))
+
+
 class Encoder:
     """Token ids of whole texts, little-endian 32-bit, through a cache of words.
 
+    The vocabulary is read from a tokenizers file of a byte-level BPE whose ids follow the order of its merges; the ids are
+    those that the tokenizers library gives, made by tiktoken, which takes a quarter of its time for single words.
+
     Byte-level pre-tokenizers take a single blank before a word together with it and cut there, so a text may be cut before
     each such blank and its words encoded one by one. Where blanks adjoin other white space the whole text is encoded.
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as f:
+            vocabulary = json.load(f)["model"]["vocab"]
+        byte_of = {c: b for b, c in enumerate(byte_letters())}
+        ranks = {bytes(map(byte_of.__getitem__, piece)): k for piece, k in vocabulary.items() if all(c in byte_of for c in piece) and piece not in SPECIAL}
+        self.encode_one = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.cache: dict[str, bytes | None] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", self.encode_one(t)).tobytes() for t in texts]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
