@@ -46,7 +46,7 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[list[int]], grades: list[int], rounds: int = 300, rate: float = 0.3, l1: float = 3e-4, l2: float = 1e-6) -> Ordinal:
+def fit(rows: list[list[int]], grades: list[int], rounds: int = 300, rate: float = 0.3, l1: float = 1.5e-4, l2: float = 1e-6) -> Ordinal:
     y = np.asarray(grades, int)
     top = int(y.max()) if len(y) else 0
     weights = np.zeros(1 << BITS)

@@ -15,6 +15,8 @@ from .line_dedup import drop_repeated_lines
 from .neighbours import search, usable
 from .packing import pack
 from .phrases import repeated_words
+from .quality import grade, learn, ratings_of
+from .secrets import scan
 from .sharding import shard_documents
 
 
@@ -38,6 +40,13 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    out = grade(docs, learn(docs, ratings_of(_read(spark, sf_dir, "labels")), sample=12_000))
+    tail = F.coalesce(F.try_element_at("tails", F.lit(1)), F.lit(1.0))  # P(grade >= 1): not toxic
+    return out.select("doc_id", "expected_grade", tail.alias("p_not_toxic"), F.coalesce(F.try_element_at("tails", F.lit(2)), F.lit(1.0)).alias("p_good"), (tail >= 0.6).alias("keep"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_words(_read(spark, sf_dir, "documents"), window=50).drop("removed")
 
@@ -56,6 +65,10 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"), n=5, percent=75)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_read(spark, sf_dir, "documents")).withColumn("candidate", F.sha2("candidate", 256)).withColumnRenamed("candidate", "candidate_sha256")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = identify(_read(spark, sf_dir, "documents").select("doc_id", "text", "lang"), per_language=120)
     return out.select("doc_id", "held_out", "lang_pred", "score")
@@ -67,6 +80,6 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, queries, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op9_language_id, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_quality_classifier, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op8_secret_scan, op9_language_id, op10_nearest_neighbours)}
 
 ORACLES: dict[str, str] = {}
