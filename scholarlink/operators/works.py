@@ -32,7 +32,7 @@ def first_with_doi(works: DataFrame, count: int = 6) -> DataFrame:
 
 def one_address(locations: DataFrame) -> DataFrame:
     """(work_id, pos, url) -> one url a work: of the best host, then the first."""
-    return locations.groupBy("work_id").agg(F.min_by("url", F.struct(host_rank(F.col("url")), F.col("pos"))).alias("url"), F.min(host_rank(F.col("url"))).alias("rank"))
+    return locations.groupBy("work_id").agg(F.min_by("url", F.struct(host_rank(F.col("url")), F.col("pos"), F.col("url"))).alias("url"), F.min(host_rank(F.col("url"))).alias("rank"))
 
 
 def within_budget(tries: DataFrame, budget: float = 8.0, failure: float = 0.5) -> DataFrame:
