@@ -46,7 +46,7 @@ class Ordinal:
         return sigmoid(scores[:, None] - self.thresholds[None, :])
 
 
-def fit(rows: list[list[int]], grades: list[int], rounds: int = 300, rate: float = 0.3, l1: float = 1.5e-4, l2: float = 1e-6) -> Ordinal:
+def fit(rows: list[list[int]], grades: list[int], rounds: int = 300, rate: float = 0.3, l1: float = 0.016, l2: float = 1e-6) -> Ordinal:
     y = np.asarray(grades, int)
     top = int(y.max()) if len(y) else 0
     weights = np.zeros(1 << BITS)
@@ -56,6 +56,7 @@ def fit(rows: list[list[int]], grades: list[int], rounds: int = 300, rate: float
     below = np.array([(y < k).mean() for k in range(1, top + 1)]).clip(1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(np.log(below / (1 - below)) + 1e-3 * np.arange(top))
     gaps = np.concatenate([theta[:1], np.log(np.maximum(np.diff(theta), 1e-3))])  # the first threshold, logs of the steps
+    l1 /= len(rows) ** 0.5  # the more rated texts, the less a weight has to prove
     squares, squares_g = np.full(len(weights), 1e-8), np.full(top, 1e-8)
     for _ in range(rounds):
         theta = np.cumsum(np.concatenate([gaps[:1], np.exp(gaps[1:])]))
