@@ -5,12 +5,14 @@ share an n-gram among the first n - ceil(t n) + 1 of either, so only those prefi
 start. Where classes meet at an n-gram, these filters go before any set is looked at:
   length      the smaller set has at least t times the larger one's size;
   positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed;
+  prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come;
   suffix      the sets' counts in 64 cells of the hash range are near enough (half their distance bounds the difference).
 What is left is verified once per pair, on the whole sets.
 
 Only components are wanted, so pairs within one component need no look. Rounds first compare every class with a few centres
-of its n-gram's group (the ends of the hash order, then the members with most links so far). A last round takes all
-pairs that are still in different components, none excepted, so that no link between different texts is lost.
+of its n-gram's group: the ends of the hash order, then, as long as the pairs between components would outnumber the rows
+CROWDED times, the members with most links so far. A last round takes all pairs that are still in different components,
+none excepted, so that no link between different texts is lost.
 
 An n-gram that the counts take for very frequent has its group joined, with skew split, and not windowed in one task.
 
@@ -36,6 +38,8 @@ BUCKETS, CELLS = 16, 64
 FILTER = 1 << 23
 #: Groups of n-grams that may be larger than this are joined rather than windowed.
 HOT = 50_000
+#: Pairs for each row above which another round of centres comes before the round of all pairs; two such rounds at most.
+CROWDED = 30
 
 
 def grams(text: str | None, n: int) -> np.ndarray:
@@ -151,9 +155,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return only(docs, "text").mapInArrow(run, schema).join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, n: int, percent: int, name: str) -> DataFrame:
-    """The pairs that reach the similarity, as (a, b)."""
-    pairs = stash(pairs, f"{name}-pairs")
+def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, n: int, percent: int, name: str) -> DataFrame | None:
+    """The pairs that reach the similarity, as (a, b); None if no pair is left to verify."""
+    side = lambda x: prefixes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    to_come = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
+    fits = F.size(F.array_intersect("prefix_a", "prefix_b")) + to_come >= needed(percent, F.col("n_a"), F.col("n_b"))
+    pairs = stash(both.where(fits).select("a", "b").distinct(), f"{name}-pairs")
+    if pairs.isEmpty():
+        return None
     ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
     sets = stash(_sets(docs, ends, n), f"{name}-sets")
     side = lambda x: sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"), F.col("grams").alias(f"grams_{x}"))
@@ -189,19 +199,27 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
 
     other = lambda rows, centre: rows.where(F.col(centre) != F.col("c")).select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col(centre).alias("b"), F.col("token"))
     place = met.select("token", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    links = _verified(docs, _filtered(other(met, "low").unionByName(other(met, "high")).join(place, ["token", "b"]), percent), n, percent, "ends")
+    prefixes = documents.select("c", "n", "prefix").where("n > 0").join(met.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+    links = docs.sparkSession.createDataFrame([], "a long, b long")
+    found = _verified(docs, _filtered(other(met, "low").unionByName(other(met, "high")).join(place, ["token", "b"]), percent), prefixes, n, percent, "ends")
+    links = links if found is None else found
     for turn in ("first", "second", "all"):
         label = stash(components(links), "components").withColumnRenamed("node", "c")
         degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
         now = met.select("token", "c", "n", "pos").join(label.join(degree, "c"), "c", "left").withColumn("label", F.coalesce("label", "c")).fillna(0, ["degree"])
-        open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("degree", "n", "c", "pos", "label")).alias("m")).where("x < y").select("token", "m")
-        if turn != "all":
+        open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("degree", "n", "c", "pos", "label")).alias("m"), F.count(F.lit(1)).alias("k")).where("x < y").select("token", "m", "k")
+        size = open_.agg(F.sum(F.col("k") * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).first()
+        if turn != "all" and (size.pairs or 0) > CROWDED * (size.rows or 0):
             pairs = now.join(open_, "token").where("m.label != label").select("token", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("m.c").alias("b"), F.col("m.n").alias("n_b"), F.col("m.pos").alias("pos_b"))
         else:
+            turn = "all"
             rest = stash(now.join(open_, "token", "left_semi").select("token", "c", "n", "pos", "label"), "rest")
             side = lambda x: rest.select("token", F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("label").alias(f"label_{x}"))
             pairs = side("a").join(side("b"), "token").where("label_a != label_b and a < b")
-        links = links.unionByName(_verified(docs, _filtered(pairs, percent), n, percent, turn))
+        found = _verified(docs, _filtered(pairs, percent), prefixes, n, percent, turn)
+        links = links if found is None else links.unionByName(found)
+        if turn == "all":
+            break
     label = components(links).withColumnRenamed("node", "c")
     classes = documents.groupBy("c", "n").agg(F.min(key).alias("least")).join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
     least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
