@@ -1,10 +1,13 @@
 """Substring dedup: passages of `window` or more words that recur, found by sharded Aho-Corasick automata.
 
-1. Anchors. Of every `window` consecutive words at least one GRAM-word phrase is an anchor (the least hash among its
-   neighbours, wherever the passage stands), so a window that two documents share shows by a common anchor.
-2. Confirmation. Around anchors that recur, windows are compared by a 128-bit hash; those that start in several documents are
+Equal texts count once, for their first document: of a later copy every window starts there, so all its words go if it has
+a window at all. For the different texts:
+
+1. Anchors. Of every `window` consecutive words the GRAM-word phrase of least hash is the anchor, wherever the window
+   stands, so a window that two documents share has one anchor in both.
+2. Confirmation. Windows whose anchor recurs are compared by a 128-bit hash; those that start in several documents are
    confirmed, with the first document of each. Runs of them in their first document are the passages.
-3. Automata. Passages are dealt to shards by their place. A shard compiles half-window phrases, every half window, with
+3. Automata. Passages are dealt to shards by their document. A shard compiles half-window phrases, every half window, with
    pyahocorasick; each window of a passage holds a whole one.
 4. Streaming. The stretches of documents that share windows with a shard's passages stream through its automaton; every
    occurrence is extended, word by word, as far as passage and document agree. Agreements of a window or more with an
@@ -42,59 +45,60 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
-def anchors(grams: np.ndarray, width: int) -> np.ndarray:
-    """Places of grams that are the least of some `width` neighbours in a row; none if there are fewer."""
+def anchors(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each `width` neighbouring grams the place of the least (the leftmost of equals): those places, and how many neighbourhoods, one after the other, each stands for."""
     n = len(grams) - width + 1
     if n <= 0:
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(_slide(np.concatenate([np.zeros(width - 1, np.uint64), _slide(grams, width, np.minimum), np.zeros(width - 1, np.uint64)]), width, np.maximum) == grams)
-
-
-def _slide(x: np.ndarray, width: int, of) -> np.ndarray:
-    """Minimum or maximum of each `width` values in a row."""
-    done = 1
-    while done * 2 <= width:
-        x = of(x[:-done], x[done:])
-        done *= 2
-    return of(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    place, done = np.arange(len(grams)), 1
+    while done < width:
+        step = min(done, width - done)
+        left, right = place[:-step], place[step:]
+        place = np.where(grams[left] <= grams[right], left, right)
+        done += step
+    return np.unique(place, return_counts=True)
 
 
 def _anchors(docs: DataFrame, window: int) -> DataFrame:
-    schema = StructType([docs.schema["doc_id"], docs.schema["fp"], *fields(h="long", pos="int")])
+    """(doc_id, fp, h, lo, hi): anchors with the first and last start of the windows that each stands for."""
+    schema = StructType([docs.schema["doc_id"], docs.schema["fp"], *fields(h="long", lo="int", hi="int")])
 
     def run(batches):
         for b in batches:
-            own, hs, at = [], [], []
+            own, hs, lo, hi = [], [], [], []
             for k, text in enumerate(b.column(2)):
                 words = words_of(text.as_py())
                 if len(words) >= window:
                     g = gram_hashes(hashed(words), GRAM)
-                    a = anchors(g, window - GRAM + 1)
-                    own.append(np.full(len(a), k))
-                    hs.append(g[a].view(np.int64))
-                    at.append(a)
+                    at, n = anchors(g, window - GRAM + 1)
+                    stop = np.cumsum(n)
+                    own.append(np.full(len(at), k))
+                    hs.append(g[at].view(np.int64))
+                    lo.append(stop - n)
+                    hi.append(stop - 1)
             if own:
                 own = pa.array(np.concatenate(own))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(np.concatenate(hs)), pa.array(np.concatenate(at), pa.int32())], names=schema.names)
+                columns = [pa.array(np.concatenate(hs)), pa.array(np.concatenate(lo), pa.int32()), pa.array(np.concatenate(hi), pa.int32())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), *columns], names=schema.names)
 
     return docs.select("doc_id", "fp", "text").where("doc_id is not null").mapInArrow(run, schema)
 
 
-def stretches(n: int, at: list[int], window: int) -> list[tuple[int, int]]:
-    """Word ranges of all windows that hold an anchor at one of these places, cut to STRETCH words; cuts overlap by a window less a word."""
+def stretches(starts: list[tuple[int, int]], window: int) -> list[tuple[int, int]]:
+    """Word ranges that hold just the windows that start in these ranges (first, last), cut to STRETCH words; cuts overlap by a window less a word."""
     out: list[list[int]] = []
-    for p in sorted(set(at)):
-        lo, hi = max(0, p + GRAM - window), min(n, p + window)
-        if out and lo <= out[-1][1] - window + 1:
-            out[-1][1] = hi
+    for lo, hi in sorted(starts):
+        if out and lo <= out[-1][1] + 1:
+            out[-1][1] = max(hi, out[-1][1])
         else:
             out.append([lo, hi])
-    return [(a, min(b, a + STRETCH)) for lo, b in out for a in range(lo, max(lo + 1, b - window + 1), STRETCH - window + 1)]
+    step = STRETCH - window + 1
+    return [(a, min(hi + window, a + STRETCH)) for lo, hi in out for a in range(lo, hi + 1, step)]
 
 
 def _prepared(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
     """Each document with n_words and the hash of its words; those near recurring anchors also with text and stretches."""
-    listed = recurring.groupBy("doc_id", "fp").agg(F.collect_set("pos").alias("at"))  # fewer than the document's words
+    listed = recurring.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))  # fewer than the document's words
     joined = docs.join(listed, ["doc_id", "fp"], "left").select("doc_id", "fp", "text", "at")
     stretch = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.string())]))
     schema = StructType([docs.schema["doc_id"], docs.schema["fp"], *fields(n_words="long", whole="string", text="string"), *_stretch_field()])
@@ -108,7 +112,7 @@ def _prepared(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
                     words = words_of(text)
                     n.append(len(words))
                     whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                    cut.append([{"start": x, "words": b" ".join(words[x:y]).decode()} for x, y in stretches(len(words), at, window)] if at else None)
+                    cut.append([{"start": x, "words": b" ".join(words[x:y]).decode()} for x, y in stretches([(r["lo"], r["hi"]) for r in at], window)] if at else None)
                 kept = pa.array([t if c else None for t, c in zip(texts, cut, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(whole), kept, pa.array(cut, stretch)], names=schema.names)
 
@@ -120,15 +124,15 @@ def _stretch_field():
 
 
 def _windows(pieces: DataFrame, window: int) -> DataFrame:
-    """(doc_id, fp, start, w1, w2, s): each distinct window of each stretch, where it first is."""
-    schema = StructType([pieces.schema["doc_id"], pieces.schema["fp"], *fields(start="int", w1="long", w2="long", s="int")])
+    """(doc_id, piece, w1, w2, s): each distinct window of each stretch, where it first is."""
+    schema = StructType([pieces.schema["doc_id"], *fields(piece="long", w1="long", w2="long", s="int")])
 
     def run(batches):
         for b in batches:
             for lo in range(0, b.num_rows, 500):
                 part = b.slice(lo, 500)
                 own, one, two, at = [], [], [], []
-                for k, text in enumerate(part.column(3)):
+                for k, text in enumerate(part.column(2)):
                     h = hashed(words_of(text.as_py()))
                     w, first = np.unique(gram_hashes(h, window), return_index=True)
                     own.append(np.full(len(w), k))
@@ -136,29 +140,27 @@ def _windows(pieces: DataFrame, window: int) -> DataFrame:
                     two.append(gram_hashes(h[::-1], window)[::-1][first])
                     at.append(first)
                 own = pa.array(np.concatenate(own))
-                yield pa.RecordBatch.from_arrays([*(part.column(x).take(own) for x in range(3)), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(at), pa.int32())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(np.concatenate(one).view(np.int64)), pa.array(np.concatenate(two).view(np.int64)), pa.array(np.concatenate(at), pa.int32())], names=schema.names)
 
-    return pieces.select("doc_id", "fp", "start", "words").mapInArrow(run, schema)
+    return pieces.select("doc_id", "piece", "words").mapInArrow(run, schema)
 
 
 def _passages(pieces: DataFrame, sources: DataFrame, window: int) -> DataFrame:
-    """(doc_id, fp, start, words): runs of source windows (doc_id, fp, start, s) of a stretch."""
-    listed = sources.groupBy("doc_id", "fp", "start").agg(F.array_sort(F.collect_set("s")).alias("s"))  # at most STRETCH
-    schema = StructType([pieces.schema["doc_id"], pieces.schema["fp"], *fields(start="int", words="string")])
+    """(doc_id, words): runs of source windows (piece, s) of a stretch."""
+    listed = sources.groupBy("piece").agg(F.array_sort(F.collect_set("s")).alias("s"))  # at most STRETCH
+    schema = StructType([pieces.schema["doc_id"], *fields(words="string")])
 
     def run(batches):
         for b in batches:
             own, out = [], []
-            for k, (text, s) in enumerate(zip(b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True)):
+            for k, (text, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
                 words, s = text.split(" "), np.array(s)
                 for x in np.split(s, np.flatnonzero(np.diff(s) != 1) + 1):
                     own.append(k)
                     out.append(" ".join(words[x[0] : x[-1] + window]))
-            own = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(b.column(x).take(own) for x in range(3)), pa.array(out, pa.string())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(own, pa.int64())), pa.array(out, pa.string())], names=schema.names)
 
-    joined = pieces.dropDuplicates(["doc_id", "fp", "start"]).join(listed, ["doc_id", "fp", "start"])
-    return joined.select("doc_id", "fp", "start", "words", "s").mapInArrow(run, schema)
+    return pieces.join(listed, "piece").select("doc_id", "words", "s").mapInArrow(run, schema)
 
 
 class Automaton:
@@ -222,28 +224,29 @@ def _found(passages: DataFrame, visits: DataFrame, window: int) -> DataFrame:
 def repeated_words(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, and removed (merged word ranges): without words repeated from earlier documents."""
     docs = only(docs, "doc_id", "text").withColumn("fp", F.xxhash64("text"))
-    marks = _anchors(docs, window)
-    marks = stash(marks, "anchors")
-    known = marks.groupBy("h").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x < y").select("h")
-    prepared = stash(_prepared(docs, marks.join(known, "h").select("doc_id", "fp", "pos"), window), "prepared")
+    marks = stash(_anchors(docs, window), "anchors")
+    known = marks.groupBy("h").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select("h")
+    firsts = stash(docs.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    near = marks.join(known, "h").select("doc_id", "fp", "lo", "hi").join(firsts.select("fp", F.col("first").alias("doc_id")), ["doc_id", "fp"], "left_semi")
+    prepared = stash(_prepared(docs, near, window), "prepared")
     pieces = prepared.where("stretches is not null").select("doc_id", "fp", F.explode("stretches").alias("p")).select("doc_id", "fp", "p.start", "p.words")
+    pieces = stash(pieces.withColumn("piece", F.xxhash64("doc_id", "fp", "start")).dropDuplicates(["piece"]), "pieces")
 
-    windows = stash(_windows(pieces, window), "windows")
-    place = F.struct("doc_id", "fp", "start", "s")
-    first = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last").select("w1", "w2", "first")
-    shared = stash(windows.join(first, ["w1", "w2"]).select("doc_id", "fp", "start", "s", "first"), "shared")
+    windows = _windows(pieces, window)
+    first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
+    shared = stash(windows.join(first, ["w1", "w2"]).select("doc_id", "piece", "s", "first"), "shared")
 
-    passages = stash(_passages(pieces, shared.where(F.col("first") == place).select("doc_id", "fp", "start", "s"), window), "passages")
+    passages = stash(_passages(pieces, shared.where("doc_id = first").select("piece", "s"), window), "passages")
     size = passages.agg(F.sum(F.octet_length("words"))).first()[0] or 0
     shards = max(1, -(-size // SHARD))
-    shard = lambda x: F.pmod(F.xxhash64(f"{x}doc_id", f"{x}fp", f"{x}start"), F.lit(shards)).alias("shard")
-    routes = shared.where("doc_id > first.doc_id").select("doc_id", "fp", "start", shard("first.")).distinct()
+    shard = lambda x: F.pmod(F.xxhash64(x), F.lit(shards)).alias("shard")
+    routes = shared.where("doc_id > first").select("piece", shard("first")).distinct()
     copies = routes.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / VISITS).cast("int").alias("copies"))
-    visits = pieces.dropDuplicates(["doc_id", "fp", "start"]).join(routes.join(copies, "shard"), ["doc_id", "fp", "start"]).withColumn("copy", F.pmod(F.xxhash64("doc_id", "start"), F.col("copies")).cast("int"))
-    known = passages.select("doc_id", "words", shard("")).join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "doc_id", "words")
+    visits = pieces.join(routes.join(copies, "shard"), "piece").withColumn("copy", F.pmod(F.xxhash64("piece"), F.col("copies")).cast("int"))
+    known = passages.select("doc_id", "words", shard("doc_id")).join(copies, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), "doc_id", "words")
     found = _found(known, visits.select("shard", "copy", "doc_id", "fp", "start", "words"), window)
-    ranges = stash(found.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges")), "ranges")
-    return _without(prepared, ranges)
+    ranges = found.groupBy("doc_id", "fp").agg(F.array_sort(F.collect_set(F.struct("lo", "hi"))).alias("ranges"))
+    return _without(prepared, ranges, firsts, window)
 
 
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -256,7 +259,7 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _without(prepared: DataFrame, ranges: DataFrame) -> DataFrame:
+def _without(prepared: DataFrame, ranges: DataFrame, firsts: DataFrame, window: int) -> DataFrame:
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     schema = StructType([prepared.schema["doc_id"], *fields(n_words="long", n_removed="long", kept_sha256="string", removed=ArrayType(StructType(fields(start="long", stop="long"))))])
 
@@ -276,6 +279,15 @@ def _without(prepared: DataFrame, ranges: DataFrame) -> DataFrame:
                 spans.append([{"start": lo, "stop": hi} for lo, hi in gone])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(digest, pa.string()), pa.array(spans, span)], names=schema.names)
 
-    kept = prepared.where("stretches is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256"), F.array().cast(schema["removed"].dataType).alias("removed"))
+    all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
+    copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
+    kept = prepared.where("stretches is null").select("doc_id", "fp", "n_words", "whole").join(firsts, "fp", "left")
+    kept = kept.select(
+        "doc_id",
+        "n_words",
+        F.when(copy, F.col("n_words")).otherwise(0).cast("long").alias("n_removed"),
+        F.when(copy, F.sha2(F.lit(""), 256)).otherwise(F.col("whole")).alias("kept_sha256"),
+        F.when(copy, all_).otherwise(F.array().cast(schema["removed"].dataType)).alias("removed"),
+    )
     near = prepared.where("stretches is not null").join(ranges, ["doc_id", "fp"], "left").select("doc_id", "n_words", "whole", "text", "ranges")
     return near.mapInArrow(run, schema).unionByName(kept)
