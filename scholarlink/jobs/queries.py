@@ -568,3 +568,70 @@ def a8_detail(spark, sf_dir):
 def a10_failure_reasons(spark, sf_dir):
     reason = F.when(F.col("ok"), "http 403").when(F.col("robot"), "robot page").otherwise(F.concat(F.lit("http 5"), F.col("place") % 2))
     return report.failure_reasons(spark.sql(TRIES, orders=_read(spark, sf_dir, "orders")).withColumn("reason", reason)).withColumn("nth", F.col("nth").cast("long"))
+
+
+# ---- articles, proximity, domains, order
+
+
+def _article_parts() -> str:
+    from .snapshot import GIVEN, LOCAL, SURNAME
+
+    (g, h), s = GIVEN, SURNAME
+    return f"select c_custkey as doc_id, concat({g}, ' ', {h}) as given, {s} as surname, concat({LOCAL}, '@lab.example') as email, c_custkey % 4 as kind from {{customer}}"
+
+
+ARTICLE = """select doc_id, kind, given, surname, email, concat('<article xmlns="urn:x"><contrib-group><contrib contrib-type="author"', case when kind = 3 then ' corresp="yes"' else '' end, '><name><surname>', surname, '</surname><given-names>', given, '</given-names></name>',
+    case when kind = 0 then concat('<email>', email, '</email>') else '' end, case when kind in (1, 2) then '<xref ref-type="corresp" rid="c1"/>' else '' end, '</contrib><contrib><string-name>Una Vexley</string-name>', case when kind = 2 then '<xref ref-type="corresp" rid="c1"/>' else '' end,
+    '</contrib><contrib contrib-type="editor"><string-name>Ed Itor</string-name><email>ed@lab.example</email></contrib></contrib-group><author-notes><corresp id="c1">Write to ', email, case when kind = 2 then ' or uvexley@lab.example' else '' end, '</corresp></author-notes></article>') as xml from ({parts})"""
+
+
+@query(f"""with p as ({_article_parts().format(customer='customer')}) select doc_id, 0 as no, concat(given, ' ', surname) as name, kind > 0 as corresp, email as emails from p
+    union all select doc_id, 1, 'Una Vexley', kind = 2, case when kind = 2 then 'uvexley@lab.example' else '' end from p""")
+def j9_author_notes(spark, sf_dir):
+    from ..sources.jats import author_emails, parse_jats
+
+    articles = spark.sql(ARTICLE.format(parts=_article_parts()), customer=_read(spark, sf_dir, "customer"))
+    return author_emails(parse_jats(articles)).select("doc_id", "no", "name", "corresp", F.array_join("emails", " ").alias("emails"))
+
+
+@query(f"with p as ({_article_parts().format(customer='customer')}) select 'author' as kind, 2 * count(*) as n from p union all select 'email', count(*) from p where kind = 0 union all select 'xref', count(*) + count(*) filter (where kind = 2) from p where kind in (1, 2) union all select 'note', count(*) from p union all select 'note_email', count(*) + count(*) filter (where kind = 2) from p")
+def s11_parse_jats(spark, sf_dir):
+    from ..sources.jats import parse_jats
+
+    articles = spark.sql(ARTICLE.format(parts=_article_parts()), customer=_read(spark, sf_dir, "customer"))
+    return parse_jats(articles).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"select person_id, source, person_id % 2 = 0 and person_id % 3 > 0 as theirs from ({sql('hits')})")
+def e9_proximity(spark, sf_dir):
+    from ..operators.proximity import attributed_by_proximity
+
+    rows = table(spark, sf_dir, "hits").join(table(spark, sf_dir, "people").select("person_id", "name"), "person_id")
+    who = F.when(F.col("person_id") % 2 == 0, F.col("name")).otherwise("someone else")
+    text = F.concat(F.lit("Written by "), who, F.when(F.col("person_id") % 3 == 0, " with Maria Stone").otherwise(""), F.lit(" <"), "email", F.lit(">, x@lab.example"))
+    return rows.select("person_id", "source", attributed_by_proximity(text, F.col("email"), F.array("name")).alias("theirs"))
+
+
+@query(f"""select p.person_id, regexp_replace(split_part(website, '/', 3), '^www\\.', '') as domain, string_agg(distinct case when p.affiliation = o.name then 'registry' else 'company' end, ',' order by case when p.affiliation = o.name then 'registry' else 'company' end) as sources
+    from ({sql('people')}) p join ({sql('orgs')}) o on p.affiliation in (o.name, o.short_name) group by all""")
+def j2_official_domains(spark, sf_dir):
+    asked, orgs = table(spark, sf_dir, "people"), table(spark, sf_dir, "orgs")
+    by = lambda c, source: asked.join(orgs, asked["affiliation"] == orgs[c]).select("person_id", O.host_of(F.col("website")).alias("domain"), F.lit(source).alias("source"))
+    both = by("name", "registry").unionByName(by("short_name", "company"))
+    return both.groupBy("person_id", "domain").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+
+
+@query(f"select person_id from ({sql('people')}) order by person_id limit 50")
+def w13_run_limit(spark, sf_dir):
+    return table(spark, sf_dir, "people").select("person_id").orderBy("person_id").limit(records.MAX_PEOPLE)
+
+
+@query(f"select person_id, status from (select *, {STATE} as status from ({STATUS})) where n_addresses = 0")
+def j15_people_without_evidence(spark, sf_dir):
+    return report.statuses(table(spark, sf_dir, "people"), _hits(spark, sf_dir)).where("n_addresses = 0").select("person_id", "status")
+
+
+@query(f"select person_id, name, status, best from ({SUMMARY})")
+def a7_responses(spark, sf_dir):
+    out = report.responses(_summary(spark, sf_dir)).select("person_id", F.from_json("json", "name string, status string, best string, notice string").alias("j")).where("j.notice is not null")
+    return out.select("person_id", "j.name", "j.status", "j.best")
