@@ -6,7 +6,7 @@ start. Where classes meet at an n-gram, these filters go before any set is looke
   length      the smaller set has at least t times the larger one's size;
   positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed;
   prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come;
-  suffix      the sets' counts in 64 cells of the hash range are near enough (half their distance bounds the difference).
+  suffix      the sets' counts in 128 cells of the hash range are near enough (half their distance bounds the difference).
 What is left is verified once per pair, on the whole sets.
 
 Only components are wanted, so pairs within one component need no look. Rounds first compare every class with a few centres
@@ -29,15 +29,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, ShortType, StructType
 
 from .common import fields, gram_hashes, mix, only, stash
 
-BUCKETS, CELLS = 16, 64
+BUCKETS, CELLS = 16, 128
 #: Bits of the filter that picks the documents whose sets are fetched; its size is fixed, and a false hit only costs time.
 FILTER = 1 << 23
 #: Groups of n-grams that may be larger than this are joined rather than windowed.
 HOT = 50_000
+#: Centres of a group in one round, each the best linked of its share of the members.
+CENTRES = 8
 #: Pairs for each row above which another round of centres comes before the round of all pairs; two such rounds at most.
 CROWDED = 30
 
@@ -87,18 +89,19 @@ def needed(t: Column | float, a: Column, b: Column) -> Column:
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, counts, key: str) -> DataFrame:
-    """(key, n, c, hot, prefix): size and class of each document's set; its first n-grams, those below `hot` not taken for frequent."""
-    schema = StructType([docs.schema[key], *fields(n="int", c="long", hot="int", prefix="longs")])
+    """(key, n, c, cells, hot, prefix): size, class and counts by cell of each document's set; its first n-grams, those below `hot` not taken for frequent."""
+    schema = StructType([docs.schema[key], *fields(n="int", c="long", cells=ArrayType(ShortType()), hot="int", prefix="longs")])
 
     def run(batches):
         order = counts.value
         limit = HOT + order.mean() + 10 * np.sqrt(order.mean())
         for b in batches:
-            ns, cs, hot, prefix = [], [], [], []
+            ns, cs, cells, hot, prefix = [], [], [], [], []
             for text in b.column(1):
                 g = grams(text.as_py(), n)
                 ns.append(len(g))
                 cs.append(signature(g))
+                cells.append(np.minimum(np.bincount((g >> np.uint64(57)).astype(np.int64), minlength=CELLS), 32_767).astype(np.int16))
                 m = len(g) - -(-percent * len(g) // 100) + 1 if len(g) else 0
                 f = order[bucket(g)]
                 if m and m < len(g):
@@ -107,19 +110,28 @@ def _prefixes(docs: DataFrame, n: int, percent: int, counts, key: str) -> DataFr
                 first = np.lexsort((g, f))[:m]
                 prefix.append(_signed(g[first]))
                 hot.append(int((f[first] <= limit).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(_signed(cs), pa.int64()), pa.array(hot, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(_signed(cs), pa.int64()), pa.array(cells, pa.list_(pa.int16())), pa.array(hot, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=schema.names)
 
     return only(docs, key, "text").mapInArrow(run, schema)
 
 
+def prefix_length(n: Column, percent: int) -> Column:
+    return n - F.ceil(n * percent / 100.0 - 1e-9) + 1
+
+
 def _meetings(documents: DataFrame) -> DataFrame:
-    """(token, c, n, pos, low, high): the n-grams of prefixes where different classes meet, with the ends of their groups."""
+    """(token, c, n, pos, low, high): the n-grams of prefixes where different classes meet, with the ends of their groups (struct c, n, pos)."""
     rows = documents.where("n > 0").select("c", "n", "hot", F.posexplode("prefix").alias("pos", "token"))
+    member = F.struct("c", "n", "pos")
+    packed = rows.where("pos < hot").select("token", "c", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))  # two numbers in one, for a narrower shuffle
     group = W.partitionBy("token")
-    few = rows.where("pos < hot").withColumn("low", F.min("c").over(group)).withColumn("high", F.max("c").over(group)).where("low < high")
-    many = rows.where("pos >= hot").select("token", "c", "n", "pos", "hot")
-    ends = many.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high")
-    return few.unionByName(many.join(ends, "token")).select("token", "c", "n", "pos", "low", "high").distinct()
+    few = packed.withColumn("low", F.min(F.struct("c", "at")).over(group)).withColumn("high", F.max(F.struct("c", "at")).over(group)).where("low.c < high.c")
+    number, place = lambda at: F.shiftright(at, 32).cast("int"), lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+    end = lambda x: F.struct(F.col(f"{x}.c").alias("c"), number(F.col(f"{x}.at")).alias("n"), place(F.col(f"{x}.at")).alias("pos")).alias(x)
+    few = few.select("token", "c", number(F.col("at")).alias("n"), place(F.col("at")).alias("pos"), end("low"), end("high"))
+    many = rows.where("pos >= hot").select("token", "c", "n", "pos")
+    ends = many.groupBy("token").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.c < high.c")
+    return few.unionByName(many.join(ends, "token").select(*few.columns)).distinct()
 
 
 def _filtered(met: DataFrame, percent: int) -> DataFrame:
@@ -131,12 +143,12 @@ def _filtered(met: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, n, cells, grams) of the classes in wanted (c)."""
+    """(c, grams) of the classes in wanted (c)."""
     spark = docs.sparkSession
     bits = np.zeros(FILTER, bool)
     bits[wanted.select(F.pmod("c", F.lit(FILTER)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True  # FILTER rows at most
     picked = spark.sparkContext.broadcast(np.packbits(bits))
-    schema = StructType(fields(c="long", n="int", cells="longs", grams="longs"))
+    schema = StructType(fields(c="long", grams="longs"))
 
     def run(batches):
         bits = np.unpackbits(picked.value).astype(bool)
@@ -147,31 +159,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 c = int(_signed([signature(g)])[0])
                 if len(g) and bits[c % FILTER] and c not in done:
                     done.add(c)
-                    out.append((c, len(g), np.bincount((g >> np.uint64(58)).astype(np.int64), minlength=CELLS), _signed(g)))
-            columns = zip(*out, strict=True) if out else ([],) * 4
-            kinds = pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())
+                    out.append((c, _signed(g)))
+            columns = zip(*out, strict=True) if out else ([],) * 2
+            kinds = pa.int64(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=schema.names)
 
     return only(docs, "text").mapInArrow(run, schema).join(wanted, "c", "left_semi").dropDuplicates(["c"])
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, prefixes: DataFrame, n: int, percent: int, name: str) -> DataFrame | None:
-    """The pairs that reach the similarity, as (a, b); None if no pair is left to verify."""
-    side = lambda x: prefixes.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("prefix").alias(f"prefix_{x}"))
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, name: str) -> DataFrame | None:
+    """The pairs that reach the similarity, as (a, b); None if no pair is left to verify. classes: (c, n, tokens, cells)."""
+    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "tokens", "cells")])
     both = pairs.join(side("a"), "a").join(side("b"), "b")
-    to_come = F.greatest(F.col("n_a") - F.size("prefix_a"), F.col("n_b") - F.size("prefix_b"))
-    fits = F.size(F.array_intersect("prefix_a", "prefix_b")) + to_come >= needed(percent, F.col("n_a"), F.col("n_b"))
-    pairs = stash(both.where(fits).select("a", "b").distinct(), f"{name}-pairs")
+    na, nb = F.col("n_a"), F.col("n_b")
+    need = needed(percent, na, nb)
+    to_come = F.greatest(na - prefix_length(na, percent), nb - prefix_length(nb, percent))
+    apart = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
+    fits = F.when(F.size(F.array_intersect("tokens_a", "tokens_b")) + to_come >= need, (na + nb - apart) / 2 >= need).otherwise(False)
+    pairs = stash(both.where(fits).select("a", "b", need.cast("long").alias("need")).distinct(), f"{name}-pairs")
     if pairs.isEmpty():
         return None
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = stash(_sets(docs, ends, n), f"{name}-sets")
-    side = lambda x: sets.select(F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"), F.col("grams").alias(f"grams_{x}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    need = needed(percent, F.col("n_a"), F.col("n_b"))
-    apart = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x - y)), F.lit(0).cast("long"), lambda x, y: x + y)
-    near = F.when((F.col("n_a") + F.col("n_b") - apart) / 2 >= need, F.size(F.array_intersect("grams_a", "grams_b")) >= need).otherwise(False)
-    return stash(both.where(near).select("a", "b"), f"{name}-links")
+    sets = _sets(docs, pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), n)  # both joins read one exchange of it
+    side = lambda x: sets.select(F.col("c").alias(x), F.col("grams").alias(f"grams_{x}"))
+    found = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("need"))
+    return stash(found.select("a", "b"), f"{name}-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -197,31 +208,36 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
     documents = stash(_prefixes(docs, n, percent, counts, key), "prefixes")
     met = stash(_meetings(documents), "met")
 
-    other = lambda rows, centre: rows.where(F.col(centre) != F.col("c")).select(F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col(centre).alias("b"), F.col("token"))
-    place = met.select("token", F.col("c").alias("b"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    prefixes = documents.select("c", "n", "prefix").where("n > 0").join(met.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-    links = docs.sparkSession.createDataFrame([], "a long, b long")
-    found = _verified(docs, _filtered(other(met, "low").unionByName(other(met, "high")).join(place, ["token", "b"]), percent), prefixes, n, percent, "ends")
+    listed = met.groupBy("c").agg(F.collect_set("token").alias("tokens"))  # fewer than its prefix has
+    shapes = documents.where("n > 0").select("c", "n", "cells").join(met.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
+    classes = stash(shapes.join(listed, "c"), "classes")
+
+    member = lambda x, of: [F.col(f"{of}{k}").alias(f"{k}_{x}") for k in ("n", "pos")]
+    against = lambda rows, centre: rows.where(F.col(f"{centre}.c") != F.col("c")).select(F.col("c").alias("a"), *member("a", ""), F.col(f"{centre}.c").alias("b"), *member("b", f"{centre}."))
+    links = spark.createDataFrame([], "a long, b long")
+    found = _verified(docs, _filtered(against(met, "low").unionByName(against(met, "high")), percent), classes, n, percent, "ends")
     links = links if found is None else found
     for turn in ("first", "second", "all"):
         label = stash(components(links), "components").withColumnRenamed("node", "c")
-        degree = links.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
+        degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
         now = met.select("token", "c", "n", "pos").join(label.join(degree, "c"), "c", "left").withColumn("label", F.coalesce("label", "c")).fillna(0, ["degree"])
-        open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.max(F.struct("degree", "n", "c", "pos", "label")).alias("m"), F.count(F.lit(1)).alias("k")).where("x < y").select("token", "m", "k")
+        share = F.pmod(F.xxhash64("c"), F.lit(CENTRES))
+        centres = [F.max(F.when(share == k, F.struct("degree", "c", "n", "pos", "label"))) for k in range(CENTRES)]
+        open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.filter(F.array(*centres), lambda m: m.isNotNull()).alias("centres"), F.count(F.lit(1)).alias("k")).where("x < y")
         size = open_.agg(F.sum(F.col("k") * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).first()
         if turn != "all" and (size.pairs or 0) > CROWDED * (size.rows or 0):
-            pairs = now.join(open_, "token").where("m.label != label").select("token", F.col("c").alias("a"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"), F.col("m.c").alias("b"), F.col("m.n").alias("n_b"), F.col("m.pos").alias("pos_b"))
+            pairs = against(now.join(open_.select("token", F.explode("centres").alias("m")), "token").where("m.label != label"), "m")
         else:
             turn = "all"
-            rest = stash(now.join(open_, "token", "left_semi").select("token", "c", "n", "pos", "label"), "rest")
+            rest = stash(now.join(open_.select("token"), "token", "left_semi").select("token", "c", "n", "pos", "label"), "rest")
             side = lambda x: rest.select("token", F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("label").alias(f"label_{x}"))
             pairs = side("a").join(side("b"), "token").where("label_a != label_b and a < b")
-        found = _verified(docs, _filtered(pairs, percent), prefixes, n, percent, turn)
+        found = _verified(docs, _filtered(pairs, percent), classes, n, percent, turn)
         links = links if found is None else links.unionByName(found)
         if turn == "all":
             break
     label = components(links).withColumnRenamed("node", "c")
-    classes = documents.groupBy("c", "n").agg(F.min(key).alias("least")).join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = classes.groupBy("label").agg(F.min("least").alias("component_id"))
-    whole = classes.join(least, "label").select("c", "component_id")
+    grouped = documents.groupBy("c", "n").agg(F.min(key).alias("least")).join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
+    whole = grouped.join(least, "label").select("c", "component_id")
     return documents.join(whole, "c").select(key, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
