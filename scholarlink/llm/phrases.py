@@ -34,7 +34,7 @@ from .common import fields, gram_hashes, only, stash
 
 GRAM = 16
 #: Words of a stretch, bytes of passages a shard, stretches a copy of a shard.
-STRETCH, SHARD, VISITS = 2_000, 4_000_000, 10_000
+STRETCH, SHARD, VISITS = 2_000, 1_000_000, 2_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -187,23 +187,23 @@ class Automaton:
             return []
         words = text.split(" ")
         starts = np.cumsum([0] + [len(w) + 1 for w in words])
-        done: dict[tuple[int, int], int] = {}
-        out = []
+        cover = bytearray(len(words))
         for end, (length, places) in self.trie.iter(f" {text} "):
             at = int(np.searchsorted(starts, end - length + 1))
             for k, off in places:
                 source, passage = self.passages[k]
-                if source >= doc or done.get((k, at - off), -1) > at:
+                first, last = max(0, at - off), min(len(words), at - off + len(passage))
+                if source >= doc or last - first < self.window or cover.find(0, first, last) < 0:  # nothing that isn't found already
                     continue
-                lo, hi, n = at, at, min(len(words) - at, len(passage) - off)
-                while lo > 0 and off - (at - lo) > 0 and words[lo - 1] == passage[off - (at - lo) - 1]:
+                lo = hi = at
+                while lo > first and words[lo - 1] == passage[lo - 1 - at + off]:
                     lo -= 1
-                while hi - at < n and words[hi] == passage[off + hi - at]:
+                while hi < last and words[hi] == passage[hi - at + off]:
                     hi += 1
-                done[k, at - off] = hi
                 if hi - lo >= self.window:
-                    out.append((lo, hi))
-        return out
+                    cover[lo:hi] = b"\1" * (hi - lo)
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], np.frombuffer(cover, np.uint8), [0]]).astype(np.int8)))
+        return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
 
 
 def _found(passages: DataFrame, visits: DataFrame, window: int) -> DataFrame:
