@@ -635,3 +635,40 @@ def j15_people_without_evidence(spark, sf_dir):
 def a7_responses(spark, sf_dir):
     out = report.responses(_summary(spark, sf_dir)).select("person_id", F.from_json("json", "name string, status string, best string, notice string").alias("j")).where("j.notice is not null")
     return out.select("person_id", "j.name", "j.status", "j.best")
+
+
+def _spelled_sql(c: str, out: str) -> str:
+    """A CTE of the four first spellings of the syllable at place c of its block: p_partkey, word, nth."""
+    return f"""{out}_s as (select p_partkey, x, y, z, i, j, k from (select p_partkey, {_sounds(N.INITIALS, N.INITIAL_SPELLINGS, f'{c} // 588')} as a, {_sounds(N.MEDIALS, N.MEDIAL_SPELLINGS, f'({c} % 588) // 28')} as b, {_sounds(N.FINALS, N.FINAL_SPELLINGS, f'{c} % 28')} as d from l)
+      , lateral (select unnest(a) as x, unnest(range(len(a))) as i), lateral (select unnest(b) as y, unnest(range(len(b))) as j), lateral (select unnest(d) as z, unnest(range(len(d))) as k)),
+    {out} as (select p_partkey, w, row_number() over (partition by p_partkey order by o) - 1 as nth from (select p_partkey, concat(x, y, z) as w, min(i * 100 + j * 10 + k) as o from {out}_s group by all) qualify nth < 4)"""
+
+
+@query(f"""with l as (select p_partkey, (p_partkey * 7) % 11172 as c, (p_partkey * 13 + 5) % 11172 as e from part), {_spelled_sql('c', 'g')}, {_spelled_sql('e', 'h')},
+    f as (select p_partkey, unnest([concat(upper(g.w[1]), g.w[2:], h.w, ' Goh'), concat(upper(g.w[1]), g.w[2:], ' ', upper(h.w[1]), h.w[2:], ' Goh')]) as form, (g.nth + h.nth) * 1000 + (g.nth * 4 + h.nth) * 10 + unnest([0, 1]) as o from g join h using (p_partkey)),
+    d as (select p_partkey, form, row_number() over (partition by p_partkey order by o) as r from (select p_partkey, form, min(o) as o from f group by all)),
+    e as (select * from d where r <= 16 union all select p_partkey, replace(form, ' Goh', ' Ko'), 17 from d where r = 1),
+    n as (select *, row_number() over (partition by p_partkey order by r) as q from e)
+    select p_partkey, string_agg(form, '|' order by q) as forms from n where q <= 16 group by p_partkey""")
+def n5_romanized(spark, sf_dir):
+    def letter(code):
+        utf8 = F.concat(F.hex(F.lit(0xE0).cast("long") + F.floor(code / 4096)), F.hex(F.lit(0x80) + F.pmod(F.floor(code / 64), F.lit(64))), F.hex(F.lit(0x80) + F.pmod(code, F.lit(64))))
+        return F.decode(F.unhex(utf8), "UTF-8")
+
+    key = F.col("p_partkey")
+    name = F.concat(F.lit("고 "), letter(F.pmod(key * 7, F.lit(11172)) + 0xAC00), letter(F.pmod(key * 13 + 5, F.lit(11172)) + 0xAC00))
+    surnames = F.create_map(F.lit("고"), F.array(F.lit("Goh"), F.lit("Ko")))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(N.romanized(name, surnames), "|").alias("forms"))
+
+
+def _bibliography() -> str:
+    from .snapshot import LOCAL, _styled
+
+    return f"select distinct concat('10.9999/a', cast(o_orderkey % 4000 as varchar(9))) as key, {_styled('c_custkey + 2')} as author, concat({LOCAL}, '@lab.example') as email from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 5 > 0"
+
+
+@query(f"""{WORKS}, b as ({_bibliography().format(orders='orders', customer='customer')}), q as (select person_id, name from ({sql('people')})), m as ({ORACLES['n2_match_names']})
+    select distinct p.person_id, p.key, b.email, 'bibliography' as source from p join b using (key) join q on q.person_id = p.person_id join m on m.name = q.name and m.display_name = b.author""")
+def j8_bibliographic_evidence(spark, sf_dir):
+    authors = spark.sql(_bibliography(), orders=_read(spark, sf_dir, "orders"), customer=_read(spark, sf_dir, "customer"))
+    return evidence.by_author(_works(spark, sf_dir), authors, table(spark, sf_dir, "people").select("person_id", "name"), "bibliography")

@@ -81,3 +81,14 @@ def ranked(hits: DataFrame) -> DataFrame:
     """hits with rn: verified first, then by strength of attribution (0 is strongest), then by address; rn 1 is the best."""
     place = W.partitionBy("person_id").orderBy(F.desc("verified"), "strength", "email", "source")
     return hits.withColumn("rn", F.row_number().over(place))
+
+
+def by_author(works: DataFrame, authors: DataFrame, names: DataFrame, source: str) -> DataFrame:
+    """Addresses of the authors of a person's works whose name can be the person's -> person_id, key, email, source.
+
+    works (person_id, key), authors (key, author, email), names (person_id, name). The works come first, so only authors of
+    wanted works are matched by name.
+    """
+    near = works.select("person_id", "key").distinct().join(authors, "key").join(names, "person_id")
+    pairs = match_names(near.select("name"), near.select("author"), "name", "author")
+    return near.join(pairs, ["name", "author"]).select("person_id", "key", "email").distinct().withColumn("source", F.lit(source))
