@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import name_tokens
 from ..functions.text import is_personal_mail
-from .matching import match_domains
+from .matching import match_domains, match_names
 
 #: Routes by which evidence comes, in the order that decides between equal findings.
 ROUTES = ("record", "bibliography", "article", "preprint", "pdf", "html", "homepage")
