@@ -27,6 +27,8 @@ from pyspark.sql.types import ArrayType, StructType
 from .common import fields, mix, only
 
 BITS = 18
+#: Languages learned at most, the most frequent ones; so many rows are broadcast to pick the sample.
+LANGUAGES = 1_000
 #: Words of which a task keeps the scores; emptied when full. Words scored at once.
 CACHE, CHUNK = 300_000, 1_500_000
 
@@ -139,9 +141,9 @@ def fit(samples: list[tuple[str, str]], rounds: int = 3, length: int = 64, batch
 def learn(docs: DataFrame, usable: Column, per_language: int = 120) -> Model:
     """Fit on about per_language of the rows of each lang (all, where there are fewer) for which `usable` holds."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    counts = labelled.groupBy("lang").count()
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
     share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
-    sample = labelled.join(counts, "lang").where(share * F.col("count") < per_language).select("lang", "text", "doc_id")
+    sample = labelled.join(F.broadcast(counts), "lang").where(share * F.col("count") < per_language).select("lang", "text", "doc_id")
     return fit([(r.lang, r.text) for r in sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))])
 
 
