@@ -81,13 +81,13 @@ def learn(docs: DataFrame, ratings: DataFrame, sample: int = 12_000) -> Ordinal:
     """Fit on about `sample` of the documents that ratings (doc_id, grade) covers."""
     ratings = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").cast("int").alias("grade"))
     share = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 30)) / (1 << 30)
-    rated = ratings.where(share * ratings.count() < sample)
+    rated = ratings.where(share * ratings.count() < sample)  # about `sample` rows, whatever the corpus
 
     def hashed(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([presence(t) for t in b.column(2).to_pylist()], pa.list_(pa.int64()))], names=["doc_id", "grade", "ids"])
 
-    rows = only(docs, "doc_id", "text").join(rated, "doc_id").select("doc_id", "grade", "text")
+    rows = only(docs, "doc_id", "text").join(F.broadcast(rated), "doc_id").select("doc_id", "grade", "text")
     rows = rows.mapInArrow(hashed, StructType([rows.schema["doc_id"], *fields(grade="int", ids="longs")])).toPandas().sort_values("doc_id")
     return fit(rows["ids"].tolist(), rows["grade"].tolist())
 
