@@ -3,7 +3,7 @@
 A candidate is a run of 16 or more letters, digits and + / _ -. Its features are its length, how often its letters change
 between lower case, upper case, digits and signs, how much of it dictionary words cover, whether it looks like part of a path,
 and what its neighbouring words are: a name that credentials go by, an equals sign, a quotation mark. The dictionary
-holds the words of four to eight letters that at least `common` documents with candidates have.
+holds the words of four to eight letters that at least `common` documents have, with candidates or without.
 
 The forest is trained on labelled findings (candidate features and is_secret), on about `sample` of them picked by a hash.
 
@@ -42,10 +42,10 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, common: int = 20) -> DataFrame:
-    """(word): the lower-cased words of four to eight letters in at least `common` documents with candidates."""
-    texts = only(docs, "doc_id", "text").where(F.col("text").rlike(CANDIDATE))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("word"))
-    return words.where(F.length("word").between(GRAMS[0], GRAMS[-1])).groupBy("word").count().where(F.col("count") >= common).select("word")
+    """(word): the lower-cased words of four to eight letters in at least `common` documents of the whole table."""
+    word = rf"(?<!\p{{L}})\p{{L}}{{{GRAMS[0]},{GRAMS[-1]}}}+(?!\p{{L}})"
+    words = only(docs, "text").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("word"))
+    return words.groupBy("word").count().where(F.col("count") >= common).select("word")
 
 
 def _share(pattern: str) -> Column:

@@ -299,6 +299,13 @@ def test_secrets(spark, corpus, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_dictionary_counts_documents_without_candidates(spark):
+    rows = [(k, "Harbour meadow harbour, straßen; considerations") for k in range(19)] + [(19, "harbour straßen " + "0a" * 20), (20, "meadows"), (21, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.word for r in secrets.dictionary(df).collect()} == {"harbour", "straßen"}
+    assert {r.word for r in secrets.dictionary(df, common=19).collect()} == {"harbour", "straßen", "meadow"}
+
+
 def test_language(spark, corpus, empty):
     rng = random.Random(6)
     speech = {"xx": "thor ing and the of tion".split(), "yy": "eau elle ment que aux".split(), "zz": "ung keit sch ver der".split()}
