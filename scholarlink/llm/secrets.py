@@ -1,6 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame operations only.
 
-A candidate is a run of 16 or more letters, digits and + / _ -. Its features are its length, how often its letters change
+A candidate is a run of 16 or more letters, digits and + / _ -, or a value of 8 or more of these and ! @ # $ % ^ & * ? ~ that
+directly follows a credential's name and an assignment, so that short passwords are looked at as well. Its features are its length, how often its letters change
 between lower case, upper case, digits and signs, how much of it dictionary words cover, whether it looks like part of a path,
 and what its neighbouring words are: a name that credentials go by, an equals sign, a quotation mark. The dictionary
 holds the words of four to eight letters that at least `common` documents have, with candidates or without.
@@ -24,21 +25,30 @@ from pyspark.sql import functions as F
 
 from .common import only, stash
 
-CANDIDATE = r"[A-Za-z0-9+/_\-]{16,}+"
+RUN = r"[A-Za-z0-9+/_\-]"
 #: Names that credentials go by.
 KEYS = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|credential|auth)"
+#: Where the value assigned to such a name begins; the short test of the first look-behind spares most places the second.
+VALUE = r"(?<=[=:]\s{0,3}[\"']?)(?<=" + KEYS.replace("(?i)(", "(?i:", 1) + r"\S{0,20}\s{0,3}[=:]\s{0,3}[\"']?)"
+CANDIDATE = rf"(?<!{RUN})(?:{VALUE}[A-Za-z0-9+/_\-!@#$%^&*?~]{{8,}}+|{RUN}{{16,}}+)"
 FEATURES = ["length", "digits", "upper", "changes", "distinct", "covered", "path", "key", "assigned", "quoted"]
 GRAMS = range(4, 9)
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """doc_id, row, nth (from 0), start (character, from 0), candidate, before (up to 60 characters), after (up to 20)."""
+    """doc_id, row, nth (from 0), start (character, from 0), candidate, before and after (up to 60 and 20 characters of the text beside it, other candidates included)."""
     rows = only(docs, "doc_id", "text").where(F.col("text").rlike(CANDIDATE))
     rows = rows.select("doc_id", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("c"), F.split("text", CANDIDATE, -1).alias("p"))
     both = F.arrays_zip(F.col("c"), F.slice("p", 1, F.size("c")).alias("pre"), F.slice("p", 2, F.size("c")).alias("post"))
-    each = rows.select("doc_id", "row", F.posexplode(both).alias("nth", "x")).select("doc_id", "row", "nth", F.col("x.c").alias("candidate"), F.col("x.pre").alias("pre"), F.col("x.post").alias("post"))
-    so_far = F.sum(F.length("pre") + F.length("candidate")).over(W.partitionBy("row").orderBy("nth"))
-    return each.select("doc_id", "row", "nth", (so_far - F.length("candidate")).alias("start"), "candidate", F.right("pre", F.lit(60)).alias("before"), F.left("post", F.lit(20)).alias("after"))
+    each = rows.select("doc_id", "row", F.posexplode(both).alias("nth", "x")).select("doc_id", "row", "nth", F.col("x.c").alias("candidate"), F.length("x.pre").alias("gap"), F.right("x.pre", F.lit(60)).alias("pre"), F.left("x.post", F.lit(20)).alias("post"))
+    place = W.partitionBy("row").orderBy("nth")
+    so_far = F.sum(F.col("gap") + F.length("candidate")).over(place)
+    # a candidate has 8 characters or more, so 8 of them fill 60 characters and 3 fill 20
+    left = F.collect_list(F.concat("pre", F.right("candidate", F.lit(60)))).over(place.rowsBetween(-8, -1))
+    right = F.collect_list(F.concat(F.left("candidate", F.lit(20)), "post")).over(place.rowsBetween(1, 3))
+    placed = each.select("*", so_far.alias("so_far"), left.alias("left"), right.alias("right"))
+    before, after = F.right(F.concat(F.array_join("left", ""), "pre"), F.lit(60)), F.left(F.concat("post", F.array_join("right", "")), F.lit(20))
+    return placed.select("doc_id", "row", "nth", (F.col("so_far") - F.length("candidate")).alias("start"), "candidate", before.alias("before"), after.alias("after"))
 
 
 def dictionary(docs: DataFrame, common: int = 20) -> DataFrame:

@@ -306,6 +306,27 @@ def test_dictionary_counts_documents_without_candidates(spark):
     assert {r.word for r in secrets.dictionary(df, common=19).collect()} == {"harbour", "straßen", "meadow"}
 
 
+def test_secrets_after_long_names_and_short_ones(spark):
+    rng = random.Random(10)
+    digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
+    names = ["aws_secret_access_key", "google_client_secret", "github_access_token"]
+    rows, values = [], {}
+    for k in range(240):
+        name, long_, short = names[k % 3], digits(40), digits(7) + str(k % 10) * (1 + k % 8)
+        mid, values[k] = [(f'{name} = "{long_}"', long_), (f"password={short}", short), (f'"api_key": "{short}"', short), (f"see {name} and /usr/share/{name}", None), (f"PWD = '{short}!x#'", short + "!x#"), (f"pages={short}", None)][k % 6]
+        rows.append((k, f"alpha beta internationalisation {mid} gamma considerations"))
+    text = dict(rows)
+    text[240] = "x" * 16 + " " + "\n".join(f"token={digits(8)}" for _ in range(40)) + " é " + "y" * 70 + "." + "z" * 20
+    df = spark.createDataFrame(list(text.items()), "doc_id long, text string")
+    found = secrets.candidates(df).collect()
+    assert all(text[r.doc_id][r.start : r.start + len(r.candidate)] == r.candidate for r in found)
+    assert all(r.before == text[r.doc_id][max(0, r.start - 60) : r.start] for r in found)
+    assert all(r.after == text[r.doc_id][r.start + len(r.candidate) :][:20] for r in found)
+    assert sum(r.doc_id == 240 for r in found) == 43
+    flagged = {(r.doc_id, r.candidate) for r in secrets.scan(df).collect() if r.is_secret and r.doc_id < 240}
+    assert flagged == {(k, v) for k, v in values.items() if v}
+
+
 def test_language(spark, corpus, empty):
     rng = random.Random(6)
     speech = {"xx": "thor ing and the of tion".split(), "yy": "eau elle ment que aux".split(), "zz": "ung keit sch ver der".split()}
