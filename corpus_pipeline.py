@@ -1,7 +1,7 @@
 """Raw documents to packed training sequences, in five stages that each decide on all that its predecessor kept.
 
 language        documents whose language can't be told (no letter, or no language with half of the words) go
-lines           lines of repeated runs go from later copies; documents that had nothing else go
+lines           lines of repeated runs, and repeated lines of 50 words or that are whole documents, go from later copies; documents that had nothing else go
 near_duplicates one document of each group of near duplicates stays, the one with the smallest doc_id
 benchmark       documents with a passage of the benchmark go
 pack            what is left becomes sequences of 2048 tokens
@@ -31,7 +31,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(docs, min_lines=2).where("n_removed = 0 or n_removed < n_lines")
+    out = drop_repeated_lines(docs, min_lines=2, long_words=50).where("n_removed = 0 or n_removed < n_lines")
     return out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)).select(*COLUMNS)
 
 

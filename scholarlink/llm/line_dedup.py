@@ -7,7 +7,8 @@ repeat again and leaves at once, so the work follows the repeated lines only. Ea
 the corpus (by doc_id, then line); all its other suffixes are later copies, and the lines they cover are deleted. A covered
 line points to the source that its longest interval gives; lines in a row that point along one source form a maximal run.
 
-A run counts from `min_lines` lines on (a power of two, so that an interval of that very depth exists).
+A run counts from `min_lines` lines on (a power of two, so that an interval of that very depth exists). With `long_words`, a
+single line counts as well if it has that many words or is all that its document has, blank ones aside.
 
 Nulls, empties, repeats: a null text has no lines and stays null; an empty text is one empty line. Blank lines are lines.
 Rows that repeat doc_id and text are one place in the corpus: none is a copy of the other. Of rows with one doc_id and
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import only, stash
+from .common import WORD, only, stash
 
 
 def _lines(text: Column) -> Column:
@@ -31,16 +32,20 @@ def _document(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_d", F.struct(F.col("doc_id"), F.xxhash64(F.col("text")).alias("fp")))
 
 
-def _repeats(named: DataFrame) -> DataFrame:
-    """(d, line, name) -> (d, line, first): only suffixes whose name occurs at several places, with the first of them."""
+def _repeats(named: DataFrame, *others: str) -> DataFrame:
+    """(d, line, name, others) -> (d, line, first, others): only suffixes whose name occurs at several places, with the first of them."""
     first = named.groupBy("name").agg(F.min(F.struct("d", "line")).alias("first"), F.max(F.struct("d", "line")).alias("last"))
-    return named.join(first.where("first != last").select("name", "first"), "name").select("d", "line", "first")
+    return named.join(first.where("first != last").select("name", "first"), "name").select("d", "line", "first", *others)
 
 
-def line_intervals(docs: DataFrame) -> list[tuple[int, DataFrame]]:
-    """(depth, (d, line, first)) for depths 1, 2, 4, ... as long as any interval has several suffixes."""
-    lines = _document(only(docs, "doc_id", "text")).select(F.col("_d").alias("d"), F.posexplode(_lines(F.col("text"))).alias("line", "content"))
-    level = stash(_repeats(lines.select("d", "line", F.unhex(F.md5(F.col("content").cast("binary"))).alias("name"))), "lines1")
+def line_intervals(docs: DataFrame, long_words: int | None = None) -> list[tuple[int, DataFrame]]:
+    """(depth, (d, line, first)) for depths 1, 2, 4, ... as long as any interval has several suffixes; at depth 1 also whether the line counts by itself."""
+    lines = _document(only(docs, "doc_id", "text")).select(F.col("_d").alias("d"), (~F.col("text").contains("\n")).alias("only"), F.posexplode(_lines(F.col("text"))).alias("line", "content"))
+    counts = F.lit(False)
+    if long_words is not None:
+        many = F.when(F.length("content") >= 2 * long_words - 1, F.regexp_count("content", F.lit(WORD)) >= long_words).otherwise(False)
+        counts = F.when(F.col("only"), F.col("content").rlike(WORD)).otherwise(many)
+    level = stash(_repeats(lines.select("d", "line", F.unhex(F.md5(F.col("content").cast("binary"))).alias("name"), counts.alias("counts")), "counts"), "lines1")
     out, depth = [], 1
     while not level.isEmpty():
         out.append((depth, level))
@@ -52,14 +57,15 @@ def line_intervals(docs: DataFrame) -> list[tuple[int, DataFrame]]:
     return out
 
 
-def repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def repeated_runs(docs: DataFrame, min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """d (struct doc_id, fp), start, n_lines, source (struct d, line): the maximal runs of lines that are later copies."""
     if min_lines < 1 or min_lines & (min_lines - 1):
         raise ValueError("min_lines has to be a power of two")
     covered = None
-    for depth, level in line_intervals(docs):
-        if depth >= min_lines:
-            later = level.where(F.struct("d", "line") > F.col("first"))
+    for depth, level in line_intervals(docs, long_words):
+        alone = depth == 1 < min_lines and long_words is not None
+        if depth >= min_lines or alone:
+            later = (level.where("counts") if alone else level).where(F.struct("d", "line") > F.col("first"))
             rows = later.select("d", F.posexplode(F.sequence("line", F.col("line") + depth - 1)).alias("off", "line"), F.lit(depth).alias("depth"), "first")
             covered = rows if covered is None else covered.unionByName(rows)
     if covered is None:
@@ -73,14 +79,14 @@ def repeated_runs(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     return runs.groupBy("d", "run").agg(F.min("line").alias("start"), F.count(F.lit(1)).cast("int").alias("n_lines"), F.min(F.struct(F.col("source").alias("d"), F.col("at").alias("line"))).alias("source")).drop("run")
 
 
-def drop_repeated_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, min_lines: int = 2, long_words: int | None = None) -> DataFrame:
     """docs with text without the lines of repeated runs, and n_lines, n_removed, runs (struct start, n_lines, source_doc_id, source_line).
 
     A text all of whose lines go becomes empty. Columns of docs with these three names are replaced; all others stay.
     """
     docs = docs.drop("n_lines", "n_removed", "runs", "_d", "_lines", "_gone")
     run = F.struct("start", "n_lines", F.col("source.d.doc_id").alias("source_doc_id"), F.col("source.line").alias("source_line"))
-    runs = repeated_runs(docs, min_lines).groupBy("d").agg(F.array_sort(F.collect_list(run)).alias("runs"))  # as many as the document has lines, at most
+    runs = repeated_runs(docs, min_lines, long_words).groupBy("d").agg(F.array_sort(F.collect_list(run)).alias("runs"))  # as many as the document has lines, at most
     joined = _document(docs).join(runs.withColumnRenamed("d", "_d"), "_d", "left")
     gone = F.flatten(F.transform("runs", lambda r: F.sequence(r["start"], r["start"] + r["n_lines"] - 1)))
     lines = F.col("_lines")

@@ -31,7 +31,7 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(_read(spark, sf_dir, "documents"), min_lines=2)
+    out = drop_repeated_lines(_read(spark, sf_dir, "documents"), min_lines=2, long_words=50)
     return out.select("doc_id", "n_lines", "n_removed", sha256_hex(F.col("text")).alias("kept_sha256"))
 
 

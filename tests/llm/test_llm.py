@@ -70,6 +70,19 @@ def test_line_dedup(corpus, empty):
     assert runs and all(r.n_lines >= 1 for r in runs)
 
 
+def test_long_single_lines_and_whole_documents_go(spark, empty):
+    import corpus_pipeline
+
+    long_, short = " ".join(f"w{k}" for k in range(50)), " ".join(f"w{k}" for k in range(49))
+    rows = [(1, f"a\n{long_}\nb\n{short}"), (2, f"c\n{long_}\nd"), (3, f"{short}\ne"), (4, long_), (5, "only this"), (6, "only this"), (7, "f\nonly this\ng"), (8, ""), (9, ""), (10, f"h\n{long_}\n{short}\nh"), (11, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'x' as source", "length(text) as n_chars")
+    want = dict(rows) | {2: "c\nd", 10: f"h\n{short}\nh", 4: "", 6: ""}
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, long_words=50).collect()} == want
+    assert {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs).collect()} == dict(rows)
+    assert {r.doc_id: r.text for r in corpus_pipeline.lines(spark, docs, "").collect()} == {k: v for k, v in want.items() if k not in (4, 6)}
+    assert line_dedup.drop_repeated_lines(empty, long_words=50).count() == 0
+
+
 def test_sharding(corpus, empty):
     docs, rows = corpus
     out = sharding.shard_documents(docs, 4).collect()
