@@ -2,12 +2,12 @@
 
 language        documents whose language can't be told (no letter, or no language with half of the words) go
 lines           lines of repeated runs, and repeated lines of 50 words or that are whole documents, go from later copies; documents that had nothing else go
-near_duplicates one document of each group of near duplicates stays, the one with the smallest doc_id
+near_duplicates one row of each group of near duplicates stays, the one with the smallest doc_id
 benchmark       documents with a passage of the benchmark go
 pack            what is left becomes sequences of 2048 tokens
 
-Stages but the last return the columns of documents. Rows without doc_id pass the near-duplicate stage, as nothing can name
-them; rows that repeat a doc_id are one document and pass or go together.
+Stages but the last return the columns of documents. The near-duplicate stage decides by row: of rows with one doc_id the one
+with the smallest hash of the text stays, then the first; rows without doc_id come after all others.
 """
 
 from __future__ import annotations
@@ -36,8 +36,10 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = near_duplicates(docs, n=5, percent=75)
-    return docs.join(found.where("doc_id != component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+    rows = stash(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "rows")
+    key = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.xxhash64("text").alias("fp"), "row")
+    found = near_duplicates(rows.select(key.alias("key"), "text"), n=5, percent=75, key="key")
+    return rows.join(found.where("key != component_id").select("key.row"), "row", "left_anti").select(*COLUMNS)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

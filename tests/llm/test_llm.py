@@ -292,6 +292,19 @@ def test_near_duplicates(corpus, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_the_pipeline_go_by_row(spark):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    a, b, c, d = (" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=80)) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " zzz"
+    rows = [(1, a), (1, a), (None, a), (None, b), (None, b), (2, c), (2, near), (7, d), (7, d), (5, d), (3, ""), (3, ""), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'x' as source", "length(text) as n_chars").repartition(3)
+    out = corpus_pipeline.near_duplicate(spark, docs, "")
+    assert out.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in out.collect()) == Counter([(1, a), (None, b), (2, c), (5, d), (3, ""), (3, ""), (4, None)])
+
+
 def test_secrets(spark, corpus, empty):
     rng = random.Random(9)
     digits = lambda n: "".join(rng.choices("0123456789abcdef", k=n))
