@@ -49,13 +49,19 @@ class Encoder:
 
     Byte-level pre-tokenizers take a single blank before a word together with it and cut there, so a text may be cut before
     each such blank and its words encoded one by one. Where blanks adjoin other white space the whole text is encoded.
+
+    encode() takes all of a text for letters. ids() also knows the file's added tokens, as the library does at its default
+    settings: texts that hold one are left to the library itself.
     """
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        vocabulary = file["model"]["vocab"]
+        self.path, self.library = path, None
+        self.added = [t["content"] for t in file["added_tokens"]]
         byte_of = {c: b for b, c in enumerate(byte_letters())}
         ranks = {bytes(map(byte_of.__getitem__, piece)): k for piece, k in vocabulary.items() if all(c in byte_of for c in piece) and piece not in SPECIAL}
         self.encode_one = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -82,6 +88,19 @@ class Encoder:
             out.append(b"".join(parts))
         return out
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        held = [any(a in t for a in self.added) for t in texts]
+        out = self.encode(["" if h else t for t, h in zip(texts, held, strict=True)])
+        if any(held):
+            if self.library is None:
+                from tokenizers import Tokenizer
+
+                self.library = Tokenizer.from_file(self.path)
+            for k, h in enumerate(held):
+                if h:
+                    out[k] = array("I", self.library.encode(texts[k], add_special_tokens=False).ids).tobytes()
+        return out
+
 
 def cut(ids: bytes, capacity: int = CAPACITY):
     """(piece, start, length, crc32) of one document's ids; all pieces but the first are full."""
@@ -105,7 +124,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, key: str
                 part = batch.slice(at, 500)
                 texts = [t or "" for t in part.column(1).to_pylist()]
                 owner, rows = [], []
-                for k, ids in enumerate(encoder.encode(texts)):
+                for k, ids in enumerate(encoder.ids(texts)):
                     for row in cut(ids + end, capacity):
                         owner.append(k)
                         rows.append(row)

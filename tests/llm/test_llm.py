@@ -199,6 +199,17 @@ def test_encoder_gives_the_tokenizers_ids():
     assert packing.Encoder(TOKENIZER).encode(many) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(many, add_special_tokens=False)]
 
 
+def test_packing_knows_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(TOKENIZER)
+    held = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "a <|endoftext| > b", "plain text"]
+    assert t.encode(held[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
+    want = [(k, np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for k, x in enumerate(held)]
+    out = packing.pack(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), TOKENIZER).collect()
+    assert Counter((r.doc_id, r.length, r.ids_crc32) for r in out) == Counter((k, len(b) // 4, zlib.crc32(b)) for k, b in want)
+
+
 def test_packing(corpus, empty):
     docs, rows = corpus
     out = packing.pack(docs, TOKENIZER, capacity=64).collect()
