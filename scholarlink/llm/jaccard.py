@@ -34,8 +34,9 @@ from pyspark.sql.types import ArrayType, ShortType, StructType
 from .common import fields, gram_hashes, mix, only, stash
 
 BUCKETS, CELLS = 16, 128
-#: Bits of the filter that picks the documents whose sets are fetched; its size is fixed, and a false hit only costs time.
-FILTER = 1 << 23
+#: Bits of the filter that picks the documents whose sets are fetched, and of each of its parts (what bitmap_construct_agg makes);
+#: its size is fixed, and a false hit only costs time.
+FILTER, PART = 1 << 23, 1 << 15
 #: Groups of n-grams that may be larger than this are joined rather than windowed.
 HOT = 50_000
 #: Centres of a group in one round, each the best linked of its share of the members.
@@ -142,16 +143,23 @@ def _filtered(met: DataFrame, percent: int) -> DataFrame:
     return met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def _filter(wanted: DataFrame) -> np.ndarray:
+    """The filter's bytes for wanted (c). Tasks build and merge its parts; FILTER / PART rows of PART bits at most reach the driver."""
+    k = F.pmod("c", F.lit(FILTER))
+    parts = wanted.groupBy(F.floor(k / PART).alias("part")).agg(F.bitmap_construct_agg(F.pmod(k, F.lit(PART))).alias("bits"))
+    out = np.zeros((FILTER // PART, PART // 8), np.uint8)
+    for r in parts.collect():
+        out[r.part] = np.frombuffer(r.bits, np.uint8)
+    return out.ravel()
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     """(c, grams) of the classes in wanted (c)."""
-    spark = docs.sparkSession
-    bits = np.zeros(FILTER, bool)
-    bits[wanted.select(F.pmod("c", F.lit(FILTER)).alias("k")).distinct().toPandas()["k"].to_numpy(np.int64)] = True  # FILTER rows at most
-    picked = spark.sparkContext.broadcast(np.packbits(bits))
+    picked = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
     schema = StructType(fields(c="long", grams="longs"))
 
     def run(batches):
-        bits = np.unpackbits(picked.value).astype(bool)
+        bits = np.unpackbits(picked.value, bitorder="little").astype(bool)
         for b in batches:
             out, done = [], set()
             for text in b.column(0):

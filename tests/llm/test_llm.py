@@ -303,6 +303,31 @@ def test_near_duplicates(corpus, empty):
     assert jaccard.near_duplicates(empty).count() == 0
 
 
+def test_candidate_classes_stay_off_the_driver(spark, monkeypatch):
+    words = [f"a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(700)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(words)], "doc_id long, text string")
+    want = {int(jaccard._signed([jaccard.signature(jaccard.grams(t, 5))])[0]): jaccard._signed(jaccard.grams(t, 5)).tolist() for t in words[:600]}
+    wanted = spark.createDataFrame([(c,) for c in want], "c long")
+    fetched, kind = [], type(docs)
+
+    def counted(name):
+        real = getattr(kind, name)
+
+        def run(self, *args):
+            rows = real(self, *args)
+            fetched.append(len(rows))
+            return rows
+
+        monkeypatch.setattr(kind, name, run)
+
+    counted("toPandas")
+    counted("collect")
+    sets = jaccard._sets(docs, wanted, 5)
+    assert fetched and max(fetched) <= 256
+    monkeypatch.undo()
+    assert {r.c: r.grams for r in sets.collect()} == want
+
+
 def test_near_duplicates_of_the_pipeline_go_by_row(spark):
     import corpus_pipeline
 
