@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField
@@ -59,6 +60,21 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
+class WordHashes:
+    """64-bit hashes of words, those of up to `most` words kept for the next text."""
+
+    def __init__(self, most: int = 300_000):
+        self.known, self.most = {}, most
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        new = set(words).difference(self.known)
+        if new:
+            if len(self.known) > self.most:
+                self.known, new = {}, set(words)
+            self.known |= {w: xxhash.xxh3_64_intdigest(w) for w in new}
+        return np.fromiter(map(self.known.__getitem__, words), np.uint64, len(words))
+
+
 def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     """Hashes of the k-grams of a sequence of 64-bit word hashes; empty if there are fewer words."""
     n = len(words) - k + 1

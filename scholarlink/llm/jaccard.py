@@ -1,20 +1,21 @@
 """Near duplicates: a self-join of n-gram sets by Jaccard similarity with prefix filtering, and the components it links.
 
-N-grams are ordered rare first, by counts over all documents kept in 2**BUCKETS buckets. Two sets of similarity t or more
-share an n-gram among the first n - ceil(t n) + 1 of either, so only those prefixes meet. Equal sets are one class from the
-start. Where classes meet at an n-gram, these filters go before any set is looked at:
+N-grams are ordered rare first: those that counting finds frequent go last, by their counts, the others by hash. Two sets of
+similarity t or more share an n-gram among the first n - ceil(t n) + 1 of either, so only those prefixes meet. Equal sets are
+one class from the start, by a 128-bit hash. Of a class's n-grams where just the same classes meet, the first stands for all.
+Where classes meet at an n-gram, these filters go inside the join, before a pair is made:
   length      the smaller set has at least t times the larger one's size;
   positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed;
-  prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come;
-  suffix      the sets' counts in 128 cells of the hash range are near enough (half their distance bounds the difference).
+  suffix      the sets' parities in 512 cells of the hash range differ in no more cells than the sets may differ in n-grams;
+and in the last round, where all common n-grams of a pair are seen,
+  prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come.
 What is left is verified once per pair, on the whole sets.
 
-Only components are wanted, so pairs within one component need no look. Rounds first compare every class with a few centres
-of its n-gram's group: the ends of the hash order, then, as long as the pairs between components would outnumber the rows
-CROWDED times, the members with most links so far. A last round takes all pairs that are still in different components,
-none excepted, so that no link between different texts is lost.
-
-An n-gram that the counts take for very frequent has its group joined, with skew split, and not windowed in one task.
+Only components are wanted, so pairs within one component need no look. Rounds first compare every class with centres of
+its n-gram's group: the class with the smallest share of n-grams of its own and one picked by hash, then, as long as the
+pairs between components would outnumber the rows CROWDED times, the members with most links so far. A last round takes all
+pairs that are still in different components, none excepted, so that no link between different texts is lost; groups of more
+than BLOCK classes are compared block by block.
 
 Nulls, empties, repeats: a text that is null or without words has an empty set and links with nothing; with fewer words than
 n, the whole sequence is its one n-gram. Repeated rows are copies like others. A null doc_id is passed over by the smallest
@@ -23,61 +24,54 @@ doc_id of a component unless it has no other. An empty table gives no rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, ShortType, StructType
+from pyspark.sql.types import StructType
 
-from .common import fields, gram_hashes, mix, only, stash
+from .common import WordHashes, fields, gram_hashes, only, stash
 
-BUCKETS, CELLS = 16, 128
+#: Frequent n-grams: so many of them at most are broadcast, the most frequent ones, each found in LEAST documents or more.
+#: A task counts CHUNK n-grams at a time and passes on those that it saw twice; the order decides cost only, never results.
+FREQUENT, LEAST, CHUNK = 1 << 18, 16, 4_000_000
+#: Longs of a sketch: 64 parities each.
+SKETCH = [f"s{k}" for k in range(8)]
 #: Bits of the filter that picks the documents whose sets are fetched, and of each of its parts (what bitmap_construct_agg makes);
 #: its size is fixed, and a false hit only costs time.
 FILTER, PART = 1 << 23, 1 << 15
 #: Groups of n-grams that may be larger than this are joined rather than windowed.
 HOT = 50_000
-#: Centres of a group in one round, each the best linked of its share of the members.
-CENTRES = 8
-#: Pairs for each row above which another round of centres comes before the round of all pairs; two such rounds at most.
-CROWDED = 30
+#: Centres of a group in a later round, each the best linked of its share of the members.
+CENTRES = 4
+#: Pairs for each row above which a round of centres comes before the round of all pairs; one such round at most.
+CROWDED = 300
+#: Classes of a group that meet in one block of the last round.
+BLOCK = 2_000
 
 
-def grams(text: str | None, n: int) -> np.ndarray:
+def grams(text: str | None, n: int, hashes: WordHashes | None = None) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of the words of a text, A-Z in lower case."""
     words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    h = (hashes or WordHashes()).of(words)
     return np.unique(gram_hashes(h, min(n, len(h))))
 
 
-def bucket(h: np.ndarray) -> np.ndarray:
-    return (mix(h) >> np.uint64(64 - BUCKETS)).astype(np.int64)
-
-
-def frequencies(docs: DataFrame, n: int) -> np.ndarray:
-    """How many (document, n-gram) there are in each of 2**BUCKETS buckets; every document counts."""
-
-    def count(batches):
-        total = np.zeros(1 << BUCKETS, np.int64)
-        for b in batches:
-            for text in b.column(0):
-                total += np.bincount(bucket(grams(text.as_py(), n)), minlength=1 << BUCKETS)
-        k = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["k", "n"])
-
-    found = only(docs, "text").mapInArrow(count, StructType(fields(k="long", n="long"))).groupBy("k").agg(F.sum("n").alias("n"))
-    out = np.zeros(1 << BUCKETS, np.int64)
-    table = found.toPandas()  # 2**BUCKETS rows at most
-    out[table["k"].to_numpy(np.int64)] = table["n"].to_numpy(np.int64)
-    return out
+def signature(sets: np.ndarray) -> tuple[int, int]:
+    """The class of a set: 128 bits, as two signed longs; zeros for the empty set."""
+    return tuple(np.frombuffer(xxhash.xxh3_128_digest(sets.tobytes(), seed=len(sets)), "<i8").tolist()) if len(sets) else (0, 0)
 
 
-def signature(sets: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(sets.tobytes(), seed=len(sets)) if len(sets) else 0
+def sketch(sets: np.ndarray) -> np.ndarray:
+    """512 parities: of how many n-grams fall in each cell of the hash range."""
+    odd = np.bincount((sets & np.uint64(511)).astype(np.int64), minlength=512) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
 def _signed(x) -> np.ndarray:
@@ -89,63 +83,139 @@ def needed(t: Column | float, a: Column, b: Column) -> Column:
     return F.ceil(F.lit(t) * (a + b) / (100.0 + t) - 1e-9)
 
 
-def _prefixes(docs: DataFrame, n: int, percent: int, counts, key: str) -> DataFrame:
-    """(key, n, c, cells, hot, prefix): size, class and counts by cell of each document's set; its first n-grams, those below `hot` not taken for frequent."""
-    schema = StructType([docs.schema[key], *fields(n="int", c="long", cells=ArrayType(ShortType()), hot="int", prefix="longs")])
+def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent n-grams of all documents, sorted, and about how many documents have each."""
+
+    def count(batches):
+        hashes, held, size = WordHashes(), [], 0
+
+        def flush():
+            g, k = np.unique(np.concatenate(held), return_counts=True)
+            again = k > 1
+            return pa.RecordBatch.from_arrays([pa.array(_signed(g[again])), pa.array(k[again].astype(np.int64))], names=["g", "k"])
 
-    def run(batches):
-        order = counts.value
-        limit = HOT + order.mean() + 10 * np.sqrt(order.mean())
         for b in batches:
-            ns, cs, cells, hot, prefix = [], [], [], [], []
-            for text in b.column(1):
-                g = grams(text.as_py(), n)
-                ns.append(len(g))
-                cs.append(signature(g))
-                cells.append(np.minimum(np.bincount((g >> np.uint64(57)).astype(np.int64), minlength=CELLS), 32_767).astype(np.int16))
-                m = len(g) - -(-percent * len(g) // 100) + 1 if len(g) else 0
-                f = order[bucket(g)]
-                if m and m < len(g):
-                    near = f <= np.partition(f, m - 1)[m - 1]
-                    g, f = g[near], f[near]
-                first = np.lexsort((g, f))[:m]
-                prefix.append(_signed(g[first]))
-                hot.append(int((f[first] <= limit).sum()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ns, pa.int32()), pa.array(_signed(cs), pa.int64()), pa.array(cells, pa.list_(pa.int16())), pa.array(hot, pa.int32()), pa.array(prefix, pa.list_(pa.int64()))], names=schema.names)
+            for text in b.column(0):
+                held.append(grams(text.as_py(), n, hashes))
+                size += len(held[-1])
+                if size >= CHUNK:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    seen = only(docs, "text").mapInArrow(count, StructType(fields(g="long", k="long"))).groupBy("g").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST)
+    seen = stash(seen.withColumn("rank", F.floor(F.log2("k") * 16).cast("int")), "frequent")
+    total, lowest = 0, 0
+    for r in sorted(seen.groupBy("rank").count().collect(), key=lambda r: -r["rank"]):  # 16 ranks an octave
+        total += r["count"]
+        if total > FREQUENT:
+            lowest = r["rank"] + 1
+            break
+    table = seen.where(F.col("rank") >= lowest).select("g", "k").toPandas()  # FREQUENT rows at most
+    g, k = table["g"].to_numpy(np.int64).view(np.uint64), table["k"].to_numpy(np.int64)
+    order = np.argsort(g)
+    return g[order], k[order]
 
-    return only(docs, key, "text").mapInArrow(run, schema)
 
+def counted(g: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Counts of n-grams: those of the frequent ones, 0 for the rest."""
+    if not len(known):
+        return np.zeros(len(g), np.int64)
+    at = np.minimum(np.searchsorted(known, g), len(known) - 1)
+    return np.where(known[at] == g, counts[at], 0)
 
-def prefix_length(n: Column, percent: int) -> Column:
-    return n - F.ceil(n * percent / 100.0 - 1e-9) + 1
 
+def prefix_length(n, percent: int):
+    return n - -(-percent * n // 100) + 1
 
-def _meetings(documents: DataFrame) -> DataFrame:
-    """(token, c, n, pos, low, high): the n-grams of prefixes where different classes meet, with the ends of their groups (struct c, n, pos)."""
-    rows = documents.where("n > 0").select("c", "n", "hot", F.posexplode("prefix").alias("pos", "token"))
-    member = F.struct("c", "n", "pos")
-    packed = rows.where("pos < hot").select("token", "c", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))  # two numbers in one, for a narrower shuffle
-    group = W.partitionBy("token")
-    few = packed.withColumn("low", F.min(F.struct("c", "at")).over(group)).withColumn("high", F.max(F.struct("c", "at")).over(group)).where("low.c < high.c")
-    number, place = lambda at: F.shiftright(at, 32).cast("int"), lambda at: at.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    end = lambda x: F.struct(F.col(f"{x}.c").alias("c"), number(F.col(f"{x}.at")).alias("n"), place(F.col(f"{x}.at")).alias("pos")).alias(x)
-    few = few.select("token", "c", number(F.col("at")).alias("n"), place(F.col("at")).alias("pos"), end("low"), end("high"))
-    many = rows.where("pos >= hot").select("token", "c", "n", "pos")
-    ends = many.groupBy("token").agg(F.min(member).alias("low"), F.max(member).alias("high")).where("low.c < high.c")
-    return few.unionByName(many.join(ends, "token").select(*few.columns)).distinct()
 
+def _prefixes(docs: DataFrame, n: int, percent: int, often, key: str) -> DataFrame:
+    """(key, t, n, c1, c2, sketch, cold, prefix): hash of the text; size, class and sketch of its set; its first n-grams, those below `cold` not taken for hot."""
+    schema = StructType([docs.schema[key], *fields(t="long", n="int", c1="long", c2="long", **dict.fromkeys(SKETCH, "long"), cold="int", prefix="longs")])
 
-def _filtered(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a < b) once, from meetings (a, n_a, pos_a, b, n_b, pos_b), that pass the length and positional filters."""
-    na, nb, i, j = (F.col(x) for x in ("n_a", "n_b", "pos_a", "pos_b"))
+    def run(batches):
+        (known, counts), hashes = often.value, WordHashes()
+        for b in batches:
+            ns, classes, sketches, cold, prefix = [], [], [], [], []
+            for text in b.column(2):
+                g = grams(text.as_py(), n, hashes)
+                ns.append(len(g))
+                classes.append(signature(g))
+                sketches.append(sketch(g))
+                f = counted(g, known, counts)
+                first = np.argsort(f, kind="stable")[: prefix_length(len(g), percent) if len(g) else 0]  # equal counts stay by hash
+                prefix.append(_signed(g[first]))
+                cold.append(int((f[first] <= HOT).sum()))
+            sketches = np.stack(sketches) if sketches else np.zeros((0, len(SKETCH)), np.int64)
+            c = np.array(classes, np.int64).reshape(-1, 2)
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int32()), pa.array(c[:, 0]), pa.array(c[:, 1]), *(pa.array(sketches[:, k]) for k in range(len(SKETCH))), pa.array(cold, pa.int32()), lists], names=schema.names)
+
+    return docs.select(key, F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema)
+
+
+def _meetings(classes: DataFrame, percent: int) -> DataFrame:
+    """(token, c, n, pos, own, weight, sketch): the n-grams of prefixes where different classes meet, one for all of a class where the same classes do.
+
+    own is the share of a class's prefix, in thousandths of its n-grams, that meets no other; weight says for how many n-grams the row stands.
+    """
+    rows = classes.select("c", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
+    packed = rows.where("pos < cold").select("token", "c", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))  # two numbers in one, for a narrower shuffle
+    members = lambda of: [F.count(F.lit(1)).alias("k") if of is None else F.count(F.lit(1)).over(of).alias("k")] + [(F.bit_xor(F.xxhash64("c", F.lit(seed))) if of is None else F.bit_xor(F.xxhash64("c", F.lit(seed))).over(of)).alias(f"x{seed}") for seed in (1, 2)]
+    few = packed.select("*", *members(W.partitionBy("token"))).where("k > 1")
+    few = few.select("token", "c", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "k", "x1", "x2")
+    many = rows.where("pos >= cold").select("token", "c", "n", "pos")
+    met = few.unionByName(many.join(many.groupBy("token").agg(*members(None)).where("k > 1"), "token"))
+    same, own = W.partitionBy("c", "k", "x1", "x2"), W.partitionBy("c")
+    length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
+    first = met.select("*", F.count(F.lit(1)).over(own).alias("met"), F.count(F.lit(1)).over(same).cast("int").alias("weight"), F.row_number().over(same.orderBy("pos", "token")).alias("r")).where("r = 1")
+    first = first.select("token", "c", "n", "pos", (1000 * (length - F.col("met")) / F.col("n")).cast("int").alias("own"), "weight")
+    return first.join(classes.select("c", *SKETCH), "c")
+
+
+def _fits(a, b, percent: int) -> Column:
+    """The length, positional and suffix filters for two members of a group; a and b give their columns by name."""
+    na, nb, i, j = a("n"), b("n"), a("pos"), b("pos")
+    need = needed(percent, na, nb)
     reach = F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1)
-    fits = (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (reach >= needed(percent, na, nb))
-    return met.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    apart = reduce(Column.__add__, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH])
+    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (reach >= need) & (na + nb - apart >= 2 * need)
+
+
+def _pair(a: Column, b: Column, n_a: Column, n_b: Column) -> list[Column]:
+    """a < b and their sizes."""
+    x, y = F.struct(a.alias("c"), n_a.alias("n")), F.struct(b.alias("c"), n_b.alias("n"))
+    lo, hi = F.least(x, y), F.greatest(x, y)
+    return [lo["c"].alias("a"), hi["c"].alias("b"), lo["n"].alias("n_a"), hi["n"].alias("n_b")]
+
+
+def _starred(rows: DataFrame, centres: DataFrame, percent: int, more: Column | None = None) -> DataFrame:
+    """(a, b, n_a, n_b) once: members of groups with the centres (token, m) of their groups, as far as the filters let them."""
+    both = rows.join(centres, "token")
+    fits = (F.col("c") != F.col("m.c")) & _fits(F.col, lambda k: F.col(f"m.{k}"), percent)
+    return both.where(fits if more is None else more & fits).select(*_pair(F.col("c"), F.col("m.c"), F.col("n"), F.col("m.n"))).distinct()
+
+
+def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k)."""
+    blocks = F.ceil(F.col("k") / BLOCK).cast("int")
+    rows = rest.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("c", F.lit(9)), F.col("blocks")).cast("int"))
+    columns = ["c", "n", "pos", "label", "weight", *SKETCH]
+    side = lambda x, others: rows.select("token", F.explode(others).alias(f"block_{'b' if x == 'a' else 'a'}"), F.col("block").alias(f"block_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in columns])
+    a, b = side("a", F.sequence("block", F.col("blocks") - 1)), side("b", F.sequence(F.lit(0), "block"))
+    of = lambda x: lambda k: F.col(f"{k}_{x}")
+    fits = (F.col("label_a") != F.col("label_b")) & ((F.col("block_a") < F.col("block_b")) | (F.col("c_a") < F.col("c_b"))) & _fits(of("a"), of("b"), percent)
+    met = a.join(b, ["token", "block_a", "block_b"]).where(fits)
+    pairs = met.select(*_pair(F.col("c_a"), F.col("c_b"), F.col("n_a"), F.col("n_b")), F.col("weight_a").alias("weight")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("common"))
+    na, nb = F.col("n_a"), F.col("n_b")
+    after = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1  # noqa: E731  n-grams behind a prefix
+    return pairs.where(F.col("common") + F.greatest(after(na), after(nb)) >= needed(percent, na, nb)).drop("common")
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
-    """The filter's bytes for wanted (c). Tasks build and merge its parts; FILTER / PART rows of PART bits at most reach the driver."""
-    k = F.pmod("c", F.lit(FILTER))
+    """The filter's bytes for wanted (t). Tasks build and merge its parts; FILTER / PART rows of PART bits at most reach the driver."""
+    k = F.pmod("t", F.lit(FILTER))
     parts = wanted.groupBy(F.floor(k / PART).alias("part")).agg(F.bitmap_construct_agg(F.pmod(k, F.lit(PART))).alias("bits"))
     out = np.zeros((FILTER // PART, PART // 8), np.uint8)
     for r in parts.collect():
@@ -154,40 +224,38 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, grams) of the classes in wanted (c)."""
+    """(c, grams) of the classes in wanted (c, t, c1, c2); only texts whose hash the filter has are cut into n-grams."""
     picked = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
-    schema = StructType(fields(c="long", grams="longs"))
+    schema = StructType(fields(c1="long", c2="long", grams="longs"))
 
     def run(batches):
-        bits = np.unpackbits(picked.value, bitorder="little").astype(bool)
+        bits, hashes, done = picked.value, WordHashes(), set()
         for b in batches:
-            out, done = [], set()
-            for text in b.column(0):
-                g = grams(text.as_py(), n)
-                c = int(_signed([signature(g)])[0])
-                if len(g) and bits[c % FILTER] and c not in done:
+            t = b.column(0).to_numpy() % FILTER
+            out = []
+            for k in np.flatnonzero(bits[t >> 3] >> (t & 7) & 1).tolist():
+                g = grams(b.column(1)[k].as_py(), n, hashes)
+                c = signature(g)
+                if len(g) and c not in done:
+                    if len(done) > 1_000_000:
+                        done.clear()
                     done.add(c)
-                    out.append((c, _signed(g)))
-            columns = zip(*out, strict=True) if out else ([],) * 2
-            kinds = pa.int64(), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=schema.names)
+                    out.append((*c, _signed(g)))
+            columns = zip(*out, strict=True) if out else ([],) * 3
+            kinds = pa.int64(), pa.int64(), pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=schema.names)
 
-    return only(docs, "text").mapInArrow(run, schema).join(wanted, "c", "left_semi").dropDuplicates(["c"])
+    found = docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema)
+    return found.join(wanted.select("c", "c1", "c2"), ["c1", "c2"]).dropDuplicates(["c"]).select("c", "grams")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, name: str) -> DataFrame | None:
-    """The pairs that reach the similarity, as (a, b); None if no pair is left to verify. classes: (c, n, tokens, cells)."""
-    side = lambda x: classes.select(F.col("c").alias(x), *[F.col(k).alias(f"{k}_{x}") for k in ("n", "tokens", "cells")])
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    na, nb = F.col("n_a"), F.col("n_b")
-    need = needed(percent, na, nb)
-    to_come = F.greatest(na - prefix_length(na, percent), nb - prefix_length(nb, percent))
-    apart = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda x, y: x + y)
-    fits = F.when(F.size(F.array_intersect("tokens_a", "tokens_b")) + to_come >= need, (na + nb - apart) / 2 >= need).otherwise(False)
-    pairs = stash(both.where(fits).select("a", "b", need.cast("long").alias("need")).distinct(), f"{name}-pairs")
+    """The pairs that reach the similarity, as (a, b); None if there is no pair to verify."""
+    pairs = stash(pairs.select("a", "b", needed(percent, F.col("n_a"), F.col("n_b")).cast("long").alias("need")), f"{name}-pairs")
     if pairs.isEmpty():
         return None
-    sets = _sets(docs, pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), n)  # both joins read one exchange of it
+    wanted = stash(classes.select("c", "t", "c1", "c2").join(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c", "left_semi"), f"{name}-wanted")
+    sets = _sets(docs, wanted, n)  # both joins read one exchange of it
     side = lambda x: sets.select(F.col("c").alias(x), F.col("grams").alias(f"grams_{x}"))
     found = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("need"))
     return stash(found.select("a", "b"), f"{name}-links")
@@ -212,40 +280,41 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
     """(key, text) -> key, n_shingles, component_id (the smallest key that links reach, the row's own included)."""
     spark = docs.sparkSession
     docs = only(docs, key, "text")
-    counts = spark.sparkContext.broadcast(frequencies(docs, n))
-    documents = stash(_prefixes(docs, n, percent, counts, key), "prefixes")
-    met = stash(_meetings(documents), "met")
-
-    listed = met.groupBy("c").agg(F.collect_set("token").alias("tokens"))  # fewer than its prefix has
-    shapes = documents.where("n > 0").select("c", "n", "cells").join(met.select("c").distinct(), "c", "left_semi").dropDuplicates(["c"])
-    classes = stash(shapes.join(listed, "c"), "classes")
-
-    member = lambda x, of: [F.col(f"{of}{k}").alias(f"{k}_{x}") for k in ("n", "pos")]
-    against = lambda rows, centre: rows.where(F.col(f"{centre}.c") != F.col("c")).select(F.col("c").alias("a"), *member("a", ""), F.col(f"{centre}.c").alias("b"), *member("b", f"{centre}."))
+    often = spark.sparkContext.broadcast(frequent(docs, n))
+    documents = stash(_prefixes(docs, n, percent, often, key), "prefixes")
+    classes = documents.where("n > 0").drop(key).dropDuplicates(["c1", "c2"]).withColumn("c", F.monotonically_increasing_id())
+    classes = stash(classes, "classes")  # so the numbers stay
+    met = stash(_meetings(classes, percent), "met")
+
+    member = F.struct("c", "n", "pos", *SKETCH)
+    ends = met.groupBy("token").agg(F.min(F.struct("own", "c", "n", "pos", *SKETCH)).alias("x"), F.min(F.struct(F.xxhash64("c", F.lit(3)).alias("own"), "c", "n", "pos", *SKETCH)).alias("y"))
     links = spark.createDataFrame([], "a long, b long")
-    found = _verified(docs, _filtered(against(met, "low").unionByName(against(met, "high")), percent), classes, n, percent, "ends")
+    found = _verified(docs, _starred(met, ends.select("token", F.explode(F.array_distinct(F.array("x", "y"))).alias("m")), percent), classes, n, percent, "ends")
     links = links if found is None else found
-    for turn in ("first", "second", "all"):
+    for turn in ("centres", "all"):
         label = stash(components(links), "components").withColumnRenamed("node", "c")
         degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count(F.lit(1)).alias("degree"))
-        now = met.select("token", "c", "n", "pos").join(label.join(degree, "c"), "c", "left").withColumn("label", F.coalesce("label", "c")).fillna(0, ["degree"])
-        share = F.pmod(F.xxhash64("c"), F.lit(CENTRES))
-        centres = [F.max(F.when(share == k, F.struct("degree", "c", "n", "pos", "label"))) for k in range(CENTRES)]
-        open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.filter(F.array(*centres), lambda m: m.isNotNull()).alias("centres"), F.count(F.lit(1)).alias("k")).where("x < y")
+        now = met.join(label.join(degree, "c"), "c", "left").withColumn("label", F.coalesce("label", "c")).fillna(0, ["degree"])
+        open_ = now.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("k")).where("x < y").select("token", "k")
+        open_ = stash(open_, "open")
         size = open_.agg(F.sum(F.col("k") * F.col("k")).alias("pairs"), F.sum("k").alias("rows")).first()
-        if turn != "all" and (size.pairs or 0) > CROWDED * (size.rows or 0):
-            pairs = against(now.join(open_.select("token", F.explode("centres").alias("m")), "token").where("m.label != label"), "m")
+        rest = stash(now.join(open_.select("token"), "token", "left_semi"), "rest")
+        if turn == "centres" and (size.pairs or 0) > CROWDED * (size.rows or 0):
+            share = F.pmod(F.xxhash64("c", F.lit(4)), F.lit(CENTRES))
+            best = rest.groupBy("token", share.alias("share")).agg(F.max(F.struct("degree", F.col("label").alias("label"), member.alias("m"))).alias("best"))
+            pairs = _starred(rest, best.select("token", "best.m", F.col("best.label").alias("label_m")), percent, F.col("label") != F.col("label_m"))
         else:
             turn = "all"
-            rest = stash(now.join(open_.select("token"), "token", "left_semi").select("token", "c", "n", "pos", "label"), "rest")
-            side = lambda x: rest.select("token", F.col("c").alias(x), F.col("n").alias(f"n_{x}"), F.col("pos").alias(f"pos_{x}"), F.col("label").alias(f"label_{x}"))
-            pairs = side("a").join(side("b"), "token").where("label_a != label_b and a < b")
-        found = _verified(docs, _filtered(pairs, percent), classes, n, percent, turn)
+            pairs = _all_pairs(rest, open_, percent)
+        found = _verified(docs, pairs, classes, n, percent, turn)
         links = links if found is None else links.unionByName(found)
         if turn == "all":
             break
     label = components(links).withColumnRenamed("node", "c")
-    grouped = documents.groupBy("c", "n").agg(F.min(key).alias("least")).join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    least = grouped.groupBy("label").agg(F.min("least").alias("component_id"))
-    whole = grouped.join(least, "label").select("c", "component_id")
-    return documents.join(whole, "c").select(key, F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col(key)).alias("component_id"))
+    own = documents.where("n > 0").groupBy("c1", "c2").agg(F.min(key).alias("least"))
+    linked = classes.select("c", "c1", "c2").join(label, "c").join(own, ["c1", "c2"])
+    least = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    whole = own.join(linked.join(least, "label").select("c1", "c2", "component_id"), ["c1", "c2"], "left").select("c1", "c2", F.coalesce("component_id", "least").alias("component_id"))
+    size = F.col("n").cast("long").alias("n_shingles")
+    some = documents.where("n > 0").select(key, "n", "c1", "c2").join(whole, ["c1", "c2"]).select(key, size, "component_id")
+    return some.unionByName(documents.where("n = 0").select(key, size, F.col(key).alias("component_id")))

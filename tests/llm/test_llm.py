@@ -306,8 +306,9 @@ def test_near_duplicates(corpus, empty):
 def test_candidate_classes_stay_off_the_driver(spark, monkeypatch):
     words = [f"a{k} b{k} c{k} d{k} e{k} f{k}" for k in range(700)]
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(words)], "doc_id long, text string")
-    want = {int(jaccard._signed([jaccard.signature(jaccard.grams(t, 5))])[0]): jaccard._signed(jaccard.grams(t, 5)).tolist() for t in words[:600]}
-    wanted = spark.createDataFrame([(c,) for c in want], "c long")
+    want = {k: jaccard._signed(jaccard.grams(t, 5)).tolist() for k, t in enumerate(words[:600])}
+    classes = spark.createDataFrame([(k, t, *jaccard.signature(jaccard.grams(t, 5))) for k, t in enumerate(words[:600])], "c long, text string, c1 long, c2 long")
+    wanted = classes.select("c", F.xxhash64("text").alias("t"), "c1", "c2")
     fetched, kind = [], type(docs)
 
     def counted(name):
