@@ -11,9 +11,9 @@ and in the last round, where all common n-grams of a pair are seen,
   prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come.
 What is left is verified once per pair, on the whole sets.
 
-Only components are wanted, so pairs within one component need no look. Rounds first compare every class with centres of
-its n-gram's group: the class with the smallest share of n-grams of its own and one picked by hash, then, as long as the
-pairs between components would outnumber the rows CROWDED times, the members with most links so far. A last round takes all
+Only components are wanted, so pairs within one component need no look. The first round compares every class with one of
+its n-gram's group, the class with the smallest share of n-grams of its own; the next one, if the pairs between components
+outnumber the rows CROWDED times, with the members that have most links so far. A last round takes all
 pairs that are still in different components, none excepted, so that no link between different texts is lost; groups of more
 than BLOCK classes are compared block by block.
 
@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WordHashes, fields, gram_hashes, only, stash
+from .common import fields, gram_hashes, only, stash, word_hashes
 
 #: Frequent n-grams: so many of them at most are broadcast, the most frequent ones, each found in LEAST documents or more.
 #: A task counts CHUNK n-grams at a time and passes on those that it saw twice; the order decides cost only, never results.
@@ -54,13 +54,11 @@ CROWDED = 300
 BLOCK = 2_000
 
 
-def grams(text: str | None, n: int, hashes: WordHashes | None = None) -> np.ndarray:
+def grams(text: str | None, n: int) -> np.ndarray:
     """Sorted distinct hashes of the n-grams of the words of a text, A-Z in lower case."""
-    words = [] if text is None else text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = (hashes or WordHashes()).of(words)
-    return np.unique(gram_hashes(h, min(n, len(h))))
+    h = word_hashes(b"" if text is None else text.encode("utf-8", "surrogatepass").lower())
+    g = np.sort(gram_hashes(h, min(n, len(h)))) if len(h) else h
+    return g[np.concatenate([g[:1] == g[:1], g[1:] != g[:-1]])]
 
 
 def signature(sets: np.ndarray) -> tuple[int, int]:
@@ -87,7 +85,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams of all documents, sorted, and about how many documents have each."""
 
     def count(batches):
-        hashes, held, size = WordHashes(), [], 0
+        held, size = [], 0
 
         def flush():
             g, k = np.unique(np.concatenate(held), return_counts=True)
@@ -96,7 +94,7 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
         for b in batches:
             for text in b.column(0):
-                held.append(grams(text.as_py(), n, hashes))
+                held.append(grams(text.as_py(), n))
                 size += len(held[-1])
                 if size >= CHUNK:
                     yield flush()
@@ -135,11 +133,11 @@ def _prefixes(docs: DataFrame, n: int, percent: int, often, key: str) -> DataFra
     schema = StructType([docs.schema[key], *fields(t="long", n="int", c1="long", c2="long", **dict.fromkeys(SKETCH, "long"), cold="int", prefix="longs")])
 
     def run(batches):
-        (known, counts), hashes = often.value, WordHashes()
+        known, counts = often.value
         for b in batches:
             ns, classes, sketches, cold, prefix = [], [], [], [], []
             for text in b.column(2):
-                g = grams(text.as_py(), n, hashes)
+                g = grams(text.as_py(), n)
                 ns.append(len(g))
                 classes.append(signature(g))
                 sketches.append(sketch(g))
@@ -162,14 +160,15 @@ def _meetings(classes: DataFrame, percent: int) -> DataFrame:
     """
     rows = classes.select("c", "n", "cold", F.posexplode("prefix").alias("pos", "token"))
     packed = rows.where("pos < cold").select("token", "c", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))  # two numbers in one, for a narrower shuffle
-    members = lambda of: [F.count(F.lit(1)).alias("k") if of is None else F.count(F.lit(1)).over(of).alias("k")] + [(F.bit_xor(F.xxhash64("c", F.lit(seed))) if of is None else F.bit_xor(F.xxhash64("c", F.lit(seed))).over(of)).alias(f"x{seed}") for seed in (1, 2)]
-    few = packed.select("*", *members(W.partitionBy("token"))).where("k > 1")
-    few = few.select("token", "c", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "k", "x1", "x2")
-    many = rows.where("pos >= cold").select("token", "c", "n", "pos")
-    met = few.unionByName(many.join(many.groupBy("token").agg(*members(None)).where("k > 1"), "token"))
-    same, own = W.partitionBy("c", "k", "x1", "x2"), W.partitionBy("c")
+    k, x = F.count(F.lit(1)), F.bit_xor(F.xxhash64("c"))  # x tells apart who meets, among the n-grams of one class
+    few = packed.select("*", k.over(W.partitionBy("token")).alias("k"), x.over(W.partitionBy("token")).alias("x")).where("k > 1")
+    many = rows.where("pos >= cold").select("token", "c", (F.shiftleft(F.col("n").cast("long"), 32) + F.col("pos")).alias("at"))
+    met = few.unionByName(many.join(many.groupBy("token").agg(k.alias("k"), x.alias("x")).where("k > 1"), "token")).select("token", "c", "at", F.xxhash64("k", "x").alias("x"))
+    same, own = W.partitionBy("c", "x"), W.partitionBy("c")
+    n = F.shiftright("at", 32).cast("int")
+    first = met.select("*", F.count(F.lit(1)).over(own).alias("met"), F.count(F.lit(1)).over(same).cast("int").alias("weight"), F.row_number().over(same.orderBy("at", "token")).alias("r")).where("r = 1")
+    first = first.select("token", "c", n.alias("n"), F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("pos"), "met", "weight")
     length = F.col("n") - F.ceil(F.col("n") * percent / 100.0 - 1e-9) + 1
-    first = met.select("*", F.count(F.lit(1)).over(own).alias("met"), F.count(F.lit(1)).over(same).cast("int").alias("weight"), F.row_number().over(same.orderBy("pos", "token")).alias("r")).where("r = 1")
     first = first.select("token", "c", "n", "pos", (1000 * (length - F.col("met")) / F.col("n")).cast("int").alias("own"), "weight")
     return first.join(classes.select("c", *SKETCH), "c")
 
@@ -229,12 +228,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     schema = StructType(fields(c1="long", c2="long", grams="longs"))
 
     def run(batches):
-        bits, hashes, done = picked.value, WordHashes(), set()
+        bits, done = picked.value, set()
         for b in batches:
             t = b.column(0).to_numpy() % FILTER
             out = []
             for k in np.flatnonzero(bits[t >> 3] >> (t & 7) & 1).tolist():
-                g = grams(b.column(1)[k].as_py(), n, hashes)
+                g = grams(b.column(1)[k].as_py(), n)
                 c = signature(g)
                 if len(g) and c not in done:
                     if len(done) > 1_000_000:
@@ -287,9 +286,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
     met = stash(_meetings(classes, percent), "met")
 
     member = F.struct("c", "n", "pos", *SKETCH)
-    ends = met.groupBy("token").agg(F.min(F.struct("own", "c", "n", "pos", *SKETCH)).alias("x"), F.min(F.struct(F.xxhash64("c", F.lit(3)).alias("own"), "c", "n", "pos", *SKETCH)).alias("y"))
     links = spark.createDataFrame([], "a long, b long")
-    found = _verified(docs, _starred(met, ends.select("token", F.explode(F.array_distinct(F.array("x", "y"))).alias("m")), percent), classes, n, percent, "ends")
+    found = _verified(docs, _starred(met, met.groupBy("token").agg(F.min(F.struct("own", "c", "n", "pos", *SKETCH)).alias("m")), percent), classes, n, percent, "own")
     links = links if found is None else found
     for turn in ("centres", "all"):
         label = stash(components(links), "components").withColumnRenamed("node", "c")
