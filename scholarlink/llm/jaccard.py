@@ -7,7 +7,7 @@ Where classes meet at an n-gram, these filters go inside the join, before a pair
   length      the smaller set has at least t times the larger one's size;
   positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed;
   suffix      the sets' parities in 512 cells of the hash range differ in no more cells than the sets may differ in n-grams;
-and in the last round, where all common n-grams of a pair are seen,
+and then, for the pairs made,
   prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come.
 What is left is verified once per pair, on the whole sets.
 
@@ -196,6 +196,22 @@ def _starred(rows: DataFrame, centres: DataFrame, percent: int, more: Column | N
     return both.where(fits if more is None else more & fits).select(*_pair(F.col("c"), F.col("m.c"), F.col("n"), F.col("m.n"))).distinct()
 
 
+def _enough(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the prefix filter, by the lists of the n-grams where their classes meet others."""
+    wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
+    lists = met.join(wanted, "c", "left_semi").groupBy("c").agg(F.collect_list(F.struct("token", "weight")).alias("at"))  # a prefix has no more
+    both = pairs.join(lists.toDF("a", "at_a"), "a").join(lists.toDF("b", "at_b"), "b")
+    common = F.aggregate(F.array_intersect("at_a", "at_b"), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+    return _near_enough(both.withColumn("common", common), percent).select("a", "b", "n_a", "n_b")
+
+
+def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
+    """The prefix filter for pairs whose prefixes have `common` n-grams in common."""
+    na, nb = F.col("n_a"), F.col("n_b")
+    after = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1  # noqa: E731  n-grams behind a prefix
+    return pairs.where(F.col("common") + F.greatest(after(na), after(nb)) >= needed(percent, na, nb))
+
+
 def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k)."""
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
@@ -207,9 +223,7 @@ def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("label_a") != F.col("label_b")) & ((F.col("block_a") < F.col("block_b")) | (F.col("c_a") < F.col("c_b"))) & _fits(of("a"), of("b"), percent)
     met = a.join(b, ["token", "block_a", "block_b"]).where(fits)
     pairs = met.select(*_pair(F.col("c_a"), F.col("c_b"), F.col("n_a"), F.col("n_b")), F.col("weight_a").alias("weight")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("common"))
-    na, nb = F.col("n_a"), F.col("n_b")
-    after = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1  # noqa: E731  n-grams behind a prefix
-    return pairs.where(F.col("common") + F.greatest(after(na), after(nb)) >= needed(percent, na, nb)).drop("common")
+    return _near_enough(pairs, percent).drop("common")
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
@@ -287,7 +301,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
 
     member = F.struct("c", "n", "pos", *SKETCH)
     links = spark.createDataFrame([], "a long, b long")
-    found = _verified(docs, _starred(met, met.groupBy("token").agg(F.min(F.struct("own", "c", "n", "pos", *SKETCH)).alias("m")), percent), classes, n, percent, "own")
+    first = stash(_starred(met, met.groupBy("token").agg(F.min(F.struct("own", "c", "n", "pos", *SKETCH)).alias("m")), percent), "first")
+    found = _verified(docs, _enough(first, met, percent), classes, n, percent, "own")
     links = links if found is None else found
     for turn in ("centres", "all"):
         label = stash(components(links), "components").withColumnRenamed("node", "c")
@@ -300,7 +315,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
         if turn == "centres" and (size.pairs or 0) > CROWDED * (size.rows or 0):
             share = F.pmod(F.xxhash64("c", F.lit(4)), F.lit(CENTRES))
             best = rest.groupBy("token", share.alias("share")).agg(F.max(F.struct("degree", F.col("label").alias("label"), member.alias("m"))).alias("best"))
-            pairs = _starred(rest, best.select("token", "best.m", F.col("best.label").alias("label_m")), percent, F.col("label") != F.col("label_m"))
+            pairs = _enough(stash(_starred(rest, best.select("token", "best.m", F.col("best.label").alias("label_m")), percent, F.col("label") != F.col("label_m")), "more"), met, percent)
         else:
             turn = "all"
             pairs = _all_pairs(rest, open_, percent)
