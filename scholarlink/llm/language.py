@@ -5,9 +5,10 @@ its affixes, and the whole word, the lexicon feature. The field adds up the feat
 transition weights between neighbouring words; forward-backward gives each word's probability of each language. A
 document's language is the one with the largest mean probability over its words, that mean is the score.
 
-Training takes a bounded sample: about `per_language` labelled documents of each language, picked by a hash of doc_id. They
-are cut into pieces and spliced at random, so that transitions between languages are seen, and the likelihood is maximised
-by Adam.
+Training takes a bounded sample: about `per_language` labelled documents of each language, each different text of a doc_id
+once, picked by a hash; texts over LONGEST bytes teach nothing. They are cut into pieces and spliced at random, so that
+transitions between languages are seen, and the likelihood is maximised by Adam, with the gradient of forward-backward's
+marginals: of words for the features, of neighbouring words for the transitions.
 
 Nulls, empties, repeats: a text that is null or has no letter is `und` with score 0; where nothing was learned all are.
 Rows with null lang or doc_id teach nothing. Repeated rows get equal results. An empty table gives no rows.
@@ -29,6 +30,8 @@ from .common import fields, mix, only
 BITS = 18
 #: Languages learned at most, the most frequent ones; so many rows are broadcast to pick the sample.
 LANGUAGES = 1_000
+#: Bytes of a text of the sample at most.
+LONGEST = 1_000_000
 #: Words of which a task keeps the scores; emptied when full. Words scored at once.
 CACHE, CHUNK = 300_000, 1_500_000
 
@@ -61,8 +64,11 @@ def emissions(words: list[bytes], weights: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Marginals of each word. e: scores of all words, document after document; all documents take a step together."""
+def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Marginals of each word. e: scores of all words, document after document; all documents take a step together.
+
+    pairs, if given, gets the sum of the joint marginals of all neighbouring words: expected transitions.
+    """
     p = np.exp(e - e.max(axis=1, keepdims=True)).astype(np.float32)
     a = np.exp(transitions).astype(np.float32)
     order = np.argsort(-lengths, kind="stable")
@@ -81,7 +87,11 @@ def forward_backward(e: np.ndarray, lengths: np.ndarray, transitions: np.ndarray
         at, b = starts[:n] + t, beta[:n]
         m = alpha[at] * b
         out[at] = m / m.sum(axis=1, keepdims=True)
-        b = (p[at] * b) @ inward
+        onward = p[at] * b
+        b = onward @ inward
+        if pairs is not None and t:
+            before = alpha[at - 1]
+            pairs += a * ((before / (before * b).sum(axis=1, keepdims=True)).T @ onward)
         beta[:n] = b / b.sum(axis=1, keepdims=True)
     return out
 
@@ -118,7 +128,8 @@ def fit(samples: list[tuple[str, str]], rounds: int = 3, length: int = 64, batch
             lengths = np.append(np.full(len(w) // length, length), len(w) % length)
             lengths = lengths[lengths > 0]
             ids, starts = features(w)
-            marginal = forward_backward(np.add.reduceat(weights[ids], starts, axis=0), lengths, transitions)
+            expected = np.zeros_like(transitions)
+            marginal = forward_backward(np.add.reduceat(weights[ids], starts, axis=0), lengths, transitions, expected)
             slope = marginal.copy()
             slope[np.arange(len(w)), y] -= 1
             each = np.repeat(slope, np.diff(np.append(starts, len(ids))), axis=0)
@@ -126,7 +137,6 @@ def fit(samples: list[tuple[str, str]], rounds: int = 3, length: int = 64, batch
             inside = np.ones(len(w), bool)
             inside[np.cumsum(lengths) - 1] = False
             k = np.flatnonzero(inside)
-            expected = marginal[k].T @ marginal[k + 1]  # of pairs of neighbours, as if independent given the text
             seen = np.zeros_like(transitions)
             np.add.at(seen, (y[k], y[k + 1]), 1)
             step += 1
@@ -142,8 +152,9 @@ def learn(docs: DataFrame, usable: Column, per_language: int = 120) -> Model:
     """Fit on about per_language of the rows of each lang (all, where there are fewer) for which `usable` holds."""
     labelled = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
     counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
-    sample = labelled.join(F.broadcast(counts), "lang").where(share * F.col("count") < per_language).select("lang", "text", "doc_id")
+    share = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(1 << 30)) / (1 << 30)
+    near = labelled.join(F.broadcast(counts), "lang").where((share * F.col("count") < per_language) & (F.octet_length("text") <= LONGEST))
+    sample = near.select("lang", "text", "doc_id").distinct()
     return fit([(r.lang, r.text) for r in sorted(sample.collect(), key=lambda r: (r.doc_id, r.text))])
 
 

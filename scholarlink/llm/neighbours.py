@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
 
-Every vector goes to the cell of its nearest coarse centroid; its residual is coded by one of 256 codewords in each of M
-parts. A query looks into the share `probes` of the cells, those whose centroids have the largest inner product with it, sums the entries of its
-asymmetric distance table over the codes there, and the best `rerank` of each cell are measured again exactly, in double
-precision, on the original vectors. Cells of more than BLOCK vectors, or visited by more than BLOCK queries, are searched in
-blocks, so that no group is large.
+The index holds the direction and the length of every vector. The direction goes to the cell of its nearest coarse centroid;
+its residual is coded by one of 256 codewords in each of PARTS parts. A query looks into cells, those that promise the largest inner
+product first (the centroid's, and what residuals may add, times the longest vector of the cell), until they hold the share
+`probes` of all rows. Cells next to each other are searched together, in blocks of about BLOCK rows; a larger cell is cut
+into several, and queries come in blocks as well, so no group is large. In a block the sums of a query's asymmetric
+distance table over the codes, times the lengths, give one shortlist of `rerank` over all its cells, and only these are measured on the
+original vectors, in double precision.
 
 Centroids and codewords are fitted on a sample of about SAMPLE vectors; the index holds every vector.
 
@@ -19,8 +21,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructType
 
 from .common import fields, only, stash
 
@@ -55,107 +58,168 @@ def nearest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *((x[k : k + 4096] @ c.T - half).argmax(axis=1) for k in range(0, len(x), 4096))])
 
 
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; scaled first, so that squares neither overflow nor vanish."""
+    most = np.abs(x).max(axis=1, keepdims=True)
+    part = x / most
+    length = np.sqrt((part * part).sum(axis=1))
+    return (part / length[:, None]).astype(np.float32), length * most[:, 0]
+
+
 class Codebook:
     def __init__(self, sample: np.ndarray, cells: int, parts: int):
-        x = sample.astype(np.float32)
-        self.centroids = kmeans(x, cells)
-        rest = x - self.centroids[nearest(x, self.centroids)]
-        self.bounds = np.linspace(0, x.shape[1], min(parts, x.shape[1]) + 1).astype(int)
+        u, _ = directions(sample)
+        self.centroids = kmeans(u, cells)
+        cell = nearest(u, self.centroids)
+        rest = u - self.centroids[cell]
+        self.bounds = np.linspace(0, u.shape[1], min(parts, u.shape[1]) + 1).astype(int)
         self.words = [kmeans(rest[:, a:b], 256) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        cell = nearest(x, self.centroids)
-        rest = x - self.centroids[cell]
-        return cell, np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.bounds[:-1], self.bounds[1:], self.words, strict=True)], axis=1).astype(np.uint8)
-
-    def tables(self, q: np.ndarray) -> list[np.ndarray]:
-        """The asymmetric tables of queries: inner products of their parts with every codeword."""
-        return [q[:, a:b] @ w.T for a, b, w in zip(self.bounds[:-1], self.bounds[1:], self.words, strict=True)]
-
-
-def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple[Codebook | None, int]:
-    """A codebook from about `sample` vectors, picked by a hash of vec_id, and the number of vectors."""
+        squares, n = np.bincount(cell, (rest * rest).sum(axis=1), minlength=len(self.centroids)), np.bincount(cell, minlength=len(self.centroids))
+        self.spread = np.sqrt(np.where(n > 0, squares / np.maximum(n, 1), (rest * rest).sum() / len(u)))
+        self.reach = 2.8 / u.shape[1] ** 0.5  # of a residual's length, what the best of many may have in a query's direction
+
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, length and code of vectors."""
+        u, length = directions(x)
+        cell = nearest(u, self.centroids)
+        rest = u - self.centroids[cell]
+        return cell, length, np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.bounds[:-1], self.bounds[1:], self.words, strict=True)], axis=1).astype(np.uint8)
+
+    def tables(self, q: np.ndarray) -> np.ndarray:
+        """The asymmetric tables of queries, a row each: inner products of their parts with 256 codewords a part."""
+        out = np.zeros((len(q), len(self.words), 256), np.float32)
+        for j, (a, b, w) in enumerate(zip(self.bounds[:-1], self.bounds[1:], self.words, strict=True)):
+            out[:, j, : len(w)] = q[:, a:b] @ w.T
+        return out.reshape(len(q), -1)
+
+
+def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, cells: int | None = None) -> Codebook | None:
+    """A codebook from about `sample` vectors, picked by a hash of vec_id, with `cells` cells (sqrt(n), 4,096 at most)."""
     n = vectors.count()
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30) * n < sample).orderBy("vec_id").toPandas()
     if not len(rows):
         rows = vectors.limit(1).toPandas()
-    return (Codebook(np.stack(rows["embedding"]), max(1, min(4096, int(n**0.5 / 2))), parts) if len(rows) else None), n
+    return Codebook(np.stack(rows["embedding"]), cells or max(1, min(4096, int(n**0.5))), parts) if len(rows) else None
 
 
 def _assign(vectors: DataFrame, shared) -> DataFrame:
-    """vec_id, embedding, cell, code."""
-    schema = StructType([vectors.schema["vec_id"], vectors.schema["embedding"], *fields(cell="int", code=BinaryType())])
+    """vec_id, embedding, cell, length, code."""
+    schema = StructType([vectors.schema["vec_id"], vectors.schema["embedding"], *fields(cell="int", length="double", code=BinaryType())])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1).astype(np.float32)
-                cell, code = shared.value.encode(x)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array([r.tobytes() for r in code], pa.binary())], names=schema.names)
+                cell, length, code = shared.value.encode(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(length), pa.array([r.tobytes() for r in code], pa.binary())], names=schema.names)
 
     return vectors.mapInArrow(run, schema)
 
 
-def _probe(queries: DataFrame, shared, probes: int) -> DataFrame:
-    """query_id, vector, cell: a row for each cell that a query looks into."""
-    schema = StructType([queries.schema["query_id"], queries.schema["vector"], *fields(cell="int")])
+class Layout:
+    """Which blocks hold which cells, and what there is in a cell: rows and the longest vector."""
+
+    def __init__(self, book: Codebook, sizes: np.ndarray, longest: np.ndarray, block: int):
+        self.sizes, self.longest = sizes, longest
+        middle = book.centroids - book.centroids.mean(axis=0)
+        along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]  # neighbouring cells share blocks
+        self.first, self.parts, used, held = np.zeros(len(sizes), int), np.maximum(1, -(-sizes // block)), 0, 0
+        for c in np.argsort(along, kind="stable").tolist():
+            if held and held + sizes[c] > block:
+                used, held = used + 1, 0
+            self.first[c] = used
+            held += int(sizes[c])
+            if self.parts[c] > 1:
+                used, held = used + int(self.parts[c]), 0
+
+    def probed(self, book: Codebook, q: np.ndarray, share: float) -> list[np.ndarray]:
+        """The cells that each query looks into."""
+        length = np.linalg.norm(q, axis=1, keepdims=True)
+        promise = (q @ book.centroids.T + length * (book.reach * book.spread)) * self.longest
+        order = np.argsort(np.where(self.sizes > 0, -promise, np.inf), axis=1, kind="stable")
+        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
+        need = share * self.sizes.sum()
+        return [o[(b < need) & (self.sizes[o] > 0)] for o, b in zip(order, before, strict=True)]
+
+
+def _probe(queries: DataFrame, shared, probes: float) -> DataFrame:
+    """query_id, vector, block, cells: a row for each block that a query looks into, with its cells there."""
+    schema = StructType([queries.schema["query_id"], queries.schema["vector"], *fields(block="int", cells=ArrayType(IntegerType()))])
 
     def run(batches):
+        book, layout = shared.value
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 q = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1).astype(np.float32)
-                near = np.argsort(-(q @ shared.value.centroids.T), axis=1, kind="stable")[:, :probes]
-                owner = pa.array(np.repeat(np.arange(part.num_rows), near.shape[1]))
-                yield pa.RecordBatch.from_arrays([part.column(0).take(owner), part.column(1).take(owner), pa.array(near.ravel(), pa.int32())], names=schema.names)
+                owner, blocks, cells = [], [], []
+                for k, own in enumerate(layout.probed(book, q, probes)):
+                    count = layout.parts[own]
+                    block = np.repeat(layout.first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
+                    of = np.repeat(own, count)
+                    order = np.argsort(block, kind="stable")
+                    for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
+                        owner.append(k)
+                        blocks.append(block[x[0]])
+                        cells.append(of[x])
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), part.column(1).take(pa.array(owner, pa.int64())), pa.array(blocks, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=schema.names)
 
     return queries.mapInArrow(run, schema)
 
 
-def _blocked(rows: DataFrame, size: int, key: str, name: str) -> tuple[DataFrame, DataFrame]:
-    """rows with a block number, and (cell, number of blocks); blocks hold about `size` rows of a cell."""
-    n = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(f"n_{name}"))  # at most 4,096 cells
-    return rows.join(F.broadcast(n), "cell").withColumn(name, F.pmod(F.xxhash64(key, F.lit(5)), F.col(f"n_{name}")).cast("int")).drop(f"n_{name}"), n
+def shortlist(near: np.ndarray, most: int) -> np.ndarray:
+    """Places of the `most` largest finite values (the first of equals)."""
+    short = np.flatnonzero(near > -np.inf)
+    if len(short) > most:
+        some = np.flatnonzero(near >= np.partition(near, -most)[-most])  # with all ties of the last
+        short = some[np.argsort(-near[some], kind="stable")[:most]]
+    return short
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.6, rerank: int = 60, block: int = BLOCK) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.85, rerank: int = 300, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """queries (query_id, vector) against vectors (vec_id, embedding), both as usable() gives them -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     vectors = stash(vectors, "vectors")
-    book, _ = train(vectors)
-    shared = spark.sparkContext.broadcast(book)  # at most 4,096 centroids and 256 codewords a part
-    index, n_i = _blocked(stash(_assign(vectors, shared), "index"), block, "vec_id", "i")
-    wanted, n_q = _blocked(_probe(queries, shared, max(8, round(probes * len(book.centroids)) if book else 0)), block, "query_id", "q")
-    spread = lambda rows, n, name: rows.join(F.broadcast(n), "cell").withColumn(name, F.explode(F.sequence(F.lit(0), F.col(f"n_{name}") - 1))).drop(f"n_{name}")
-    index, wanted = spread(index, n_q, "q"), spread(wanted, n_i, "i")
-    best_of = ArrayType(StructType(fields(away="double", vec_id="long")))  # away: the score's negative, so that arrays sort as wanted
-    schema = StructType([queries.schema["query_id"], *fields(best=best_of)])
-
-    def look(key, asked, there):
-        out = []
+    book = train(vectors, cells=cells)
+    if book is None:
+        return queries.limit(0).select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
+    coded = spark.sparkContext.broadcast(book)  # at most 4,096 centroids and 256 codewords a part
+    index = stash(_assign(vectors, coded), "index")
+    sizes, longest = np.zeros(len(book.centroids), int), np.zeros(len(book.centroids))
+    for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect():  # at most 4,096 cells
+        sizes[r.cell], longest[r.cell] = r.n, r.longest
+    layout = Layout(book, sizes, longest, block)
+    shared = spark.sparkContext.broadcast((book, layout))
+    places = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(sizes), dtype=np.int32), "first": layout.first.astype(np.int32), "parts": layout.parts.astype(np.int32)}), "cell int, first int, parts int")
+    queries = stash(queries, "queries")
+    n_q = max(1, -(-queries.count() // block))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q")  # a copy of the index for each block of queries
+    there = index.join(F.broadcast(places), "cell").select("vec_id", "embedding", "cell", "length", "code", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("parts"))).cast("int").alias("block"), turn)
+    asked = _probe(queries, shared, probes).withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n_q)).cast("int"))
+    schema = StructType([queries.schema["query_id"], *fields(vec_id="long", score="double")])
+
+    def look(asked, there):
+        own, found, scores = [], [], []
         if len(asked) and len(there):
-            book, there = shared.value, there.sort_values("vec_id")
-            ids, x = there["vec_id"].to_numpy(), np.stack(there["embedding"])
-            code = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(there), -1)
-            for at in range(0, len(asked), 500):
-                some = asked.iloc[at : at + 500]
+            book, _ = shared.value
+            there = there.sort_values("vec_id")
+            ids, x, cell, length = there["vec_id"].to_numpy(), np.stack(there["embedding"]), there["cell"].to_numpy(), there["length"].to_numpy()
+            code = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(there), -1).astype(np.int32) + 256 * np.arange(len(book.words), dtype=np.int32)
+            for at in range(0, len(asked), 200):
+                some = asked.iloc[at : at + 200]
                 q = np.stack(some["vector"])
-                tables, base = book.tables(q.astype(np.float32)), q.astype(np.float32) @ book.centroids[key[0]]
-                for r, (own, v) in enumerate(zip(some["query_id"], q, strict=True)):
-                    near = base[r] + sum(t[r][code[:, j]] for j, t in enumerate(tables))
-                    near = np.where(ids == own, -np.inf, near)
-                    if len(near) > rerank:
-                        short = np.flatnonzero(near >= np.partition(near, -rerank)[-rerank])  # with all ties of the last
-                        short = short[np.argsort(-near[short], kind="stable")[:rerank]]
-                    else:
-                        short = np.arange(len(near))
-                    short = short[ids[short] != own]
-                    exact = (x[short] * v).sum(axis=1)
+                tables, base = book.tables(q.astype(np.float32)), q.astype(np.float32) @ book.centroids.T
+                for r, (query, wanted) in enumerate(zip(some["query_id"].tolist(), some["cells"], strict=True)):
+                    inside = np.zeros(len(book.centroids), bool)
+                    inside[wanted] = True
+                    near = (tables[r][code].sum(axis=1) + base[r][cell]) * length
+                    short = shortlist(np.where(inside[cell] & (ids != query), near, -np.inf), rerank)
+                    exact = (x[short] * q[r]).sum(axis=1)
                     best = np.lexsort((ids[short], -exact))[:k]
-                    out.append((own, [{"away": -a, "vec_id": int(b)} for a, b in zip(exact[best].tolist(), ids[short][best], strict=True)]))
-        return pd.DataFrame(out, columns=schema.names)
-
-    found = wanted.groupBy("cell", "i", "q").cogroup(index.groupBy("cell", "i", "q")).applyInPandas(look, schema)
-    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))  # k of each cell
-    ranked = top.select("query_id", F.posexplode("best").alias("at", "b"))
-    return ranked.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.away")).alias("score"))
+                    own += [query] * len(best)
+                    found += ids[short][best].tolist()
+                    scores += exact[best].tolist()
+        return pd.DataFrame({"query_id": pd.Series(own, dtype="int64"), "vec_id": pd.Series(found, dtype="int64"), "score": pd.Series(scores, dtype="float64")})
+
+    best = asked.groupBy("block", "q").cogroup(there.groupBy("block", "q")).applyInPandas(look, schema)
+    place = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return best.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

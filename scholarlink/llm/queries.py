@@ -13,6 +13,7 @@ from .jaccard import near_duplicates
 from .language import identify
 from .line_dedup import drop_repeated_lines
 from .neighbours import search, usable
+from .oracles import ORACLES
 from .packing import pack
 from .phrases import repeated_words
 from .quality import grade, learn, ratings_of
@@ -80,6 +81,6 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, queries, k=20)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_quality_classifier, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op8_secret_scan, op9_language_id, op10_nearest_neighbours)}
+__all__ = ["ORACLES", "QUERIES"]
 
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_quality_classifier, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op8_secret_scan, op9_language_id, op10_nearest_neighbours)}

@@ -186,34 +186,35 @@ def test_anchors_hit_every_window():
         assert np.repeat(places, counts).tolist() == want
 
 
-TOKENIZER = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+@pytest.fixture(scope="module")
+def tokenizer():
+    return pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
 
 
-def test_encoder_gives_the_tokenizers_ids():
+def test_encoder_gives_the_tokenizers_ids(tokenizer):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
+    t = Tokenizer.from_file(tokenizer)
     odd = ["", " ", "  a  b\n\n c ", " x", "x ", "a \n b", "it's we'll  don't", "日本 語 x  y", "　a b", "tab\t x", "x\r\n y 12 345 !!! ??", "a <|endoftext|> b"]
     many = [x or "" for x in texts()] + odd
-    assert packing.Encoder(TOKENIZER).encode(many) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(many, add_special_tokens=False)]
+    assert packing.Encoder(tokenizer).ids(many) == [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch(many, add_special_tokens=False)]
 
 
-def test_packing_knows_added_tokens(spark):
+def test_packing_knows_added_tokens(spark, tokenizer):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZER)
+    t = Tokenizer.from_file(tokenizer)
     held = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>  y\n", "a <|endoftext| > b", "plain text"]
     assert t.encode(held[0], add_special_tokens=False).ids == [64, 220, 50256, 275]
     want = [(k, np.array([*t.encode(x, add_special_tokens=False).ids, 0], "<u4").tobytes()) for k, x in enumerate(held)]
-    out = packing.pack(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), TOKENIZER).collect()
+    out = packing.pack(spark.createDataFrame(list(enumerate(held)), "doc_id long, text string"), tokenizer).collect()
     assert Counter((r.doc_id, r.length, r.ids_crc32) for r in out) == Counter((k, len(b) // 4, zlib.crc32(b)) for k, b in want)
 
 
-def test_packing(corpus, empty):
+def test_packing(corpus, empty, tokenizer):
     docs, rows = corpus
-    out = packing.pack(docs, TOKENIZER, capacity=64).collect()
-    ids = [(i, packing.Encoder(TOKENIZER).encode([t or ""])[0] + bytes(4)) for i, t in rows]
+    out = packing.pack(docs, tokenizer, capacity=64).collect()
+    ids = [(i, packing.Encoder(tokenizer).encode([t or ""])[0] + bytes(4)) for i, t in rows]
     want = Counter()
     for i, b in ids:
         n = len(b) // 4
@@ -232,7 +233,7 @@ def test_packing(corpus, empty):
             at += n
         assert at <= 64
     assert len(bins) <= sum(x[3] * c for x, c in want.items()) / 64 * 1.1 + 2
-    assert packing.pack(empty, TOKENIZER).count() == 0
+    assert packing.pack(empty, tokenizer).count() == 0
 
 
 def test_best_fit_is_decreasing_and_tightest():
@@ -425,6 +426,73 @@ def test_forward_backward_is_exact():
         at += n
 
 
+def test_transitions_get_the_gradient_of_the_likelihood():
+    rng = np.random.default_rng(9)
+    e, lengths, t = rng.normal(size=(8, 3)).astype(np.float32), np.array([3, 1, 4]), rng.normal(size=(3, 3)).astype(np.float32)
+
+    def log_z(t):
+        at, out = 0, 0.0
+        for n in lengths:
+            paths = [sum(e[at + k, y] for k, y in enumerate(p)) + sum(t[a, b] for a, b in zip(p, p[1:], strict=False)) for p in np.ndindex(*[3] * n)]
+            out, at = out + np.log(np.exp(np.array(paths, np.float64)).sum()), at + n
+        return out
+
+    got = np.zeros((3, 3), np.float32)
+    language.forward_backward(e, lengths, t, got)
+    want = np.zeros((3, 3))
+    for a in range(3):
+        for b in range(3):
+            step = np.zeros((3, 3))
+            step[a, b] = 1e-4
+            want[a, b] = (log_z(t + step) - log_z(t - step)) / 2e-4
+    np.testing.assert_allclose(got, want, atol=2e-3)
+
+
+def _recall(spark, x: np.ndarray, **how) -> float:
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = neighbours.usable(df)
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = defaultdict(set)
+    for r in neighbours.search(vectors, queries, **how).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 20):
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-exact)[:20].tolist()))
+    return hits / (20 * len(range(0, len(x), 20)))
+
+
+def test_neighbours_of_plain_and_uneven_vectors_in_large_cells(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(8000, 64))
+    assert _recall(spark, x, cells=20) >= 0.9  # cells of several hundred, of which a query measures 300 vectors
+    assert _recall(spark, x * rng.lognormal(0, 1, size=(8000, 1)), cells=20, block=1500) >= 0.9
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_neighbours_of_the_given_tables(spark, sf):
+    import os
+
+    path = f"/root/testdata/{sf}/embeddings.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no table")
+    from scholarlink.llm import queries
+
+    rows = spark.read.parquet(path).orderBy("vec_id").toPandas()
+    ids, x = rows["vec_id"].to_numpy(), np.stack(rows["embedding"]).astype(np.float64)
+    got = defaultdict(set)
+    for r in queries.op10_nearest_neighbours(spark, f"/root/testdata/{sf}").collect():
+        got[r.query_id].add(r.vec_id)
+    asked = np.flatnonzero(ids % 20 == 0)
+    hits = 0
+    for q in asked:
+        exact = x @ x[q]
+        exact[q] = -np.inf
+        hits += len(got[ids[q]] & set(ids[np.argsort(-exact)[:20]].tolist()))
+    assert set(got) == set(ids[asked].tolist()) and hits / (20 * len(asked)) >= 0.9
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(1500, 12)).astype(np.float32)
