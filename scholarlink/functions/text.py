@@ -19,7 +19,7 @@ PAGE_LIMIT, ROBOT_LIMIT, HEAD, SNIPPETS = 2_000_000, 20_000, 8_000, 20
 
 def may_hold_address(text: Column) -> Column:
     """A cheap test that text without any address, plain or disguised, fails."""
-    return text.contains("@") | text.contains(" AT ") | text.contains("%40") | text.contains("&#64;") | text.rlike(r"(?i)[\[({]\s*at\s*[\])}]")
+    return text.contains("@") | text.rlike(r"(?U)\sAT\s") | text.contains("%40") | text.contains("&#64;") | text.rlike(r"(?i)[\[({]\s*at\s*[\])}]")
 
 
 def deobfuscate(text: Column) -> Column:
@@ -75,6 +75,24 @@ def page_emails(html: Column) -> Column:
     return F.array_distinct(F.concat(mailto_targets(html), extract_emails(page_text(html))))
 
 
+def home_page_emails(status: Column, content_type: Column, html: Column) -> Column:
+    """Addresses of a person's own page: all link targets, unfiltered, then those in its text; none unless it was read as HTML."""
+    cut = F.substring(html, 1, PAGE_LIMIT)
+    text = F.regexp_replace(strip_tags(cut), r"(?U)\s+", " ")
+    read = (status == 200) & F.lower(content_type).contains("html")
+    return F.when(read, F.array_distinct(F.concat(mailto_targets(cut, whole=False), extract_emails(text)))).otherwise(F.array().cast("array<string>"))
+
+
+def page_head(html: Column) -> Column:
+    """The part of a page's text that attribution looks at."""
+    return F.substring(page_text(html), 1, HEAD)
+
+
+def is_department(local: Column) -> Column:
+    """An account of an office or a department, as home pages show them: the words count anywhere."""
+    return is_generic(local) | local.rlike("(?i)(enquir|inquir|info|office|admin|contact|webmaster|support|general|dept|department)")
+
+
 def is_robot_page(html: Column) -> Column:
     return F.substring(html, 1, ROBOT_LIMIT).rlike(f"(?i){ROBOT_PAGE}")
 

@@ -9,7 +9,12 @@ def _pick(values: str, number: str) -> str:
     return f"split_part('{values}', '|', cast(({number}) % {values.count('|') + 1} + 1 as int))"
 
 
-SURNAME = _pick("Goh|Satori|Novak|Berg|Okafor|Lindqvist|Moreau|Haas|Ito|Petrov", "c_custkey")
+def _div(number: str, by: int) -> str:
+    return f"cast(floor(({number}) / {by}) as bigint)"
+
+
+#: A fourth of all people share ten surnames; the others' grow in number with the table.
+SURNAME = f"concat({_pick('Goh|Satori|Novak|Berg|Okafor|Lindqvist|Moreau|Haas|Ito|Petrov', 'c_custkey')}, case when c_custkey % 4 = 0 then '' else concat({_pick('ano|ev|sen|ski|well|ford|lin|dez|man|ova|ton', _div('c_custkey', 10))}, {_pick('a|is|o|e|us|ar|en|ik|or|as|um|el|os', _div('c_custkey', 110))}) end)"
 GIVEN = _pick("Jo|Mi|Ra|Te|Su|Le|An|Be|Ki|Do|Na", "c_custkey"), _pick("Na|Ran|To|Mi|Vel|Sa|Rik", "c_custkey")
 
 
@@ -22,7 +27,8 @@ def _styled(style: str) -> str:
 
 
 def _org(key: str, kinds: str) -> str:
-    return f"concat({_pick('Alder|Birch|Cedar|Dahlia|Elmwood|Firth|Gorse', key)}, ' ', {_pick(kinds, key)})"
+    place = f"concat({_pick('Alder|Birch|Cedar|Dahlia|Elmwood|Firth|Gorse', key)}, {_pick('|bury|ford|mere|stead|vale|wick|by|gate|haven|moor', _div(key, 42))}, {_pick('| North| East| South| West| Upper| Lower', _div(key, 462))})"
+    return f"concat({place}, ' ', {_pick(kinds, key)})"
 
 
 FULL = "Institute of Technology|University|Materials Research Institute|Electronics Co., Ltd.|National Laboratory|Chemical Industries Inc."
@@ -30,12 +36,12 @@ SHORT = "Inst. of Tech.|Univ.|Mater. Res. Inst.|ELECTRONICS CO LTD|Natl. Lab.|Ch
 LOCAL = f"lower(concat(substring({GIVEN[0]}, 1, 1), substring({GIVEN[1]}, 1, 1), {SURNAME}))"
 
 TABLES = {
-    "people": f"select c_custkey as person_id, {_styled('c_custkey')} as name, case when c_custkey % 3 = 0 then {_org('c_custkey % 42', SHORT)} else {_org('c_custkey % 42', FULL)} end as affiliation, {_pick('signal processing|polymer, film|/|battery / cell', 'c_custkey')} as field from {{customer}}",
-    "authors": f"select c_custkey * 10 as author_id, {_styled('c_custkey + 2')} as display_name, c_custkey % 60 as works_count, {_pick('signal|polymer|battery', 'c_custkey')} as topic, {_org('c_custkey % 42', FULL)} as institution, c_custkey % 4 > 0 as current from {{customer}}",
+    "people": f"select c_custkey as person_id, {_styled('c_custkey')} as name, case when c_custkey % 3 = 0 then {_org(_div('c_custkey', 15), SHORT)} else {_org(_div('c_custkey', 15), FULL)} end as affiliation, {_pick('signal processing|polymer, film|/|battery / cell', 'c_custkey')} as field from {{customer}}",
+    "authors": f"select c_custkey * 10 as author_id, {_styled('c_custkey + 2')} as display_name, c_custkey % 60 as works_count, {_pick('signal|polymer|battery', 'c_custkey')} as topic, {_org(_div('c_custkey', 15), FULL)} as institution, c_custkey % 4 > 0 as current from {{customer}}",
     "orgs": f"select s_suppkey as org_id, {_org('s_suppkey', FULL)} as name, {_org('s_suppkey', SHORT)} as short_name, concat('https://www.org', cast(s_suppkey % 42 as varchar(9)), '.example/en?x=1') as website from {{supplier}}",
     "works": "select o_custkey * 10 as author_id, o_orderkey as work_id, case when o_orderkey % 5 > 0 then concat('https://doi.org/10.9999/A', cast(o_orderkey % 4000 as varchar(9))) end as doi, year(o_orderdate) as year, o_orderpriority as title from {orders}",
     "locations": f"select l_orderkey as work_id, l_linenumber as pos, concat('https://', {_pick('repository.example|www.mdpi.com|files.example|core.ac.uk', 'l_suppkey')}, '/', cast(l_partkey as varchar(12)), '.pdf') as url, l_returnflag = 'R' as ok from {{lineitem}}",
-    "hits": f"select c_custkey as person_id, concat({LOCAL}, '@', {_pick('mail|lab|ee', 'c_custkey')}, '.org', cast((c_custkey * 7) % 50 as varchar(9)), '.example') as email, 'html' as source, c_custkey % 9 = 0 as self_stated, c_custkey % 3 as strength from {{customer}} union all select c_custkey as person_id, concat({LOCAL}, '@', {_pick('gmail.example|org3.example|naver.example', 'c_custkey')}) as email, 'pdf' as source, false as self_stated, c_custkey % 2 as strength from {{customer}}",
+    "hits": f"select c_custkey as person_id, concat({LOCAL}, '@', {_pick('mail|lab|ee', 'c_custkey')}, '.org', cast((c_custkey * 7) % 50 as varchar(9)), '.example') as email, 'html' as source, c_custkey % 9 = 0 as self_stated, c_custkey % 3 as strength from {{customer}} where c_mktsegment <> 'BUILDING' union all select c_custkey as person_id, concat({LOCAL}, '@', {_pick('gmail.example|org3.example|naver.example', 'c_custkey')}) as email, 'pdf' as source, false as self_stated, c_custkey % 2 as strength from {{customer}} where c_mktsegment <> 'BUILDING'",
     "domains": "select c_custkey as person_id, concat('www.org', cast(c_custkey % 42 as varchar(9)), '.example') as domain from {customer} where c_custkey % 6 > 0",
     "notes": f"select c_custkey as note_id, concat('Write to ', {LOCAL}, {_pick(' [at] | (AT) |%40|&#64;| AT |@', 'c_custkey')}, 'org', cast(c_custkey % 42 as varchar(9)), {_pick(' (dot) |.| DOT ', 'c_custkey')}, 'example, or {{{{info, ', lower({SURNAME}), '}}}} @ lab.example now') as text from {{customer}}",
 }

@@ -66,8 +66,9 @@ def confirm_by_page(hits: DataFrame, pages: DataFrame, names: DataFrame) -> Data
     parent = F.regexp_replace("d", r"^[^.]*\.", "")
     hosts = F.when(F.size(F.split("d", r"\.")) > 2, F.array("d", parent)).otherwise(F.array("d"))
     rows = open_.select("person_id", "email", F.posexplode(hosts).alias("level", "host")).join(pages, "host")
-    words = names.where(F.length(F.regexp_replace("name", r"[^\p{L}\p{N}]", "")) >= 4)
-    found = rows.join(words, "person_id").where(F.lower("text").contains(F.lower(F.col("name"))))
+    word = F.lower(F.btrim("name"))
+    words = names.withColumn("word", word).where(F.length(F.regexp_replace("word", "[^0-9a-z가-힣]", "")) >= 4)
+    found = rows.join(words, "person_id").where(F.lower("text").contains(F.col("word")))
     return found.groupBy("person_id", "email").agg(F.min_by(F.struct("host", "name"), F.struct("level", "name_rank")).alias("x")).select("person_id", "email", "x.host", "x.name")
 
 

@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.names import name_keys, same_person
+from ..functions.names import name_keys, same_person, with_nfkc
 from ..functions.orgs import accepted_domains, acronym, core_key, org_key, org_tokens, same_tokens, suffixes
 
 
 def match_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     """Distinct pairs (a, b) of the two name columns that can be one person's. Work on distinct names; join back after."""
-    keyed = lambda df, c: df.select(c).where(F.col(c).isNotNull()).distinct().select(c, F.explode(name_keys(F.col(c))).alias("key"))
-    return keyed(left, a).join(keyed(right, b), "key").select(a, b).distinct().where(same_person(F.col(a), F.col(b)))
+    composed = lambda df, c, x: with_nfkc(df.select(c).where(F.col(c).isNotNull()).distinct(), c, x)
+    keyed = lambda df, c, x: composed(df, c, x).select(c, x, F.explode(name_keys(F.col(x))).alias("key"))
+    return keyed(left, a, "_x").join(keyed(right, b, "_y"), "key").select(a, b, "_x", "_y").distinct().where(same_person(F.col("_x"), F.col("_y"))).select(a, b)
 
 
 def canonical(names: DataFrame, column: str, groups: DataFrame) -> DataFrame:
@@ -20,11 +21,11 @@ def canonical(names: DataFrame, column: str, groups: DataFrame) -> DataFrame:
 
     groups (group_id, name) are alias groups; a group goes by the longest key of its names (the first of several).
     """
-    own = groups.select("group_id", "name", org_key(F.col("name")).alias("k"), acronym(F.col("name")).alias("acr")).where("k != ''")
+    own = with_nfkc(groups.select("group_id", "name"), "name", "_c").select("group_id", "name", org_key(F.col("_c")).alias("k"), acronym(F.col("_c")).alias("acr")).where("k != ''")
     best = own.groupBy("group_id").agg(F.max_by("k", F.struct(F.length("k"), F.col("k"))).alias("canon"))
     keys = own.join(best, "group_id").groupBy("k").agg(F.min("canon").alias("canon"))
     short = own.where(F.length("acr") >= 4).join(best, "group_id").groupBy("acr").agg(F.min("canon").alias("by_acr"))
-    out = names.withColumn("_k", org_key(F.col(column))).withColumn("_a", acronym(F.col(column)))
+    out = with_nfkc(names, column, "_c").withColumn("_k", org_key(F.col("_c"))).withColumn("_a", acronym(F.col("_c"))).drop("_c")
     out = out.join(keys, out["_k"] == keys["k"], "left").join(short, (out["_a"] == short["acr"]) & (F.length("_a") >= 4), "left")
     return out.withColumn("canonical", F.coalesce("canon", "by_acr", "_k")).drop("_k", "_a", "k", "canon", "acr", "by_acr")
 
@@ -36,13 +37,13 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, groups: DataFr
     key, a group key of four letters or more within the other's, or content words equal to those of an alias.
     """
     side = lambda df, c: canonical(df.select(c).where(F.col(c).isNotNull()).distinct(), c, groups).where("canonical != ''")
-    x = side(left, a).withColumnRenamed("canonical", "ka").withColumn("ta", org_tokens(F.col(a)))
-    y = side(right, b).withColumnRenamed("canonical", "kb").withColumn("tb", org_tokens(F.col(b)))
+    x = with_nfkc(side(left, a), a, "na").withColumnRenamed("canonical", "ka").withColumn("ta", org_tokens(F.col("na")))
+    y = with_nfkc(side(right, b), b, "nb").withColumnRenamed("canonical", "kb").withColumn("tb", org_tokens(F.col("nb")))
     found = x.join(y, x["ka"] == y["kb"]).select(a, b)
     by_words = lambda x, y: x.join(y, core_key(F.col("ta")) == core_key(F.col("tb"))).where(same_tokens(F.col("ta"), F.col("tb")))
     found = found.unionByName(by_words(x, y).select(a, b))
     if not strict:
-        for p, q, n, m in ((x, y, a, b), (y, x, b, a)):
+        for p, q, n, m in ((x, y, "na", "nb"), (y, x, "nb", "na")):
             short = p.withColumn("acr", acronym(F.col(n))).where(F.length("acr") >= 3)
             found = found.unionByName(short.join(q.withColumn("own", org_key(F.col(m))), F.col("acr") == F.col("own")).select(a, b))
         for p, q, k, m in ((x, y, "ka", "kb"), (y, x, "kb", "ka")):
@@ -50,10 +51,10 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, groups: DataFr
             pieces = F.flatten(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length(m))), lambda n: F.transform(F.sequence(F.lit(1), F.length(m) - n + 1), lambda i: F.substring(F.col(m), i, n))))
             cut = q.where(F.length(m) >= 4).withColumn("head", F.explode(F.array_distinct(pieces)))
             found = found.unionByName(head.join(cut, "head").where(F.col(m).contains(F.col(k))).select(a, b))
-        names = canonical(groups.select("name"), "name", groups).select("name", "canonical")
+        names = with_nfkc(canonical(groups.select("name"), "name", groups).select("name", "canonical"), "name", "composed")
         for p, q, k, n in ((x, y, "ka", a), (y, x, "kb", b)):
             t = "ta" if k == "ka" else "tb"
-            other = p.join(names, p[k] == names["canonical"]).where(F.col("name") != F.col(n)).withColumn(t, org_tokens(F.col("name")))
+            other = p.join(names, p[k] == names["canonical"]).where(F.col("name") != F.col(n)).withColumn(t, org_tokens(F.col("composed")))
             found = found.unionByName(by_words(other, q).select(a, b) if k == "ka" else by_words(q, other).select(a, b))
     return found.distinct()
 

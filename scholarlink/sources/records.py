@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.orgs import org_key
-from ..functions.text import extract_emails
+from ..functions.text import HEAD, expand_braces, extract_emails
 
 # Headers by which a people file names its columns.
 HEADERS = {"name": ("전문가", "이름", "성명", "name", "Name"), "affiliation": ("소속", "기관", "affiliation", "Affiliation", "org"), "field": ("기술분야", "분야", "field", "Field")}
@@ -64,6 +64,40 @@ def record_emails(records: DataFrame) -> DataFrame:
     return records.select("record_id", F.posexplode(F.concat(own, F.transform(rest, lambda e: F.struct(e.alias("email"), F.lit("biography").alias("origin"))))).alias("pos", "x")).select("record_id", "pos", "x.email", "x.origin")
 
 
+def record_urls(records: DataFrame) -> DataFrame:
+    """(record_id, urls array<struct name, value>) -> record_id, pos, url: those that are not blank."""
+    kept = F.filter(F.transform("urls", lambda u: u["value"]), lambda u: u.isNotNull() & (u != ""))
+    return records.select("record_id", F.posexplode(kept).alias("pos", "url"))
+
+
+def record_employments(records: DataFrame) -> DataFrame:
+    """(record_id, groups array<struct summaries array<struct name, org_id, id_source, end_date>>) -> record_id, pos, name, org_id, id_source, current: the first summary of each group; current without an end."""
+    firsts = F.transform("groups", lambda g: F.get(g["summaries"], F.lit(0)))
+    rows = records.select("record_id", F.posexplode(firsts).alias("pos", "s"))
+    blank = lambda c: F.coalesce(F.col(f"s.{c}"), F.lit("")).alias(c)
+    return rows.select("record_id", "pos", blank("name"), blank("org_id"), blank("id_source"), F.col("s.end_date").isNull().alias("current"))
+
+
+def record_dois(records: DataFrame, most: int = 15) -> DataFrame:
+    """(record_id, ids array<struct kind, value>) -> record_id, pos, doi: lower case, without the resolver's prefix, each once, the first ones."""
+    wanted = F.filter("ids", lambda x: (F.lower(x["kind"]) == "doi") & (x["value"] != ""))
+    plain = F.array_distinct(F.transform(wanted, lambda x: F.replace(F.lower(x["value"]), F.lit("https://doi.org/"), F.lit(""))))
+    return records.select("record_id", F.posexplode(F.slice(plain, 1, most)).alias("pos", "doi"))
+
+
+def flatten_bibliography(raw: DataFrame) -> DataFrame:
+    """(doi, results array<struct pmid, authors array<struct name, affiliations array<string>>>) -> doi, pos, author, emails, affiliation, url.
+
+    The first result of a DOI counts; authors without an address in any affiliation go.
+    """
+    top = raw.select("doi", F.get("results", F.lit(0)).alias("t"))
+    rows = top.select("doi", F.nullif("t.pmid", F.lit("")).alias("pmid"), F.posexplode("t.authors").alias("pos", "a"))
+    emails = F.flatten(F.transform("a.affiliations", lambda x: extract_emails(F.coalesce(x, F.lit("")))))
+    first = F.substring(F.coalesce(F.get("a.affiliations", F.lit(0)), F.lit("")), 1, 160)
+    url = F.coalesce(F.concat(F.lit("https://europepmc.org/abstract/MED/"), "pmid"), F.lit(""))
+    return rows.select("doi", "pos", F.coalesce("a.name", F.lit("")).alias("author"), emails.alias("emails"), first.alias("affiliation"), url.alias("url")).where(F.size("emails") > 0)
+
+
 def pdf_urls(best: Column, locations: Column) -> Column:
     """Distinct document addresses of a work, the best location's first; locations array<struct pdf_url, landing_page_url, is_oa>."""
     number = lambda k: F.regexp_extract(k["landing_page_url"], r"ieeexplore\.ieee\.org/document/(\d+)", 1)
@@ -80,19 +114,20 @@ def match_company(names: DataFrame, companies: DataFrame) -> DataFrame:
 
 
 def latest_preprint(raw: DataFrame) -> DataFrame:
-    """(doi, server_rank, position, version, has_jats) -> doi, server_rank, version, path: the last version with a text on the first server that has one."""
-    fine = raw.where(F.col("doi").startswith("10.1101/") & F.col("has_jats"))
-    place = W.partitionBy("doi").orderBy("server_rank", F.desc("position"))
-    return fine.withColumn("r", F.row_number().over(place)).where("r = 1").select("doi", "server_rank", "version", F.concat(F.lit("content/"), "doi", F.lit("v"), F.coalesce(F.col("version"), F.lit(1)).cast("string")).alias("path"))
+    """(doi, server_rank, position, version, has_jats) -> doi, server_rank, version, path: the last version of each server, if it has a text, of the first server that has such a one."""
+    newest = raw.where(F.col("doi").startswith("10.1101/")).groupBy("doi", "server_rank").agg(F.max(F.struct("position", "has_jats", "version")).alias("last"))
+    first = newest.where("last.has_jats").groupBy("doi").agg(F.min(F.struct("server_rank", F.col("last.version").alias("version"))).alias("x"))
+    return first.select("doi", "x.*").select("doi", "server_rank", "version", F.concat(F.lit("content/"), "doi", F.lit("v"), F.coalesce(F.col("version"), F.lit(1)).cast("string")).alias("path"))
 
 
-def latest_responses(log: DataFrame, ttl_seconds: int, now: Column) -> DataFrame:
-    """(key, json, at) -> the newest response of each key, if it is no older than the limit; failures are null responses."""
-    newest = log.groupBy("key").agg(F.max_by("json", "at").alias("json"), F.max("at").alias("at"))
-    return newest.where(F.unix_timestamp(now) - F.unix_timestamp("at") <= ttl_seconds)
+def latest_responses(log: DataFrame, ttl_seconds: int, now: Column | None = None) -> DataFrame:
+    """(key, json, at) -> the newest response of each key, if it is no older than the limit at `now`, or at the log's column of that name; failures are null responses."""
+    newest = log.withColumn("now", F.col("now") if now is None else now).groupBy("key").agg(F.max_by("json", "at").alias("json"), F.max("at").alias("at"), F.max("now").alias("now"))
+    return newest.where(F.unix_timestamp("now") - F.unix_timestamp("at") <= ttl_seconds).drop("now")
 
 
 def document_text(pages: DataFrame, first: int = 3) -> DataFrame:
-    """(doc_id, page_no from 1, text) -> doc_id, text: the first pages, a line each, blanks collapsed."""
+    """(doc_id, page_no from 1, text) -> doc_id, text: the first pages, a line each, blanks collapsed, groups {a, b}@host written out, cut to HEAD characters."""
     rows = pages.where(F.col("page_no") <= first).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "text"))).alias("p"))
-    return rows.select("doc_id", F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), "[ \t]+", " ").alias("text"))
+    text = F.regexp_replace(F.array_join(F.transform("p", lambda x: x["text"]), "\n"), "[ \t]+", " ")
+    return rows.select("doc_id", F.substring(expand_braces(text), 1, HEAD).alias("text"))
