@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 NOTICE = "For individual scholarly enquiries only; no bulk advertising. Addresses are those that people published themselves."
@@ -38,10 +41,89 @@ def detail(ranked: DataFrame) -> DataFrame:
     return ranked.select("person_id", "rn", shown.alias("address"), F.concat(F.lit("mailto:"), "email").alias("link"), F.try_element_at(label, F.col("source")).alias("route"), "verification")
 
 
-def lines(summary_rows: DataFrame) -> DataFrame:
-    """A line of text for each person."""
-    text = F.concat(F.lit("- "), "name", F.lit(" ("), "affiliation", F.lit("): "), F.coalesce("best", F.lit("not found")), F.when(F.col("status") == "unverified", " [unverified]").otherwise(""))
-    return summary_rows.select("person_id", text.alias("line"))
+def _label() -> Column:
+    return F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
+
+
+def _first_of(rows: DataFrame, keys: list[str], value: Column) -> DataFrame:
+    """One entry for each value of the keys, where it first stands, in order: person_id, entries."""
+    once = rows.groupBy("person_id", *keys).agg(F.min_by(value, "rn").alias("entry"), F.min("rn").alias("rn"))
+    return once.groupBy("person_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "entry"))), lambda x: x["entry"]).alias("entries"))  # a person's own findings
+
+
+def links(people: DataFrame, ranked: DataFrame, identifiers: DataFrame) -> DataFrame:
+    """person_id, emails, sources, ids: arrays of (text, url), each once and in order. identifiers (person_id, kind, url)."""
+    link = lambda text, url: F.struct(text.alias("text"), url.alias("url"))
+    shown = F.when(F.col("verified"), F.col("email")).otherwise(F.concat("email", F.lit(" (unverified)")))
+    emails = _first_of(ranked, ["email"], link(shown, F.concat(F.lit("mailto:"), "email"))).withColumnRenamed("entries", "emails")
+    label = F.coalesce(F.try_element_at(_label(), F.col("source")), F.col("source"))
+    sources = _first_of(ranked.where("source_url != ''"), ["source", "source_url"], link(label, F.col("source_url"))).withColumnRenamed("entries", "sources")
+    rank = F.when(F.col("kind") == "record", 0).when(F.col("kind") == "author", 1).otherwise(2)
+    ids = _first_of(identifiers.withColumn("rn", rank), ["kind"], link(F.concat_ws(" ", "kind", F.substring_index("url", "/", -1)), F.col("url"))).withColumnRenamed("entries", "ids")
+    out = people.select("person_id")
+    for part in (emails, sources, ids):
+        out = out.join(part, "person_id", "left")
+    return out
+
+
+def domain_lists(domains: DataFrame) -> DataFrame:
+    """(person_id, place, domain, sources) -> person_id, domains ("a, b"), domains_by ("a (x·y), b (z)")."""
+    listed = domains.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("place", "domain", "sources"))).alias("d"))
+    named = F.transform("d", lambda x: F.concat(x["domain"], F.lit(" ("), F.array_join(x["sources"], "·"), F.lit(")")))
+    return listed.select("person_id", F.array_join(F.transform("d", lambda x: x["domain"]), ", ").alias("domains"), F.array_join(named, ", ").alias("domains_by"), F.transform("d", lambda x: x["domain"]).alias("domain_names"))
+
+
+def cards(people: DataFrame, ranked: DataFrame, names: DataFrame, domains: DataFrame, log: DataFrame) -> DataFrame:
+    """A row a person with all that is known: verification, attribution, snippet, affil_names, domains, log. names (person_id, names), domains as domain_lists() has them, log (person_id, step, text)."""
+    said = lambda c: F.array_join(F.array_distinct(F.transform("all", lambda x: F.concat(x["email"], F.lit(": "), x[c]))), "; ")
+    listed = ranked.groupBy("person_id").agg(F.array_sort(F.collect_list(F.struct("rn", "email", "verification", "attribution", "snippet"))).alias("all"))
+    quote = F.get(F.filter("all", lambda x: x["snippet"] != ""), F.lit(0))["snippet"]
+    found = listed.select("person_id", said("verification").alias("verification"), said("attribution").alias("attribution"), quote.alias("snippet"))
+    steps = log.groupBy("person_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("step", "text"))), lambda x: F.concat(F.lit("- "), x["text"])), "\n").alias("log"))
+    out = people.select("person_id", "name", "affiliation", F.nullif("field", F.lit("")).alias("field")).join(found, "person_id", "left")
+    out = out.join(names.select("person_id", F.nullif(F.array_join(F.slice("names", 1, 6), ", "), F.lit("")).alias("affil_names")), "person_id", "left")
+    return out.join(domains.select("person_id", F.col("domains_by").alias("domains")), "person_id", "left").join(steps, "person_id", "left")
+
+
+def answer_lines(people: DataFrame, ranked: DataFrame, domains: DataFrame) -> DataFrame:
+    """person_id, line: the best address with how sure it is and whence, or that none was found and up to two official domains."""
+    best = ranked.where("rn = 1").select("person_id", "email", "verified", "source")
+    rows = people.select("person_id", "name", "affiliation").join(best, "person_id", "left").join(domains.select("person_id", "domain_names"), "person_id", "left")
+    found = F.concat("email", F.lit(" ["), F.when(F.col("verified"), "verified").otherwise("unverified"), F.lit(" · "), F.coalesce(F.try_element_at(_label(), F.col("source")), F.col("source")), F.lit("]"))
+    none = F.concat(F.lit("no address in open sources"), F.coalesce(F.concat(F.lit(" · official domains "), F.array_join(F.slice("domain_names", 1, 2), ", ")), F.lit("")))
+    return rows.select("person_id", F.concat(F.lit("- "), "name", F.lit(" ("), "affiliation", F.lit("): "), F.coalesce(found, none)).alias("line"))
+
+
+def answer(status: DataFrame, lines: DataFrame, most: int = 50) -> DataFrame:
+    """One row, text: the counts, then a line for each person in order. A request holds `most` people at most; more raise."""
+    total = counts(status)
+    listed = lines.agg(F.array_sort(F.collect_list(F.struct("person_id", "line"))).alias("l"), F.count(F.lit(1)).alias("k"))
+    head = F.concat(F.lit("Of "), "people", F.lit(" people an address was found for "), "with_address", F.lit(" (verified for "), "with_verified", F.lit(")."))
+    checked = F.when(F.col("k") <= most, F.col("l")).otherwise(F.raise_error(F.lit(f"a request holds 1 to {most} people")))
+    return total.crossJoin(listed).select(F.array_join(F.concat(F.array(head), F.transform(checked, lambda x: x["line"])), "\n").alias("text"))
+
+
+def markdown_rows(people: DataFrame, ranked: DataFrame) -> DataFrame:
+    """person_id, line: a table row of rank, name, affiliation, address, status, source and attribution; the rank is the request's, or its person_id."""
+    best = ranked.where("rn = 1").select("person_id", "email", "verified", "source", "attribution")
+    rows = people.select("person_id", "name", "affiliation", (F.col("rank") if "rank" in people.columns else F.col("person_id")).alias("rank"))
+    status = F.when(F.col("email").isNull(), "-").when(F.col("verified"), "verified").otherwise("unverified")
+    cells = ["rank", "name", "affiliation", F.coalesce("email", F.lit("-")), status, F.coalesce(F.try_element_at(_label(), F.col("source")), F.lit("-")), F.coalesce("attribution", F.lit("-"))]
+    return rows.join(best, "person_id", "left").select("person_id", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
+
+
+def stage_log(stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """person_id, step, text: one line a person and stage, numbered from 1. stages: (name, (person_id, text)) in order; blank texts are left out."""
+    rows = [df.select("person_id", F.lit(k).alias("at"), F.concat(F.lit(f"{name} · "), "text").alias("text")).where("text is not null") for k, (name, df) in enumerate(stages)]
+    out = reduce(DataFrame.unionByName, rows)
+    return out.select("person_id", F.row_number().over(W.partitionBy("person_id").orderBy("at")).alias("step"), "text")
+
+
+def detail_table(people: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The flat table of findings: who, address, status, how verified, whence, document, attribution, quote of 200 characters at most."""
+    label = F.coalesce(F.try_element_at(_label(), F.col("source")), F.col("source"))
+    rows = people.select("person_id", "name", "affiliation").join(ranked, "person_id")
+    return rows.select("person_id", "rn", "name", "affiliation", "email", F.when(F.col("verified"), "verified").otherwise("unverified").alias("status"), "verification", label.alias("route"), "source_url", "document_id", "attribution", F.substring("snippet", 1, 200).alias("snippet"))
 
 
 def failure_reasons(tries: DataFrame, top: int = 3) -> DataFrame:
@@ -56,7 +138,24 @@ def responses(summary_rows: DataFrame) -> DataFrame:
     return summary_rows.select("person_id", F.to_json(F.struct("name", "affiliation", "status", "best", "verification", "others", F.lit(NOTICE).alias("notice"))).alias("json"))
 
 
-def write(tables: dict[str, DataFrame], path: str) -> None:
-    """Each table as Parquet under its name."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+def nested(answer_: DataFrame, table: DataFrame, card_rows: DataFrame, most: int = 50) -> DataFrame:
+    """One row, json: the answer, the table and the cards with their fields, order, links and highlights, and the notice. For one request, which holds `most` people at most."""
+    shown = lambda df: F.array_sort(F.collect_list(F.struct("person_id", *[c for c in df.columns if c != "person_id"])))
+    both = answer_.crossJoin(table.agg(shown(table).alias("t"), F.count(F.lit(1)).alias("k"))).crossJoin(card_rows.agg(shown(card_rows).alias("c")))
+    texts = lambda *values: F.array(*[F.lit(v) for v in values])
+    part = lambda df, rows, **more: F.struct(F.array(F.struct(texts(*[c for c in df.columns if c != "person_id"]).alias("order"), *[v.alias(k) for k, v in more.items()], rows.alias("rows"))).alias("data"))
+    checked = F.when(F.col("k") <= most, F.col("t")).otherwise(F.raise_error(F.lit(f"a request holds 1 to {most} people")))
+    email_table = part(table, checked, link=texts("emails", "sources", "ids"), highlight=texts("emails", "status"))
+    email_cards = part(card_rows, F.col("c"), title=F.lit("name"), subtitle=F.lit("affiliation"))
+    return both.select(F.to_json(F.struct(F.col("text").alias("answer"), email_table.alias("email_table"), email_cards.alias("email_cards"), F.lit(NOTICE).alias("notice"))).alias("json"))
+
+
+def write(tables: dict[str, DataFrame], path: str, run_date: str, kinds: tuple[str, ...] = ("parquet", "json", "csv")) -> None:
+    """Each table under its name and format, by date of the run, and the notice beside them; nested columns of CSV files are JSON."""
+    notice = next(iter(tables.values())).sparkSession.createDataFrame([(NOTICE,)], "notice string")
+    for name, df in (tables | {"notice": notice}).items():
+        dated = df.withColumn("run_date", F.lit(run_date))
+        flat = dated.select(*[F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in dated.dtypes])
+        for kind in kinds:
+            writer = (flat if kind == "csv" else dated).write.mode("overwrite").partitionBy("run_date").format(kind)
+            (writer.option("header", True) if kind == "csv" else writer).save(f"{path}/{kind}/{name}")

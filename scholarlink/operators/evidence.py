@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import name_tokens
-from ..functions.text import is_personal_mail
+from ..functions.orgs import host_of
+from ..functions.text import HEAD, SNIPPETS, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
 from .matching import match_domains, match_names
+from .proximity import attributed_by_proximity
 
 #: Routes by which evidence comes, in the order that decides between equal findings.
 ROUTES = ("record", "bibliography", "article", "preprint", "pdf", "html", "homepage")
@@ -84,6 +86,51 @@ def ranked(hits: DataFrame) -> DataFrame:
     return hits.withColumn("rn", F.row_number().over(place))
 
 
+def by_article(works: DataFrame, authors: DataFrame, names: DataFrame, source: str) -> DataFrame:
+    """Addresses that articles give for authors whose name can be the person's -> person_id, key, email, author, corresp, source.
+
+    works (person_id, key), authors (key, name, corresp, emails) as jats.author_emails() has them, names (person_id, name).
+    """
+    near = works.select("person_id", "key").distinct().join(authors.select("key", F.col("name").alias("author"), "corresp", F.explode("emails").alias("email")), "key").join(names, "person_id")
+    pairs = match_names(near.select("name"), near.select("author"), "name", "author")
+    hits = near.join(pairs, ["name", "author"]).groupBy("person_id", "key", "email", "author").agg(F.max("corresp").alias("corresp"))
+    return hits.withColumn("source", F.lit(source))
+
+
+def by_full_text(reads: DataFrame, documents: DataFrame, names: DataFrame) -> DataFrame:
+    """Addresses of documents that bear the person's name or stand next to it -> person_id, url, email, by ('account' or 'place'), source, snippet.
+
+    reads (person_id, url), documents (url, kind, text), names (person_id, names array). Only rows that no account rule settles
+    go through the proximity rule; the first 20 addresses of a document have a quote.
+    """
+    rows = reads.select("person_id", "url").distinct().join(documents.select("url", "kind", "text"), "url").join(names.select("person_id", "names"), "person_id")
+    each = rows.select("*", F.posexplode(extract_emails(F.col("text"))).alias("nth", "email")).withColumn("head", F.substring("text", 1, HEAD))
+    account = attributed_by_account(F.substring_index("email", "@", 1), F.col("names"))
+    each = each.withColumn("account", account)
+    settled = each.where("account").withColumn("by", F.lit("account"))
+    rest = each.where("not account").withColumn("by", F.lit("place")).where(F.expr("contains(lower(head), email)"))
+    rest = rest.where(attributed_by_proximity(F.col("head"), F.col("email"), F.col("names")))
+    quote = F.when(F.col("nth") < SNIPPETS, snippet(F.col("text"), F.col("email"))).otherwise("")
+    return settled.unionByName(rest).select("person_id", "url", "email", "by", F.when(F.col("kind") == "html", "html").otherwise("pdf").alias("source"), quote.alias("snippet"))
+
+
+def by_home_page(urls: DataFrame, pages: DataFrame, names: DataFrame, domains: DataFrame, most: int = 2) -> DataFrame:
+    """Addresses of a person's own pages: theirs by account or place, or a personal account on a page of an official domain -> person_id, url, email, by, source, snippet.
+
+    urls (person_id, pos, url) of which the first two count, pages (url, status, content_type, html), domains (person_id, domain).
+    """
+    first = urls.withColumn("r", F.row_number().over(W.partitionBy("person_id").orderBy("pos", "url"))).where(F.col("r") <= most)
+    read = pages.select("url", home_page_emails(F.col("status"), F.col("content_type"), F.col("html")).alias("emails"), page_head(F.col("html")).alias("head"))
+    rows = first.select("person_id", "url").join(read, "url").join(names.select("person_id", "names"), "person_id").withColumn("host", host_of(F.col("url")))
+    official = match_domains(rows.select("host"), domains.select("domain"), "host", "domain")
+    fits = rows.select("person_id", "host").distinct().join(domains, "person_id").join(official, ["host", "domain"]).select("person_id", "host").distinct().withColumn("official", F.lit(True))
+    each = rows.join(fits, ["person_id", "host"], "left").select("person_id", "url", "names", "head", "official", F.explode("emails").alias("email"))
+    local = F.substring_index("email", "@", 1)
+    by = F.when(attributed_by_account(local, F.col("names")), "account").when(F.col("near"), "place").when(F.col("official") & ~is_department(local), "page")
+    each = each.withColumn("near", attributed_by_proximity(F.col("head"), F.col("email"), F.col("names"))).withColumn("by", by).where("by is not null")
+    return each.select("person_id", "url", "email", "by", F.lit("homepage").alias("source"), snippet(F.col("head"), F.col("email")).alias("snippet"))
+
+
 def by_author(works: DataFrame, authors: DataFrame, names: DataFrame, source: str) -> DataFrame:
     """Addresses of the authors of a person's works whose name can be the person's -> person_id, key, email, source.
 

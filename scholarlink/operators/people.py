@@ -2,26 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.names import latin_name_forms, romanized
 from .matching import match_names
 
 
+def name_forms(people: DataFrame, surnames: Column, most: int = 16) -> DataFrame:
+    """(person_id, names array) -> person_id, form_rank, form, guessed: Latin forms of all names, or, where there is none, guesses for the first other name."""
+    printed = F.array_distinct(F.flatten(F.transform("names", latin_name_forms)))
+    other = F.get(F.filter("names", lambda n: n.rlike(r"[^\x00-\x7F]")), F.lit(0))
+    rows = people.select("person_id", printed.alias("printed"), other.alias("other"))
+    known = rows.where(F.size("printed") > 0).select("person_id", F.posexplode("printed").alias("form_rank", "form"), F.lit(False).alias("guessed"))
+    guess = rows.where((F.size("printed") == 0) & F.col("other").isNotNull()).select("person_id", F.posexplode(romanized(F.col("other"), surnames, most)).alias("form_rank", "form"), F.lit(True).alias("guessed"))
+    return known.unionByName(guess)
+
+
+def learnt_names(people: DataFrame, linked: DataFrame) -> DataFrame:
+    """(person_id, names) with the printed names (person_id, display_name) of the authors that a guessed form led to, each once, at the end."""
+    found = linked.groupBy("person_id").agg(F.array_sort(F.collect_set("display_name")).alias("learnt"))
+    return people.join(found, "person_id", "left").withColumn("names", F.array_distinct(F.concat("names", F.coalesce("learnt", F.array().cast("array<string>"))))).drop("learnt")
+
+
 def candidates(forms: DataFrame, authors: DataFrame, pairs: DataFrame, affiliations: DataFrame) -> DataFrame:
     """Authors that share a name and an institution with a person.
 
-    forms (person_id, form_rank, form), authors (author_id, display_name, works_count, topics array), affiliations
+    forms (person_id, form_rank, form), authors (author_id, display_name, works_count, topics array, and, if wanted, alternatives array, of which ten count), affiliations
     (author_id, institution, current), pairs (person_id, institution): the institutions that match the person's.
     -> person_id, author_id, display_name, works_count, topics, form_rank, current.
     """
-    same = match_names(forms.select("form"), authors.select("display_name"), "form", "display_name")
-    named = forms.join(same, "form").join(authors, "display_name").groupBy("person_id", "author_id", "display_name", "works_count", "topics").agg(F.min("form_rank").alias("form_rank"))
+    other = F.slice("alternatives", 1, 10) if "alternatives" in authors.columns else F.array().cast("array<string>")
+    spelled = authors.select("author_id", F.explode(F.array_distinct(F.concat(F.array("display_name"), F.coalesce(other, F.array().cast("array<string>"))))).alias("spelling"))
+    same = match_names(forms.select("form"), spelled.select("spelling"), "form", "spelling")
+    named = forms.join(same, "form").join(spelled, "spelling").join(authors, "author_id").groupBy("person_id", "author_id", "display_name", "works_count", "topics").agg(F.min("form_rank").alias("form_rank"))
     linked = named.join(affiliations, "author_id").join(pairs, ["person_id", "institution"])
     return linked.groupBy(*named.columns).agg(F.max("current").alias("current"))
 
 
+def on_topic(cands: DataFrame, terms: DataFrame) -> DataFrame:
+    """Candidates with topic_hit: a term of the person's field (person_id, terms) is part of a topic, or the other way round."""
+    hit = F.exists("terms", lambda t: F.exists("topics", lambda x: F.lower(x).contains(t) | t.contains(F.lower(x))))
+    return cands.join(terms, "person_id", "left").withColumn("topic_hit", F.coalesce(hit, F.lit(False))).drop("terms")
+
+
 def ordered(cands: DataFrame) -> DataFrame:
     """Candidates with rn: current ones first, then those on the person's topic, then by number of works."""
     place = W.partitionBy("person_id").orderBy(F.desc("current"), F.desc("topic_hit"), F.desc("works_count"), "form_rank", "author_id")
