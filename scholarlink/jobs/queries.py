@@ -555,9 +555,21 @@ def a4_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
-@query(f"select person_id, concat('- ', name, ' (', affiliation, '): ', coalesce(best, 'not found'), case when status = 'unverified' then ' [unverified]' else '' end) as line from ({SUMMARY})")
+BEST = f"select * from ({VERIFIED}) qualify row_number() over (partition by person_id order by verification in ('record', 'official domain') desc, strength, email, source) = 1"
+SURE = "case when verification in ('record', 'official domain') then 'verified' else 'unverified' end"
+ROUTE = "case source when 'pdf' then 'open document (PDF)' else 'open document (page)' end"
+
+
+@query(f"select p.person_id, concat('| ', p.person_id, ' | ', name, ' | ', affiliation, ' | ', coalesce(email, '-'), ' | ', case when email is null then '-' else {SURE} end, ' | ', case when email is null then '-' else {ROUTE} end, ' | ', case when email is null then '-' else concat('of strength ', strength) end, ' |') as line from ({sql('people')}) p left join ({BEST}) b on b.person_id = p.person_id")
 def a9_lines(spark, sf_dir):
-    return report.lines(_summary(spark, sf_dir))
+    hits = _hits(spark, sf_dir).withColumn("attribution", F.concat(F.lit("of strength "), "strength"))
+    return report.markdown_rows(table(spark, sf_dir, "people"), hits)
+
+
+@query(f"select p.person_id, concat('- ', name, ' (', affiliation, '): ', case when email is not null then concat(email, ' [', {SURE}, ' · ', {ROUTE}, ']') when o.domain is null then 'no address in open sources' else concat('no address in open sources · official domains ', o.domain) end) as line from ({sql('people')}) p left join ({BEST}) b on b.person_id = p.person_id left join ({sql('domains')}) o on o.person_id = p.person_id")
+def a6_answer_lines(spark, sf_dir):
+    domains = table(spark, sf_dir, "domains").select("person_id", F.lit(0).alias("place"), "domain", F.array(F.lit("registry")).alias("sources"))
+    return report.answer_lines(table(spark, sf_dir, "people"), _hits(spark, sf_dir), report.domain_lists(domains))
 
 
 @query(f"select person_id, row_number() over (partition by person_id order by verification in ('record', 'official domain') desc, strength, email, source) as rn, case when verification in ('record', 'official domain') then email else concat(email, ' (unverified)') end as address, concat('mailto:', email) as link, case source when 'pdf' then 'open document (PDF)' else 'open document (page)' end as route, verification from ({VERIFIED})")
@@ -673,3 +685,40 @@ def _bibliography() -> str:
 def j8_bibliographic_evidence(spark, sf_dir):
     authors = spark.sql(_bibliography(), orders=_read(spark, sf_dir, "orders"), customer=_read(spark, sf_dir, "customer"))
     return evidence.by_author(_works(spark, sf_dir), authors, table(spark, sf_dir, "people").select("person_id", "name"), "bibliography")
+
+
+# ---- records, forms and employers
+
+
+@query(f"select person_id, i as form_rank, form, false as guessed from (select person_id, unnest(l) as form, unnest(range(len(l))) as i from (select person_id, string_split(forms, '|') as l from ({_forms_sql()})))")
+def n7_name_forms(spark, sf_dir):
+    asked = table(spark, sf_dir, "people").select("person_id", F.array("name").alias("names"))
+    return people.name_forms(asked, F.create_map().cast("map<string,array<string>>")).withColumn("form_rank", F.col("form_rank").cast("long"))
+
+
+@query(f"select distinct o_custkey as person_id, regexp_replace(split_part(website, '/', 3), '^www\\.', '') as domain, 'employment' as source from orders join ({sql('orgs')}) on org_id = o_orderkey % 97 + 1 where o_orderkey % 3 > 0")
+def j6_employer_domains(spark, sf_dir):
+    from ..operators import affiliations
+
+    jobs = _read(spark, sf_dir, "orders").selectExpr("o_custkey as person_id", "cast(o_orderkey % 97 + 1 as string) as org_id", "if(o_orderkey % 3 > 0, 'ROR', 'other') as id_source", "o_orderkey % 2 = 0 as current")
+    registry = table(spark, sf_dir, "orgs").select(F.col("org_id").cast("string").alias("ror"), F.array(O.host_of(F.col("website"))).alias("domains"))
+    return affiliations.employer_domains(jobs, registry)
+
+
+@query("select o_orderkey as record_id, unnest(case when o_orderkey % 4 = 0 then [0] else [0, 1] end) as pos, unnest(case when o_orderkey % 4 = 0 then [concat('10.9/a', o_custkey)] else [concat('10.9/a', o_custkey), concat('10.9/b', o_orderkey % 4)] end) as doi from orders")
+def s4_record_dois(spark, sf_dir):
+    number = F.concat(F.lit("10.9/A"), "o_custkey")
+    one = lambda kind, v: F.struct(F.lit(kind).alias("kind"), v.alias("value"))
+    last = F.when(F.col("o_orderkey") % 4 == 0, F.lower(number)).otherwise(F.concat(F.lit("10.9/b"), F.col("o_orderkey") % 4))
+    raw = _read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("record_id"), F.array(one("doi", F.concat(F.lit("https://doi.org/"), number)), one("isbn", F.lit("7")), one("DOI", last)).alias("ids"))
+    return records.record_dois(raw)
+
+
+@query(f"select person_id as doi, 0 as pos, name as author, concat('Lab of ', affiliation, ', ', email) as affiliation, email, concat('https://europepmc.org/abstract/MED/', person_id) as url from ({sql('hits')}) join ({sql('people')}) using (person_id) where source = 'html'")
+def s8_bibliography(spark, sf_dir):
+    both = table(spark, sf_dir, "hits").where("source = 'html'").join(table(spark, sf_dir, "people"), "person_id")
+    author = lambda name, *affils: F.struct(name.alias("name"), F.array(*affils).alias("affiliations"))
+    authors = F.array(author(F.col("name"), F.concat(F.lit("Lab of "), "affiliation", F.lit(", "), "email")), author(F.lit("No Address"), F.lit("Lab")))
+    result = lambda pmid: F.struct(pmid.alias("pmid"), authors.alias("authors"))
+    raw = both.select(F.col("person_id").alias("doi"), F.array(result(F.col("person_id").cast("string")), result(F.lit("0"))).alias("results"))
+    return records.flatten_bibliography(raw).select("doi", "pos", "author", "affiliation", F.col("emails")[0].alias("email"), "url")
