@@ -85,21 +85,25 @@ def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The most frequent n-grams of all documents, sorted, and about how many documents have each."""
 
     def count(batches):
-        held, size = [], 0
+        held, size = np.empty(CHUNK, np.uint64), 0
 
-        def flush():
-            g, k = np.unique(np.concatenate(held), return_counts=True)
-            again = k > 1
-            return pa.RecordBatch.from_arrays([pa.array(_signed(g[again])), pa.array(k[again].astype(np.int64))], names=["g", "k"])
+        def flush():  # in place: a run of equal neighbours is an n-gram found again
+            g = held[:size]
+            g.sort()
+            edge = np.flatnonzero(np.diff(g[1:] == g[:-1], prepend=False, append=False))
+            return pa.RecordBatch.from_arrays([pa.array(_signed(g[edge[::2]])), pa.array(edge[1::2] - edge[::2] + 1)], names=["g", "k"])
 
         for b in batches:
             for text in b.column(0):
-                held.append(grams(text.as_py(), n))
-                size += len(held[-1])
-                if size >= CHUNK:
-                    yield flush()
-                    held, size = [], 0
-        if held:
+                g = grams(text.as_py(), n)
+                while len(g):
+                    part = g[: CHUNK - size]
+                    held[size : size + len(part)] = part
+                    size, g = size + len(part), g[len(part) :]
+                    if size == CHUNK:
+                        yield flush()
+                        size = 0
+        if size:
             yield flush()
 
     seen = only(docs, "text").mapInArrow(count, StructType(fields(g="long", k="long"))).groupBy("g").agg(F.sum("k").alias("k")).where(F.col("k") >= LEAST)
@@ -250,7 +254,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 g = grams(b.column(1)[k].as_py(), n)
                 c = signature(g)
                 if len(g) and c not in done:
-                    if len(done) > 1_000_000:
+                    if len(done) > 100_000:
                         done.clear()
                     done.add(c)
                     out.append((*c, _signed(g)))
