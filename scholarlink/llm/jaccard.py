@@ -241,7 +241,7 @@ def _filter(wanted: DataFrame) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
-    """(c, grams) of the classes in wanted (c, t, c1, c2); only texts whose hash the filter has are cut into n-grams."""
+    """(c, c1, c2, grams) of the classes in wanted (c, t, c1, c2), dealt by c1 and c2; only texts whose hash the filter has are cut into n-grams."""
     picked = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
     schema = StructType(fields(c1="long", c2="long", grams="longs"))
 
@@ -263,7 +263,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=schema.names)
 
     found = docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema)
-    return found.join(wanted.select("c", "c1", "c2"), ["c1", "c2"]).dropDuplicates(["c"]).select("c", "grams")
+    return found.dropDuplicates(["c1", "c2"]).join(wanted.select("c", "c1", "c2"), ["c1", "c2"]).select("c", "c1", "c2", "grams")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, percent: int, name: str) -> DataFrame | None:
@@ -272,9 +272,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, n: int, per
     if pairs.isEmpty():
         return None
     wanted = stash(classes.select("c", "t", "c1", "c2").join(pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct(), "c", "left_semi"), f"{name}-wanted")
-    sets = _sets(docs, wanted, n)  # both joins read one exchange of it
-    side = lambda x: sets.select(F.col("c").alias(x), F.col("grams").alias(f"grams_{x}"))
-    found = pairs.join(side("a"), "a").join(side("b"), "b").where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("need"))
+    sets = _sets(docs, wanted, n)  # both joins read one exchange of it, since the pairs come by the classes' hashes
+    for x in "ab":
+        pairs = pairs.join(wanted.select(F.col("c").alias(x), F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2")), x)
+    side = lambda x: sets.select(F.col("c1").alias(f"{x}1"), F.col("c2").alias(f"{x}2"), F.col("grams").alias(f"grams_{x}"))
+    found = pairs.join(side("a"), ["a1", "a2"]).join(side("b"), ["b1", "b2"]).where(F.size(F.array_intersect("grams_a", "grams_b")) >= F.col("need"))
     return stash(found.select("a", "b"), f"{name}-links")
 
 
