@@ -70,6 +70,33 @@ def test_line_dedup(corpus, empty):
     assert runs and all(r.n_lines >= 1 for r in runs)
 
 
+@pytest.mark.parametrize("least", [1, 3, 5])
+def test_line_dedup_of_any_least_run(spark, least):
+    rng = random.Random(least)
+    rows = [(k, "\n".join(rng.choices("abc", [6, 3, 1], k=rng.randint(1, 30)))) for k in range(25)]
+    first, want = {}, {}
+    for i, t in rows:
+        w, gone = t.split("\n"), set()
+        for k in range(len(w) - least + 1):
+            if first.setdefault(tuple(w[k : k + least]), (i, k)) != (i, k):
+                gone |= set(range(k, k + least))
+        want[i] = "\n".join(x for k, x in enumerate(w) if k not in gone)
+    out = line_dedup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), min_lines=least).collect()
+    assert {r.doc_id: r.text for r in out} == want
+    text = {i: t.split("\n") for i, t in rows}
+    for r in out:
+        assert sum(x.n_lines for x in r.runs or []) == r.n_removed
+        for x in r.runs or []:
+            assert text[r.doc_id][x.start : x.start + x.n_lines] == text[x.source_doc_id][x.source_line : x.source_line + x.n_lines]
+
+
+def test_line_dedup_of_long_runs_grows_with_the_lines(spark):
+    same = "\n".join(f"line {k}" for k in range(20_000))
+    out = {r.doc_id: r for r in line_dedup.drop_repeated_lines(spark.createDataFrame([(1, same), (2, same + "\nend")], "doc_id long, text string")).collect()}
+    assert out[1].n_removed == 0 and out[2].text == "end"
+    assert [tuple(x) for x in out[2].runs] == [(0, 20_000, 1, 0)]
+
+
 def test_long_single_lines_and_whole_documents_go(spark, empty):
     import corpus_pipeline
 
