@@ -1,10 +1,13 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest, in DataFrame operations only.
 
 A candidate is a run of 16 or more letters, digits and + / _ -, or a value of 8 or more of these and ! @ # $ % ^ & * ? ~ that
-directly follows a credential's name and an assignment, so that short passwords are looked at as well. Its features are its length, how often its letters change
-between lower case, upper case, digits and signs, how much of it dictionary words cover, whether it looks like part of a path,
-and what its neighbouring words are: a name that credentials go by, an equals sign, a quotation mark. The dictionary
-holds the words of four to eight letters that at least `common` documents have, with candidates or without.
+directly follows a credential's name and an assignment, so that short passwords are looked at as well. Its features are its length, its transitions: how often
+it changes between lower case, upper case, digits and signs, by kind of change, and how unlikely its pairs of letters are after
+the words of the dictionary; then how much of it dictionary words cover, whether it looks like part of a path, and what its
+neighbouring words are: a name that credentials go by, an equals sign, a quotation mark. The dictionary holds the words of four
+to eight letters that at least `common` documents have, with candidates or without.
+
+Pieces of a candidate go by a 128-bit hash of it, not with the candidate, so a long one costs no more than its length.
 
 The forest is trained on labelled findings (candidate features and is_secret), on about `sample` of them picked by a hash.
 
@@ -15,6 +18,8 @@ Without findings of both kinds no forest can be grown; every candidate then keep
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -31,8 +36,10 @@ KEYS = r"(?i)(token|secret|passw(or)?d|pwd|api_?key|access_?key|credential|auth)
 #: Where the value assigned to such a name begins; the short test of the first look-behind spares most places the second.
 VALUE = r"(?<=[=:]\s{0,3}[\"']?)(?<=" + KEYS.replace("(?i)(", "(?i:", 1) + r"\S{0,20}\s{0,3}[=:]\s{0,3}[\"']?)"
 CANDIDATE = rf"(?<!{RUN})(?:{VALUE}[A-Za-z0-9+/_\-!@#$%^&*?~]{{8,}}+|{RUN}{{16,}}+)"
-FEATURES = ["length", "digits", "upper", "changes", "distinct", "covered", "path", "key", "assigned", "quoted"]
+FEATURES = ["length", "digits", "upper", "changes", "rises", "to_digit", "from_digit", "unlikely", "distinct", "covered", "path", "key", "assigned", "quoted"]
 GRAMS = range(4, 9)
+#: What a pair of letters costs that the dictionary doesn't have; no pair costs more.
+UNSEEN = 12.0
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -52,10 +59,18 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame, common: int = 20) -> DataFrame:
-    """(word): the lower-cased words of four to eight letters in at least `common` documents of the whole table."""
+    """(word, count): the lower-cased words of four to eight letters in at least `common` documents of the whole table."""
     word = rf"(?<!\p{{L}})\p{{L}}{{{GRAMS[0]},{GRAMS[-1]}}}+(?!\p{{L}})"
     words = only(docs, "text").select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(word), F.lit(0)))).alias("word"))
-    return words.groupBy("word").count().where(F.col("count") >= common).select("word")
+    return words.groupBy("word").count().where(F.col("count") >= common)
+
+
+def transitions(words: DataFrame) -> DataFrame:
+    """(pair, cost): minus the logarithm of how probable the second of two letters a-z is after the first; 676 rows at most."""
+    pair = F.explode(F.regexp_extract_all("word", F.lit("(?=([a-z]{2}))"), F.lit(1)))
+    pairs = words.select(pair.alias("pair"), "count").groupBy("pair").agg(F.sum("count").alias("n"))
+    after = F.sum("n").over(W.partitionBy(F.left("pair", F.lit(1))))
+    return pairs.select("pair", F.least(F.log(after / F.col("n")), F.lit(UNSEEN)).alias("cost"))
 
 
 def _share(pattern: str) -> Column:
@@ -64,21 +79,26 @@ def _share(pattern: str) -> Column:
 
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     """candidates with FEATURES."""
-    grams = None
-    distinct = found.select("candidate").distinct()
-    for n in GRAMS:
-        at = distinct.select("candidate", F.explode(F.sequence(F.lit(1), F.greatest(F.length("candidate") - (n - 1), F.lit(1)))).alias("at"))
-        part = at.select("candidate", "at", F.lit(n).alias("n"), F.lower(F.substring("candidate", F.col("at"), F.lit(n))).alias("word"))
-        grams = part if grams is None else grams.unionByName(part)
-    hit = grams.join(words, "word").select("candidate", F.explode(F.sequence("at", F.col("at") + F.col("n") - 1)).alias("at")).distinct()
-    covered = hit.groupBy("candidate").agg(F.count(F.lit(1)).alias("n"))
-    known = found.join(covered, "candidate", "left")
+    code = F.unhex(F.md5(F.col("candidate").cast("binary")))
+    found = found.withColumn("_code", code)
+    distinct = found.select("_code", F.lower("candidate").alias("c")).dropDuplicates(["_code"])
+    pieces = lambda n: distinct.select("_code", F.posexplode(F.regexp_extract_all("c", F.lit(f"(?=(.{{{n}}}))"), F.lit(1))).alias("at", "word")).where(F.col("word").rlike("^[a-z]+$"))
+    grams = reduce(DataFrame.unionByName, [pieces(n) for n in GRAMS])
+    hit = grams.join(words.select("word"), "word").select("_code", F.explode(F.sequence("at", F.col("at") + F.length("word") - 1)).alias("at")).distinct()
+    covered = hit.groupBy("_code").agg(F.count(F.lit(1)).alias("n"))
+    costs = pieces(2).join(F.broadcast(transitions(words)), F.col("word") == F.col("pair"), "left")
+    costs = costs.groupBy("_code").agg(F.avg(F.coalesce("cost", F.lit(UNSEEN))).alias("cost"))
+    known = found.join(covered, "_code", "left").join(costs, "_code", "left")
     return known.select(
-        *found.columns,
+        *[c for c in found.columns if c != "_code"],
         F.length("candidate").cast("double").alias("length"),
         _share("[0-9]").alias("digits"),
         _share("[A-Z]").alias("upper"),
         _share("(?=[a-z][^a-z]|[A-Z][^A-Z]|[0-9][^0-9]|[+/_-][^+/_-])").alias("changes"),
+        _share("(?<=[a-z])[A-Z]").alias("rises"),
+        _share("(?<=[A-Za-z])[0-9]").alias("to_digit"),
+        _share("(?<=[0-9])[A-Za-z]").alias("from_digit"),
+        F.coalesce("cost", F.lit(UNSEEN)).alias("unlikely"),
         (F.size(F.array_distinct(F.split("candidate", ""))) / F.length("candidate")).alias("distinct"),
         (F.least(F.coalesce("n", F.lit(0)), F.length("candidate")) / F.length("candidate")).alias("covered"),
         (_share("/") + F.col("before").rlike(r"[./\\]$").cast("double")).alias("path"),
@@ -122,6 +142,6 @@ def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float =
 
     findings are labelled candidates with FEATURES; without any, those that rule_labels() gives to three quarters of the documents.
     """
-    found = stash(featured(stash(candidates(docs), "candidates"), dictionary(docs)), "features")
+    found = stash(featured(stash(candidates(docs), "candidates"), stash(dictionary(docs), "dictionary")), "features")
     labelled = rule_labels(found.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)) if findings is None else findings
     return score(found, train(labelled)).select("doc_id", "nth", "start", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))

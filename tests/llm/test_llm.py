@@ -390,6 +390,26 @@ def test_secrets(spark, corpus, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_features_of_candidates(spark):
+    common = ["harbour", "meadow", "lantern"]
+    docs = spark.createDataFrame([(k, " ".join(common)) for k in range(20)] + [(20, "see harbour/meadow-0x1/lantern and Zq9Zq9xxZQqzqxj7Kv and 0123456789012345")], "doc_id long, text string")
+    words = secrets.dictionary(docs)
+    cost = {r.pair: r.cost for r in secrets.transitions(words).collect()}
+    assert cost["ha"] == 0 and abs(cost["rn"] - np.log(2)) < 1e-9  # after r, n once and nothing else but the end: b, o, n ...
+    found = {r.candidate: r for r in secrets.featured(secrets.candidates(docs), words).collect()}
+    path, odd, digits = found["harbour/meadow-0x1/lantern"], found["Zq9Zq9xxZQqzqxj7Kv"], found["0123456789012345"]
+    assert path.covered == (7 + 6 + 7) / 26 and odd.covered == digits.covered == 0
+    assert path.unlikely < 2 < odd.unlikely == digits.unlikely == secrets.UNSEEN
+    assert odd.to_digit == 3 / 18 and odd.from_digit == 3 / 18 and odd.rises == 1 / 18 and digits.changes == 0
+
+
+def test_secrets_of_a_megabyte(spark):
+    long_ = "".join(random.Random(3).choices("abcdefghijklmnopqrstuvwxyzABCDEF0123456789+/", k=1_000_000))
+    docs = spark.createDataFrame([(1, f"data:{long_} end")] + [(k, "harbour meadow") for k in range(2, 30)], "doc_id long, text string")
+    found = secrets.scan(docs).collect()
+    assert [(r.doc_id, r.start, r.candidate == long_) for r in found] == [(1, 5, True)]
+
+
 def test_dictionary_counts_documents_without_candidates(spark):
     rows = [(k, "Harbour meadow harbour, straßen; considerations") for k in range(19)] + [(19, "harbour straßen " + "0a" * 20), (20, "meadows"), (21, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
