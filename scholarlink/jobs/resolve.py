@@ -11,7 +11,7 @@ Snapshot tables (any but authors and registry may be missing):
   bibliography      doi, author, email; articles: doi, source ('article' or 'preprint'), xml
   documents         url, status, content_type, kind, text; pages: url, status, content_type, html
 
-Tables that several later steps read are checkpointed, so that no step plans or runs all those before it again.
+Tables that several later steps read are written to the shared folder, so that no step plans or runs all those before it again.
 
 An address is reported only with the place where it was printed and the reason why it is this person's; none is composed.
 """
@@ -31,6 +31,7 @@ from ..operators import evidence as E
 from ..operators import people as P
 from ..operators import works as K
 from ..operators.matching import match_names, match_orgs
+from ..operators.store import settle
 from ..sources.jats import author_emails, parse_jats
 from ..sources.records import match_company
 from . import report
@@ -74,7 +75,7 @@ def _linked(people: DataFrame, forms: DataFrame, aff_names: DataFrame, t: dict[s
     cands = P.candidates(forms.select("person_id", "form_rank", "form"), authors, near, t["author_affiliations"])
     cands = cands.join(forms.select("person_id", "guessed").distinct(), "person_id")
     cands = P.stop_forms(cands.where("guessed")).unionByName(cands.where("not guessed"))
-    cands = P.on_topic(cands, people.select("person_id", field_terms(F.col("field")).alias("terms"))).checkpoint()
+    cands = settle(P.on_topic(cands, people.select("person_id", field_terms(F.col("field")).alias("terms"))))
     decided = P.decide(cands)
     unique = decided.where("unique").withColumn("rn", F.lit(1))
     ranked = P.ordered(cands.join(unique.select("person_id"), "person_id", "left_anti"))
@@ -119,25 +120,25 @@ def resolve(people: DataFrame, snapshot: dict[str, DataFrame], surnames: Column
     t = {k: snapshot.get(k, spark.createDataFrame([], s)) for k, s in SCHEMAS.items()}
     variants = F.col("name_variants") if "name_variants" in people.columns else F.array().cast("array<string>")
     names = people.select("person_id", F.filter(F.array_distinct(F.concat(F.array("name"), F.coalesce(variants, F.array().cast("array<string>")))), lambda n: n != "").alias("names"))
-    forms = P.name_forms(names, surnames if surnames is not None else F.create_map().cast("map<string,array<string>>")).checkpoint()
+    forms = settle(P.name_forms(names, surnames if surnames is not None else F.create_map().cast("map<string,array<string>>")))
 
     affils = people.select("affiliation").distinct()
     company = match_company(affils, t["companies"]).select("affiliation", "english_name", "website")
-    expanded = A.expand(affils, company, A.pick_entity(t["entities"], t["entity_sites"], t["groups"]), t["registry"], t["institutions"], t["groups"]).checkpoint()
+    expanded = settle(A.expand(affils, company, A.pick_entity(t["entities"], t["entity_sites"], t["groups"]), t["registry"], t["institutions"], t["groups"]))
     wide = people.select("person_id", "affiliation").join(expanded, "affiliation")
-    aff_names = wide.select("person_id", F.explode(F.concat(F.array("affiliation"), "names")).alias("affil_name")).checkpoint()
+    aff_names = settle(wide.select("person_id", F.explode(F.concat(F.array("affiliation"), "names")).alias("affil_name")))
 
-    linked, cands = (df.checkpoint() for df in _linked(people, forms, aff_names, t))
+    linked, cands = (settle(df) for df in _linked(people, forms, aff_names, t))
     names = P.learnt_names(names, linked.where("guessed"))
     each_name = names.select("person_id", F.explode("names").alias("name"))
-    records = _records(people, forms, linked, aff_names, t).checkpoint()
+    records = settle(_records(people, forms, linked, aff_names, t))
     jobs = records.join(t["record_employments"], "record_id")
     official = A.official_domains(expanded).join(people.select("person_id", "affiliation"), "affiliation").select("person_id", "domain", "sources", F.lit(0).alias("by"))
     employer = A.employer_domains(jobs, t["registry"]).select("person_id", "domain", F.array("source").alias("sources"), F.lit(1).alias("by"))
     all_domains = official.unionByName(employer)
     domains = all_domains.select("person_id", "domain").distinct()
 
-    works = _works(people, linked, records, t).checkpoint()
+    works = settle(_works(people, linked, records, t))
     first = K.first_with_doi(works).select("person_id", "key")
     doi = F.concat(F.lit("https://doi.org/"), F.col("key"))
     own = records.join(t["record_emails"], "record_id").withColumn("source", F.lit("record"))
@@ -147,14 +148,14 @@ def resolve(people: DataFrame, snapshot: dict[str, DataFrame], surnames: Column
     for nth, kind in enumerate(("article", "preprint")):
         parsed = author_emails(parse_jats(wanted.where(F.col("source") == kind).select(F.col("key").alias("doc_id"), "xml"))).withColumnRenamed("doc_id", "key")
         routes.append(_hits(E.by_article(first, parsed, each_name, kind), 2 + nth, doi, F.col("key"), F.concat(F.lit("author tag '"), "author", F.lit("'"), F.when(F.col("corresp"), " (corresponding)").otherwise(""))))
-    early = reduce(DataFrame.unionByName, routes).checkpoint()
+    early = settle(reduce(DataFrame.unionByName, routes))
     verified = E.verify(early, domains).where("verified").groupBy("person_id").agg(F.count(F.lit(1)).alias("earlier"))
 
     place = works.join(K.one_address(t["locations"]), "work_id").select("person_id", "place", "key", "url")
     tries = place.join(t["documents"].select("url", "status"), "url").withColumn("ok", F.col("status") == 200)
     reads = K.within_budget(tries).where("ok")
     texts = E.by_full_text(reads, t["documents"], names).join(reads.select("person_id", "url", "key", "place"), ["person_id", "url"])
-    texts = _hits(texts.withColumn("document", F.col("key")), 4, F.col("url"), F.col("key"), F.when(F.col("by") == "account", "bears the name").otherwise("stands next to the name")).withColumn("url", F.col("source_url")).checkpoint()
+    texts = settle(_hits(texts.withColumn("document", F.col("key")), 4, F.col("url"), F.col("key"), F.when(F.col("by") == "account", "bears the name").otherwise("stands next to the name")).withColumn("url", F.col("source_url")))
     good = E.verify(texts.drop("url"), domains).where("verified").groupBy("person_id", F.col("source_url").alias("url")).agg(F.count(F.lit(1)).alias("verified"))
     counted = reads.join(good, ["person_id", "url"], "left").join(verified, "person_id", "left").fillna(0, ["verified", "earlier"])
     kept = K.early_stop(counted).select("person_id", "url")
@@ -163,7 +164,7 @@ def resolve(people: DataFrame, snapshot: dict[str, DataFrame], surnames: Column
     shown = F.when(F.col("by") == "account", "bears the name").when(F.col("by") == "place", "stands next to the name").otherwise("on the person's own page")
     home = _hits(home, 5, F.col("url"), F.col("url"), shown, F.when(F.col("by") == "page", 2).otherwise(0))
     hits = E.union_routes(early, texts.join(kept, ["person_id", "url"], "left_semi").select(*HITS), home.select(*HITS))
-    hits = E.once_per_source(hits).checkpoint()
+    hits = settle(E.once_per_source(hits))
 
     checked = E.verify(hits, domains)
     pages = t["pages"].where("status = 200").select(host_of(F.col("url")).alias("host"), F.lower("html").alias("text"), F.regexp_extract("url", "(?i)^https?://[^/]+/?$", 0).alias("root")).where("root != ''").drop("root")
@@ -171,10 +172,10 @@ def resolve(people: DataFrame, snapshot: dict[str, DataFrame], surnames: Column
     confirmed = E.confirm_by_page(checked, pages, ordered_names).groupBy("person_id", "email").agg(F.min("name").alias("page_name"))
     checked = checked.join(confirmed, ["person_id", "email"], "left").withColumn("now", (F.col("verification") == "no domain") & F.col("page_name").isNotNull())
     checked = checked.withColumn("verified", F.col("verified") | F.col("now")).withColumn("verification", F.when(F.col("now"), "domain's own page").otherwise(F.col("verification")))
-    evidence = E.ranked(checked.drop("now", "page_name")).checkpoint()
+    evidence = settle(E.ranked(checked.drop("now", "page_name")))
     new = confirmed.select("person_id", F.substring_index("email", "@", -1).alias("domain"), F.array(F.lit("own page")).alias("sources"), F.lit(2).alias("by")).distinct()
     merged = all_domains.unionByName(new).groupBy("person_id", "domain").agg(F.array_sort(F.collect_list(F.struct("by", "sources"))).alias("x"))
-    domain_rows = merged.select("person_id", "domain", F.array_distinct(F.flatten(F.transform("x", lambda y: y["sources"]))).alias("sources"), F.col("x")[0]["by"].alias("place")).checkpoint()
+    domain_rows = settle(merged.select("person_id", "domain", F.array_distinct(F.flatten(F.transform("x", lambda y: y["sources"]))).alias("sources"), F.col("x")[0]["by"].alias("place")))
 
     ids = records.select("person_id", F.lit("record").alias("kind"), F.col("record_id").alias("url")).unionByName(linked.where("unique").select("person_id", F.lit("author").alias("kind"), F.col("author_id").alias("url"))).unionByName(wide.where("ror is not null").select("person_id", F.lit("registry").alias("kind"), F.col("ror").alias("url")))
     listed = lambda df, c, text: df.groupBy("person_id").agg(F.array_sort(F.collect_set(c)).alias("l")).select("person_id", text.alias("text"))

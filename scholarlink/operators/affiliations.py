@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.orgs import expand_abbreviations, host_of
 from .matching import canonical, match_orgs
+from .store import settle
 
 # Words by which a description shows an organisation.
 ORG_CUES = "compan|corporat|enterprise|manufactur|university|institute|research|laborator|organi[sz]ation|agency|hospital|foundation|school|college|academy|conglomerate|business|firm"
@@ -44,15 +45,15 @@ def expand(affiliations: DataFrame, companies: DataFrame, entities: DataFrame, r
     own = affiliations.select("affiliation").where("affiliation != ''").distinct()
     part = lambda df, rank, name: df.select("affiliation", F.lit(rank).alias("rank"), F.col(name).alias("seed"))
     seeds = [part(own.withColumn("n", F.col("affiliation")), 0, "n"), part(companies, 1, "english_name"), part(entities, 2, "label"), part(own.withColumn("n", expand_abbreviations(F.col("affiliation"))), 3, "n")]
-    seeds = reduce(DataFrame.unionByName, seeds).where("seed != ''").groupBy("affiliation", "seed").agg(F.min("rank").alias("rank"))
+    seeds = settle(reduce(DataFrame.unionByName, seeds).where("seed != ''").groupBy("affiliation", "seed").agg(F.min("rank").alias("rank")))
 
     spelled = registry.select("ror", F.lit(0).alias("kind"), F.col("display_name").alias("name")).unionByName(registry.select("ror", F.lit(1).alias("kind"), F.explode("names").alias("name")))
     same = match_orgs(seeds.select("seed"), spelled.select("name"), "seed", "name", groups, strict=True)
     record = seeds.join(same, "seed").join(spelled, "name").groupBy("affiliation").agg(F.min(F.struct("rank", "kind", "ror")).alias("x")).select("affiliation", "x.ror")
-    record = record.join(registry, "ror")
+    record = settle(record.join(registry, "ror"))
     same = match_orgs(seeds.select("seed"), institutions.select("display_name"), "seed", "display_name", groups, strict=True)
     place = seeds.join(same, "seed").join(institutions.select("institution_id", "display_name"), "display_name").groupBy("affiliation").agg(F.min(F.struct("rank", "institution_id")).alias("x")).select("affiliation", "x.institution_id")
-    place = place.join(institutions, "institution_id")
+    place = settle(place.join(institutions, "institution_id"))
 
     every = lambda df, rank: df.select("affiliation", F.lit(rank).alias("rank"), F.posexplode(F.concat(F.array("display_name"), F.coalesce("names", F.array().cast("array<string>")))).alias("pos", "name"))
     one = lambda df, rank, name: df.select("affiliation", F.lit(rank).alias("rank"), F.lit(0).alias("pos"), F.col(name).alias("name"))

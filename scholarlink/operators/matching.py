@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import name_keys, same_person, with_nfkc
 from ..functions.orgs import accepted_domains, acronym, core_key, org_key, org_tokens, same_tokens, suffixes
+from .store import settle
 
 
 def match_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
@@ -37,8 +38,8 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, groups: DataFr
     key, a group key of four letters or more within the other's, or content words equal to those of an alias.
     """
     side = lambda df, c: canonical(df.select(c).where(F.col(c).isNotNull()).distinct(), c, groups).where("canonical != ''")
-    x = with_nfkc(side(left, a), a, "na").withColumnRenamed("canonical", "ka").withColumn("ta", org_tokens(F.col("na")))
-    y = with_nfkc(side(right, b), b, "nb").withColumnRenamed("canonical", "kb").withColumn("tb", org_tokens(F.col("nb")))
+    x = settle(with_nfkc(side(left, a), a, "na").withColumnRenamed("canonical", "ka").withColumn("ta", org_tokens(F.col("na"))))
+    y = settle(with_nfkc(side(right, b), b, "nb").withColumnRenamed("canonical", "kb").withColumn("tb", org_tokens(F.col("nb"))))
     found = x.join(y, x["ka"] == y["kb"]).select(a, b)
     by_words = lambda x, y: x.join(y, core_key(F.col("ta")) == core_key(F.col("tb"))).where(same_tokens(F.col("ta"), F.col("tb")))
     found = found.unionByName(by_words(x, y).select(a, b))
@@ -51,7 +52,7 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, groups: DataFr
             pieces = F.flatten(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length(m))), lambda n: F.transform(F.sequence(F.lit(1), F.length(m) - n + 1), lambda i: F.substring(F.col(m), i, n))))
             cut = q.where(F.length(m) >= 4).withColumn("head", F.explode(F.array_distinct(pieces)))
             found = found.unionByName(head.join(cut, "head").where(F.col(m).contains(F.col(k))).select(a, b))
-        names = with_nfkc(canonical(groups.select("name"), "name", groups).select("name", "canonical"), "name", "composed")
+        names = settle(with_nfkc(canonical(groups.select("name"), "name", groups).select("name", "canonical"), "name", "composed"))
         for p, q, k, n in ((x, y, "ka", a), (y, x, "kb", b)):
             t = "ta" if k == "ka" else "tb"
             other = p.join(names, p[k] == names["canonical"]).where(F.col("name") != F.col(n)).withColumn(t, org_tokens(F.col("composed")))
