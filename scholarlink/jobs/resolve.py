@@ -146,7 +146,7 @@ def resolve(people: DataFrame, snapshot: dict[str, DataFrame], surnames: Column
     routes.append(_hits(E.by_author(first, t["bibliography"].select(F.col("doi").alias("key"), "author", "email"), each_name, "bibliography"), 1, doi, F.col("key"), F.lit("author of the record")))
     wanted = t["articles"].withColumn("key", F.col("doi")).join(first.select("key").distinct(), "key", "left_semi").where("source != 'preprint' or startswith(key, '10.1101/')")
     for nth, kind in enumerate(("article", "preprint")):
-        parsed = author_emails(parse_jats(wanted.where(F.col("source") == kind).select(F.col("key").alias("doc_id"), "xml"))).withColumnRenamed("doc_id", "key")
+        parsed = author_emails(settle(parse_jats(wanted.where(F.col("source") == kind).select(F.col("key").alias("doc_id"), "xml")))).withColumnRenamed("doc_id", "key")
         routes.append(_hits(E.by_article(first, parsed, each_name, kind), 2 + nth, doi, F.col("key"), F.concat(F.lit("author tag '"), "author", F.lit("'"), F.when(F.col("corresp"), " (corresponding)").otherwise(""))))
     early = settle(reduce(DataFrame.unionByName, routes))
     verified = E.verify(early, domains).where("verified").groupBy("person_id").agg(F.count(F.lit(1)).alias("earlier"))

@@ -40,7 +40,7 @@ def expand(affiliations: DataFrame, companies: DataFrame, entities: DataFrame, r
     companies (affiliation, english_name, website) and entities (affiliation, label, sites) are what was picked for it before, registry
     (ror, display_name, names, website, domains), institutions (institution_id, display_name, names, homepage), groups (group_id, name).
     Seeds are the affiliation, the company's and the entity's name and the affiliation without abbreviations; one registry record
-    and one institution are strictly a seed's, by the earliest seed. names: aliases first, then what was found, short ASCII ones left out.
+    is strictly a seed's, and one institution, by any of its names, strictly a seed's or the record's, by the earliest. names: aliases first, then what was found, short ASCII ones left out.
     """
     own = affiliations.select("affiliation").where("affiliation != ''").distinct()
     part = lambda df, rank, name: df.select("affiliation", F.lit(rank).alias("rank"), F.col(name).alias("seed"))
@@ -51,8 +51,11 @@ def expand(affiliations: DataFrame, companies: DataFrame, entities: DataFrame, r
     same = match_orgs(seeds.select("seed"), spelled.select("name"), "seed", "name", groups, strict=True)
     record = seeds.join(same, "seed").join(spelled, "name").groupBy("affiliation").agg(F.min(F.struct("rank", "kind", "ror")).alias("x")).select("affiliation", "x.ror")
     record = settle(record.join(registry, "ror"))
-    same = match_orgs(seeds.select("seed"), institutions.select("display_name"), "seed", "display_name", groups, strict=True)
-    place = seeds.join(same, "seed").join(institutions.select("institution_id", "display_name"), "display_name").groupBy("affiliation").agg(F.min(F.struct("rank", "institution_id")).alias("x")).select("affiliation", "x.institution_id")
+    spelled_out = lambda df, key: df.select(*key, F.explode(F.concat(F.array("display_name"), F.coalesce("names", F.array().cast("array<string>")))).alias("spelling"))
+    known = seeds.unionByName(spelled_out(record, [F.col("affiliation"), F.lit(4).alias("rank")]).withColumnRenamed("spelling", "seed")).where("seed != ''")
+    listed = spelled_out(institutions, ["institution_id"])
+    same = match_orgs(known.select("seed"), listed.select("spelling"), "seed", "spelling", groups, strict=True)
+    place = known.join(same, "seed").join(listed, "spelling").groupBy("affiliation").agg(F.min(F.struct("rank", "institution_id")).alias("x")).select("affiliation", "x.institution_id")
     place = settle(place.join(institutions, "institution_id"))
 
     every = lambda df, rank: df.select("affiliation", F.lit(rank).alias("rank"), F.posexplode(F.concat(F.array("display_name"), F.coalesce("names", F.array().cast("array<string>")))).alias("pos", "name"))

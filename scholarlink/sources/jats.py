@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.text import EMAIL
 from ..operators.evidence import attributed_by_account
 
+#: The rows of an article; doc_id is of the type that the articles have.
 ROWS = "doc_id long, kind string, no int, pos int, value string, flag boolean"
 
 
@@ -68,7 +69,8 @@ def parse_jats(articles: DataFrame) -> DataFrame:
         for b in batches:
             yield pd.DataFrame([(d, *r) for d, xml in zip(b["doc_id"], b["xml"], strict=True) if xml for r in _rows(xml)], columns=[x.split()[0] for x in ROWS.split(", ")])
 
-    return articles.select("doc_id", "xml").mapInPandas(run, ROWS)
+    schema = ROWS.replace("doc_id long", f"doc_id {articles.schema['doc_id'].dataType.simpleString()}")
+    return articles.select("doc_id", "xml").mapInPandas(run, schema)
 
 
 def author_emails(rows: DataFrame) -> DataFrame:
