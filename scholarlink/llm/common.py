@@ -9,27 +9,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, IntegerType, LongType, StringType, StructField
 
+from ..operators.store import shared_folder
+
 KINDS = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "boolean": BooleanType(), "longs": ArrayType(LongType()), "strings": ArrayType(StringType())}
 
 #: The ASCII white space that separates words: U+0020 and U+0009 to U+000D. bytes.split() cuts at just these.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it. There is no other that all of them can read."""
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-    return named.rstrip("/")
-
-
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it again: cuts lineage, survives lost executors. Its shuffle files go once it is written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(FREED, "false")
     spark.conf.set(FREED, "true")
     try:
