@@ -48,4 +48,41 @@ links as (select a, b from common join sizes x on x.doc_id = a join sizes y on y
 reach as (select doc_id as a, doc_id as b from docs union select reach.a, links.b from reach join links on links.a = reach.b)
 select doc_id, coalesce(n, 0) as n_shingles, component_id from (select a as doc_id, min(b) as component_id from reach group by a) left join sizes using (doc_id)"""
 
-ORACLES = {"op1_line_dedup": OP1, "op4_substring_dedup": OP4, "op6_decontamination": OP6, "op7_ngram_jaccard": OP7}
+#: Positions of code points from the tokens' lengths; the text that has to come back is the text.
+OP11 = r"""
+with cut as (select doc_id, coalesce(text, '') as text, list_transform(regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+'), lambda t: length(t)) as sizes, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+drawn as (select *, len(sizes) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from cut),
+placed as (select *, coalesce(list_sum(sizes[1:least(h1 % (n + 1), h2 % (n + 1))]), 0) as p, coalesce(list_sum(sizes[1:greatest(h1 % (n + 1), h2 % (n + 1))]), 0) as m,
+    case when text = '' or regexp_matches(text, '<[PSM]>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from drawn)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then p end as bigint) as prefix_chars, cast(case when form <> 'plain' then m - p end as bigint) as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || substring(text, 1, cast(p as bigint)) || '<S>' || substring(text, cast(m as bigint) + 1) || '<M>' || substring(text, cast(p as bigint) + 1, cast(m - p as bigint))
+        else '<S>' || substring(text, cast(m as bigint) + 1) || '<P>' || substring(text, 1, cast(p as bigint)) || '<M>' || substring(text, cast(p as bigint) + 1, cast(m - p as bigint)) end) as output_sha256,
+    sha256(text) as restored_sha256 from placed"""
+
+#: All documents through all orders one by one: a document is at a step if it has passed every filter before.
+OP12 = rf"""
+with texts as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text from documents),
+words as (select *, {WORDS} as w from texts),
+rated as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+flags as (select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    {{'A': len(w) < 200, 'B': 100 * len(list_distinct(w)) < 50 * len(w), 'C': 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), 'D': regexp_matches(text, '[#$%&*|]'),
+    'E': coalesce(words.doc_id > min(words.doc_id) over (partition by text), false)}} as f from words left join rated using (doc_id)),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (select [a.x, b.x, c.x, d.x, e.x] as o from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select o, unnest(range(1, 6)) as step from orders),
+states as (select part, array_to_string(o, '') as filter_order, step, o[step] as filter, good, toxic,
+    list_bool_or(list_transform(o[1:step - 1], lambda x: case x when 'A' then f.A when 'B' then f.B when 'C' then f.C when 'D' then f.D else f.E end)) as earlier,
+    case o[step] when 'A' then f.A when 'B' then f.B when 'C' then f.C when 'D' then f.D else f.E end as fails,
+    cast(f.A as int) + cast(f.B as int) + cast(f.C as int) + cast(f.D as int) + cast(f.E as int) as failures from flags, steps),
+counts as (select part, filter_order, cast(step as int) as step, filter, count(*) filter (where not coalesce(earlier, false) and not fails) as kept, count(*) filter (where not coalesce(earlier, false) and fails) as removed,
+    count(*) filter (where earlier and fails) as redundant, count(*) filter (where fails and failures = 1) as unique_fails,
+    count(*) filter (where not coalesce(earlier, false) and fails and good) as good_lost, count(*) filter (where not coalesce(earlier, false) and fails and toxic) as toxic_lost from states group by all)
+select *, cast(sum(removed) over (partition by part, filter) as bigint) as shapley from counts"""
+
+#: Every query against every other row.
+OP13 = """
+with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * cast(x as double))) as e from embeddings where embedding is not null and not list_contains(list_transform(embedding, lambda x: coalesce(isfinite(x), false)), false)),
+scored as (select q.vec_id as query_id, v.vec_id, cast(list_dot_product(q.e, v.e) as bigint) as score from v as q join v on q.vec_id <> v.vec_id where q.vec_id % 100 = 0)
+select query_id, cast(rank as int) as rank, vec_id, score from (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored) where rank <= 10"""
+
+ORACLES = {"op11_fill_in_middle": OP11, "op12_filter_audit": OP12, "op13_exact_topk": OP13, "op1_line_dedup": OP1, "op4_substring_dedup": OP4, "op6_decontamination": OP6, "op7_ngram_jaccard": OP7}

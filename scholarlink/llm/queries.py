@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import topk
 from .common import sha256_hex
 from .decontaminate import find_contamination
+from .infill import fill_in_middle, restored
+from .interaction import audit
 from .jaccard import near_duplicates
 from .language import identify
 from .line_dedup import drop_repeated_lines
@@ -81,6 +84,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors, queries, k=20)
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(_read(spark, sf_dir, "documents"), seed=42, percent=50, spm_percent=80)
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", sha256_hex(F.col("output")).alias("output_sha256"), sha256_hex(restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.usable(_read(spark, sf_dir, "embeddings"))
+    queries = vectors.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    return topk.search(vectors, queries, k=10, scale=1024)
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_quality_classifier, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op8_secret_scan, op9_language_id, op10_nearest_neighbours)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_line_dedup, op2_sharding, op3_quality_classifier, op4_substring_dedup, op5_best_fit_packing, op6_decontamination, op7_ngram_jaccard, op8_secret_scan, op9_language_id, op10_nearest_neighbours, op11_fill_in_middle, op12_filter_audit, op13_exact_topk)}
