@@ -70,7 +70,7 @@ def integers(x: np.ndarray, scale: int) -> np.ndarray:
 
 def comparable(q: np.ndarray, *others: np.ndarray) -> tuple[np.ndarray, ...]:
     """The arrays as doubles if all inner products of q with the others stay exact, else as Python's integers."""
-    most = lambda a: min(float(np.abs(a).max()), 1e150) if a.size else 0.0
+    most = lambda a: float(min(np.abs(a).max(), 10**150)) if a.size else 0.0
     if most(q) * max(most(a) for a in others) * max(1, q.shape[-1]) < EXACT:
         return tuple(a.astype(np.float64) for a in (q, *others))
     return tuple(np.array([int(v) for v in a.ravel()], object).reshape(a.shape) for a in (q, *others))
