@@ -51,6 +51,7 @@ def document_flags(docs: DataFrame, labels: DataFrame) -> DataFrame:
     failures = text_failures(F.col("text"), F.col("words"), F.col("n_words"))
     own = stash(own.select("doc_id", "part", F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("h"), *[c.alias(k) for k, c in failures.items()]), "flags")
     first = own.groupBy("h").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first")).where("copies > 1").select("h", "first")
+    first = stash(first, "first")  # a table of its own, so that adaptive execution can split a hot text's side of the join
     late = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)).alias("E")
     flagged = own.join(first, "h", "left").select("doc_id", "part", *failures, late)
     rated = only(labels, "doc_id", "quality", "toxic").where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
