@@ -14,6 +14,12 @@ ASSETS = "png|jpg|jpeg|gif|svg|js|css|webp"
 OPEN_HOSTS = r"arxiv\.org|europepmc\.org|ncbi\.nlm\.nih\.gov|koreascience|\.ac\.kr|\.edu(/|$)|\.ac\.uk|\.ac\.jp|biorxiv|medrxiv|osti\.gov|hal\.science|zenodo|core\.ac\.uk|semanticscholar|openreview|aclanthology|thecvf|ieeexplore\.ieee\.org/(ielx|stampPDF)|dspace|repository|scholarworks|s-space|dcollection"
 PUBLISHERS = r"mdpi\.com|wiley\.com|sciencedirect|elsevier|springer|nature\.com|tandfonline|acs\.org|sagepub|frontiersin|iop\.org|rsc\.org|pubs\.|cell\.com|jstage"
 ROBOT_PAGE = "captcha|are you a robot|access denied|just a moment|enable javascript and cookies"
+DEPARTMENT = "enquir|inquir|info|office|admin|contact|webmaster|support|general|dept|department"
+# How names share a host in braces, where a link to an address stands, what of a page is no text.
+BRACES = r"(?U)\{([^{}]{1,120})\}\s*@\s*([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
+MAILTO = r"(?i)href=[\"']mailto:([^\"'?]+)"
+NO_TEXT, TAG = r"(?is)<script.*?</script>|<style.*?</style>", "<[^>]+>"
+# Limits of what is read, in characters, and of quotes.
 PAGE_LIMIT, ROBOT_LIMIT, HEAD, SNIPPETS = 2_000_000, 20_000, 8_000, 20
 
 
@@ -49,20 +55,19 @@ def extract_emails(text: Column) -> Column:
 
 def expand_braces(text: Column) -> Column:
     """Text with a line `a@host` added for every name in a group {a, b}@host."""
-    group = r"(?U)\{([^{}]{1,120})\}\s*@\s*([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
-    names, hosts = F.regexp_extract_all(text, F.lit(group), F.lit(1)), F.regexp_extract_all(text, F.lit(group), F.lit(2))
+    names, hosts = F.regexp_extract_all(text, F.lit(BRACES), F.lit(1)), F.regexp_extract_all(text, F.lit(BRACES), F.lit(2))
     each = F.zip_with(names, hosts, lambda n, h: F.transform(F.filter(F.split(n, r"(?U)[,\s;]+"), lambda x: x != ""), lambda x: F.concat(x, F.lit("@"), h)))
     return F.array_join(F.concat(F.array(text), F.flatten(each)), "\n")
 
 
 def mailto_targets(html: Column, whole: bool = True) -> Column:
     """Targets of mailto links; with `whole` those that are an address throughout, with disguises undone."""
-    found = F.transform(F.regexp_extract_all(html, F.lit(r"(?i)href=[\"']mailto:([^\"'?]+)"), F.lit(1)), F.lower if not whole else lambda x: F.lower(deobfuscate(x)))
+    found = F.transform(F.regexp_extract_all(html, F.lit(MAILTO), F.lit(1)), F.lower if not whole else lambda x: F.lower(deobfuscate(x)))
     return F.array_distinct(F.filter(found, lambda x: x.rlike(f"^(?:{EMAIL})$")) if whole else found)
 
 
 def strip_tags(html: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(html, r"(?is)<script.*?</script>|<style.*?</style>", " "), "<[^>]+>", " ")
+    return F.regexp_replace(F.regexp_replace(html, NO_TEXT, " "), TAG, " ")
 
 
 def page_text(html: Column) -> Column:
@@ -75,22 +80,29 @@ def page_emails(html: Column) -> Column:
     return F.array_distinct(F.concat(mailto_targets(html), extract_emails(page_text(html))))
 
 
+def plain_page_text(html: Column) -> Column:
+    """Text of a person's or a domain's own page: as page_text(), but disguises stay."""
+    return F.regexp_replace(strip_tags(F.substring(html, 1, PAGE_LIMIT)), r"(?U)\s+", " ")
+
+
+def is_page(status: Column, content_type: Column) -> Column:
+    return F.coalesce((status == 200) & F.lower(content_type).contains("html"), F.lit(False))
+
+
 def home_page_emails(status: Column, content_type: Column, html: Column) -> Column:
     """Addresses of a person's own page: all link targets, unfiltered, then those in its text; none unless it was read as HTML."""
-    cut = F.substring(html, 1, PAGE_LIMIT)
-    text = F.regexp_replace(strip_tags(cut), r"(?U)\s+", " ")
-    read = (status == 200) & F.lower(content_type).contains("html")
-    return F.when(read, F.array_distinct(F.concat(mailto_targets(cut, whole=False), extract_emails(text)))).otherwise(F.array().cast("array<string>"))
+    found = F.array_distinct(F.concat(mailto_targets(F.substring(html, 1, PAGE_LIMIT), whole=False), extract_emails(plain_page_text(html))))
+    return F.when(is_page(status, content_type), found).otherwise(F.array().cast("array<string>"))
 
 
 def page_head(html: Column) -> Column:
-    """The part of a page's text that attribution looks at."""
-    return F.substring(page_text(html), 1, HEAD)
+    """The part of an own page's text that attribution and names are looked for in."""
+    return F.substring(plain_page_text(html), 1, HEAD)
 
 
 def is_department(local: Column) -> Column:
     """An account of an office or a department, as home pages show them: the words count anywhere."""
-    return is_generic(local) | local.rlike("(?i)(enquir|inquir|info|office|admin|contact|webmaster|support|general|dept|department)")
+    return is_generic(local) | local.rlike(f"(?i)({DEPARTMENT})")
 
 
 def is_robot_page(html: Column) -> Column:

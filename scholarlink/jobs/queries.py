@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..constants import ALIAS_GROUPS
 from ..functions import names as N
 from ..functions import orgs as O
 from ..functions import text as T
 from ..operators import evidence, matching, people, works
+from ..operators.aliases import alias_table, canonical, known_groups
+from ..operators.store import settle
 from ..sources import records
 from . import report
 from .snapshot import sql, table
@@ -167,8 +170,8 @@ def n3_latin_forms(spark, sf_dir):
     return table(spark, sf_dir, "people").select("person_id", F.array_join(N.latin_name_forms(F.col("name")), "|").alias("forms"))
 
 
-def _sounds(sounds: list[str], spellings: dict[str, str], at: str) -> str:
-    return "[" + ", ".join(_list(["" if v == "-" else v for v in spellings.get(s, s).split()]) for s in sounds) + f"][{at} + 1]"
+def _sounds(sounds: tuple[str, ...], spellings: dict[str, tuple[str, ...]], at: str) -> str:
+    return "[" + ", ".join(_list(spellings.get(s, (s,))) for s in sounds) + f"][{at} + 1]"
 
 
 @query(f"""with l as (select p_partkey, (p_partkey * 7) % 11172 as c from part),
@@ -178,11 +181,8 @@ def _sounds(sounds: list[str], spellings: dict[str, str], at: str) -> str:
     r as (select *, row_number() over (partition by p_partkey order by o) as r from o)
     select p_partkey, string_agg(w, ' ' order by r) as spellings from r where r <= 4 group by p_partkey""")
 def n4_syllable_spellings(spark, sf_dir):
-    # char() stops at a byte, so the letter is decoded from its UTF-8 form
-    code = F.pmod(F.col("p_partkey") * 7, F.lit(11172)) + 0xAC00
-    utf8 = F.concat(F.hex(F.lit(0xE0).cast("long") + F.floor(code / 4096)), F.hex(F.lit(0x80) + F.pmod(F.floor(code / 64), F.lit(64))), F.hex(F.lit(0x80) + F.pmod(code, F.lit(64))))
-    letter = F.decode(F.unhex(utf8), "UTF-8")
-    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(N.syllable_spellings(letter), " ").alias("spellings"))
+    letters = _read(spark, sf_dir, "part").select("p_partkey", N.hangul(F.pmod(F.col("p_partkey") * 7, F.lit(N.SYLLABLES)) + 0xAC00).alias("letter"))
+    return N.with_spellings(letters, "letter", "spellings").select("p_partkey", F.array_join("spellings", " ").alias("spellings"))
 
 
 @query(f"select person_id, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(lower(name), '[\\s,.\\-]+'), lambda t: regexp_full_match(t, '[a-z]{{3,}}')))), ' ') as tokens from ({sql('people')})")
@@ -242,28 +242,57 @@ TOKEN_RULE = f"""case when len(ta) = 0 or len(tb) = 0 then false when ta = tb th
 SIDES = f"n as ({NAMES}), x as (select name as a, {_key('name')} as ka, {_words('name')} as ta, case when len({ACRONYM.format(c='name')}) >= 2 then array_to_string({ACRONYM.format(c='name')}, '') else '' end as aa from n), y as (select name as b, {_key('name')} as kb, {_words('name')} as tb, case when len({ACRONYM.format(c='name')}) >= 2 then array_to_string({ACRONYM.format(c='name')}, '') else '' end as ab from n)"
 
 
-def _no_groups(spark):
-    return spark.createDataFrame([], "group_id long, name string")
+def _aliases(spark):
+    """The aliases known from the start."""
+    return alias_table(spark.createDataFrame([], "group_id long, name string"))
 
 
 @query(f"with {SIDES} select a, b from x, y where ka <> '' and kb <> '' and (ka = kb or {TOKEN_RULE})")
 def o6_same_org_strict(spark, sf_dir):
     n = _names(spark, sf_dir)
-    return matching.match_orgs(n.toDF("a"), n.toDF("b"), "a", "b", _no_groups(spark), strict=True)
+    return matching.match_orgs(n.toDF("a"), n.toDF("b"), "a", "b", _aliases(spark), strict=True)
 
 
 @query(f"with {SIDES} select a, b from x, y where ka <> '' and kb <> '' and (ka = kb or {TOKEN_RULE} or (length(aa) >= 3 and aa = kb) or (length(ab) >= 3 and ab = ka) or (length(ka) >= 4 and contains(kb, ka)) or (length(kb) >= 4 and contains(ka, kb)))")
 def o7_same_org(spark, sf_dir):
     n = _names(spark, sf_dir)
-    return matching.match_orgs(n.toDF("a"), n.toDF("b"), "a", "b", _no_groups(spark))
+    return matching.match_orgs(n.toDF("a"), n.toDF("b"), "a", "b", _aliases(spark))
 
 
-@query(f"""with g as (select distinct s as g, n from (select org_id as s, unnest([name, short_name]) as n from ({sql('orgs')}))), k as (select g, n, {_key('n')} as k from g),
-    c as (select g, arg_max(k, length(k) * 1000.0 + ascii(k)) as c from k group by g)
-    select n as name, min(c) as canonical from k join c using (g) group by n""")
+def _same_words(name: str) -> str:
+    return f"select a, b from x, y where {TOKEN_RULE}".replace("x, y", f"(select name as a, {_words('name')} as ta from ({name})), (select name as b, {_words('name')} as tb from ({name}))")
+
+
+@query(_same_words(NAMES))
+def o4_same_tokens(spark, sf_dir):
+    n = _names(spark, sf_dir)
+    worded = lambda c, t: n.select(F.col("name").alias(c), O.org_tokens(F.col("name")).alias(t)).where(F.size(t) > 0)
+    x, y = worded("a", "ta"), worded("b", "tb")
+    return x.join(y, O.core_key(F.col("ta")) == O.core_key(F.col("tb"))).where(O.same_tokens(F.col("ta"), F.col("tb"))).select("a", "b")
+
+
+#: Groups that overlap: an organisation's two names, and chains of five names, two of which share a group each; every third chain also has a name known from the start.
+GROUPS = """select org_id as group_id, unnest([name, short_name]) as name from ({orgs}) union all
+    select s_suppkey + 1000000, unnest([concat('Link House ', s_suppkey), concat('Link House ', s_suppkey + 1)]) from supplier where s_suppkey % 5 < 4 union all
+    select s_suppkey + 2000000, unnest([concat('Link House ', s_suppkey), 'Seoul National University']) from supplier where s_suppkey % 15 = 2"""
+STATIC = "(values " + ", ".join(f"({k}, '{n}')" for k, g in enumerate(ALIAS_GROUPS) for n in g) + ") s(group_id, name)"
+
+
+@query(f"""with recursive g as (select distinct 1 as late, group_id, name, {_key('name')} as k from ({GROUPS.format(orgs=sql('orgs'))}) union all select 0, group_id, name, {_key('name')} from {STATIC}),
+    e as (select distinct x.k as a, y.k as b from g x join g y on x.late = y.late and x.group_id = y.group_id),
+    r as (select a, b from e union select r.a, e.b from r join e on r.b = e.a),
+    c as (select a as k, min(b) as component from r group by a),
+    best as (select component, k as canonical from (select component, g.k, row_number() over (partition by component order by late, case when late = 0 then group_id end, length(g.k) desc, g.k desc) as n from g join c using (k)) where n = 1)
+    select distinct name, canonical from g join c using (k) join best using (component)""")
 def o5_alias_groups(spark, sf_dir):
-    groups = table(spark, sf_dir, "orgs").select(F.col("org_id").alias("group_id"), F.explode(F.array("name", "short_name")).alias("name")).distinct()
-    return matching.canonical(groups.select("name").distinct(), "name", groups)
+    orgs = table(spark, sf_dir, "orgs").select(F.col("org_id").alias("group_id"), F.explode(F.array("name", "short_name")).alias("name"))
+    key, link = F.col("s_suppkey"), lambda n: F.concat(F.lit("Link House "), n)
+    supplier = _read(spark, sf_dir, "supplier")
+    chains = supplier.where(key % 5 < 4).select((key + 1000000).alias("group_id"), F.explode(F.array(link(key), link(key + 1))).alias("name"))
+    known = supplier.where(key % 15 == 2).select((key + 2000000).alias("group_id"), F.explode(F.array(link(key), F.lit("Seoul National University"))).alias("name"))
+    groups = orgs.unionByName(chains).unionByName(known)
+    every = groups.select("name").unionByName(known_groups(spark).select("name")).distinct()
+    return canonical(every, "name", alias_table(groups))
 
 
 CAP = "(upper({x}[1]) || lower({x}[2:]))"
@@ -326,16 +355,21 @@ def w12_rank_evidence(spark, sf_dir):
     return evidence.ranked(evidence.verify(table(spark, sf_dir, "hits"), table(spark, sf_dir, "domains"))).select("person_id", "email", "source", F.col("rn").cast("long").alias("rn"))
 
 
-@query("select user_id as person_id, event_type as source, min(event_id) as found from events group by all")
+@query("select user_id as person_id, concat('m', event_id % 3, '@lab.example') as email, event_type as source, min(event_id) as found from events group by all")
 def w11_once_per_source(spark, sf_dir):
-    hits = _read(spark, sf_dir, "events").select(F.col("user_id").alias("person_id"), F.lit("x").alias("email"), F.col("event_type").alias("source"), F.col("event_id").alias("found"))
-    return evidence.once_per_source(hits).select("person_id", "source", "found")
+    address = F.concat(F.lit("m"), F.col("event_id") % 3, F.lit("@lab.example"))
+    hits = _read(spark, sf_dir, "events").select(F.col("user_id").alias("person_id"), address.alias("email"), F.col("event_type").alias("source"), F.col("event_id").alias("found"))
+    return evidence.once_per_source(hits).select("person_id", "email", "source", "found")
+
+
+ROUTE_OF = "['" + "', '".join(evidence.ROUTES) + "'][cast(person_id % 7 + 1 as int)]"
 
 
-@query(f"select source, self_stated, count(*) as n from ({sql('hits')}) group by all")
+@query(f"select {ROUTE_OF} as source, self_stated, count(*) as n, count(distinct email) as addresses from ({sql('hits')}) group by all")
 def x1_evidence_union(spark, sf_dir):
     hits = table(spark, sf_dir, "hits")
-    return evidence.union_routes(hits.where("source = 'html'"), hits.where("source = 'pdf'")).groupBy("source", "self_stated").agg(F.count(F.lit(1)).alias("n"))
+    routes = [hits.where(F.col("person_id") % 7 == k).withColumn("source", F.lit(r)) for k, r in enumerate(evidence.ROUTES)]
+    return evidence.union_routes(*routes).groupBy("source", "self_stated").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("email").alias("addresses"))
 
 
 # ---- people and authors: candidates that share surname, by brute-force SQL on the derived identity
@@ -395,13 +429,20 @@ def j4_search_records(spark, sf_dir):
     return people.search_records(spark.sql(FOUND, orders=_read(spark, sf_dir, "orders")))
 
 
-@query(f"""with f as (select person_id, name from ({sql('people')})), a as ({sql('authors')}), m as ({{n2}}), k as (select person_id, institution from ({sql('people')}) join (select distinct name as institution from ({sql('orgs')})) on lower(affiliation) = lower(institution))
+def _same_org_sql(a: str, b: str) -> str:
+    """Distinct pairs (a, b) of two queries of one column, name, that loosely name one organisation."""
+    side = lambda q, x: f"(select name as {x}, {_key('name')} as k{x}, {_words('name')} as t{x}, case when len({ACRONYM.format(c='name')}) >= 2 then array_to_string({ACRONYM.format(c='name')}, '') else '' end as a{x} from (select distinct name from ({q})))"
+    loose = "ka = kb or {t} or (length(aa) >= 3 and aa = kb) or (length(ab) >= 3 and ab = ka) or (length(ka) >= 4 and contains(kb, ka)) or (length(kb) >= 4 and contains(ka, kb))".format(t=TOKEN_RULE)
+    return f"select a, b from {side(a, 'a')}, {side(b, 'b')} where ka <> '' and kb <> '' and ({loose})"
+
+
+@query(f"""with f as (select person_id, name from ({sql('people')})), a as ({sql('authors')}), m as ({{n2}}), k as (select person_id, b as institution from ({sql('people')}) join ({_same_org_sql(f"select affiliation as name from ({sql('people')})", f"select institution as name from ({sql('authors')})")}) on a = affiliation)
     select f.person_id, author_id, bool_or(current) as current from f join m using (name) join a using (display_name) join k on k.person_id = f.person_id and k.institution = a.institution group by all""".replace("{n2}", ORACLES["n2_match_names"]))
 def j3_author_candidates(spark, sf_dir):
     asked, authors = table(spark, sf_dir, "people"), table(spark, sf_dir, "authors")
     forms = asked.select("person_id", F.lit(0).alias("form_rank"), F.col("name").alias("form"))
-    orgs = table(spark, sf_dir, "orgs").select(F.col("name").alias("institution")).distinct()
-    pairs = asked.join(orgs, F.lower("affiliation") == F.lower("institution")).select("person_id", "institution")
+    same = matching.match_orgs(asked.select("affiliation"), authors.select("institution"), "affiliation", "institution", _aliases(spark))
+    pairs = asked.join(same, "affiliation").select("person_id", "institution")
     works_ = authors.select("author_id", "display_name", F.col("works_count").cast("long").alias("works_count"), F.array("topic").alias("topics"))
     return people.candidates(forms, works_, pairs, authors.select("author_id", "institution", "current")).select("person_id", "author_id", "current")
 
@@ -464,11 +505,26 @@ def s10_fallback_pdfs(spark, sf_dir):
 # ---- sources
 
 
-@query(f"select name, affiliation, case when trim(field) = '/' then 'general' else trim(field) end as field from ({sql('people')}) where person_id % 5 > 0")
+def _folder(spark):
+    from uuid import uuid4
+
+    from ..operators.store import shared_folder
+
+    return f"{shared_folder(spark)}/files-{uuid4().hex}"
+
+
+@query(f"select concat(name, chr(10), 'and \"quoted\"') as name, affiliation, case when trim(field) = '/' then 'general' else trim(field) end as field from ({sql('people')}) where person_id % 5 > 0")
 def s1_people_file(spark, sf_dir):
+    """Written as CSV with a byte order mark, quotes, line breaks and a header that comes twice, and read again."""
     p = table(spark, sf_dir, "people")
-    raw = p.select(F.when(F.col("person_id") % 5 > 0, F.col("name")).alias("이름"), F.concat(F.lit(" "), "affiliation").alias("소속"), F.when(F.col("field") != "/", F.col("field")).otherwise(" ").alias("분야"))
-    return records.people_of(raw, "general")
+    name = F.when(F.col("person_id") % 5 > 0, F.concat("name", F.lit('\nand "quoted"'))).otherwise("")
+    quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+    cells = [F.col("person_id").cast("string"), F.lit("old"), F.concat(F.lit(" "), "affiliation"), F.when(F.col("field") != "/", F.col("field")).otherwise(" "), name]
+    head = F.lit("\ufeffno,이름,소속,분야,이름\n")
+    files = p.groupBy((F.col("person_id") % 7).alias("file")).agg(F.concat(head, F.array_join(F.collect_list(F.concat_ws(",", *[quoted(c) for c in cells])), "\n")).alias("value"))  # a file of a bounded share each
+    path = _folder(spark)
+    files.write.partitionBy("file").text(path)
+    return records.read_people(spark, f"{path}/*", "general")
 
 
 @query(f"select person_id, case when person_id % 5 = 0 then 'name missing' when person_id % 7 = 0 then 'affiliation missing' else '' end as code from ({sql('people')})")
@@ -502,7 +558,11 @@ def s5_pdf_urls(spark, sf_dir):
 
 @query(f"with c as (select s_suppkey as corp_code, case when s_suppkey % 3 = 0 then '' else 'L' end as stock_code, name as corp_name from supplier join ({sql('orgs')}) on org_id = s_suppkey), a as (select distinct affiliation from ({sql('people')})) select affiliation, corp_code from (select affiliation, corp_code, row_number() over (partition by affiliation order by stock_code = '', lpad(cast(corp_code as varchar), 8, '0')) as r from a join c on {_key('affiliation')} = {_key('corp_name')}) where r = 1")
 def s6_match_company(spark, sf_dir):
-    companies = table(spark, sf_dir, "orgs").select(F.lpad(F.col("org_id").cast("string"), 8, "0").alias("corp_code"), F.when(F.col("org_id") % 3 == 0, " ").otherwise("L").alias("stock_code"), F.col("name").alias("corp_name"))
+    """The companies are written as XML and read again, with one that has no name."""
+    listed = table(spark, sf_dir, "orgs").select(F.lpad(F.col("org_id").cast("string"), 8, "0").alias("corp_code"), F.when(F.col("org_id") % 3 == 0, " ").otherwise("L").alias("stock_code"), F.col("name").alias("corp_name"))
+    path = _folder(spark)
+    listed.unionByName(listed.limit(1).withColumn("corp_name", F.lit(" "))).write.format("xml").option("rootTag", "result").option("rowTag", "list").save(path)
+    companies = records.read_companies(spark, path)
     return records.match_company(table(spark, sf_dir, "people").select("affiliation").distinct(), companies).select("affiliation", F.col("corp_code").cast("long").alias("corp_code"))
 
 
@@ -512,12 +572,14 @@ def s9_latest_preprint(spark, sf_dir):
     return records.latest_preprint(raw)
 
 
-@query('''with n as (select max(ts) as now from events) select key, json, "at" from (select concat(user_id, ':', event_type) as key, arg_max(props, ts) as json, max(ts) as "at" from events group by 1), n where epoch(now) - epoch("at") <= 86400''')
+@query('''with n as (select max(ts) as now from events), l as (select concat(case when user_id % 4 = 0 then 'pdf:' else 'page:' end, user_id, event_type) as key, case when event_id % 3 > 0 then props end as json, ts as "at" from events),
+    k as (select *, row_number() over (partition by key order by "at" desc, json desc nulls last) as r from l where json is not null or not starts_with(key, 'pdf:')) select key, json, "at" from k, n where r = 1 and epoch(now) - epoch("at") <= 86400''')
 def s14_latest_responses(spark, sf_dir):
     e = _read(spark, sf_dir, "events")
-    log = e.select(F.concat("user_id", F.lit(":"), "event_type").alias("key"), F.col("props").alias("json"), F.col("ts").alias("at"))
-    now = e.agg(F.max("ts").alias("now"))
-    return records.latest_responses(log.crossJoin(F.broadcast(now)), 86400).select("key", "json", "at")
+    kind = F.when(F.col("user_id") % 4 == 0, "pdf:").otherwise("page:")
+    log = e.select(F.concat(kind, "user_id", "event_type").alias("key"), F.when(F.col("event_id") % 3 > 0, F.col("props")).alias("json"), F.col("ts").alias("at"))
+    now = e.agg(F.max("ts").alias("now"))  # one row
+    return records.latest_responses(log.crossJoin(F.broadcast(now)), 86400)
 
 
 # ---- report
@@ -527,7 +589,10 @@ STATE = "case when n_verified > 0 then 'verified' when n_addresses > 0 then 'unv
 
 
 def _hits(spark, sf_dir):
-    return evidence.ranked(evidence.verify(table(spark, sf_dir, "hits"), table(spark, sf_dir, "domains")))
+    hits = evidence.ranked(evidence.verify(table(spark, sf_dir, "hits"), table(spark, sf_dir, "domains")))
+    place = F.when((F.col("source") == "pdf") & (F.col("person_id") % 4 == 0), "").otherwise(F.concat(F.lit("https://files.example/"), "source", F.lit("/"), "person_id"))
+    quote = F.when(F.col("rn") > 1, F.concat(F.lit("... "), "email")).otherwise("")
+    return hits.withColumns({"source_url": place, "document_id": F.concat(F.lit("d"), "person_id"), "attribution": F.concat(F.lit("of strength "), "strength"), "snippet": quote})
 
 
 @query(f"select *, {STATE} as status from ({STATUS})")
@@ -540,30 +605,82 @@ def a1_counts(spark, sf_dir):
     return report.counts(report.statuses(table(spark, sf_dir, "people"), _hits(spark, sf_dir)))
 
 
-SUMMARY = f"""with h as (select *, row_number() over (partition by person_id order by verification in ('record', 'official domain') desc, strength, email, source) as rn from ({VERIFIED})),
-    b as (select person_id, arg_min(email, rn) as best, arg_min(verification, rn) as verification from h group by 1), o as (select person_id, string_agg(email, '; ' order by rn) as others from (select h.person_id, h.email, min(rn) as rn from h join b using (person_id) where h.email <> best group by all) group by 1)
-    select p.person_id, name, affiliation, {STATE} as status, best, b.verification, others from ({sql('people')}) p join ({STATUS}) s using (person_id) left join b using (person_id) left join o using (person_id)"""
+IDS = "select person_id, kind, url from (select c_custkey as person_id, unnest(['registry', 'author', 'record']) as kind, unnest([concat('https://reg.example/', c_custkey % 50), concat('https://aut.example/a', c_custkey), concat('https://rec.example/', c_custkey)]) as url, unnest([2, 3, 5]) as every from customer) where person_id % every = 0"
+PAGES = "select person_id, pos, url, source from (select c_custkey as person_id, unnest([0, 1, 2, 12]) as pos, unnest(['https://www.one.example/x', concat('http://two.example:80/', c_custkey % 7), 'https://www.one.example/x', 'me.example']) as url, unnest(['registry', 'company', 'institution', 'researcher record']) as source, unnest([2, 1, 3, 4]) as every from customer) where person_id % every = 0"
+
+
+def _found(spark, sf_dir):
+    """What reports are made of: findings, identifiers, domains and home pages of all derived people."""
+    key = F.col("c_custkey")
+    customer = _read(spark, sf_dir, "customer")
+    listed = lambda name, *rows: customer.select(key.alias("person_id"), F.explode(F.array(*[F.struct(*[F.lit(v).alias(n) if isinstance(v, (str, int)) else v.alias(n) for n, v in r.items()]) for r in rows])).alias(name)).select("person_id", f"{name}.*").where("person_id % every = 0").drop("every")
+    ids = listed("x", {"kind": "registry", "url": F.concat(F.lit("https://reg.example/"), key % 50), "every": 2}, {"kind": "author", "url": F.concat(F.lit("https://aut.example/a"), key), "every": 3}, {"kind": "record", "url": F.concat(F.lit("https://rec.example/"), key), "every": 5})
+    one = F.lit("https://www.one.example/x")
+    pages = listed("x", {"pos": 0, "url": one, "source": "registry", "every": 2}, {"pos": 1, "url": F.concat(F.lit("http://two.example:80/"), key % 7), "source": "company", "every": 1}, {"pos": 2, "url": one, "source": "institution", "every": 3}, {"pos": 12, "url": F.lit("me.example"), "source": "researcher record", "every": 4})
+    domains = table(spark, sf_dir, "domains").select("person_id", F.lit(0).alias("place"), "domain", F.array(F.lit("registry"), F.lit("company")).alias("sources"))
+    found = report.findings(table(spark, sf_dir, "people"), _hits(spark, sf_dir))
+    return report.with_lists(found, report.id_lists(ids), report.domain_lists(domains), report.page_lists(pages))
 
 
-def _summary(spark, sf_dir):
-    p, h = table(spark, sf_dir, "people"), _hits(spark, sf_dir)
-    return report.summary(p, h, report.statuses(p, h))
+LABEL = "case source when 'pdf' then 'open document (PDF)' else 'open document (page)' end"
+SURE_OF = "verification in ('record', 'official domain')"
+FOUND = f"""h as (select person_id, email, source, verification, {SURE_OF} as verified, case when source = 'pdf' and person_id % 4 = 0 then '' else concat('https://files.example/', source, '/', person_id) end as source_url, concat('of strength ', strength) as attribution, row_number() over (partition by person_id order by {SURE_OF} desc, strength, email, source) as rn from ({VERIFIED})),
+    b as (select * from h where rn = 1), m as (select person_id, email, min(rn) as rn, arg_min(verified, rn) as verified from h group by all),
+    o as (select m.person_id, string_agg(m.email, '; ' order by m.rn) filter (where m.email <> b.email) as others, string_agg(concat(m.email, case when m.verified then '' else ' (unverified)' end, ' <mailto:', m.email, '>'), '; ' order by m.rn) as emails from m join b using (person_id) group by 1),
+    u as (select person_id, string_agg(concat({LABEL}, ' <', source_url, '>'), '; ' order by rn) as sources from (select person_id, source, source_url, min(rn) as rn from h where source_url <> '' group by all) group by 1),
+    i as (select person_id, string_agg(concat(kind, ' ', split_part(url, '/', 4), ' <', url, '>'), '; ' order by case kind when 'record' then 0 when 'author' then 1 else 2 end) as ids, max(url) filter (where kind = 'record') as record_id, max(url) filter (where kind = 'author') as author_id from ({IDS}) group by 1),
+    g as (select *, row_number() over (partition by person_id order by pos) as nth from ({PAGES})),
+    w as (select person_id, string_agg(t, '; ' order by p3) filter (where p3 is not null) as three, string_agg(f, '; ' order by p4) filter (where p4 is not null) as four from (
+        select person_id, url, min(nth) filter (where nth <= 3) as p3, min(nth) filter (where nth <= 4) as p4, concat({{host}}, ' (', arg_max(source, nth) filter (where nth <= 3), ') <', url, '>') as t, concat({{host}}, ' (', arg_max(source, nth) filter (where nth <= 4), ') <', url, '>') as f from g group by person_id, url) group by 1),
+    d as (select person_id, domain as domains, concat(domain, ' (registry·company)') as domains_by from ({sql('domains')})),
+    p as (select person_id, name, affiliation, case when field = '' then null else field end as field from ({sql('people')})), s as (select person_id, {STATE} as status from ({STATUS}))""".replace("{host}", "regexp_replace(split_part(regexp_replace(url, '^https?://', ''), '/', 1), '^www\\.|:80$', '', 'g')")
+JOINED = "from p join s using (person_id) left join b using (person_id) left join o using (person_id) left join u using (person_id) left join i using (person_id) left join w using (person_id) left join d using (person_id)"
 
 
-@query(SUMMARY)
+@query(f"with {FOUND} select p.person_id, p.person_id as rank, name, affiliation, field, email as best, status, verification, case when email is not null then {LABEL} end as route, source_url, attribution, record_id, author_id, domains, (select arg_min(url, nth) from g where g.person_id = p.person_id) as homepage, others {JOINED}")
 def a4_summary(spark, sf_dir):
-    return _summary(spark, sf_dir)
+    return report.summary(_found(spark, sf_dir))
+
+
+def _flat(df, *links):
+    """Lists of links as one text each."""
+    return df.withColumns({c: F.array_join(F.transform(c, lambda x: F.concat(x["text"], F.lit(" <"), x["url"], F.lit(">"))), "; ") for c in links})
+
+
+@query(f"with {FOUND} select p.person_id, p.person_id as rank, name, affiliation as affil, field, emails as email, status, sources as source, attribution, ids, domains, three as homepage {JOINED}")
+def a3_links(spark, sf_dir):
+    return _flat(report.table_rows(_found(spark, sf_dir)), "email", "source", "ids", "homepage")
+
+
+CARDS = f"""v as (select person_id, string_agg(concat(email, ': ', verification), '; ' order by rn) as verification_all from (select person_id, email, verification, min(rn) as rn from h group by all) group by 1),
+    a as (select person_id, string_agg(concat(email, ': ', attribution), '; ' order by rn) as attribution_all from (select person_id, email, attribution, min(rn) as rn from h group by all) group by 1), q as (select person_id, concat('... ', arg_min(email, rn)) as snippet from h where rn > 1 group by 1)"""
+
+
+@query(f"with {FOUND}, {CARDS} select p.person_id, name, affiliation as affil, field, emails, verification_all as verification, attribution_all as attribution, sources as source, snippet, ids, concat(affiliation, ', ', 'Other Name') as affil_names, domains_by as domains, four as homepage, concat('- names · ', name, case when n_addresses > 0 then concat(chr(10), '- result · ', n_addresses) else '' end) as log {JOINED} left join v using (person_id) left join a using (person_id) left join q using (person_id) join ({STATUS}) using (person_id)")
+def a5_cards(spark, sf_dir):
+    asked = table(spark, sf_dir, "people")
+    return _flat(report.cards(_found(spark, sf_dir), asked.select("person_id", F.array("affiliation", F.lit("Other Name")).alias("names")), _stages(spark, sf_dir)), "emails", "source", "ids", "homepage")
+
+
+def _stages(spark, sf_dir):
+    asked = table(spark, sf_dir, "people")
+    result = report.statuses(asked, _hits(spark, sf_dir)).select("person_id", F.when(F.col("n_addresses") > 0, F.col("n_addresses").cast("string")).alias("text"))
+    return report.stage_log([("names", asked.select("person_id", F.col("name").alias("text"))), ("result", result)])
+
+
+@query(f"select person_id, cast(step as int) as step, text from (select person_id, 1 as step, concat('names · ', name) as text from ({sql('people')}) union all select person_id, 2, concat('result · ', n_addresses) from ({STATUS}) where n_addresses > 0)")
+def a11_stage_log(spark, sf_dir):
+    return _stages(spark, sf_dir)
 
 
 BEST = f"select * from ({VERIFIED}) qualify row_number() over (partition by person_id order by verification in ('record', 'official domain') desc, strength, email, source) = 1"
 SURE = "case when verification in ('record', 'official domain') then 'verified' else 'unverified' end"
-ROUTE = "case source when 'pdf' then 'open document (PDF)' else 'open document (page)' end"
+ROUTE = LABEL
 
 
 @query(f"select p.person_id, concat('| ', p.person_id, ' | ', name, ' | ', affiliation, ' | ', coalesce(email, '-'), ' | ', case when email is null then '-' else {SURE} end, ' | ', case when email is null then '-' else {ROUTE} end, ' | ', case when email is null then '-' else concat('of strength ', strength) end, ' |') as line from ({sql('people')}) p left join ({BEST}) b on b.person_id = p.person_id")
 def a9_lines(spark, sf_dir):
-    hits = _hits(spark, sf_dir).withColumn("attribution", F.concat(F.lit("of strength "), "strength"))
-    return report.markdown_rows(table(spark, sf_dir, "people"), hits)
+    return report.markdown_rows(table(spark, sf_dir, "people"), _hits(spark, sf_dir))
 
 
 @query(f"select p.person_id, concat('- ', name, ' (', affiliation, '): ', case when email is not null then concat(email, ' [', {SURE}, ' · ', {ROUTE}, ']') when o.domain is null then 'no address in open sources' else concat('no address in open sources · official domains ', o.domain) end) as line from ({sql('people')}) p left join ({BEST}) b on b.person_id = p.person_id left join ({sql('domains')}) o on o.person_id = p.person_id")
@@ -625,13 +742,55 @@ def e9_proximity(spark, sf_dir):
     return rows.select("person_id", "source", attributed_by_proximity(text, F.col("email"), F.array("name")).alias("theirs"))
 
 
-@query(f"""select p.person_id, regexp_replace(split_part(website, '/', 3), '^www\\.', '') as domain, string_agg(distinct case when p.affiliation = o.name then 'registry' else 'company' end, ',' order by case when p.affiliation = o.name then 'registry' else 'company' end) as sources
-    from ({sql('people')}) p join ({sql('orgs')}) o on p.affiliation in (o.name, o.short_name) group by all""")
+#: What expand() is given: every organisation is in the registry by both its names, every second one an institution by the long one, with a registry id of another.
+EXPANDED = f"""o as ({sql('orgs')}), af as (select distinct affiliation from ({sql('people')})), ex as (select name as affiliation, o as seed from (select name, {OUT} as o from (select affiliation as name from af)) where o <> '' and {_key('o')} <> {_key('name')}),
+    seeds as (select affiliation, seed, min(rank) as rank from (select affiliation, affiliation as seed, 0 as rank from af union all select affiliation, seed, 3 from ex) group by all),
+    said as (select cast(org_id as varchar) as ror, name as spelling, 0 as kind from o union all select cast(org_id as varchar), short_name, 1 from o),
+    sx as (select distinct seed as a, {_key('seed')} as ka, {_words('seed')} as ta from seeds), sy as (select distinct spelling as b, {_key('spelling')} as kb, {_words('spelling')} as tb from said), sm as (select a, b from sx, sy where ka <> '' and (ka = kb or {TOKEN_RULE})),
+    rec as (select affiliation, split_part(min(lpad(cast(rank as varchar), 2, '0') || cast(kind as varchar) || '|' || ror), '|', 2) as ror from seeds join sm on a = seed join said on spelling = b group by 1),
+    known as (select affiliation, seed, rank from seeds union all select affiliation, spelling, 4 from rec join said using (ror)),
+    kx as (select distinct seed as a, {_key('seed')} as ka, {_words('seed')} as ta from known), ky as (select distinct name as b, {_key('name')} as kb, {_words('name')} as tb from o where org_id % 2 = 0), km as (select a, b from kx, ky where ka <> '' and (ka = kb or {TOKEN_RULE})),
+    pl as (select affiliation, split_part(min(lpad(cast(rank as varchar), 2, '0') || '|' || lpad(cast(org_id as varchar), 8, '0')), '|', 2) as iid from known join km on a = seed join o on o.name = b and org_id % 2 = 0 group by 1)"""
+HOST = "regexp_replace(split_part(website, '/', 3), '^www\\.', '')"
+
+
+def _expanded(spark, sf_dir):
+    from ..operators import affiliations
+
+    orgs = table(spark, sf_dir, "orgs")
+    registry = orgs.select(F.col("org_id").cast("string").alias("ror"), F.col("name").alias("display_name"), F.array("short_name").alias("names"), "website", F.array(O.host_of(F.col("website"))).alias("domains"))
+    places = orgs.where("org_id % 2 = 0").select(F.lpad(F.col("org_id").cast("string"), 8, "0").alias("institution_id"), F.col("name").alias("display_name"), F.array().cast("array<string>").alias("names"), F.concat(F.lit("https://place.example/"), "org_id").alias("homepage"), F.lit(None).cast("string").alias("ror"))
+    none = lambda schema: spark.createDataFrame([], schema)
+    companies, entities = none("affiliation string, corp_name string, english_name string, website string"), none("affiliation string, label string, sites array<string>")
+    return affiliations.expand(table(spark, sf_dir, "people").select("affiliation"), companies, entities, registry, places, _aliases(spark))
+
+
+@query(f"""with {EXPANDED}, nm as (select affiliation, name, min(nth) as nth from (select affiliation, short_name as name, 30 as nth from rec join o on cast(org_id as varchar) = ror union all select affiliation, name, 40 from pl join o on lpad(cast(org_id as varchar), 8, '0') = iid) where name <> affiliation group by all)
+    select af.affiliation, rec.ror, string_agg(nm.name, '; ' order by nth) as names from af left join rec using (affiliation) left join nm on nm.affiliation = af.affiliation and (regexp_matches(nm.name, '[^\\x00-\\x7F]') or length(regexp_replace(nm.name, '[^A-Za-z]', '', 'g')) >= 4) group by all""")
+def j1_expand_affiliations(spark, sf_dir):
+    names = F.array_join("names", "; ")
+    return _expanded(spark, sf_dir).select("affiliation", "ror", F.when(names != "", names).alias("names"))
+
+
+@query(f"""with {EXPANDED}, dm as (select affiliation, {HOST} as domain, -1 as pos, 'registry' as source from rec join o on cast(org_id as varchar) = ror union all select affiliation, {HOST}, 2, 'registry' from rec join o on cast(org_id as varchar) = ror union all select affiliation, 'place.example', 3, 'institution' from pl)
+    select affiliation, domain, string_agg(distinct source, ',') as sources from dm group by all""")
 def j2_official_domains(spark, sf_dir):
-    asked, orgs = table(spark, sf_dir, "people"), table(spark, sf_dir, "orgs")
-    by = lambda c, source: asked.join(orgs, asked["affiliation"] == orgs[c]).select("person_id", O.host_of(F.col("website")).alias("domain"), F.lit(source).alias("source"))
-    both = by("name", "registry").unionByName(by("short_name", "company"))
-    return both.groupBy("person_id", "domain").agg(F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"))
+    from ..operators import affiliations
+
+    return affiliations.official_domains(_expanded(spark, sf_dir)).select("affiliation", "domain", F.array_join("sources", ",").alias("sources"))
+
+
+@query(f"select distinct affiliation, concat('Q', affiliation) as entity_id, affiliation as label, 'http://one.example; https://two.example' as sites from ({sql('people')}) where length(affiliation) % 4 <> 1")
+def s7_pick_entity(spark, sf_dir):
+    from ..operators import affiliations
+
+    own = table(spark, sf_dir, "people").select("affiliation").distinct()
+    cue = F.when(F.length("affiliation") % 4 == 1, "a song").otherwise("public university in the north")
+    row = lambda rank, key, label, said: F.struct(F.lit(rank).alias("hit_rank"), key.alias("entity_id"), label.alias("label"), said.alias("description"), F.lit("").alias("matched"))
+    name = F.col("affiliation")
+    hits = own.select("affiliation", F.explode(F.array(row(0, F.lit("Q0"), F.lit("Unrelated Academy"), F.lit("an academy")), row(1, F.concat(F.lit("Q"), name), name, cue), row(2, F.lit("Q9"), F.upper(name), F.lit("a song")))).alias("x")).select("affiliation", "x.*")
+    sites = own.select(F.concat(F.lit("Q"), name).alias("entity_id"), F.posexplode(F.array(F.lit("ftp://no.example"), F.lit("http://one.example"), F.lit("http://one.example"), F.lit("https://two.example"), F.lit("https://three.example"))).alias("pos", "url"))
+    return affiliations.pick_entity(hits, sites, _aliases(spark)).select("affiliation", "entity_id", "label", F.array_join("sites", "; ").alias("sites"))
 
 
 @query(f"select person_id from ({sql('people')}) order by person_id limit 50")
@@ -644,12 +803,26 @@ def j15_people_without_evidence(spark, sf_dir):
     return report.statuses(table(spark, sf_dir, "people"), _hits(spark, sf_dir)).where("n_addresses = 0").select("person_id", "status")
 
 
-@query(f"select person_id, name, status, best from ({SUMMARY})")
+@query(f"with {FOUND} select p.person_id, name, status, email as best {JOINED}")
 def a7_responses(spark, sf_dir):
-    out = report.responses(_summary(spark, sf_dir)).select("person_id", F.from_json("json", "name string, status string, best string, notice string").alias("j")).where("j.notice is not null")
+    out = report.responses(report.summary(_found(spark, sf_dir))).select("person_id", F.from_json("json", "name string, status string, best string, notice string").alias("j")).where("j.notice is not null")
     return out.select("person_id", "j.name", "j.status", "j.best")
 
 
+@query(f"with {FOUND}, f as (select person_id from ({sql('people')}) order by person_id limit 50) select p.person_id as rank, name, status, emails as email, domains, 'rank,name,affil,field,email,status,source,attribution,ids,domains,homepage' as fields, 'table' as type {JOINED} where p.person_id in (select person_id from f)")
+def a7_nested(spark, sf_dir):
+    first = table(spark, sf_dir, "people").orderBy("person_id").limit(records.MAX_PEOPLE)
+    found = _found(spark, sf_dir).join(first.select("person_id"), "person_id", "left_semi")
+    status = report.statuses(first, _hits(spark, sf_dir).join(first.select("person_id"), "person_id", "left_semi"))
+    lines = first.select("person_id", F.col("name").alias("line"))
+    cards = report.cards(found, first.select("person_id", F.array("affiliation").alias("names")), status.select("person_id", F.lit(1).alias("step"), F.col("status").alias("text")))
+    doc = report.nested(report.answer(status, lines), report.table_rows(found), cards)
+    link = "array<struct<text: string, url: string>>"
+    shape = f"email_table struct<type: string, data: array<struct<order: array<string>, rows: array<struct<rank: bigint, name: string, status: string, email: {link}, domains: string>>>>>"
+    part = doc.select(F.from_json("json", shape).alias("j")).select("j.email_table.type", F.col("j.email_table.data")[0].alias("d")).select("type", F.array_join("d.order", ",").alias("fields"), F.explode("d.rows").alias("r"))
+    return _flat(part.select("r.*", "fields", "type"), "email")
+
+
 def _spelled_sql(c: str, out: str) -> str:
     """A CTE of the four first spellings of the syllable at place c of its block: p_partkey, word, nth."""
     return f"""{out}_s as (select p_partkey, x, y, z, i, j, k from (select p_partkey, {_sounds(N.INITIALS, N.INITIAL_SPELLINGS, f'{c} // 588')} as a, {_sounds(N.MEDIALS, N.MEDIAL_SPELLINGS, f'({c} % 588) // 28')} as b, {_sounds(N.FINALS, N.FINAL_SPELLINGS, f'{c} % 28')} as d from l)
@@ -657,21 +830,30 @@ def _spelled_sql(c: str, out: str) -> str:
     {out} as (select p_partkey, w, row_number() over (partition by p_partkey order by o) - 1 as nth from (select p_partkey, concat(x, y, z) as w, min(i * 100 + j * 10 + k) as o from {out}_s group by all) qualify nth < 4)"""
 
 
-@query(f"""with l as (select p_partkey, (p_partkey * 7) % 11172 as c, (p_partkey * 13 + 5) % 11172 as e from part), {_spelled_sql('c', 'g')}, {_spelled_sql('e', 'h')},
-    f as (select p_partkey, unnest([concat(upper(g.w[1]), g.w[2:], h.w, ' Goh'), concat(upper(g.w[1]), g.w[2:], ' ', upper(h.w[1]), h.w[2:], ' Goh')]) as form, (g.nth + h.nth) * 1000 + (g.nth * 4 + h.nth) * 10 + unnest([0, 1]) as o from g join h using (p_partkey)),
+#: Surnames of all kinds: those with spellings in use, in turn, and for every fifth name a syllable that has none.
+SURNAME_LIST = "[" + ", ".join(f"'{k}'" for k in N.SURNAMES) + "]"
+SURNAME_MAP = "map {" + ", ".join(f"'{k}': {_list(v)}" for k, v in N.SURNAMES.items()) + "}"
+
+
+@query(f"""with l as (select p_partkey, case when p_partkey % 5 = 0 then chr(cast(44032 + (p_partkey * 31) % 11172 as int)) else {SURNAME_LIST}[cast(p_partkey % {len(N.SURNAMES)} + 1 as int)] end as sur, (p_partkey * 7) % 11172 as c, (p_partkey * 13 + 5) % 11172 as e, (p_partkey * 31) % 11172 as u from part), {_spelled_sql('c', 'g')}, {_spelled_sql('e', 'h')}, {_spelled_sql('u', 's')},
+    k as (select l.p_partkey, coalesce({SURNAME_MAP}[sur], [concat(upper(s.w[1]), s.w[2:])]) as known from l join s on s.p_partkey = l.p_partkey and s.nth = 0),
+    f as (select p_partkey, unnest([concat(upper(g.w[1]), g.w[2:], h.w, ' ', known[1]), concat(upper(g.w[1]), g.w[2:], ' ', upper(h.w[1]), h.w[2:], ' ', known[1])]) as form, (g.nth + h.nth) * 1000 + (g.nth * 4 + h.nth) * 10 + unnest([0, 1]) as o from g join h using (p_partkey) join k using (p_partkey)),
     d as (select p_partkey, form, row_number() over (partition by p_partkey order by o) as r from (select p_partkey, form, min(o) as o from f group by all)),
-    e as (select * from d where r <= 16 union all select p_partkey, replace(form, ' Goh', ' Ko'), 17 from d where r = 1),
+    b as (select p_partkey, unnest(known[2:]) as other, unnest(range(len(known) - 1)) as i from k),
+    e as (select * from d where r <= 16 union all select p_partkey, concat(g.w[1].upper(), g.w[2:], h.w, ' ', other), 17 + i from b join g using (p_partkey) join h using (p_partkey) where g.nth = 0 and h.nth = 0),
     n as (select *, row_number() over (partition by p_partkey order by r) as q from e)
     select p_partkey, string_agg(form, '|' order by q) as forms from n where q <= 16 group by p_partkey""")
 def n5_romanized(spark, sf_dir):
-    def letter(code):
-        utf8 = F.concat(F.hex(F.lit(0xE0).cast("long") + F.floor(code / 4096)), F.hex(F.lit(0x80) + F.pmod(F.floor(code / 64), F.lit(64))), F.hex(F.lit(0x80) + F.pmod(code, F.lit(64))))
-        return F.decode(F.unhex(utf8), "UTF-8")
+    rows = _korean(spark, sf_dir)
+    return rows.join(N.romanize(rows, "name"), "name").select("p_partkey", F.array_join("forms", "|").alias("forms"))
 
+
+def _korean(spark, sf_dir):
+    """Derived Hangul names of three syllables."""
     key = F.col("p_partkey")
-    name = F.concat(F.lit("고 "), letter(F.pmod(key * 7, F.lit(11172)) + 0xAC00), letter(F.pmod(key * 13 + 5, F.lit(11172)) + 0xAC00))
-    surnames = F.create_map(F.lit("고"), F.array(F.lit("Goh"), F.lit("Ko")))
-    return _read(spark, sf_dir, "part").select("p_partkey", F.array_join(N.romanized(name, surnames), "|").alias("forms"))
+    letter = lambda times, plus: N.hangul(F.pmod(key * times + plus, F.lit(N.SYLLABLES)) + 0xAC00)
+    usual = F.element_at(F.array(*[F.lit(k) for k in N.SURNAMES]), (F.pmod(key, F.lit(len(N.SURNAMES))) + 1).cast("int"))
+    return _read(spark, sf_dir, "part").select("p_partkey", F.concat(F.when(key % 5 == 0, letter(31, 0)).otherwise(usual), F.lit(" "), letter(7, 0), letter(13, 5)).alias("name"))
 
 
 def _bibliography() -> str:
@@ -690,10 +872,12 @@ def j8_bibliographic_evidence(spark, sf_dir):
 # ---- records, forms and employers
 
 
-@query(f"select person_id, i as form_rank, form, false as guessed from (select person_id, unnest(l) as form, unnest(range(len(l))) as i from (select person_id, string_split(forms, '|') as l from ({_forms_sql()})))")
+@query(f"""select person_id, i as form_rank, form, guessed from (select person_id, guessed, unnest(l) as form, unnest(range(len(l))) as i from (select person_id, false as guessed, string_split(forms, '|') as l from ({_forms_sql()})
+    union all select p_partkey + 10000000, true, string_split(forms, '|') from ({ORACLES['n5_romanized']})))""")
 def n7_name_forms(spark, sf_dir):
     asked = table(spark, sf_dir, "people").select("person_id", F.array("name").alias("names"))
-    return people.name_forms(asked, F.create_map().cast("map<string,array<string>>")).withColumn("form_rank", F.col("form_rank").cast("long"))
+    other = _korean(spark, sf_dir).select((F.col("p_partkey") + 10000000).alias("person_id"), F.array("name", F.lit("한글")).alias("names"))
+    return people.name_forms(asked.unionByName(other)).withColumn("form_rank", F.col("form_rank").cast("long"))
 
 
 @query(f"select distinct o_custkey as person_id, regexp_replace(split_part(website, '/', 3), '^www\\.', '') as domain, 'employment' as source from orders join ({sql('orgs')}) on org_id = o_orderkey % 97 + 1 where o_orderkey % 3 > 0")
@@ -722,3 +906,108 @@ def s8_bibliography(spark, sf_dir):
     result = lambda pmid: F.struct(pmid.alias("pmid"), authors.alias("authors"))
     raw = both.select(F.col("person_id").alias("doi"), F.array(result(F.col("person_id").cast("string")), result(F.lit("0"))).alias("results"))
     return records.flatten_bibliography(raw).select("doi", "pos", "author", "affiliation", F.col("emails")[0].alias("email"), "url")
+
+
+@query(f"select person_id, run_date, best, email from (select s.person_id, unnest(['2026-01-01', '2026-01-02']) as run_date, best, email from ({{summary}}) s join ({{links}}) using (person_id)) where run_date = '2026-01-01' or person_id % 2 = 0".replace("{summary}", ORACLES["a4_summary"]).replace("{links}", ORACLES["a3_links"]))
+def s15_write_reports(spark, sf_dir):
+    """Two dates are written, the second one twice, and the tables read again."""
+    found, path = settle(_found(spark, sf_dir)), _folder(spark)
+    for date, rows in (("2026-01-01", found), ("2026-01-02", found), ("2026-01-02", found.where("person_id % 2 = 0"))):
+        report.write({"summary": report.summary(rows), "table": report.table_rows(rows)}, path, date, kinds=("parquet",))
+    both = spark.read.parquet(f"{path}/parquet/summary").select("person_id", "run_date", "best").join(_flat(spark.read.parquet(f"{path}/parquet/table").select("person_id", "run_date", "email"), "email"), ["person_id", "run_date"])
+    return both.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+# ---- evidence of articles, documents and pages
+
+
+def _person_sql() -> str:
+    """person_id, name (given names, then the surname), surname, email: the derived identity in one style."""
+    from .snapshot import GIVEN, LOCAL, SURNAME
+
+    (g, h), s = GIVEN, SURNAME
+    return f"select c_custkey as person_id, concat({g}, ' ', {h}, ' ', {s}) as name, {s} as surname, {LOCAL} as account from {{customer}}"
+
+
+def _same_rows(rows: str, a: str, b: str) -> str:
+    """The rows of a query whose two names can be one person's."""
+    split = f"select *, {TOKENS.format(c=a)} as t_, {TOKENS.format(c=b)} as u_ from ({rows})"
+    shared = f"select *, list_filter(t_, lambda x: length(x) > 1 and list_contains(u_, x)) as s_ from ({split})"
+    rest = f"select *, list_filter(t_, lambda x: x <> s_[1]) as ra, list_filter(u_, lambda x: x <> s_[1]) as rb from ({shared})"
+    full = f"(len({LONGS.format(r='ra')}) = 0 or len({LONGS.format(r='rb')}) = 0 or {LONGS.format(r='ra')} = {LONGS.format(r='rb')})"
+    return f"select * exclude (t_, u_, s_, ra, rb) from ({rest}) where list_sort(t_) = list_sort(u_) or (len(s_) = 1 and len(ra) > 0 and len(rb) > 0 and (array_to_string(ra, '') = array_to_string(rb, '') or ({FIRSTS.format(r='ra')} = {FIRSTS.format(r='rb')} and {full})))"
+
+
+READERS = "select person_id, doc_id from (select c_custkey as person_id, unnest([c_custkey, c_custkey + 1, c_custkey - c_custkey % 10]) as doc_id from customer) group by all"
+
+
+def _readers(spark, sf_dir):
+    """Each person's own article, the next one's, and that of the first of ten people, which so many share."""
+    key = F.col("c_custkey")
+    return _read(spark, sf_dir, "customer").select(key.alias("person_id"), F.explode(F.array(key, key + 1, key - key % 10)).alias("key")).distinct()
+
+
+@query(f"""with p as ({_article_parts().format(customer='customer')}), a as (select doc_id, concat(given, ' ', surname) as author, kind > 0 as corresp, email from p union all select doc_id, 'Una Vexley', true, 'uvexley@lab.example' from p where kind = 2)
+    select person_id, doc_id as key, email, author, corresp, 'article' as source from ({_same_rows(f"select r.person_id, a.*, name from ({READERS}) r join a using (doc_id) join ({sql('people')}) q on q.person_id = r.person_id", "name", "author")})""")
+def j10_article_evidence(spark, sf_dir):
+    from ..sources.jats import author_emails, parse_jats
+
+    articles = spark.sql(ARTICLE.format(parts=_article_parts()), customer=_read(spark, sf_dir, "customer"))
+    authors = author_emails(parse_jats(articles)).withColumnRenamed("doc_id", "key")
+    return evidence.by_article(_readers(spark, sf_dir), authors, table(spark, sf_dir, "people").select("person_id", "name"), "article")
+
+
+def _shared_document(spark, sf_dir):
+    """url, kind, status, text: ten people and their addresses in each document."""
+    who = spark.sql(_person_sql(), customer=_read(spark, sf_dir, "customer"))
+    line = F.concat("name", F.lit(" <e"), "person_id", F.lit("@lab.example>"))
+    rows = who.groupBy(F.floor(F.col("person_id") / 10).alias("d")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("person_id", line.alias("line")))), lambda x: x["line"]), "; ").alias("text"))  # ten at most
+    return rows.select(F.concat(F.lit("https://d.example/"), "d").alias("url"), F.lit("pdf").alias("kind"), "text")
+
+
+@query(f"""with p as ({_person_sql().format(customer='customer')}) select p.person_id, concat('https://d.example/', p.person_id // 10) as url, concat('e', q.person_id, '@lab.example') as email, 'place' as by, 'pdf' as source from p join p q on p.person_id // 10 = q.person_id // 10
+    where contains(lower(q.name), lower(p.name)) or (length(p.surname) >= 4 and contains(lower(q.name), lower(p.surname)))""")
+def j11_full_text_evidence(spark, sf_dir):
+    who = spark.sql(_person_sql(), customer=_read(spark, sf_dir, "customer"))
+    reads = who.select("person_id", F.concat(F.lit("https://d.example/"), F.floor(F.col("person_id") / 10)).alias("url"))
+    found = evidence.by_full_text(reads, _shared_document(spark, sf_dir), who.select("person_id", F.array("name").alias("names")))
+    return found.select("person_id", "url", "email", "by", "source")
+
+
+@query(f"""with p as ({_person_sql().format(customer='customer')}) select person_id, concat('https://www.me', person_id, '.example/about') as url, concat(case when person_id % 3 = 0 then account else concat('x', person_id) end, '@own.example') as email, case when person_id % 3 = 0 then 'account' else 'page' end as by, 'homepage' as source
+    from p where person_id % 5 > 0 and (person_id % 3 = 0 or person_id % 2 = 0)""")
+def j12_home_page_evidence(spark, sf_dir):
+    who = spark.sql(_person_sql(), customer=_read(spark, sf_dir, "customer"))
+    key = F.col("person_id")
+    url = lambda path: F.concat(F.lit("https://www.me"), key, F.lit(f".example/{path}"))
+    urls = who.select("person_id", F.explode(F.array(*[F.struct(F.lit(k).alias("pos"), url(path).alias("url")) for k, path in enumerate(("about", "gone", "third"))])).alias("x")).select("person_id", "x.*")
+    local = F.when(key % 3 == 0, F.col("account")).otherwise(F.concat(F.lit("x"), key))
+    html = F.concat(F.lit("<p>"), "name", F.lit('</p><a href="mailto:'), local, F.lit('@own.example">write</a> <a href="mailto:office'), key, F.lit('@own.example">office</a> info@own.example'))
+    pages = who.select(url("about").alias("url"), F.when(key % 5 > 0, 200).otherwise(404).alias("status"), F.lit("text/html; charset=utf-8").alias("content_type"), html.alias("html"))
+    pages = pages.unionByName(pages.withColumn("url", F.replace("url", F.lit("about"), F.lit("third"))))  # beyond the first two
+    domains = who.where(key % 2 == 0).select("person_id", F.concat(F.lit("me"), key, F.lit(".example")).alias("domain"))
+    found = evidence.by_home_page(urls, pages, who.select("person_id", F.array("name").alias("names")), domains)
+    return found.select("person_id", "url", "email", "by", "source")
+
+
+#: Works with an address of their own, with a fall-back alone, or with none; some documents fail or are not there; some hold verified hits.
+READING = """select o_custkey as person_id, o_orderkey as place, case when o_orderkey % 3 = 0 then null when o_orderkey % 3 = 1 then concat('https://own.example/', o_orderkey) when o_orderkey % 2 = 0 then concat('https://core.ac.uk/', o_orderkey) end as url,
+    case when o_orderkey % 5 = 0 then null else o_orderkey % 4 > 0 end as ok, case when o_orderkey % 7 = 0 then 1 else 0 end as verified, o_custkey % 2 as earlier from orders"""
+
+
+@query(f"""with recursive w as (select *, row_number() over (partition by person_id order by place) as n from ({READING})),
+    f as (select person_id, cast(0 as bigint) as n, cast(0 as double) as cost, cast(0 as bigint) as tries, cast(max(earlier) as bigint) as hits, false as over, cast(null as bigint) as place, cast(null as varchar) as url, false as tried, false as ok from w group by person_id
+        union all select w.person_id, w.n, case when t then cost + case when r then 1 else 0.5 end else cost end, case when t then tries + 1 else tries end, case when t and r then hits + w.verified else hits end, not c or (case when t and r then hits + w.verified else hits end) >= 2, w.place, w.url, t, r
+        from f join w on w.person_id = f.person_id and w.n = f.n + 1, lateral (select not f.over and cost < 8 and tries < 16 as c), lateral (select c and w.url is not null as t, coalesce(w.ok, false) as r))
+    select person_id, place, url, ok from f where tried""")
+def w10_reading_order(spark, sf_dir):
+    key = F.col("o_orderkey")
+    orders = _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("person_id"), key.alias("place"), key.alias("work_id"), key.cast("string").alias("doi"), "o_orderkey")
+    site = lambda host: F.concat(F.lit(f"https://{host}/"), key)
+    locations = orders.where(key % 3 == 1).select("work_id", F.explode(F.array(F.struct(F.lit(0).alias("pos"), F.concat(F.lit("https://www.mdpi.com/"), key).alias("url")), F.struct(F.lit(1).alias("pos"), site("own.example").alias("url")))).alias("x")).select("work_id", "x.*")
+    lists = orders.where((key % 3 == 2) & (key % 2 == 0))
+    none = spark.createDataFrame([], "doi string, url string")
+    fallbacks = works.fallback_pdfs(orders.select("doi"), lists.select("doi", F.array(F.concat(F.lit("https://www.mdpi.com/"), key), site("core.ac.uk")).alias("urls")), none, lists.limit(0).select("doi", F.array(F.lit("x")).alias("urls")))
+    asked = works.addresses_to_read(orders, locations, fallbacks)
+    known = asked.withColumn("ok", F.when(key % 5 > 0, key % 4 > 0)).withColumn("verified", (key % 7 == 0).cast("int")).withColumn("earlier", F.col("person_id") % 2)
+    return works.read_in_order(known)

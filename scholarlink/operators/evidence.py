@@ -9,9 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.names import name_tokens
-from ..functions.orgs import host_of
+from ..functions.orgs import domain_matches, host_of
 from ..functions.text import HEAD, SNIPPETS, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
-from .matching import match_domains, match_names
+from .matching import where_same_person
 from .proximity import attributed_by_proximity
 
 #: Routes by which evidence comes, in the order that decides between equal findings.
@@ -44,18 +44,24 @@ def union_routes(*routes: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, routes)
 
 
+def own_domains(domains: DataFrame) -> DataFrame:
+    """(person_id, domain) -> person_id, official: the few official domains of each person."""
+    return domains.groupBy("person_id").agg(F.collect_set("domain").alias("official"))
+
+
+def is_official(domain: Column) -> Column:
+    """Whether a domain belongs to one of those in the column official; null counts as none."""
+    return F.coalesce(F.exists("official", lambda o: domain_matches(domain, o)), F.lit(False))
+
+
 def verify(hits: DataFrame, domains: DataFrame) -> DataFrame:
     """hits with verified and verification: against the person's official domains (person_id, domain).
 
-    What people state in their own record (self_stated) is verified as it is.
+    What people state in their own record (self_stated) is verified as it is. Each hit meets the domains of its own person and no others.
     """
-    hits = hits.withColumn("mail_domain", F.substring_index("email", "@", -1))
-    pairs = match_domains(hits.select("mail_domain"), domains.select("domain"), "mail_domain", "domain")
-    fits = hits.select("person_id", "mail_domain").distinct().join(domains, "person_id").join(pairs, ["mail_domain", "domain"]).select("person_id", "mail_domain").distinct().withColumn("fits", F.lit(True))
-    known = domains.select("person_id").distinct().withColumn("has_domain", F.lit(True))
-    out = hits.join(fits, ["person_id", "mail_domain"], "left").join(known, "person_id", "left")
-    kind = F.when(F.col("self_stated"), "record").when(F.col("fits"), "official domain").when(F.col("has_domain").isNull(), "no domain").when(is_personal_mail(F.col("mail_domain")), "personal mail").otherwise("other domain")
-    return out.withColumn("verification", kind).withColumn("verified", F.col("verification").isin("record", "official domain")).drop("fits", "has_domain", "mail_domain")
+    out = hits.withColumn("mail_domain", F.substring_index("email", "@", -1)).join(own_domains(domains), "person_id", "left")
+    kind = F.when(F.col("self_stated"), "record").when(F.col("official").isNull(), "no domain").when(is_official(F.col("mail_domain")), "official domain").when(is_personal_mail(F.col("mail_domain")), "personal mail").otherwise("other domain")
+    return out.withColumn("verification", kind).withColumn("verified", F.col("verification").isin("record", "official domain")).drop("official", "mail_domain")
 
 
 def confirm_by_page(hits: DataFrame, pages: DataFrame, names: DataFrame) -> DataFrame:
@@ -92,8 +98,7 @@ def by_article(works: DataFrame, authors: DataFrame, names: DataFrame, source: s
     works (person_id, key), authors (key, name, corresp, emails) as jats.author_emails() has them, names (person_id, name).
     """
     near = works.select("person_id", "key").distinct().join(authors.select("key", F.col("name").alias("author"), "corresp", F.explode("emails").alias("email")), "key").join(names, "person_id")
-    pairs = match_names(near.select("name"), near.select("author"), "name", "author")
-    hits = near.join(pairs, ["name", "author"]).groupBy("person_id", "key", "email", "author").agg(F.max("corresp").alias("corresp"))
+    hits = where_same_person(near, "name", "author").groupBy("person_id", "key", "email", "author").agg(F.max("corresp").alias("corresp"))
     return hits.withColumn("source", F.lit(source))
 
 
@@ -103,15 +108,19 @@ def by_full_text(reads: DataFrame, documents: DataFrame, names: DataFrame) -> Da
     reads (person_id, url), documents (url, kind, text), names (person_id, names array). Only rows that no account rule settles
     go through the proximity rule; the first 20 addresses of a document have a quote.
     """
-    rows = reads.select("person_id", "url").distinct().join(documents.select("url", "kind", "text"), "url").join(names.select("person_id", "names"), "person_id")
-    each = rows.select("*", F.posexplode(extract_emails(F.col("text"))).alias("nth", "email")).withColumn("head", F.substring("text", 1, HEAD))
+    wanted = reads.select("person_id", "url").distinct()
+    found = addresses_of(documents.join(wanted.select("url").distinct(), "url", "left_semi"))
+    each = wanted.join(found, "url").join(names.select("person_id", "names"), "person_id")
     account = attributed_by_account(F.substring_index("email", "@", 1), F.col("names"))
-    each = each.withColumn("account", account)
-    settled = each.where("account").withColumn("by", F.lit("account"))
-    rest = each.where("not account").withColumn("by", F.lit("place")).where(F.expr("contains(lower(head), email)"))
-    rest = rest.where(attributed_by_proximity(F.col("head"), F.col("email"), F.col("names")))
+    by = F.when(account, "account").when(F.expr("contains(lower(head), email)") & attributed_by_proximity(F.col("head"), F.col("email"), F.col("names")), "place")
+    return each.withColumn("by", by).where("by is not null").select("person_id", "url", "email", "by", F.when(F.col("kind") == "html", "html").otherwise("pdf").alias("source"), "snippet")
+
+
+def addresses_of(documents: DataFrame) -> DataFrame:
+    """documents (url, kind, text) -> url, kind, email, head, snippet: the addresses of each document, found once however many people it is read for."""
+    each = documents.select("url", "kind", "text", F.posexplode(extract_emails(F.col("text"))).alias("nth", "email"))
     quote = F.when(F.col("nth") < SNIPPETS, snippet(F.col("text"), F.col("email"))).otherwise("")
-    return settled.unionByName(rest).select("person_id", "url", "email", "by", F.when(F.col("kind") == "html", "html").otherwise("pdf").alias("source"), quote.alias("snippet"))
+    return each.select("url", "kind", "email", F.substring("text", 1, HEAD).alias("head"), quote.alias("snippet"))
 
 
 def by_home_page(urls: DataFrame, pages: DataFrame, names: DataFrame, domains: DataFrame, most: int = 2) -> DataFrame:
@@ -119,16 +128,14 @@ def by_home_page(urls: DataFrame, pages: DataFrame, names: DataFrame, domains: D
 
     urls (person_id, pos, url) of which the first two count, pages (url, status, content_type, html), domains (person_id, domain).
     """
-    first = urls.withColumn("r", F.row_number().over(W.partitionBy("person_id").orderBy("pos", "url"))).where(F.col("r") <= most)
-    read = pages.select("url", home_page_emails(F.col("status"), F.col("content_type"), F.col("html")).alias("emails"), page_head(F.col("html")).alias("head"))
-    rows = first.select("person_id", "url").join(read, "url").join(names.select("person_id", "names"), "person_id").withColumn("host", host_of(F.col("url")))
-    official = match_domains(rows.select("host"), domains.select("domain"), "host", "domain")
-    fits = rows.select("person_id", "host").distinct().join(domains, "person_id").join(official, ["host", "domain"]).select("person_id", "host").distinct().withColumn("official", F.lit(True))
-    each = rows.join(fits, ["person_id", "host"], "left").select("person_id", "url", "names", "head", "official", F.explode("emails").alias("email"))
+    first = urls.withColumn("r", F.row_number().over(W.partitionBy("person_id").orderBy("pos", "url"))).where(F.col("r") <= most).select("person_id", "url")
+    wanted = pages.join(first.select("url").distinct(), "url", "left_semi")
+    read = wanted.select("url", page_head(F.col("html")).alias("head"), F.explode(home_page_emails(F.col("status"), F.col("content_type"), F.col("html"))).alias("email"))
+    each = first.join(read, "url").join(names.select("person_id", "names"), "person_id").join(own_domains(domains), "person_id", "left")
     local = F.substring_index("email", "@", 1)
-    by = F.when(attributed_by_account(local, F.col("names")), "account").when(F.col("near"), "place").when(F.col("official") & ~is_department(local), "page")
-    each = each.withColumn("near", attributed_by_proximity(F.col("head"), F.col("email"), F.col("names"))).withColumn("by", by).where("by is not null")
-    return each.select("person_id", "url", "email", "by", F.lit("homepage").alias("source"), snippet(F.col("head"), F.col("email")).alias("snippet"))
+    near = attributed_by_proximity(F.col("head"), F.col("email"), F.col("names"))
+    by = F.when(attributed_by_account(local, F.col("names")), "account").when(near, "place").when(is_official(host_of(F.col("url"))) & ~is_department(local), "page")
+    return each.withColumn("by", by).where("by is not null").select("person_id", "url", "email", "by", F.lit("homepage").alias("source"), snippet(F.col("head"), F.col("email")).alias("snippet"))
 
 
 def by_author(works: DataFrame, authors: DataFrame, names: DataFrame, source: str) -> DataFrame:
@@ -138,5 +145,4 @@ def by_author(works: DataFrame, authors: DataFrame, names: DataFrame, source: st
     wanted works are matched by name.
     """
     near = works.select("person_id", "key").distinct().join(authors, "key").join(names, "person_id")
-    pairs = match_names(near.select("name"), near.select("author"), "name", "author")
-    return near.join(pairs, ["name", "author"]).select("person_id", "key", "email").distinct().withColumn("source", F.lit(source))
+    return where_same_person(near, "name", "author").select("person_id", "key", "email").distinct().withColumn("source", F.lit(source))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import name_keys, same_person, with_nfkc
 from ..functions.orgs import accepted_domains, acronym, core_key, org_key, org_tokens, same_tokens, suffixes
+from .aliases import Aliases, canonical
 from .store import settle
 
 
@@ -17,47 +20,75 @@ def match_names(left: DataFrame, right: DataFrame, a: str, b: str) -> DataFrame:
     return keyed(left, a, "_x").join(keyed(right, b, "_y"), "key").select(a, b, "_x", "_y").distinct().where(same_person(F.col("_x"), F.col("_y"))).select(a, b)
 
 
-def canonical(names: DataFrame, column: str, groups: DataFrame) -> DataFrame:
-    """names with the key of their alias group: by their own key, or an acronym of four letters or more, else their own key.
+#: Lengths of the pieces of a key; a key is looked for by pieces of the greatest length that it has.
+PIECES = (4, 6, 8, 12)
+
+
+def _pieces(key: Column, length: int) -> Column:
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(key) - length + 1, F.lit(1))), lambda i: F.substring(key, i, F.lit(length)))
 
-    groups (group_id, name) are alias groups; a group goes by the longest key of its names (the first of several).
+
+def contained_keys(inner: DataFrame, outer: DataFrame, k: str, m: str) -> DataFrame:
+    """Candidates (k, m) of keys k of four letters or more within keys m, by the rarest piece of each k: all true pairs and few others.
+
+    An inverted index holds the pieces of the outer keys that any inner key has. A key with a piece that no outer key has is in none; any other meets only
+    the outer keys that hold the piece that fewest of them hold. What it meets still has to be compared.
     """
-    own = with_nfkc(groups.select("group_id", "name"), "name", "_c").select("group_id", "name", org_key(F.col("_c")).alias("k"), acronym(F.col("_c")).alias("acr")).where("k != ''")
-    best = own.groupBy("group_id").agg(F.max_by("k", F.struct(F.length("k"), F.col("k"))).alias("canon"))
-    keys = own.join(best, "group_id").groupBy("k").agg(F.min("canon").alias("canon"))
-    short = own.where(F.length("acr") >= 4).join(best, "group_id").groupBy("acr").agg(F.min("canon").alias("by_acr"))
-    out = with_nfkc(names, column, "_c").withColumn("_k", org_key(F.col("_c"))).withColumn("_a", acronym(F.col("_c"))).drop("_c")
-    out = out.join(keys, out["_k"] == keys["k"], "left").join(short, (out["_a"] == short["acr"]) & (F.length("_a") >= 4), "left")
-    return out.withColumn("canonical", F.coalesce("canon", "by_acr", "_k")).drop("_k", "_a", "k", "canon", "acr", "by_acr")
+    size = F.length(k)
+    own_pieces = F.when(size >= PIECES[0], _pieces(F.col(k), PIECES[0]))
+    for n in PIECES[1:]:
+        own_pieces = F.when(size >= n, _pieces(F.col(k), n)).otherwise(own_pieces)
+    own = inner.select(k).where(size >= PIECES[0]).distinct().select(k, F.explode(F.array_distinct(own_pieces)).alias("piece"))
+    all_pieces = F.concat(*[F.when(F.length(m) >= n, _pieces(F.col(m), n)).otherwise(F.array().cast("array<string>")) for n in PIECES])
+    index = outer.select(m).where(F.length(m) >= PIECES[0]).distinct().select(m, F.explode(F.array_distinct(all_pieces)).alias("piece"))
+    index = index.join(own.select("piece").distinct(), "piece", "left_semi")
+    held = settle(index.groupBy("piece").agg(F.count(F.lit(1)).alias("n")))  # a table of its own, so that the join can be split at a common piece
+    found = own.join(held, "piece", "left").groupBy(k).agg(F.count(F.lit(1)).alias("pieces"), F.count("n").alias("held"), F.min(F.struct("n", "piece")).alias("rarest"))
+    rare = found.where("pieces = held").select(k, F.col("rarest.piece").alias("piece"))
+    return rare.join(index, "piece").select(k, m)
+
 
+def described(names: DataFrame, column: str, aliases: Aliases) -> DataFrame:
+    """Distinct names with what organisations are compared by: key of the group, own key, acronym, content words."""
+    own = with_nfkc(canonical(names.select(column).where(F.col(column).isNotNull()).distinct(), column, aliases).where("canonical != ''"), column, "_c")
+    return own.select(column, "canonical", org_key(F.col("_c")).alias("own"), acronym(F.col("_c")).alias("acr"), org_tokens(F.col("_c")).alias("words"))
 
-def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, groups: DataFrame, strict: bool = False) -> DataFrame:
+
+def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, aliases: Aliases, strict: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of the two columns of organisation names that name one organisation.
 
     Strict: one alias group or key, or equal content words. Else also an acronym of three letters or more that is the other's
     key, a group key of four letters or more within the other's, or content words equal to those of an alias.
     """
-    side = lambda df, c: canonical(df.select(c).where(F.col(c).isNotNull()).distinct(), c, groups).where("canonical != ''")
-    x = settle(with_nfkc(side(left, a), a, "na").withColumnRenamed("canonical", "ka").withColumn("ta", org_tokens(F.col("na"))))
-    y = settle(with_nfkc(side(right, b), b, "nb").withColumnRenamed("canonical", "kb").withColumn("tb", org_tokens(F.col("nb"))))
-    found = x.join(y, x["ka"] == y["kb"]).select(a, b)
-    by_words = lambda x, y: x.join(y, core_key(F.col("ta")) == core_key(F.col("tb"))).where(same_tokens(F.col("ta"), F.col("tb")))
-    found = found.unionByName(by_words(x, y).select(a, b))
+    side = lambda df, c, x: described(df, c, aliases).toDF(c, f"k{x}", f"o{x}", f"r{x}", f"w{x}")
+    x, y = settle(side(left, a, 1)), settle(side(right, b, 2))
+    found = [x.join(y, F.col("k1") == F.col("k2"))]
+    by_words = lambda p, q: p.join(q, core_key(F.col("w1")) == core_key(F.col("w2"))).where(same_tokens(F.col("w1"), F.col("w2")))
+    found.append(by_words(x, y))
     if not strict:
-        for p, q, n, m in ((x, y, "na", "nb"), (y, x, "nb", "na")):
-            short = p.withColumn("acr", acronym(F.col(n))).where(F.length("acr") >= 3)
-            found = found.unionByName(short.join(q.withColumn("own", org_key(F.col(m))), F.col("acr") == F.col("own")).select(a, b))
-        for p, q, k, m in ((x, y, "ka", "kb"), (y, x, "kb", "ka")):
-            head = p.where(F.length(k) >= 4).withColumn("head", F.left(F.col(k), F.least(F.length(k), F.lit(12))))
-            pieces = F.flatten(F.transform(F.sequence(F.lit(4), F.least(F.lit(12), F.length(m))), lambda n: F.transform(F.sequence(F.lit(1), F.length(m) - n + 1), lambda i: F.substring(F.col(m), i, n))))
-            cut = q.where(F.length(m) >= 4).withColumn("head", F.explode(F.array_distinct(pieces)))
-            found = found.unionByName(head.join(cut, "head").where(F.col(m).contains(F.col(k))).select(a, b))
-        names = settle(with_nfkc(canonical(groups.select("name"), "name", groups).select("name", "canonical"), "name", "composed"))
-        for p, q, k, n in ((x, y, "ka", a), (y, x, "kb", b)):
-            t = "ta" if k == "ka" else "tb"
-            other = p.join(names, p[k] == names["canonical"]).where(F.col("name") != F.col(n)).withColumn(t, org_tokens(F.col("composed")))
-            found = found.unionByName(by_words(other, q).select(a, b) if k == "ka" else by_words(q, other).select(a, b))
-    return found.distinct()
+        found.append(x.where(F.length("r1") >= 3).join(y, F.col("r1") == F.col("o2")))
+        found.append(x.join(y.where(F.length("r2") >= 3), F.col("o1") == F.col("r2")))
+        for inner, outer, k, m in ((x, y, "k1", "k2"), (y, x, "k2", "k1")):
+            pairs = contained_keys(inner, outer, k, m).where(F.col(m).contains(F.col(k)) & (F.col(k) != F.col(m)))
+            found.append(pairs.join(x, "k1").join(y, "k2"))
+        other = with_nfkc(aliases.names, "name", "_c").select(F.col("canon"), F.col("name").alias("alias"), org_tokens(F.col("_c")).alias("said"))
+        found.append(by_words(x.join(other, F.col("k1") == F.col("canon")).where(F.col("alias") != F.col(a)).select(a, F.col("said").alias("w1")), y))
+        found.append(by_words(x, y.join(other, F.col("k2") == F.col("canon")).where(F.col("alias") != F.col(b)).select(b, F.col("said").alias("w2"))))
+    return reduce(DataFrame.unionByName, [df.select(a, b) for df in found]).distinct()
+
+
+def where_same_person(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows whose two names can be one person's: a test of rows that a key has already brought together, no join by likeness."""
+    composed = with_nfkc(with_nfkc(rows, a, "_a"), b, "_b")
+    return composed.where(same_person(F.col("_a"), F.col("_b"))).select(*rows.columns)
+
+
+def where_same_org(rows: DataFrame, a: str, b: str, aliases: Aliases) -> DataFrame:
+    """The rows whose two names are strictly one organisation's: as match_orgs(strict=True), within the row."""
+    x = described(rows, a, aliases).select(F.col(a), F.col("canonical").alias("_k1"), F.col("words").alias("_w1"))
+    y = described(rows, b, aliases).select(F.col(b), F.col("canonical").alias("_k2"), F.col("words").alias("_w2"))
+    same = (F.col("_k1") == F.col("_k2")) | same_tokens(F.col("_w1"), F.col("_w2"))
+    return rows.join(x, a).join(y, b).where(same).select(*rows.columns)
 
 
 def match_domains(left: DataFrame, official: DataFrame, domain: str, host: str) -> DataFrame:

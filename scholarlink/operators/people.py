@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import latin_name_forms, romanized
+from ..functions.names import latin_name_forms, romanize, same_person, with_nfkc
 from .matching import match_names
 
 
-def name_forms(people: DataFrame, surnames: Column, most: int = 16) -> DataFrame:
-    """(person_id, names array) -> person_id, form_rank, form, guessed: Latin forms of all names, or, where there is none, guesses for the first other name."""
+def name_forms(people: DataFrame, surnames: DataFrame | None = None, most: int = 16) -> DataFrame:
+    """(person_id, names array) -> person_id, form_rank, form, guessed: Latin forms of all names, or, where there is none, guesses for the first other name. surnames as names.romanize() takes them."""
     printed = F.array_distinct(F.flatten(F.transform("names", latin_name_forms)))
     other = F.get(F.filter("names", lambda n: n.rlike(r"[^\x00-\x7F]")), F.lit(0))
     rows = people.select("person_id", printed.alias("printed"), other.alias("other"))
     known = rows.where(F.size("printed") > 0).select("person_id", F.posexplode("printed").alias("form_rank", "form"), F.lit(False).alias("guessed"))
-    guess = rows.where((F.size("printed") == 0) & F.col("other").isNotNull()).select("person_id", F.posexplode(romanized(F.col("other"), surnames, most)).alias("form_rank", "form"), F.lit(True).alias("guessed"))
+    rest = rows.where((F.size("printed") == 0) & F.col("other").isNotNull()).select("person_id", "other")
+    guess = rest.join(romanize(rest, "other", surnames, most), "other").select("person_id", F.posexplode("forms").alias("form_rank", "form"), F.lit(True).alias("guessed"))
     return known.unionByName(guess)
 
 
@@ -63,6 +64,13 @@ def decide(cands: DataFrame) -> DataFrame:
     return some.withColumn("unique", F.count(F.lit(1)).over(own) == 1)
 
 
+def like_first(ranked: DataFrame) -> DataFrame:
+    """Ordered candidates with same_as_first: whether the name can be that of the person's first candidate, compared within the row."""
+    first = F.max(F.when(F.col("rn") == 1, F.col("display_name"))).over(W.partitionBy("person_id"))
+    composed = with_nfkc(with_nfkc(ranked.withColumn("_first", first), "_first", "_a"), "display_name", "_b")
+    return composed.withColumn("same_as_first", same_person(F.col("_a"), F.col("_b"))).drop("_first", "_a", "_b")
+
+
 def dominant(cands: DataFrame, same_second: str = "same_as_first", works: int = 20, times: int = 3) -> DataFrame:
     """Of ordered candidates, the first if it has `works` works and `times` those of the second, or is the second; then the second too."""
     own = W.partitionBy("person_id")

@@ -1,57 +1,36 @@
-"""Whose an address is by what stands before it: a helper over short windows of text, for rows that no built-in rule settled."""
+"""Whose an address is by what stands before it."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
-from ..functions.names import name_tokens
+from ..functions.names import let, name_tokens, same_person
 
 WINDOW = 160
-#: A name of several capitalised words.
-PERSON = re.compile(r"\b[A-Z][a-z]+(?:[ \-][A-Z]\.?[a-z]*)+\b")
-
-
-def _words(name: str) -> list[str]:
-    return re.sub(r"[-.‐‑,]", " ", name.lower()).split()
+#: Fixed value: what counts as a name of a person, several capitalised words.
+PERSON = r"\b[A-Z][a-z]+(?:[ \-][A-Z]\.?[a-z]*)+\b"
 
 
-def _alike(a: str, b: str) -> bool:
-    """The rule of functions.names.same_person for one pair, for the few names found inside a window."""
-    x, y = _words(a), _words(b)
-    if not x or not y or sorted(x) == sorted(y):
-        return bool(x) and sorted(x) == sorted(y)
-    common = [w for w in x if len(w) > 1 and w in y]
-    if len(common) != 1:
-        return False
-    x, y = ([w for w in side if w != common[0]] for side in (x, y))
-    full = [{w for w in side if len(w) > 1} for side in (x, y)]
-    initials = {w[0] for w in x} == {w[0] for w in y}
-    return bool(x and y) and ("".join(x) == "".join(y) or (initials and (not all(full) or full[0] == full[1])))
+def windows_before(text: Column, needle: Column, width: int = WINDOW) -> Column:
+    """The up to `width` characters before each place of needle in text, in any case."""
+    cut = F.split(text, F.concat(F.lit(r"(?i)\Q"), needle, F.lit(r"\E")), -1)
+    return F.transform(F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0))), lambda part: F.right(part, F.lit(width)))
 
 
-def _stands_before(window: str, keys: list[str], names: list[str]) -> bool:
-    low = window.lower()
-    for key in keys:
-        at = low.rfind(key)
-        between = window[at + len(key) :] if at >= 0 else "@"
-        if "@" not in between and all(any(_alike(found, n) for n in names if n) for found in PERSON.findall(between)):
-            return True
-    return False
-
-
-@F.pandas_udf(BooleanType())
-def _near(windows: pd.Series, keys: pd.Series, names: pd.Series) -> pd.Series:
-    return pd.Series([any(_stands_before(w, list(k), list(n)) for w in ws) for ws, k, n in zip(windows, keys, names, strict=True)], dtype="boolean")
+def after_last(text: Column, needle: Column) -> Column:
+    """What follows the last place of needle (lower case) in text, in any case; null where it isn't there."""
+    back = F.instr(F.reverse(F.lower(text)), F.reverse(needle))
+    return F.when(back > 0, F.right(text, back - 1))
 
 
 def attributed_by_proximity(text: Column, email: Column, names: Column) -> Column:
-    """Whether a place of the address in text follows one of the names (array) within 160 characters, without an @ or another person's name between."""
-    cut = F.split(text, F.concat(F.lit(r"(?i)\Q"), email, F.lit(r"\E")), -1)
-    before = F.transform(F.slice(cut, 1, F.greatest(F.size(cut) - 1, F.lit(0))), lambda part: F.right(part, F.lit(WINDOW)))
+    """Whether a place of the address in text follows one of the names (array) within 160 characters, without an @ or another person's name between.
+
+    What stands between is read from the address backwards to the name; every name of a person found there has to be one of the names.
+    """
     keys = F.concat(F.transform(F.filter(names, lambda n: F.length(n) >= 3), F.lower), F.filter(name_tokens(names), lambda t: F.length(t) >= 4))
-    return F.when(F.size(before) > 0, _near(before, keys, names)).otherwise(False)
+    ours = lambda found: F.exists(names, lambda n: same_person(found, n))
+    clear = lambda between: ~between.contains("@") & F.forall(F.regexp_extract_all(between, F.lit(PERSON), F.lit(0)), ours)
+    follows = lambda window: F.exists(F.transform(keys, lambda k: after_last(window, k)), lambda between: F.coalesce(clear(between), F.lit(False)))
+    return F.coalesce(let(windows_before(text, email), lambda found: F.exists(found, follows)), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -49,6 +49,45 @@ def early_stop(reads: DataFrame, enough: int = 2) -> DataFrame:
     return reads.withColumn("known", so_far).withColumn("rn", F.row_number().over(own)).where((F.col("rn") == 1) | (F.col("known") < enough)).drop("rn")
 
 
+def addresses_to_read(works: DataFrame, locations: DataFrame, fallbacks: DataFrame) -> DataFrame:
+    """works (person_id, place, work_id, doi, ...) with url: a work's best location, else, where it has none, the best of the fall-back addresses of its DOI, else null.
+
+    locations (work_id, pos, url), fallbacks (doi, urls) as fallback_pdfs() gives them.
+    """
+    own = one_address(locations).select("work_id", F.col("url").alias("own"))
+    first = fallbacks.select("doi", F.posexplode("urls").alias("pos", "url")).groupBy("doi").agg(F.min_by("url", F.struct(host_rank(F.col("url")), F.col("pos"))).alias("other"))
+    out = works.join(own, "work_id", "left").join(first.where("doi != ''"), "doi", "left")
+    return out.withColumn("url", F.coalesce("own", "other")).drop("own", "other")
+
+
+def read_in_order(works: DataFrame, budget: float = 8.0, failure: float = 0.5, enough: int = 2) -> DataFrame:
+    """works (person_id, place, url, ok, verified, earlier) -> person_id, place, url, ok: the addresses tried, read or not.
+
+    One pass over each person's works in order, which carries the cost, the tries and the verified hits so far: a read costs 1, a failure, or an address that
+    no document is known for (ok null), `failure`. A work is come to while the cost is below the budget and the tries below twice that; after any work, with an address or
+    without, `enough` verified hits end the pass, those known earlier (null: none) included. verified: the hits that reading the address gives.
+    """
+    one = F.struct("place", "url", F.coalesce("ok", F.lit(False)).alias("ok"), F.coalesce("verified", F.lit(0)).cast("long").alias("verified"))
+    listed = works.groupBy("person_id").agg(F.array_sort(F.collect_list(one)).alias("w"), F.coalesce(F.max("earlier"), F.lit(0)).cast("long").alias("earlier"))  # a person's few works
+    kept = "array<struct<place:bigint,url:string,ok:boolean>>"
+    start = F.struct(F.lit(0.0).alias("cost"), F.lit(0).cast("long").alias("tries"), F.col("earlier").alias("hits"), F.lit(False).alias("over"), F.array().cast(kept).alias("tried"))
+
+    def step(s: Column, w: Column) -> Column:
+        come_to = ~s["over"] & (s["cost"] < budget) & (s["tries"] < 2 * budget)
+        tried = come_to & w["url"].isNotNull()
+        hits = F.when(tried & w["ok"], s["hits"] + w["verified"]).otherwise(s["hits"])
+        one = F.array(F.struct(w["place"].cast("long").alias("place"), w["url"].alias("url"), w["ok"].alias("ok")))
+        return F.struct(
+            F.when(tried, s["cost"] + F.when(w["ok"], 1.0).otherwise(failure)).otherwise(s["cost"]).alias("cost"),
+            F.when(tried, s["tries"] + 1).otherwise(s["tries"]).alias("tries"),
+            hits.alias("hits"),
+            (~come_to | (hits >= enough)).alias("over"),
+            F.when(tried, F.concat(s["tried"], one)).otherwise(s["tried"]).alias("tried"),
+        )
+
+    return listed.select("person_id", F.explode(F.aggregate("w", start, step)["tried"]).alias("t")).select("person_id", "t.*")
+
+
 def fallback_pdfs(dois: DataFrame, a: DataFrame, b: DataFrame, c: DataFrame, most: int = 3) -> DataFrame:
     """doi -> urls: up to three of list a, else the single one of b, else up to three of list c."""
     cut = lambda x: F.nullif(F.slice(F.array_distinct(F.filter(x, lambda u: u.isNotNull() & (u != ""))), 1, most), F.array().cast("array<string>"))

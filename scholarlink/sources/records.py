@@ -16,18 +16,43 @@ MAX_PEOPLE = 50
 
 
 def read_people(spark: SparkSession, path: str, default_field: str = "") -> DataFrame:
-    """People from a CSV file with a header: known headers, else the first two columns; rows without name or affiliation go."""
-    return people_of(spark.read.option("header", True).option("encoding", "UTF-8").csv(path), default_field)
+    """People from CSV files with a header, quoted line breaks and a byte order mark or not: known headers, else the first two columns; rows without name or affiliation go.
+
+    Of several known headers of one kind the first in the file counts; of columns with one header the last. Headers are read from the first
+    file's first row alone; all files of a path have to have the same ones.
+    """
+    csv = spark.read.option("multiLine", True).option("encoding", "UTF-8").option("escape", '"')
+    first = csv.csv(path).limit(1).first()  # one row
+    headers = [(c or "").lstrip("\ufeff").strip() for c in first] if first else []
+    if not headers:
+        return spark.createDataFrame([], "name string, affiliation string, field string")
+    plain = [f"c{k}" for k in range(len(headers))]
+    rows = csv.option("header", True).option("enforceSchema", True).schema(", ".join(f"{c} string" for c in plain)).csv(path)
+    return _chosen(rows, plain, headers, default_field)
 
 
 def people_of(raw: DataFrame, default_field: str = "") -> DataFrame:
-    names = {c.lstrip("﻿"): c for c in raw.columns}
-    pick = lambda kind, nth: next((names[h] for h in HEADERS[kind] if h in names), raw.columns[nth] if nth is not None and nth < len(raw.columns) else None)
-    column = lambda c: F.btrim(F.col(f"`{c}`")) if c else F.lit("")
-    out = raw.select(column(pick("name", 0)).alias("name"), column(pick("affiliation", 1)).alias("affiliation"), column(pick("field", None)).alias("field"))
+    return _chosen(raw, raw.columns, [c.lstrip("\ufeff") for c in raw.columns], default_field)
+
+
+def _chosen(raw: DataFrame, columns: list[str], headers: list[str], default_field: str) -> DataFrame:
+    last = {h: c for c, h in zip(columns, headers, strict=True)}
+
+    def pick(kind: str, nth: int | None) -> Column:
+        found = next((h for h in headers if h in HEADERS[kind]), headers[nth] if nth is not None and nth < len(headers) else None)
+        return F.btrim(F.col(f"`{last[found]}`")) if found is not None else F.lit("")
+
+    out = raw.select(pick("name", 0).alias("name"), pick("affiliation", 1).alias("affiliation"), pick("field", None).alias("field"))
     return out.withColumn("field", F.coalesce(F.nullif("field", F.lit("")), F.lit(default_field))).where("name != '' and affiliation != ''")
 
 
+def read_companies(spark: SparkSession, path: str) -> DataFrame:
+    """Companies of XML lists, an element `list` each: corp_code, corp_name, stock_code, trimmed; those without code or name go."""
+    fields = ("corp_code", "corp_name", "stock_code")
+    rows = spark.read.format("xml").option("rowTag", "list").schema(", ".join(f"{c} string" for c in fields)).load(path)
+    return rows.select(*[F.btrim(F.coalesce(c, F.lit(""))).alias(c) for c in fields]).where("corp_code != '' and corp_name != ''")
+
+
 def validate_people(people: DataFrame, most: int = MAX_PEOPLE) -> tuple[DataFrame, DataFrame]:
     """(valid, rejected with code): trimmed, name and affiliation given, variants without blanks; more than `most` raises."""
     clean = people.withColumns({c: F.btrim(F.coalesce(c, F.lit(""))) for c in ("name", "affiliation", "field")})
@@ -120,10 +145,24 @@ def latest_preprint(raw: DataFrame) -> DataFrame:
     return first.select("doi", "x.*").select("doi", "server_rank", "version", F.concat(F.lit("content/"), "doi", F.lit("v"), F.coalesce(F.col("version"), F.lit(1)).cast("string")).alias("path"))
 
 
-def latest_responses(log: DataFrame, ttl_seconds: int, now: Column | None = None) -> DataFrame:
-    """(key, json, at) -> the newest response of each key, if it is no older than the limit at `now`, or at the log's column of that name; failures are null responses."""
-    newest = log.withColumn("now", F.col("now") if now is None else now).groupBy("key").agg(F.max_by("json", "at").alias("json"), F.max("at").alias("at"), F.max("now").alias("now"))
-    return newest.where(F.unix_timestamp("now") - F.unix_timestamp("at") <= ttl_seconds).drop("now")
+#: Kinds of responses, by the first part of their key, of which a failure is not remembered, so that the next run tries again.
+RETRIED = ("pdf", "oa-authors")
+
+
+def is_kept(key: Column, json: Column, retried: tuple[str, ...] = RETRIED) -> Column:
+    """Whether a response may be stored: any but a failure (null) of a kind that is tried again."""
+    return json.isNotNull() | ~F.split_part(key, F.lit(":"), F.lit(1)).isin(*retried)
+
+
+def latest_responses(log: DataFrame, ttl_seconds: int, now: Column | None = None, retried: tuple[str, ...] = RETRIED) -> DataFrame:
+    """(key, json, at) -> the newest response of each key, if it is no older than the limit at `now`, or at the log's column of that name.
+
+    A failure is a null response and counts as the newest one, but for the kinds that are tried again: theirs were never stored. Of responses of one time the
+    larger text counts, a failure least.
+    """
+    stored = log.withColumn("now", F.col("now") if now is None else now).where(is_kept(F.col("key"), F.col("json"), retried))
+    newest = stored.groupBy("key").agg(F.max(F.struct("at", "json")).alias("x"), F.max("now").alias("now"))
+    return newest.where(F.unix_timestamp("now") - F.unix_timestamp("x.at") <= ttl_seconds).select("key", "x.json", "x.at")
 
 
 def document_text(pages: DataFrame, first: int = 3) -> DataFrame:

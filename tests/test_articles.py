@@ -59,3 +59,25 @@ def test_malformed_articles_have_no_rows(spark):
 def test_proximity(spark, text, names, theirs):
     df = spark.createDataFrame([(text, names)], "t string, n array<string>")
     assert df.select(attributed_by_proximity(F.col("t"), F.lit("lab@uni.example"), F.col("n")).alias("x")).first().x is theirs
+
+
+def test_proximity_needs_no_python(spark):
+    df = spark.createDataFrame([("t", "e", ["n"])], "t string, e string, n array<string>")
+    plan = df.select(attributed_by_proximity(F.col("t"), F.col("e"), F.col("n")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize(
+    "text, names, theirs",
+    [
+        ("Goh, Gil. Then Gildong Goh: a(b@uni.example", ["Gil Goh", "Gildong Goh"], True),  # the last place of a name counts
+        ("GILDONG GOH\n\nB@UNI.example", ["Gildong Goh"], True),
+        ("Gildong Goh, Gil Dong Goh b@uni.example", ["Gildong Goh"], True),  # the same person once more
+        ("Maria Stone, Gildong b@uni.example", ["Gildong Goh"], True),  # a part of four letters
+        ("Goh b@uni.example", ["Gildong Goh"], False),  # a part of three
+        ("Gildong Goh of b@uni.example; Maria Stone: b@uni.example", ["Gildong Goh"], True),
+    ],
+)
+def test_proximity_backwards(spark, text, names, theirs):
+    df = spark.createDataFrame([(text, names)], "t string, n array<string>")
+    assert df.select(attributed_by_proximity(F.col("t"), F.lit("b@uni.example"), F.col("n")).alias("x")).first().x is theirs

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+import random
+
 from pyspark.sql import functions as F
 
 from scholarlink.functions import text as T
 from scholarlink.jobs import report
-from scholarlink.operators import affiliations, people
+from scholarlink.operators import affiliations, people, works
 from scholarlink.sources import records
 
 
@@ -59,7 +62,7 @@ def test_official_domains_name_the_registry_first(spark):
 
 def test_forms_are_guessed_only_without_printed_ones(spark):
     df = spark.createDataFrame([(1, ["고나라"]), (2, ["Petra Vex", "고나라"])], "person_id long, names array<string>")
-    got = people.name_forms(df, F.create_map(F.lit("고"), F.array(F.lit("Ko")))).collect()
+    got = people.name_forms(df, spark.createDataFrame([("고", ["Ko"])], "surname string, known array<string>")).collect()
     assert {(r.person_id, r.guessed) for r in got} == {(1, True), (2, False)} and "Nara Ko" in {r.form for r in got if r.person_id == 1}
 
 
@@ -75,6 +78,44 @@ def test_reports(spark):
     table = {r.person_id: r.line for r in report.markdown_rows(asked, ranked).collect()}
     assert table == {1: "| 1 | Petra Vex | Lab | p@lab.example | verified | open document (PDF) | bears the name |", 2: "| 2 | No One | Nowhere | - | - | - | - |"}
     ids = spark.createDataFrame([(1, "author", "https://x.example/A1"), (1, "record", "https://r.example/R1")], "person_id long, kind string, url string")
-    shown = {r.person_id: r for r in report.links(asked, ranked, ids).collect()}
-    assert [x.text for x in shown[1].emails] == ["p@lab.example", "p@x.example (unverified)"] and [x.url for x in shown[1].sources] == ["https://a.example", "https://b.example"]
-    assert [x.text for x in shown[1]["ids"]] == ["record R1", "author A1"] and shown[2].emails is None
+    pages = spark.createDataFrame([(1, 3, "https://a.example/4", "d"), (1, 0, "https://a.example/1", "a"), (1, 1, "www.b.example/2", "b"), (1, 2, "https://a.example/1", "c")], "person_id long, pos int, url string, source string")
+    found = report.with_lists(report.findings(asked.withColumn("field", F.lit("")), ranked), report.id_lists(ids), lists, report.page_lists(pages))
+    shown = {r.person_id: r for r in report.table_rows(found).collect()}
+    assert [x.text for x in shown[1].email] == ["p@lab.example", "p@x.example (unverified)"] and [x.url for x in shown[1].source] == ["https://a.example", "https://b.example"]
+    assert [x.text for x in shown[1]["ids"]] == ["record R1", "author A1"] and shown[2].email is None and shown[2].domains == "nowhere.example" and shown[1].field is None
+    assert [tuple(x) for x in shown[1].homepage] == [("a.example (c)", "https://a.example/1"), ("b.example (b)", "www.b.example/2")]  # of the first three each once, by its last source
+    flat = {r.person_id: r for r in report.summary(found).collect()}
+    assert flat[1].others == "p@x.example" and flat[1].record_id == "https://r.example/R1" and flat[1].homepage == "https://a.example/1" and flat[2].status == "not found"
+
+
+def test_failures_are_remembered_by_kind(spark):
+    at = lambda s: datetime.datetime(2024, 1, 1, 0, 0, s)
+    rows = [("pdf:a", "1", at(1)), ("pdf:a", None, at(5)), ("page:b", "1", at(1)), ("page:b", None, at(5)), ("page:c", "x", at(4)), ("page:c", "y", at(4)), ("pdf:d", None, at(1))]
+    log = spark.createDataFrame(rows, "key string, json string, at timestamp")
+    assert {(r.key, r.json) for r in records.latest_responses(log, 60, F.lit(at(6))).collect()} == {("pdf:a", "1"), ("page:b", None), ("page:c", "y")}
+    assert {r.key for r in records.latest_responses(log, 1, F.lit(at(6))).collect()} == {"page:b"}
+
+
+def test_works_are_read_as_a_loop_would(spark):
+    rng = random.Random(6)
+    rows = []
+    for p in range(60):
+        earlier = rng.choice([None, 0, 1, 2])
+        rows += [(p, k, rng.choice([None, f"u{p}-{k}", f"u{p}-{k}"]), rng.choice([True, True, False, None]), rng.choice([None, 0, 0, 0, 1, 2]), earlier) for k in range(rng.randint(1, 40))]
+    want = []
+    for p in range(60):
+        own = [r for r in rows if r[0] == p]
+        cost, tries, hits = 0.0, 0, own[0][5] or 0
+        for _, place, url, ok, verified, _ in own:
+            if cost >= 8 or tries >= 16:
+                break
+            if url:
+                tries += 1
+                cost += 1 if ok else 0.5
+                hits += (verified or 0) if ok else 0
+                want.append((p, place, url, bool(ok)))
+            if hits >= 2:
+                break
+    rng.shuffle(rows)
+    got = works.read_in_order(spark.createDataFrame(rows, "person_id long, place long, url string, ok boolean, verified int, earlier int"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)

@@ -9,9 +9,16 @@ from scholarlink.functions import names as N
 from scholarlink.functions import orgs as O
 from scholarlink.functions import text as T
 from scholarlink.operators import evidence, matching
+from scholarlink.operators.aliases import alias_table
 from scholarlink.sources import records
 
 
+@pytest.fixture(scope="module")
+def none(spark):
+    """The aliases known from the start."""
+    return alias_table(spark.createDataFrame([], "group_id long, name string"))
+
+
 def one(spark, column, **values):
     return spark.createDataFrame([tuple(values.values())], list(values)).select(column.alias("x")).first().x
 
@@ -42,7 +49,25 @@ def test_same_person(spark, a, b, same):
 
 @pytest.mark.parametrize("letter, spellings", [("가", ["ga", "gah", "ka", "kah"]), ("장", ["jang", "jahng", "chang", "chahng"]), ("x", ["x"])])
 def test_syllables(spark, letter, spellings):
-    assert one(spark, N.syllable_spellings(F.col("c")), c=letter) == spellings
+    assert N.with_spellings(spark.createDataFrame([(letter,)], ["c"]), "c", "s").first().s == spellings
+
+
+def test_syllable_table_is_whole(spark):
+    table = N.syllables(spark)
+    assert table.count() == table.select("letter").distinct().count() == 11172
+    assert table.where("size(spellings) not between 1 and 4 or not letter rlike '^[가-힣]$'").count() == 0
+
+
+@pytest.mark.parametrize(
+    "name, first, others",
+    [("장 나라", ["Nara Jang", "Na Ra Jang"], []), ("고나", ["Na Ko", "Nah Ko"], ["Na Go", "Na Koh"]), ("뷁나", ["Na Bwek"], []), ("abc", None, []), ("나", None, []), ("가나다라마", None, [])],
+)
+def test_romanisation(spark, name, first, others):
+    rows = N.romanize(spark.createDataFrame([(name,), (name,), (None,)], "n string"), "n").collect()
+    if first is None:
+        assert rows == []
+    else:
+        assert rows[0].forms[: len(first)] == first and set(others) <= set(rows[0].forms) and len(rows[0].forms) <= 16 and len(rows) == 1
 
 
 @pytest.mark.parametrize(
@@ -65,14 +90,16 @@ def test_attribution(spark, email, names, theirs):
         ("AIT", "Alder Institute of Technology", False, True),
     ],
 )
-def test_same_org(spark, a, b, strict, same):
-    none = spark.createDataFrame([], "group_id long, name string")
+def test_same_org(spark, none, a, b, strict, same):
     got = matching.match_orgs(spark.createDataFrame([(a,)], ["a"]), spark.createDataFrame([(b,)], ["b"]), "a", "b", none, strict)
     assert (got.count() == 1) is same
+    if strict:
+        row = spark.createDataFrame([(a, b, 1)], "a string, b string, kept int")
+        assert (matching.where_same_org(row, "a", "b", none).count() == 1) is same
 
 
 def test_alias_of_a_group(spark):
-    groups = spark.createDataFrame([(1, "ABCDE"), (1, "Birch Laboratories")], "group_id long, name string")
+    groups = alias_table(spark.createDataFrame([(1, "ABCDE"), (1, "Birch Laboratories")], "group_id long, name string"))
     left, right = spark.createDataFrame([("ABCDE",)], ["a"]), spark.createDataFrame([("Birch Lab. Inc.",)], ["b"])
     assert matching.match_orgs(left, right, "a", "b", groups).count() == 1  # by the content words of an alias
     assert matching.match_orgs(left, right, "a", "b", groups, strict=True).count() == 0
@@ -110,6 +137,21 @@ def test_verification(spark):
     assert got == {"a@ee.org1.example": ("official domain", True), "a@gmail.example": ("personal mail", False), "b@else.example": ("other domain", False), "c@org2.example": ("no domain", False), "d@gmail.example": ("record", True)}
 
 
+def test_people_of_a_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("\ufeffNo,name,Name,소속,name,org\r\n1,old,x,Alder,\"Goh, \"\"G\"\"\nGil\",Birch\r\n2,a,b,,c,d\r\n3\r\n".encode())
+    got = [tuple(r) for r in records.read_people(spark, str(tmp_path / "a.csv"), "any").collect()]
+    assert got == [('Goh, "G"\nGil', "Alder", "any")]  # of equal headers the last column; the first known header of a kind; no affiliation, no person
+    (tmp_path / "b.csv").write_text("who,where,else\nMoreau,Fir,z\n")
+    assert [tuple(r) for r in records.read_people(spark, str(tmp_path / "b.csv")).collect()] == [("Moreau", "Fir", "")]
+    (tmp_path / "c.csv").write_text("")
+    assert records.read_people(spark, str(tmp_path / "c.csv")).count() == 0
+
+
+def test_company_list(spark, tmp_path):
+    (tmp_path / "c.xml").write_text("<?xml version='1.0'?><result><list><corp_code> 01 </corp_code><corp_name>Alder</corp_name><stock_code> </stock_code><x>1</x></list><list><corp_code>02</corp_code></list></result>")
+    assert [tuple(r) for r in records.read_companies(spark, str(tmp_path / "c.xml")).collect()] == [("01", "Alder", "")]
+
+
 def test_people_file(spark):
     raw = spark.createDataFrame([("Goh", "Alder", None), ("", "Birch", "x"), (None, "Fir", "y")], "Name string, org string, Field string")
     assert [tuple(r) for r in records.people_of(raw, "any").collect()] == [("Goh", "Alder", "any")]
