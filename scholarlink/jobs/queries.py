@@ -624,7 +624,7 @@ def _found(spark, sf_dir):
 
 LABEL = "case source when 'pdf' then 'open document (PDF)' else 'open document (page)' end"
 SURE_OF = "verification in ('record', 'official domain')"
-FOUND = f"""h as (select person_id, email, source, verification, {SURE_OF} as verified, case when source = 'pdf' and person_id % 4 = 0 then '' else concat('https://files.example/', source, '/', person_id) end as source_url, concat('of strength ', strength) as attribution, row_number() over (partition by person_id order by {SURE_OF} desc, strength, email, source) as rn from ({VERIFIED})),
+REPORTED = f"""h as (select person_id, email, source, verification, {SURE_OF} as verified, case when source = 'pdf' and person_id % 4 = 0 then '' else concat('https://files.example/', source, '/', person_id) end as source_url, concat('of strength ', strength) as attribution, row_number() over (partition by person_id order by {SURE_OF} desc, strength, email, source) as rn from ({VERIFIED})),
     b as (select * from h where rn = 1), m as (select person_id, email, min(rn) as rn, arg_min(verified, rn) as verified from h group by all),
     o as (select m.person_id, string_agg(m.email, '; ' order by m.rn) filter (where m.email <> b.email) as others, string_agg(concat(m.email, case when m.verified then '' else ' (unverified)' end, ' <mailto:', m.email, '>'), '; ' order by m.rn) as emails from m join b using (person_id) group by 1),
     u as (select person_id, string_agg(concat({LABEL}, ' <', source_url, '>'), '; ' order by rn) as sources from (select person_id, source, source_url, min(rn) as rn from h where source_url <> '' group by all) group by 1),
@@ -637,7 +637,7 @@ FOUND = f"""h as (select person_id, email, source, verification, {SURE_OF} as ve
 JOINED = "from p join s using (person_id) left join b using (person_id) left join o using (person_id) left join u using (person_id) left join i using (person_id) left join w using (person_id) left join d using (person_id)"
 
 
-@query(f"with {FOUND} select p.person_id, p.person_id as rank, name, affiliation, field, email as best, status, verification, case when email is not null then {LABEL} end as route, source_url, attribution, record_id, author_id, domains, (select arg_min(url, nth) from g where g.person_id = p.person_id) as homepage, others {JOINED}")
+@query(f"with {REPORTED} select p.person_id, p.person_id as rank, name, affiliation, field, email as best, status, verification, case when email is not null then {LABEL} end as route, source_url, attribution, record_id, author_id, domains, (select arg_min(url, nth) from g where g.person_id = p.person_id) as homepage, others {JOINED}")
 def a4_summary(spark, sf_dir):
     return report.summary(_found(spark, sf_dir))
 
@@ -647,7 +647,7 @@ def _flat(df, *links):
     return df.withColumns({c: F.array_join(F.transform(c, lambda x: F.concat(x["text"], F.lit(" <"), x["url"], F.lit(">"))), "; ") for c in links})
 
 
-@query(f"with {FOUND} select p.person_id, p.person_id as rank, name, affiliation as affil, field, emails as email, status, sources as source, attribution, ids, domains, three as homepage {JOINED}")
+@query(f"with {REPORTED} select p.person_id, p.person_id as rank, name, affiliation as affil, field, emails as email, status, sources as source, attribution, ids, domains, three as homepage {JOINED}")
 def a3_links(spark, sf_dir):
     return _flat(report.table_rows(_found(spark, sf_dir)), "email", "source", "ids", "homepage")
 
@@ -656,7 +656,7 @@ CARDS = f"""v as (select person_id, string_agg(concat(email, ': ', verification)
     a as (select person_id, string_agg(concat(email, ': ', attribution), '; ' order by rn) as attribution_all from (select person_id, email, attribution, min(rn) as rn from h group by all) group by 1), q as (select person_id, concat('... ', arg_min(email, rn)) as snippet from h where rn > 1 group by 1)"""
 
 
-@query(f"with {FOUND}, {CARDS} select p.person_id, name, affiliation as affil, field, emails, verification_all as verification, attribution_all as attribution, sources as source, snippet, ids, concat(affiliation, ', ', 'Other Name') as affil_names, domains_by as domains, four as homepage, concat('- names · ', name, case when n_addresses > 0 then concat(chr(10), '- result · ', n_addresses) else '' end) as log {JOINED} left join v using (person_id) left join a using (person_id) left join q using (person_id) join ({STATUS}) using (person_id)")
+@query(f"with {REPORTED}, {CARDS} select p.person_id, name, affiliation as affil, field, emails, verification_all as verification, attribution_all as attribution, sources as source, snippet, ids, concat(affiliation, ', ', 'Other Name') as affil_names, domains_by as domains, four as homepage, concat('- names · ', name, case when n_addresses > 0 then concat(chr(10), '- result · ', n_addresses) else '' end) as log {JOINED} left join v using (person_id) left join a using (person_id) left join q using (person_id) join ({STATUS}) using (person_id)")
 def a5_cards(spark, sf_dir):
     asked = table(spark, sf_dir, "people")
     return _flat(report.cards(_found(spark, sf_dir), asked.select("person_id", F.array("affiliation", F.lit("Other Name")).alias("names")), _stages(spark, sf_dir)), "emails", "source", "ids", "homepage")
@@ -803,13 +803,13 @@ def j15_people_without_evidence(spark, sf_dir):
     return report.statuses(table(spark, sf_dir, "people"), _hits(spark, sf_dir)).where("n_addresses = 0").select("person_id", "status")
 
 
-@query(f"with {FOUND} select p.person_id, name, status, email as best {JOINED}")
+@query(f"with {REPORTED} select p.person_id, name, status, email as best {JOINED}")
 def a7_responses(spark, sf_dir):
     out = report.responses(report.summary(_found(spark, sf_dir))).select("person_id", F.from_json("json", "name string, status string, best string, notice string").alias("j")).where("j.notice is not null")
     return out.select("person_id", "j.name", "j.status", "j.best")
 
 
-@query(f"with {FOUND}, f as (select person_id from ({sql('people')}) order by person_id limit 50) select p.person_id as rank, name, status, emails as email, domains, 'rank,name,affil,field,email,status,source,attribution,ids,domains,homepage' as fields, 'table' as type {JOINED} where p.person_id in (select person_id from f)")
+@query(f"with {REPORTED}, f as (select person_id from ({sql('people')}) order by person_id limit 50) select p.person_id as rank, name, status, emails as email, domains, 'rank,name,affil,field,email,status,source,attribution,ids,domains,homepage' as fields, 'table' as type {JOINED} where p.person_id in (select person_id from f)")
 def a7_nested(spark, sf_dir):
     first = table(spark, sf_dir, "people").orderBy("person_id").limit(records.MAX_PEOPLE)
     found = _found(spark, sf_dir).join(first.select("person_id"), "person_id", "left_semi")
