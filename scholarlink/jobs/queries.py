@@ -1011,3 +1011,80 @@ def w10_reading_order(spark, sf_dir):
     asked = works.addresses_to_read(orders, locations, fallbacks)
     known = asked.withColumn("ok", F.when(key % 5 > 0, key % 4 > 0)).withColumn("verified", (key % 7 == 0).cast("int")).withColumn("earlier", F.col("person_id") % 2)
     return works.read_in_order(known)
+
+
+# ---- the whole job: everybody asked for at once, from names and affiliations to ranked evidence
+
+
+def _resolve_tables() -> dict[str, str]:
+    """A snapshot for the whole job in SQL that both engines read: authors and their works, bibliographic records, documents of which some fail and some are missing."""
+    from .snapshot import LOCAL, SURNAME, TABLES, _div, _styled
+
+    number = _div("c_custkey", 15)
+    mail = f"concat({LOCAL}, '@', case when c_custkey % 2 = 0 then concat('ee.org', cast(({number}) % 42 as varchar(9)), '.example') when c_custkey % 3 = 0 then 'gmail.example' else 'elsewhere.example' end)"
+    return {
+        "people": TABLES["people"],
+        "authors": TABLES["authors"],
+        "orgs": TABLES["orgs"],
+        "works": TABLES["works"],
+        "bibliography": f"select distinct concat('10.9999/a', cast(o_orderkey % 4000 as varchar(9))) as doi, {_styled('c_custkey + 2')} as author, {mail} as email from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 5 > 0 and o_orderkey % 4 = 1",
+        "locations": "select o_orderkey as work_id, concat('https://files.example/', cast(o_orderkey as varchar(12)), '.pdf') as url from {orders} where o_orderkey % 3 = 0",
+        "documents": f"select concat('https://files.example/', cast(o_orderkey as varchar(12)), '.pdf') as url, case when o_orderkey % 4 = 0 then 404 else 200 end as status, {mail} as email, concat('By ', {_styled('0')}, ' <', {mail}, '>') as text from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 3 = 0 and o_orderkey % 7 > 0",
+    }
+
+
+def _resolve_sql() -> str:
+    """The job person by person, as far as the snapshot goes, written from the rules and not from the operators: all pairs of names and of organisations, decisions, works, records, reading, verification, order."""
+    t = {k: v.format(customer="customer", supplier="supplier", orders="orders", lineitem="lineitem") for k, v in _resolve_tables().items()}
+    cands = _same_rows("select f.*, a.display_name from (select distinct form from fm) f, (select distinct display_name from au) a", "form", "display_name")
+    orgs = _same_org_sql("select name from an", "select institution as name from au")
+    hit = "len(list_filter(list_filter(string_split_regex(lower(field), '[\\s,/·]+'), lambda t: length(t) >= 3), lambda t: contains(lower(topic), t) or contains(t, lower(topic)))) > 0"
+    biblio = _same_rows("select w.person_id, b.email, b.author, p.name from first6 w join bb b on b.doi = w.key join pe p on p.person_id = w.person_id", "name", "author")
+    fits = "(len(p) >= 2 and length(t) >= 3 and contains(l, t) and i <> '' and (starts_with(r, i) or ends_with(r, i) or (length(i) >= 2 and contains(r, i))))"
+    theirs = f"""select distinct person_id, url, email from (select person_id, url, email, l, p, t, array_to_string(list_transform(list_filter(p, lambda x: x <> t), lambda x: x[1]), '') as i, concat(l[:instr(l, t) - 1], l[instr(l, t) + length(t):]) as r
+        from (select x.person_id, x.url, d.email, {BARE} as l, {PARTS} as p from asked x join dc d on d.url = x.url and d.status = 200 join pe using (person_id)), lateral (select unnest(p) as t)) where (length(t) >= 4 and contains(l, t)) or {fits}"""
+    check = f"select h.*, case when o.h is null then 'no domain' when {MATCHES.replace(' h ', ' o.h ').replace('(h,', '(o.h,').replace(' h)', ' o.h)').replace('= h ', '= o.h ')} then 'official domain' when regexp_matches(concat(d, '.'), '{PERSONAL}', 'i') then 'personal mail' else 'other domain' end as verification from (select *, split_part(email, '@', 2) as d from {{rows}}) h left join dom o on o.person_id = h.person_id"
+    return f"""with recursive {EXPANDED}, pe as ({t['people']}), au as ({t['authors']}), wo as ({t['works']}), bb as ({t['bibliography']}), lo as ({t['locations']}), dc as ({t['documents']}),
+    fm as (select person_id, form, rank from (select person_id, unnest(l) as form, unnest(range(len(l))) as rank from (select person_id, string_split(forms, '|') as l from ({_forms_sql()}))) where rank < 4),
+    an as (select affiliation, affiliation as name from af union select affiliation, short_name from rec join o on cast(org_id as varchar) = ror), om as ({orgs}), nm as ({cands}),
+    ca as (select fm.person_id, au.author_id, bool_or(au.current) as current, bool_or({hit}) as topic_hit, max(works_count) as works_count, min(rank) as form_rank from fm join nm using (form) join au using (display_name) join pe using (person_id) join an using (affiliation) join om on om.a = an.name and om.b = au.institution group by all),
+    c1 as (select *, count(*) over p as n, count(*) filter (where current) over p as nc from ca window p as (partition by person_id)), c2 as (select * exclude (n, nc), count(*) over p as n, count(*) filter (where topic_hit) over p as nt from c1 where n = 1 or nc = 0 or current window p as (partition by person_id)),
+    c3 as (select *, count(*) over (partition by person_id) as left_ from c2 where n = 1 or nt = 0 or topic_hit), un as (select person_id, author_id, 1 as author_rank from c3 where left_ = 1),
+    li as (select * from un union all select person_id, author_id, rn from (select *, row_number() over (partition by person_id order by current desc, topic_hit desc, works_count desc, form_rank, cast(author_id as varchar)) as rn from ca where person_id not in (select person_id from un)) where rn <= 2),
+    w1 as (select li.person_id, author_rank, wo.*, row_number() over (partition by li.person_id, li.author_id order by year desc, cast(work_id as varchar)) as nth from li join wo using (author_id)),
+    w2 as (select *, coalesce(nullif(lower(regexp_replace(doi, '^https?://(dx\\.)?doi\\.org/', '', 'i')), ''), cast(work_id as varchar)) as key from w1 where nth <= 25),
+    w3 as (select * from w2 qualify row_number() over (partition by person_id, key order by author_rank, nth) = 1), w4 as (select *, row_number() over (partition by person_id order by author_rank, nth, key) as place from w3),
+    first6 as (select * from w4 where doi <> '' qualify row_number() over (partition by person_id order by place) <= 6),
+    dom as (select person_id, {HOST} as h from pe join rec using (affiliation) join o on cast(org_id as varchar) = ror),
+    early as (select distinct person_id, email, 'bibliography' as source, author from ({biblio})), e1 as ({check.format(rows='(select distinct person_id, email, source from early)')}),
+    e0 as (select person_id, count(*) filter (where verification = 'official domain') as earlier from ({check.format(rows='(select distinct person_id, key, email from (select e.person_id, w.key, e.email from early e join first6 w on w.person_id = e.person_id join bb b on b.doi = w.key and b.email = e.email and b.author = e.author))')}) group by 1),
+    asked as (select w4.person_id, place, url from w4 left join lo using (work_id)), th as ({theirs}), tv as ({check.format(rows='th')}),
+    goods as (select person_id, url, count(*) filter (where verification = 'official domain') as verified from tv group by all),
+    rd as (select a.person_id, row_number() over (partition by a.person_id order by place) as n, place, a.url, coalesce(status = 200, false) as ok, coalesce(verified, 0) as verified, coalesce(earlier, 0) as earlier from asked a left join dc on dc.url = a.url left join goods g on g.person_id = a.person_id and g.url = a.url left join e0 on e0.person_id = a.person_id),
+    rf as (select person_id, cast(0 as bigint) as n, cast(0 as double) as cost, cast(0 as bigint) as tries, cast(max(earlier) as bigint) as hits, false as over, cast(null as varchar) as url, false as used from rd group by person_id
+        union all select rd.person_id, rd.n, case when t then cost + case when rd.ok then 1 else 0.5 end else cost end, case when t then tries + 1 else tries end, case when t and rd.ok then hits + rd.verified else hits end, not c or (case when t and rd.ok then hits + rd.verified else hits end) >= 2, rd.url, t and rd.ok
+        from rf join rd on rd.person_id = rf.person_id and rd.n = rf.n + 1, lateral (select not rf.over and cost < 8 and tries < 16 as c), lateral (select c and rd.url is not null as t)),
+    every as (select person_id, email, source, verification from e1 union select tv.person_id, email, 'pdf', verification from tv join rf on rf.person_id = tv.person_id and rf.url = tv.url and rf.used)
+    select person_id, email, source, verification, row_number() over (partition by person_id order by verification = 'official domain' desc, email, source) as rn from every"""
+
+
+@query(_resolve_sql())
+def wl1_resolve(spark, sf_dir):
+    """All derived people through the whole job; its ranked evidence."""
+    from . import resolve as job
+
+    read = {n: _read(spark, sf_dir, n) for n in ("customer", "supplier", "orders")}
+    made = {k: spark.sql(v, **{n: df for n, df in read.items() if "{" + n + "}" in v}) for k, v in _resolve_tables().items()}
+    authors, orgs = made["authors"].withColumn("author_id", F.col("author_id").cast("string")), made["orgs"]
+    none = F.array().cast("array<string>")
+    snapshot = {
+        "registry": orgs.select(F.col("org_id").cast("string").alias("ror"), F.col("name").alias("display_name"), F.array("short_name").alias("names"), "website", F.array(O.host_of(F.col("website"))).alias("domains")),
+        "authors": authors.select("author_id", "display_name", none.alias("alternatives"), F.lit("").alias("record_id"), F.col("works_count").cast("long").alias("works_count"), F.array("topic").alias("topics")),
+        "author_affiliations": authors.select("author_id", "institution", "current"),
+        "works": made["works"].select(F.col("author_id").cast("string").alias("author_id"), F.col("work_id").cast("string").alias("work_id"), "doi", "year", "title", none.alias("topics")),
+        "locations": made["locations"].select(F.col("work_id").cast("string").alias("work_id"), F.lit(0).alias("pos"), "url"),
+        "bibliography": made["bibliography"],
+        "documents": made["documents"].select("url", "status", F.lit("application/pdf").alias("content_type"), F.lit("pdf").alias("kind"), "text"),
+    }
+    found = job.resolve(made["people"], snapshot)["evidence"]
+    return found.select("person_id", "email", "source", "verification", F.col("rn").cast("long").alias("rn"))
