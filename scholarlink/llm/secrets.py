@@ -9,7 +9,11 @@ to eight letters that at least `common` documents have, with candidates or witho
 
 Pieces of a candidate go by a 128-bit hash of it, not with the candidate, so a long one costs no more than its length.
 
-The forest is trained on labelled findings (candidate features and is_secret), on about `sample` of them picked by a hash.
+The forest is trained on labelled findings (candidate features and is_secret), on about `sample` of them picked by a hash of
+document and place, half of either label where there are enough. Where nobody has labelled findings, planted() makes some: it
+writes statements into words of the documents themselves, some with a secret of one of SECRETS kinds, some with what only looks like one
+(DECOYS kinds), and knows each label because it put the value there. Secrets stand without a credential's name as well, and decoys after one,
+so no single feature tells them apart; documents with crc32 mod 4 = 2 and whole kinds can be held out to measure what was learnt.
 
 Nulls, empties, repeats: a null or empty text has no candidates. Repeated rows have theirs reported as often as they come.
 Without findings of both kinds no forest can be grown; every candidate then keeps the share of secrets among the findings
@@ -108,16 +112,82 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
     )
 
 
-def train(findings: DataFrame, sample: int = 20_000, trees: int = 20, depth: int = 6) -> PipelineModel | float:
-    """A forest from findings (FEATURES, is_secret), or the share of secrets where they are all of one kind."""
-    rows = findings.where("is_secret is not null").select(*FEATURES, F.col("is_secret").cast("double").alias("label"))
+SECRETS, DECOYS = 6, 8
+#: What may stand before a value: names that credentials go by with an assignment or not, words that announce other things, nothing.
+CREDENTIAL = ("token = \"", "secret: ", "api_key=", "password = '", "Authorization: Bearer ", "aws_secret_access_key = ", "auth_token: \"", "pwd=")
+PUBLIC = ("commit ", "sha1:", "revision = ", "see ", "id=", "file ", "order no. ", "checksum: ")
+
+
+def _planted_value(kind: Column, h: Column, word: list[Column]) -> Column:
+    """A value of a kind, from 128 hexadecimal digits of a hash and four words."""
+    mixed = F.base64(F.unhex(F.left(h, F.lit(96))))  # letters, digits, + and /
+    dashed = F.concat_ws("-", *[F.substring(h, at, n) for at, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    number = lambda at, n: F.right(F.concat(F.lit("0" * n), F.conv(F.substring(h, at, 15), 16, 10)), F.lit(n))
+    capital = [F.initcap(w) for w in word]
+    made = [
+        F.substring(h, 1, 40),
+        F.substring(F.translate(mixed, "+/", "Qz"), 1, 32),
+        F.substring(F.translate(mixed, "+/", "-_"), 1, 43),
+        F.concat(F.lit("AKIA"), F.upper(F.substring(F.translate(mixed, "+/", "xy"), 1, 16))),
+        F.when(F.substring(h, 30, 1) < "8", F.concat(capital[0], number(3, 4), F.lit("!"), F.substring(mixed, 5, 3))).otherwise(F.substring(F.when(F.substring(h, 31, 1) < "5", h).when(F.substring(h, 31, 1) < "b", mixed).otherwise(F.concat(number(3, 16), number(60, 16), number(80, 16))), F.lit(18), F.conv(F.substring(h, 32, 1), 16, 10).cast("int") + 8)),
+        dashed,
+        F.substring(h, 1, 40),
+        F.concat(F.lit("/usr/"), word[0], F.lit("/"), word[1], F.lit("/"), F.when(F.substring(h, 30, 1) < "8", F.concat(word[2], F.lit("_"), word[3])).otherwise(F.substring(h, F.lit(33), F.conv(F.substring(h, 32, 1), 16, 10).cast("int") / 2 + 2))),
+        F.concat(word[0], *capital[1:]),
+        F.concat_ws("_", *word),
+        number(3, 16),
+        F.concat(*word[:3]),
+        dashed,
+        F.concat(F.lit("your_"), word[0], F.lit("_"), word[1], F.lit("_here")),
+    ]
+    return F.element_at(F.array(*made), kind + 1)
+
+
+def planted(docs: DataFrame, sample: int = 3_000, each: int = 6, longest: int = 20_000) -> DataFrame:
+    """doc_id (of the statement), text, kind, value, at, is_secret: about sample * each statements among words of documents of at most `longest` characters, picked by a hash.
+
+    Kinds below SECRETS are secrets. A hexadecimal string or a dashed one is a secret after a credential's name or nothing, and none after what announces another thing.
+    """
+    rows = only(docs, "doc_id", "text").where(F.length("text").between(20, longest))
+    n = rows.count()
+    rows = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) / (1 << 30) * n < sample)
+    rows = rows.select(F.col("doc_id").alias("source_id"), F.split("text", r"\s+").alias("w"), F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("k"))
+    rows = rows.withColumn("h", F.sha2(F.concat_ws(":", F.lit("planted"), "source_id", "k"), 512))
+    draw = lambda at, most: F.pmod(F.conv(F.substring("h", at, 6), 16, 10).cast("long"), F.lit(most)).cast("int")
+    plain = F.filter("w", lambda x: x.rlike("^[a-z]{3,9}$"))
+    rows = rows.withColumn("plain", plain).where(F.size("plain") >= 3).withColumn("kind", draw(40, SECRETS + DECOYS)).withColumn("cut", draw(50, 1 << 20) % F.size("w"))
+    word = [F.element_at("plain", F.pmod(draw(56 + 4 * k, 1 << 20), F.size("plain")) + 1) for k in range(4)]
+    value = _planted_value(F.col("kind"), F.col("h"), word)
+    named, public = (F.element_at(F.array(*[F.lit(x) for x in texts]), draw(80, len(texts)) + 1) for texts in (CREDENTIAL, PUBLIC))
+    bare = draw(90, 4) == 0
+    secret = F.col("kind") < SECRETS
+    # a short password is a candidate only where it is assigned to a name; placeholders stand there as well
+    before = F.when(F.col("kind").isin(4, SECRETS + DECOYS - 1), named).when(bare & ~F.col("kind").isin(0, 5, SECRETS, SECRETS + 6), "").when(secret, named).otherwise(public)
+    left, right = (F.array_join(F.slice("w", x, 12), " ") for x in (F.col("cut") + 1, F.col("cut") + 13))
+    rows = rows.select("source_id", "k", "kind", F.concat(left, F.lit(" "), before).alias("left"), value.alias("value"), F.concat(F.when(before.endswith('"'), '" ').when(before.endswith("'"), "' ").otherwise(" "), right).alias("right"), secret.alias("is_secret"))
+    return rows.select((F.xxhash64("source_id", "k")).alias("doc_id"), "source_id", F.concat("left", "value", "right").alias("text"), "kind", "value", F.length("left").alias("at"), "is_secret")
+
+
+def labelled(docs: DataFrame, words: DataFrame, sample: int = 3_000) -> DataFrame:
+    """Findings with FEATURES, kind, source_id and is_secret: the candidates that are values planted into docs."""
+    made = stash(planted(docs, sample), "planted")
+    found = featured(stash(candidates(made), "planted-candidates"), words)
+    known = made.select("doc_id", "source_id", "kind", F.col("value").alias("candidate"), F.col("at").alias("start"), "is_secret")
+    return found.join(known, ["doc_id", "candidate", "start"])
+
+
+def train(findings: DataFrame, sample: int = 20_000, trees: int = 40, depth: int = 10) -> PipelineModel | float:
+    """A forest from findings (FEATURES, is_secret), or the share of secrets where they are all of one kind. About `sample` of them are looked at, and no more however many are alike."""
+    rows = findings.where("is_secret is not null").withColumn("label", F.col("is_secret").cast("double"))
     n, secrets = rows.agg(F.count(F.lit(1)), F.sum("label")).first()
     if not secrets or secrets == n:
         return float(bool(n) and bool(secrets))
-    picked = rows.where(F.pmod(F.xxhash64(*FEATURES, F.lit(4)), F.lit(1 << 30)) / (1 << 30) * n < sample) if n > sample else rows
-    kept = stash(picked, "findings")
-    if kept.select("label").distinct().count() < 2:
-        kept = stash(rows, "findings")
+    place = [F.col(c) for c in ("doc_id", "start", "nth") if c in rows.columns] or [F.monotonically_increasing_id()]
+    most = F.when(F.col("label") > 0, sample / 2 / secrets).otherwise(sample / 2 / (n - secrets))
+    kept = stash(rows.where(F.pmod(F.xxhash64(*place, F.lit(4)), F.lit(1 << 30)) / (1 << 30) < most).select(*FEATURES, "label"), "findings")
+    seen = kept.select("label").distinct().count()
+    if seen < 2:  # one of a label that is hardly there may be missed; the forest then knows the other alone
+        return secrets / n
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11)
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     return PipelineModel([assembler, forest.fit(assembler.transform(kept))])
@@ -131,17 +201,17 @@ def score(found: DataFrame, model: PipelineModel | float) -> DataFrame:
     return out.select(*found.columns, vector_to_array("probability")[1].alias("score"))
 
 
-def rule_labels(found: DataFrame) -> DataFrame:
-    """Findings labelled by rule: formats that providers publish, or digits assigned to a credential's name; all else is not a secret."""
-    fixed = F.col("candidate").rlike(r"^(AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abprs]-[0-9A-Za-z-]{10,}$|^sk-[A-Za-z0-9]{20,}$")
-    return found.withColumn("is_secret", fixed | ((F.col("key") > 0) & (F.col("assigned") > 0) & (F.col("digits") > 0)))
+def held_out(doc_id: Column) -> Column:
+    """A quarter of the documents, from which nothing is learnt."""
+    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2
 
 
 def scan(docs: DataFrame, findings: DataFrame | None = None, threshold: float = 0.5) -> DataFrame:
     """doc_id, nth, start, candidate, score, is_secret for all candidates of docs.
 
-    findings are labelled candidates with FEATURES; without any, those that rule_labels() gives to three quarters of the documents.
+    findings are labelled candidates with FEATURES; without any, those planted into three quarters of the documents.
     """
-    found = stash(featured(stash(candidates(docs), "candidates"), stash(dictionary(docs), "dictionary")), "features")
-    labelled = rule_labels(found.where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) != 2)) if findings is None else findings
-    return score(found, train(labelled)).select("doc_id", "nth", "start", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))
+    words = stash(dictionary(docs), "dictionary")
+    found = stash(featured(stash(candidates(docs), "candidates"), words), "features")
+    known = labelled(docs.where(~held_out(F.col("doc_id"))), words) if findings is None else findings
+    return score(found, train(known)).select("doc_id", "nth", "start", "candidate", "score", (F.col("score") >= threshold).alias("is_secret"))

@@ -12,7 +12,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scholarlink.llm import infill, interaction, topk
+from scholarlink.llm import infill, interaction, secrets, topk
+from scholarlink.llm.common import stash
 
 EXTRA = {"n": "long", "form": "string", "output": "string", "part": "string", "A": "boolean", "h": "long", "tokens": "string", "weight": "long", "score": "double", "shard": "int", "query_id": "long", "region": "int"}
 
@@ -200,3 +201,53 @@ def test_boxes_cut_off_what_cannot_be_near():
     for start, stop in tree.spans:
         k = tree.spans.index((start, stop))
         assert (tree.low[k] == tree.x[start:stop].min(axis=0)).all() and tree.least[k] == tree.ids[start:stop].min()
+
+
+@pytest.fixture(scope="module")
+def findings(spark):
+    rng = random.Random(12)
+    syllable = ["ka", "ren", "to", "mil", "os", "ta", "ver", "lin", "du", "pe", "sor", "an"]
+    words = ["".join(rng.choices(syllable, k=rng.randint(1, 4))) for _ in range(400)]
+    docs = spark.createDataFrame([(k, " ".join(rng.choices(words, k=rng.randint(30, 120)))) for k in range(700)] + [(None, "a b"), (701, None), (702, "")], "doc_id long, text string").cache()
+    dictionary = stash(secrets.dictionary(docs), "words")
+    return docs, stash(secrets.labelled(docs, dictionary, sample=700), "labelled")
+
+
+def test_planted_findings_are_where_they_were_put(spark, findings):
+    docs, known = findings
+    rows = secrets.planted(docs, sample=700).collect()
+    assert len(rows) > 3000 and all(r.text[r.at : r.at + len(r.value)] == r.value for r in rows)
+    assert {r.kind for r in rows} == set(range(secrets.SECRETS + secrets.DECOYS)) and all(r.is_secret == (r.kind < secrets.SECRETS) for r in rows)
+    kinds = {r.kind: r.n for r in known.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert set(kinds) >= set(range(secrets.SECRETS)) and secrets.planted(docs.limit(0)).count() == 0
+    # no single feature decides: a hash is a secret after one name and none after another, a name stands before placeholders too
+    both = known.groupBy(F.col("key") > 0).agg(F.count_distinct("is_secret").alias("n")).collect()
+    assert [r.n for r in both] == [2, 2]
+
+
+def test_forest_on_findings_held_out(findings):
+    _, known = findings
+    held = secrets.held_out(F.col("source_id"))
+
+    def measured(train, test):
+        hit = F.col("score") >= 0.5
+        r = secrets.score(test, secrets.train(train)).agg(F.count_if(F.col("is_secret") & hit).alias("tp"), F.count_if(~F.col("is_secret") & hit).alias("fp"), F.count_if(F.col("is_secret") & ~hit).alias("fn")).first()
+        return r.tp / max(1, r.tp + r.fp), r.tp / max(1, r.tp + r.fn)
+
+    precision, recall = measured(known.where(~held), known.where(held))
+    assert precision >= 0.95 and recall >= 0.9
+    kinds = F.col("kind").isin(1, 5, 9, 12)  # kinds of secrets and decoys that the forest never saw
+    precision, recall = measured(known.where(~held & ~kinds), known.where(held & kinds))
+    assert precision >= 0.6 and recall >= 0.8
+
+
+def test_training_sample_is_bounded_and_has_both_kinds(findings):
+    _, known = findings
+    same = known.where("is_secret").limit(1).drop("doc_id").crossJoin(known.sparkSession.range(20_000).withColumnRenamed("id", "doc_id"))
+    rare = same.unionByName(known.where("not is_secret").select(*same.columns).limit(5))
+    model = secrets.train(rare, sample=1000)
+    forest = model.stages[-1]
+    assert forest.numClasses == 2 and forest.getNumTrees == 40
+    scored = {r.is_secret: r.m for r in secrets.score(rare, model).groupBy("is_secret").agg(F.avg("score").alias("m")).collect()}
+    assert scored[True] > 0.9 > 0.5 > scored[False]
+    assert secrets.train(same, sample=10) == 1.0 and secrets.train(known.where("not is_secret")) == 0.0 and secrets.train(known.limit(0)) == 0.0
