@@ -117,6 +117,7 @@ def shard_documents(docs: DataFrame, shards: int = 8) -> DataFrame:
         ),
         "sizes",
     )
-    placed = shard_groups(rows.groupBy("g").agg(F.sum("size").alias("size")), shards)
-    rows = stash(rows.join(placed.select("g", "shard"), "g"), "placed")
+    placed = stash(shard_groups(rows.groupBy("g").agg(F.sum("size").alias("size")), shards).select("g", "shard"), "homes")
+    # both sides are tables of their own, so adaptive execution can split the rows of a group that many documents are in
+    rows = stash(rows.join(placed, "g"), "placed")
     return _number(rows, ["shard"], ["doc_id", "text_crc32"], F.xxhash64("doc_id", "text_crc32"), "slot").withColumnRenamed("g", "group")
