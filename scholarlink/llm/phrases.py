@@ -97,11 +97,11 @@ def stretches(starts: list[tuple[int, int]], window: int) -> list[tuple[int, int
 
 
 def _prepared(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
-    """Each document with n_words and the hash of its words; those near recurring anchors also with text and stretches."""
+    """Each document with n_words, the hash of its words and its code; those near recurring anchors also with text and stretches."""
     listed = recurring.groupBy("doc_id", "fp").agg(F.collect_set(F.struct("lo", "hi")).alias("at"))  # fewer than the document's words
-    joined = docs.join(listed, ["doc_id", "fp"], "left").select("doc_id", "fp", "text", "at")
+    joined = docs.join(listed, ["doc_id", "fp"], "left").select("doc_id", "fp", "text", "at", "code")
     stretch = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.string())]))
-    schema = StructType([docs.schema["doc_id"], docs.schema["fp"], *fields(n_words="long", whole="string", text="string"), *_stretch_field()])
+    schema = StructType([docs.schema["doc_id"], docs.schema["fp"], *fields(n_words="long", whole="string", text="string"), *_stretch_field(), docs.schema["code"]])
 
     def run(batches):
         for b in batches:
@@ -114,7 +114,7 @@ def _prepared(docs: DataFrame, recurring: DataFrame, window: int) -> DataFrame:
                     whole.append(hashlib.sha256(b" ".join(words)).hexdigest())
                     cut.append([{"start": x, "words": b" ".join(words[x:y]).decode()} for x, y in stretches([(r["lo"], r["hi"]) for r in at], window)] if at else None)
                 kept = pa.array([t if c else None for t, c in zip(texts, cut, strict=True)], pa.string())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(whole), kept, pa.array(cut, stretch)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(n), pa.array(whole), kept, pa.array(cut, stretch), part.column(4)], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
@@ -223,17 +223,20 @@ def _found(passages: DataFrame, visits: DataFrame, window: int) -> DataFrame:
 
 def repeated_words(docs: DataFrame, window: int = 50) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept_sha256, and removed (merged word ranges): without words repeated from earlier documents."""
-    docs = only(docs, "doc_id", "text").withColumn("fp", F.xxhash64("text"))
+    docs = only(docs, "doc_id", "text").withColumn("fp", F.xxhash64("text")).withColumn("code", F.coalesce(F.unhex(F.md5(F.col("text").cast("binary"))), F.lit(bytearray())))
     marks = stash(_anchors(docs, window), "anchors")
-    known = marks.groupBy("h").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select("h")
-    firsts = stash(docs.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    # what many rows are joined to is a table of its own each time, so that the join can be split at a common key
+    known = stash(marks.groupBy("h").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x != y").select("h"), "recurring")
+    firsts = stash(docs.where("doc_id is not null").groupBy("fp", "code").agg(F.min("doc_id").alias("first")), "firsts")
     near = marks.join(known, "h").select("doc_id", "fp", "lo", "hi").join(firsts.select("fp", F.col("first").alias("doc_id")), ["doc_id", "fp"], "left_semi")
     prepared = stash(_prepared(docs, near, window), "prepared")
     pieces = prepared.where("stretches is not null").select("doc_id", "fp", F.explode("stretches").alias("p")).select("doc_id", "fp", "p.start", "p.words")
-    pieces = stash(pieces.withColumn("piece", F.xxhash64("doc_id", "fp", "start")).dropDuplicates(["piece"]), "pieces")
+    # a number that two stretches share makes both be looked at, no more: whatever is found in them is compared word by word
+    pieces = stash(pieces.dropDuplicates(["doc_id", "fp", "start"]).withColumn("piece", F.xxhash64("doc_id", "fp", "start")), "pieces")
 
     windows = _windows(pieces, window)
     first = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("w1", "w2", "first")
+    first = stash(first, "confirmed")
     shared = stash(windows.join(first, ["w1", "w2"]).select("doc_id", "piece", "s", "first"), "shared")
 
     passages = stash(_passages(pieces, shared.where("doc_id = first").select("piece", "s"), window), "passages")
@@ -281,7 +284,7 @@ def _without(prepared: DataFrame, ranges: DataFrame, firsts: DataFrame, window:
 
     all_ = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop")))
     copy = (F.col("doc_id") > F.col("first")) & (F.col("n_words") >= window)
-    kept = prepared.where("stretches is null").select("doc_id", "fp", "n_words", "whole").join(firsts, "fp", "left")
+    kept = prepared.where("stretches is null").select("doc_id", "fp", "code", "n_words", "whole").join(firsts, ["fp", "code"], "left")
     kept = kept.select(
         "doc_id",
         "n_words",
