@@ -412,12 +412,12 @@ def w5_top_authors(spark, sf_dir):
     return people.ordered(_cands(spark, sf_dir)).where("rn <= 2").select("person_id", "author_id")
 
 
-@query(f"""with e as (select o_custkey as person_id, o_custkey % 400 as record_id, o_orderkey % 10 as institution from orders), p as (select c_custkey as person_id, c_custkey % 10 as institution from customer), r as (select c_custkey as person_id, c_custkey % 400 as record_id from customer)
+@query(f"""with e as (select o_custkey as person_id, o_custkey // 4 as record_id, o_orderkey % 10 as institution from orders), p as (select c_custkey as person_id, c_custkey % 10 as institution from customer), r as (select c_custkey as person_id, c_custkey // 4 as record_id from customer)
     select * from r where not exists (select 1 from e where e.person_id = r.person_id and e.record_id = r.record_id) or exists (select 1 from e join p using (person_id, institution) where e.person_id = r.person_id and e.record_id = r.record_id)""")
 def j5_hold_records(spark, sf_dir):
     orders, customer = _read(spark, sf_dir, "orders"), _read(spark, sf_dir, "customer")
-    jobs = orders.selectExpr("o_custkey as person_id", "o_custkey % 400 as record_id", "o_orderkey % 10 as institution")
-    return people.hold_records(customer.selectExpr("c_custkey as person_id", "c_custkey % 400 as record_id"), jobs, customer.selectExpr("c_custkey as person_id", "c_custkey % 10 as institution"))
+    jobs = orders.selectExpr("o_custkey as person_id", "o_custkey div 4 as record_id", "o_orderkey % 10 as institution")
+    return people.hold_records(customer.selectExpr("c_custkey as person_id", "c_custkey div 4 as record_id"), jobs, customer.selectExpr("c_custkey as person_id", "c_custkey % 10 as institution"))
 
 
 FOUND = "select o_custkey as person_id, o_orderkey % 6 as form_rank, o_orderkey as record_id, o_orderkey % 4 > 0 as has_institution, o_orderkey % 3 = 0 and o_orderkey % 4 > 0 as fits from {orders}"
@@ -857,9 +857,9 @@ def _korean(spark, sf_dir):
 
 
 def _bibliography() -> str:
-    from .snapshot import LOCAL, _styled
+    from .snapshot import LOCAL, _div, _styled
 
-    return f"select distinct concat('10.9999/a', cast(o_orderkey % 4000 as varchar(9))) as key, {_styled('c_custkey + 2')} as author, concat({LOCAL}, '@lab.example') as email from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 5 > 0"
+    return f"select distinct concat('10.9999/a', cast({_div('o_orderkey', 4)} as varchar(12))) as key, {_styled('c_custkey + 2')} as author, concat({LOCAL}, '@lab.example') as email from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 5 > 0"
 
 
 @query(f"""{WORKS}, b as ({_bibliography().format(orders='orders', customer='customer')}), q as (select person_id, name from ({sql('people')})), m as ({ORACLES['n2_match_names']})
@@ -880,11 +880,11 @@ def n7_name_forms(spark, sf_dir):
     return people.name_forms(asked.unionByName(other)).withColumn("form_rank", F.col("form_rank").cast("long"))
 
 
-@query(f"select distinct o_custkey as person_id, regexp_replace(split_part(website, '/', 3), '^www\\.', '') as domain, 'employment' as source from orders join ({sql('orgs')}) on org_id = o_orderkey % 97 + 1 where o_orderkey % 3 > 0")
+@query(f"select distinct o_custkey as person_id, regexp_replace(split_part(website, '/', 3), '^www\\.', '') as domain, 'employment' as source from orders join ({sql('orgs')}) on org_id = o_orderkey // 150 + 1 where o_orderkey % 3 > 0")
 def j6_employer_domains(spark, sf_dir):
     from ..operators import affiliations
 
-    jobs = _read(spark, sf_dir, "orders").selectExpr("o_custkey as person_id", "cast(o_orderkey % 97 + 1 as string) as org_id", "if(o_orderkey % 3 > 0, 'ROR', 'other') as id_source", "o_orderkey % 2 = 0 as current")
+    jobs = _read(spark, sf_dir, "orders").selectExpr("o_custkey as person_id", "cast(o_orderkey div 150 + 1 as string) as org_id", "if(o_orderkey % 3 > 0, 'ROR', 'other') as id_source", "o_orderkey % 2 = 0 as current")
     registry = table(spark, sf_dir, "orgs").select(F.col("org_id").cast("string").alias("ror"), F.array(O.host_of(F.col("website"))).alias("domains"))
     return affiliations.employer_domains(jobs, registry)
 
@@ -1021,13 +1021,13 @@ def _resolve_tables() -> dict[str, str]:
     from .snapshot import LOCAL, SURNAME, TABLES, _div, _styled
 
     number = _div("c_custkey", 15)
-    mail = f"concat({LOCAL}, '@', case when c_custkey % 2 = 0 then concat('ee.org', cast(({number}) % 42 as varchar(9)), '.example') when c_custkey % 3 = 0 then 'gmail.example' else 'elsewhere.example' end)"
+    mail = f"concat({LOCAL}, '@', case when c_custkey % 2 = 0 then concat('ee.org', cast({number} as varchar(12)), '.example') when c_custkey % 3 = 0 then 'gmail.example' else 'elsewhere.example' end)"
     return {
         "people": TABLES["people"],
         "authors": TABLES["authors"],
         "orgs": TABLES["orgs"],
         "works": TABLES["works"],
-        "bibliography": f"select distinct concat('10.9999/a', cast(o_orderkey % 4000 as varchar(9))) as doi, {_styled('c_custkey + 2')} as author, {mail} as email from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 5 > 0 and o_orderkey % 4 = 1",
+        "bibliography": f"select distinct concat('10.9999/a', cast({_div('o_orderkey', 4)} as varchar(12))) as doi, {_styled('c_custkey + 2')} as author, {mail} as email from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 5 > 0 and o_orderkey % 4 = 1",
         "locations": "select o_orderkey as work_id, concat('https://files.example/', cast(o_orderkey as varchar(12)), '.pdf') as url from {orders} where o_orderkey % 3 = 0",
         "documents": f"select concat('https://files.example/', cast(o_orderkey as varchar(12)), '.pdf') as url, case when o_orderkey % 4 = 0 then 404 else 200 end as status, {mail} as email, concat('By ', {_styled('0')}, ' <', {mail}, '>') as text from {{orders}} join {{customer}} on o_custkey = c_custkey where o_orderkey % 3 = 0 and o_orderkey % 7 > 0",
     }

@@ -38,11 +38,11 @@ LOCAL = f"lower(concat(substring({GIVEN[0]}, 1, 1), substring({GIVEN[1]}, 1, 1),
 TABLES = {
     "people": f"select c_custkey as person_id, {_styled('c_custkey')} as name, case when c_custkey % 3 = 0 then {_org(_div('c_custkey', 15), SHORT)} else {_org(_div('c_custkey', 15), FULL)} end as affiliation, {_pick('signal processing|polymer, film|/|battery / cell', 'c_custkey')} as field from {{customer}}",
     "authors": f"select c_custkey * 10 as author_id, {_styled('c_custkey + 2')} as display_name, c_custkey % 60 as works_count, {_pick('signal|polymer|battery', 'c_custkey')} as topic, {_org(_div('c_custkey', 15), FULL)} as institution, c_custkey % 4 > 0 as current from {{customer}}",
-    "orgs": f"select s_suppkey as org_id, {_org('s_suppkey', FULL)} as name, {_org('s_suppkey', SHORT)} as short_name, concat('https://www.org', cast(s_suppkey % 42 as varchar(9)), '.example/en?x=1') as website from {{supplier}}",
-    "works": "select o_custkey * 10 as author_id, o_orderkey as work_id, case when o_orderkey % 5 > 0 then concat('https://doi.org/10.9999/A', cast(o_orderkey % 4000 as varchar(9))) end as doi, year(o_orderdate) as year, o_orderpriority as title from {orders}",
+    "orgs": f"select s_suppkey as org_id, {_org('s_suppkey', FULL)} as name, {_org('s_suppkey', SHORT)} as short_name, concat('https://www.org', cast(s_suppkey as varchar(12)), '.example/en?x=1') as website from {{supplier}}",
+    "works": f"select o_custkey * 10 as author_id, o_orderkey as work_id, case when o_orderkey % 5 > 0 then concat('https://doi.org/10.9999/A', cast({_div('o_orderkey', 4)} as varchar(12))) end as doi, year(o_orderdate) as year, o_orderpriority as title from {{orders}}",
     "locations": f"select l_orderkey as work_id, l_linenumber as pos, concat('https://', {_pick('repository.example|www.mdpi.com|files.example|core.ac.uk', 'l_suppkey')}, '/', cast(l_partkey as varchar(12)), '.pdf') as url, l_returnflag = 'R' as ok from {{lineitem}}",
-    "hits": f"select c_custkey as person_id, concat({LOCAL}, '@', {_pick('mail|lab|ee', 'c_custkey')}, '.org', cast((c_custkey * 7) % 50 as varchar(9)), '.example') as email, 'html' as source, c_custkey % 9 = 0 as self_stated, c_custkey % 3 as strength from {{customer}} where c_mktsegment <> 'BUILDING' union all select c_custkey as person_id, concat({LOCAL}, '@', {_pick('gmail.example|org3.example|naver.example', 'c_custkey')}) as email, 'pdf' as source, false as self_stated, c_custkey % 2 as strength from {{customer}} where c_mktsegment <> 'BUILDING'",
-    "domains": "select c_custkey as person_id, concat('www.org', cast(c_custkey % 42 as varchar(9)), '.example') as domain from {customer} where c_custkey % 6 > 0",
+    "hits": f"select c_custkey as person_id, concat({LOCAL}, '@', {_pick('mail|lab|ee', 'c_custkey')}, '.org', cast({_div('c_custkey', 15)} + c_custkey % 2 as varchar(12)), '.example') as email, 'html' as source, c_custkey % 9 = 0 as self_stated, c_custkey % 3 as strength from {{customer}} where c_mktsegment <> 'BUILDING' union all select c_custkey as person_id, concat({LOCAL}, '@', {_pick('gmail.example|org3.example|naver.example', 'c_custkey')}) as email, 'pdf' as source, false as self_stated, c_custkey % 2 as strength from {{customer}} where c_mktsegment <> 'BUILDING'",
+    "domains": f"select c_custkey as person_id, concat('www.org', cast({_div('c_custkey', 15)} as varchar(12)), '.example') as domain from {{customer}} where c_custkey % 6 > 0",
     "notes": f"select c_custkey as note_id, concat('Write to ', {LOCAL}, {_pick(' [at] | (AT) |%40|&#64;| AT |@', 'c_custkey')}, 'org', cast(c_custkey % 42 as varchar(9)), {_pick(' (dot) |.| DOT ', 'c_custkey')}, 'example, or {{{{info, ', lower({SURNAME}), '}}}} @ lab.example now') as text from {{customer}}",
 }
 
