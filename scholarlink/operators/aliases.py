@@ -52,8 +52,13 @@ def alias_table(groups: DataFrame, known: DataFrame | None = None) -> Aliases:
     )
 
 
+def by_group(keyed: DataFrame, aliases: Aliases) -> DataFrame:
+    """keyed (own, acr, ...) with canonical, the key of the alias group: by the own key, or an acronym of four letters or more, else the own key."""
+    out = keyed.join(aliases.keys.toDF("own", "_by_key"), "own", "left").join(aliases.acronyms.toDF("acr", "_by_acr"), "acr", "left")
+    return out.withColumn("canonical", F.coalesce("_by_key", "_by_acr", "own")).drop("_by_key", "_by_acr")
+
+
 def canonical(names: DataFrame, column: str, aliases: Aliases) -> DataFrame:
-    """names with canonical, the key of their alias group: by their own key, or an acronym of four letters or more, else their own key."""
-    own = with_nfkc(names.select(column).distinct(), column, "_c").select(column, org_key(F.col("_c")).alias("_k"), acronym(F.col("_c")).alias("_a"))
-    out = own.join(aliases.keys.toDF("_k", "_by_key"), "_k", "left").join(aliases.acronyms.toDF("_a", "_by_acr"), "_a", "left")
-    return names.join(out.select(column, F.coalesce("_by_key", "_by_acr", "_k").alias("canonical")), column, "left")
+    """names with canonical, the key of their alias group."""
+    own = with_nfkc(names.select(column).distinct(), column, "_c").select(column, org_key(F.col("_c")).alias("own"), acronym(F.col("_c")).alias("acr"))
+    return names.join(by_group(own, aliases).select(column, "canonical"), column, "left")

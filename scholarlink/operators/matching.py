@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.names import name_keys, same_person, with_nfkc
 from ..functions.orgs import accepted_domains, acronym, core_key, org_key, org_tokens, same_tokens, suffixes
-from .aliases import Aliases, canonical
+from .aliases import Aliases, by_group
 from .store import settle
 
 
@@ -50,27 +50,35 @@ def contained_keys(inner: DataFrame, outer: DataFrame, k: str, m: str) -> DataFr
 
 def described(names: DataFrame, column: str, aliases: Aliases) -> DataFrame:
     """Distinct names with what organisations are compared by: key of the group, own key, acronym, content words."""
-    own = with_nfkc(canonical(names.select(column).where(F.col(column).isNotNull()).distinct(), column, aliases).where("canonical != ''"), column, "_c")
-    return own.select(column, "canonical", org_key(F.col("_c")).alias("own"), acronym(F.col("_c")).alias("acr"), org_tokens(F.col("_c")).alias("words"))
+    own = with_nfkc(names.select(column).where(F.col(column).isNotNull()).distinct(), column, "_c")
+    own = own.select(column, org_key(F.col("_c")).alias("own"), acronym(F.col("_c")).alias("acr"), org_tokens(F.col("_c")).alias("words"))
+    return by_group(own, aliases).where("canonical != ''").select(column, "canonical", "own", "acr", "words")
 
 
 def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, aliases: Aliases, strict: bool = False) -> DataFrame:
     """Distinct pairs (a, b) of the two columns of organisation names that name one organisation.
 
     Strict: one alias group or key, or equal content words. Else also an acronym of three letters or more that is the other's
-    key, a group key of four letters or more within the other's, or content words equal to those of an alias.
+    key, a group key of four letters or more within the other's, or content words equal to those of an alias. All rules of equal
+    keys go by one join of the keys, each of its kind.
     """
-    side = lambda df, c, x: described(df, c, aliases).toDF(c, f"k{x}", f"o{x}", f"r{x}", f"w{x}")
-    x, y = settle(side(left, a, 1)), settle(side(right, b, 2))
-    found = [x.join(y, F.col("k1") == F.col("k2"))]
-    by_words = lambda p, q: p.join(q, core_key(F.col("w1")) == core_key(F.col("w2"))).where(same_tokens(F.col("w1"), F.col("w2")))
-    found.append(by_words(x, y))
+    x, y = described(left, a, aliases).toDF(a, "k1", "o1", "r1", "w1"), described(right, b, aliases).toDF(b, "k2", "o2", "r2", "w2")
+    if not strict:  # read by several joins below
+        x, y = settle(x), settle(y)
+    kind = lambda name, key: F.concat(F.lit(name), key)
+    short = lambda r: F.when(F.length(r) >= 3, F.col(r))
+    first = [kind("k:", F.col("k1")), kind("w:", core_key(F.col("w1"))), *([] if strict else [kind("a:", short("r1")), kind("o:", F.col("o1"))])]
+    second = [kind("k:", F.col("k2")), kind("w:", core_key(F.col("w2"))), *([] if strict else [kind("a:", F.col("o2")), kind("o:", short("r2"))])]
+    keyed = lambda side, keys: side.select("*", F.explode(F.array_distinct(F.array_compact(F.array(*keys)))).alias("key"))
+    same = (F.col("k1") == F.col("k2")) | same_tokens(F.col("w1"), F.col("w2"))
+    if not strict:
+        same = same | F.coalesce(short("r1") == F.col("o2"), F.lit(False)) | F.coalesce(short("r2") == F.col("o1"), F.lit(False))
+    found = [keyed(x, first).join(keyed(y, second), "key").where(same)]
     if not strict:
-        found.append(x.where(F.length("r1") >= 3).join(y, F.col("r1") == F.col("o2")))
-        found.append(x.join(y.where(F.length("r2") >= 3), F.col("o1") == F.col("r2")))
         for inner, outer, k, m in ((x, y, "k1", "k2"), (y, x, "k2", "k1")):
             pairs = contained_keys(inner, outer, k, m).where(F.col(m).contains(F.col(k)) & (F.col(k) != F.col(m)))
             found.append(pairs.join(x, "k1").join(y, "k2"))
+        by_words = lambda p, q: p.join(q, core_key(F.col("w1")) == core_key(F.col("w2"))).where(same_tokens(F.col("w1"), F.col("w2")))
         other = with_nfkc(aliases.names, "name", "_c").select(F.col("canon"), F.col("name").alias("alias"), org_tokens(F.col("_c")).alias("said"))
         found.append(by_words(x.join(other, F.col("k1") == F.col("canon")).where(F.col("alias") != F.col(a)).select(a, F.col("said").alias("w1")), y))
         found.append(by_words(x, y.join(other, F.col("k2") == F.col("canon")).where(F.col("alias") != F.col(b)).select(b, F.col("said").alias("w2"))))
