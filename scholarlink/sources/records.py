@@ -162,7 +162,8 @@ def latest_responses(log: DataFrame, ttl_seconds: int, now: Column | None = None
     """
     stored = log.withColumn("now", F.col("now") if now is None else now).where(is_kept(F.col("key"), F.col("json"), retried))
     newest = stored.groupBy("key").agg(F.max(F.struct("at", "json")).alias("x"), F.max("now").alias("now"))
-    return newest.where(F.unix_timestamp("now") - F.unix_timestamp("x.at") <= ttl_seconds).select("key", "x.json", "x.at")
+    age = F.unix_micros(F.col("now").cast("timestamp")) - F.unix_micros(F.col("x.at").cast("timestamp"))  # parts of a second count
+    return newest.where(age <= ttl_seconds * 1_000_000).select("key", "x.json", "x.at")
 
 
 def document_text(pages: DataFrame, first: int = 3) -> DataFrame:
