@@ -1,12 +1,13 @@
-"""Approximate nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals.
+"""Nearest neighbours by inner product: an inverted file of coarse centroids with product-quantised residuals, searched by bounds.
 
 The index holds the direction and the length of every vector. The direction goes to the cell of its nearest coarse centroid;
-its residual is coded by one of 256 codewords in each of PARTS parts. A query looks into cells, those that promise the largest inner
-product first (the centroid's, and what residuals may add, times the longest vector of the cell), until they hold the share
-`probes` of all rows. Cells next to each other are searched together, in blocks of about BLOCK rows; a larger cell is cut
+its residual is coded by one of 256 codewords in each of PARTS parts, and what the code leaves is kept as a length. A query has a
+floor from the start: its k-th best inner product with the sample below. It looks into every cell whose centroid, radius and lengths
+let some vector reach that floor. Cells next to each other are searched together, in blocks of about BLOCK rows; a larger cell is cut
 into several, and queries come in blocks as well, so no group is large. In a block the sums of a query's asymmetric
-distance table over the codes, times the lengths, give one shortlist of `rerank` over all its cells, and only these are measured on the
-original vectors, in double precision.
+distance table over the codes, times the lengths, with what the codes may be wrong by, bound every vector's inner product. The `rerank` that promise
+most are measured first, on the original vectors and in double precision; then all others whose bound reaches the k-th best of these. So
+codes and cells decide how much is measured and not what is found, however the vectors lie.
 
 Centroids and codewords are fitted on a sample of about SAMPLE vectors; the index holds every vector.
 
@@ -74,16 +75,16 @@ class Codebook:
         rest = u - self.centroids[cell]
         self.bounds = np.linspace(0, u.shape[1], min(parts, u.shape[1]) + 1).astype(int)
         self.words = [kmeans(rest[:, a:b], 256) for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
-        squares, n = np.bincount(cell, (rest * rest).sum(axis=1), minlength=len(self.centroids)), np.bincount(cell, minlength=len(self.centroids))
-        self.spread = np.sqrt(np.where(n > 0, squares / np.maximum(n, 1), (rest * rest).sum() / len(u)))
-        self.reach = 2.8 / u.shape[1] ** 0.5  # of a residual's length, what the best of many may have in a query's direction
+        self.slack = 1e-5 + 1.2e-7 * u.shape[1]  # more than single precision loses in an inner product of unit vectors
 
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Cell, length and code of vectors."""
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Cell, length and code of vectors; how far their directions are from the centroid and from what the code says."""
         u, length = directions(x)
         cell = nearest(u, self.centroids)
         rest = u - self.centroids[cell]
-        return cell, length, np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.bounds[:-1], self.bounds[1:], self.words, strict=True)], axis=1).astype(np.uint8)
+        code = np.stack([nearest(rest[:, a:b], w) for a, b, w in zip(self.bounds[:-1], self.bounds[1:], self.words, strict=True)], axis=1).astype(np.uint8)
+        left = rest - np.concatenate([w[code[:, j]] for j, w in enumerate(self.words)], axis=1)
+        return cell, length, code, np.linalg.norm(rest, axis=1), np.linalg.norm(left, axis=1)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """The asymmetric tables of queries, a row each: inner products of their parts with 256 codewords a part."""
@@ -93,33 +94,53 @@ class Codebook:
         return out.reshape(len(q), -1)
 
 
-def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, cells: int | None = None) -> Codebook | None:
-    """A codebook from about `sample` vectors, picked by a hash of vec_id, with `cells` cells (sqrt(n), 4,096 at most)."""
+class Sample:
+    """Some of the rows, by which a query knows from the start what its k-th best has to reach."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        self.ids = ids
+        self.units, length = directions(x)
+        self.lengths = np.minimum(length, np.finfo(float).max)
+
+    def floors(self, ids: np.ndarray, units: np.ndarray, k: int, slack: float) -> np.ndarray:
+        """The k-th largest inner product of each query's direction with other rows of the sample, less the slack; minus infinity if there are fewer."""
+        if len(self.ids) < k:
+            return np.full(len(ids), -np.inf)
+        scores = (units @ self.units.T - slack) * self.lengths
+        scores[ids[:, None] == self.ids] = -np.inf
+        return np.partition(scores, -k, axis=1)[:, -k]
+
+
+def train(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS, cells: int | None = None) -> tuple[Codebook, Sample] | None:
+    """A codebook and its sample, of about `sample` vectors, picked by a hash of vec_id, with `cells` cells (sqrt(n), 4,096 at most)."""
     n = vectors.count()
     rows = vectors.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / (1 << 30) * n < sample).orderBy("vec_id").toPandas()
     if not len(rows):
         rows = vectors.limit(1).toPandas()
-    return Codebook(np.stack(rows["embedding"]), cells or max(1, min(4096, int(n**0.5))), parts) if len(rows) else None
+    if not len(rows):
+        return None
+    x = np.stack(rows["embedding"])
+    return Codebook(x, cells or max(1, min(4096, int(n**0.5))), parts), Sample(rows["vec_id"].to_numpy(), x)
 
 
 def _assign(vectors: DataFrame, shared) -> DataFrame:
-    """vec_id, embedding, cell, length, code."""
-    schema = StructType([vectors.schema["vec_id"], vectors.schema["embedding"], *fields(cell="int", length="double", code=BinaryType())])
+    """vec_id, embedding, cell, length, code, away (from the centroid), off (from what the code says)."""
+    schema = StructType([vectors.schema["vec_id"], vectors.schema["embedding"], *fields(cell="int", length="double", code=BinaryType(), away="double", off="double")])
 
     def run(batches):
         for b in batches:
             if b.num_rows:
-                cell, length, code = shared.value.encode(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1))
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(length), pa.array([r.tobytes() for r in code], pa.binary())], names=schema.names)
+                cell, length, code, away, off = shared.value.encode(np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cell, pa.int32()), pa.array(length), pa.array([r.tobytes() for r in code], pa.binary()), pa.array(away, pa.float64()), pa.array(off, pa.float64())], names=schema.names)
 
     return vectors.mapInArrow(run, schema)
 
 
 class Layout:
-    """Which blocks hold which cells, and what there is in a cell: rows and the longest vector."""
+    """Which blocks hold which cells, and what there is in a cell: rows, the longest and the shortest vector, the direction farthest from the centroid."""
 
-    def __init__(self, book: Codebook, sizes: np.ndarray, longest: np.ndarray, block: int):
-        self.sizes, self.longest = sizes, longest
+    def __init__(self, book: Codebook, sizes: np.ndarray, longest: np.ndarray, shortest: np.ndarray, radius: np.ndarray, block: int):
+        self.sizes, self.longest, self.shortest, self.radius = sizes, longest, shortest, radius
         middle = book.centroids - book.centroids.mean(axis=0)
         along = middle @ np.linalg.svd(middle, full_matrices=False)[2][0]  # neighbouring cells share blocks
         self.first, self.parts, used, held = np.zeros(len(sizes), int), np.maximum(1, -(-sizes // block)), 0, 0
@@ -131,37 +152,36 @@ class Layout:
             if self.parts[c] > 1:
                 used, held = used + int(self.parts[c]), 0
 
-    def probed(self, book: Codebook, q: np.ndarray, share: float) -> list[np.ndarray]:
-        """The cells that each query looks into."""
-        length = np.linalg.norm(q, axis=1, keepdims=True)
-        promise = (q @ book.centroids.T + length * (book.reach * book.spread)) * self.longest
-        order = np.argsort(np.where(self.sizes > 0, -promise, np.inf), axis=1, kind="stable")
-        before = np.cumsum(self.sizes[order], axis=1) - self.sizes[order]
-        need = share * self.sizes.sum()
-        return [o[(b < need) & (self.sizes[o] > 0)] for o, b in zip(order, before, strict=True)]
+    def probed(self, book: Codebook, units: np.ndarray, floors: np.ndarray) -> list[np.ndarray]:
+        """The cells that each query looks into: all that may hold a vector that reaches its floor."""
+        most = units @ book.centroids.T + (self.radius + book.slack)
+        most *= np.where(most > 0, self.longest, self.shortest)
+        return [np.flatnonzero(row) for row in (most >= floors[:, None]) & (self.sizes > 0)]
 
 
-def _probe(queries: DataFrame, shared, probes: float) -> DataFrame:
-    """query_id, vector, block, cells: a row for each block that a query looks into, with its cells there."""
-    schema = StructType([queries.schema["query_id"], queries.schema["vector"], *fields(block="int", cells=ArrayType(IntegerType()))])
+def _probe(queries: DataFrame, shared, k: int) -> DataFrame:
+    """query_id, vector, block, cells, floor: a row for each block that a query looks into, with its cells there."""
+    schema = StructType([queries.schema["query_id"], queries.schema["vector"], *fields(block="int", cells=ArrayType(IntegerType()), floor="double")])
 
     def run(batches):
-        book, layout = shared.value
+        book, sample, layout = shared.value
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                q = np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1).astype(np.float32)
+                units, _ = directions(np.asarray(part.column(1).flatten()).reshape(part.num_rows, -1))
+                floors = sample.floors(part.column(0).to_numpy(zero_copy_only=False), units, k, book.slack)
                 owner, blocks, cells = [], [], []
-                for k, own in enumerate(layout.probed(book, q, probes)):
+                for nth, own in enumerate(layout.probed(book, units, floors)):
                     count = layout.parts[own]
                     block = np.repeat(layout.first[own] - np.cumsum(count) + count, count) + np.arange(count.sum())
                     of = np.repeat(own, count)
                     order = np.argsort(block, kind="stable")
                     for x in np.split(order, np.flatnonzero(np.diff(block[order])) + 1):
-                        owner.append(k)
+                        owner.append(nth)
                         blocks.append(block[x[0]])
                         cells.append(of[x])
-                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner, pa.int64())), part.column(1).take(pa.array(owner, pa.int64())), pa.array(blocks, pa.int32()), pa.array(cells, pa.list_(pa.int32()))], names=schema.names)
+                of = pa.array(owner, pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0).take(of), part.column(1).take(of), pa.array(blocks, pa.int32()), pa.array(cells, pa.list_(pa.int32())), pa.array(floors).take(of)], names=schema.names)
 
     return queries.mapInArrow(run, schema)
 
@@ -175,45 +195,53 @@ def shortlist(near: np.ndarray, most: int) -> np.ndarray:
     return short
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, probes: float = 0.85, rerank: int = 300, block: int = BLOCK, cells: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rerank: int = 300, block: int = BLOCK, cells: int | None = None) -> DataFrame:
     """queries (query_id, vector) against vectors (vec_id, embedding), both as usable() gives them -> query_id, rank, vec_id, score."""
     spark = vectors.sparkSession
     vectors = stash(vectors, "vectors")
-    book = train(vectors, cells=cells)
-    if book is None:
+    fitted = train(vectors, cells=cells)
+    if fitted is None:
         return queries.limit(0).select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score"))
+    book, sample = fitted
     coded = spark.sparkContext.broadcast(book)  # at most 4,096 centroids and 256 codewords a part
     index = stash(_assign(vectors, coded), "index")
-    sizes, longest = np.zeros(len(book.centroids), int), np.zeros(len(book.centroids))
-    for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest")).collect():  # at most 4,096 cells
-        sizes[r.cell], longest[r.cell] = r.n, r.longest
-    layout = Layout(book, sizes, longest, block)
-    shared = spark.sparkContext.broadcast((book, layout))
+    sizes, (longest, shortest, radius) = np.zeros(len(book.centroids), int), np.zeros((3, len(book.centroids)))
+    for r in index.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("longest"), F.min("length").alias("shortest"), F.max("away").alias("away")).collect():  # at most 4,096 cells
+        sizes[r.cell], longest[r.cell], shortest[r.cell], radius[r.cell] = r.n, r.longest, r.shortest, r.away
+    layout = Layout(book, sizes, longest, shortest, radius, block)
+    shared = spark.sparkContext.broadcast((book, sample, layout))  # the sample is of a fixed size
     places = spark.createDataFrame(pd.DataFrame({"cell": np.arange(len(sizes), dtype=np.int32), "first": layout.first.astype(np.int32), "parts": layout.parts.astype(np.int32)}), "cell int, first int, parts int")
     queries = stash(queries, "queries")
     n_q = max(1, -(-queries.count() // block))
     turn = F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("q")  # a copy of the index for each block of queries
-    there = index.join(F.broadcast(places), "cell").select("vec_id", "embedding", "cell", "length", "code", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("parts"))).cast("int").alias("block"), turn)
-    asked = _probe(queries, shared, probes).withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n_q)).cast("int"))
+    there = index.join(F.broadcast(places), "cell").select("vec_id", "embedding", "cell", "length", "code", "off", (F.col("first") + F.pmod(F.xxhash64("vec_id", F.lit(5)), F.col("parts"))).cast("int").alias("block"), turn)
+    asked = _probe(queries, shared, k).withColumn("q", F.pmod(F.xxhash64("query_id", F.lit(5)), F.lit(n_q)).cast("int"))
     schema = StructType([queries.schema["query_id"], *fields(vec_id="long", score="double")])
 
     def look(asked, there):
         own, found, scores = [], [], []
         if len(asked) and len(there):
-            book, _ = shared.value
+            book, _, _ = shared.value
             there = there.sort_values("vec_id")
-            ids, x, cell, length = there["vec_id"].to_numpy(), np.stack(there["embedding"]), there["cell"].to_numpy(), there["length"].to_numpy()
+            ids, x, cell, length, off = there["vec_id"].to_numpy(), np.stack(there["embedding"]), there["cell"].to_numpy(), there["length"].to_numpy(), there["off"].to_numpy() + book.slack
             code = np.frombuffer(b"".join(there["code"]), np.uint8).reshape(len(there), -1).astype(np.int32) + 256 * np.arange(len(book.words), dtype=np.int32)
             for at in range(0, len(asked), 200):
                 some = asked.iloc[at : at + 200]
                 q = np.stack(some["vector"])
-                tables, base = book.tables(q.astype(np.float32)), q.astype(np.float32) @ book.centroids.T
-                for r, (query, wanted) in enumerate(zip(some["query_id"].tolist(), some["cells"], strict=True)):
+                units, size = directions(q)
+                tables, base = book.tables(units), units @ book.centroids.T
+                for r, (query, wanted, floor) in enumerate(zip(some["query_id"].tolist(), some["cells"], some["floor"], strict=True)):
                     inside = np.zeros(len(book.centroids), bool)
                     inside[wanted] = True
-                    near = (tables[r][code].sum(axis=1) + base[r][cell]) * length
-                    short = shortlist(np.where(inside[cell] & (ids != query), near, -np.inf), rerank)
+                    near = tables[r][code].sum(axis=1) + base[r][cell]
+                    most = (near + off) * length
+                    fit = inside[cell] & (ids != query) & (most >= floor)
+                    short = shortlist(np.where(fit, near * length, -np.inf), max(rerank, k))
                     exact = (x[short] * q[r]).sum(axis=1)
+                    if len(exact) > k:  # of the others, those that may still be as near as the k-th
+                        fit[short] = False
+                        rest = np.flatnonzero(fit & (most * size[r] >= np.partition(exact, -k)[-k]))
+                        short, exact = np.concatenate([short, rest]), np.concatenate([exact, (x[rest] * q[r]).sum(axis=1)])
                     best = np.lexsort((ids[short], -exact))[:k]
                     own += [query] * len(best)
                     found += ids[short][best].tolist()

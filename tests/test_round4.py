@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import datetime
+from collections import defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from scholarlink.llm import neighbours
 from scholarlink.sources.records import latest_responses
 
 
@@ -15,3 +19,38 @@ def test_parts_of_a_second_count_for_the_age_of_a_response(spark):
     rows = [("page:old", "a", now - day - datetime.timedelta(microseconds=1)), ("page:older", "b", now - day - datetime.timedelta(milliseconds=800)), ("page:just", "c", now - day)]
     log = spark.createDataFrame(rows, "key string, json string, at timestamp")
     assert [r.key for r in latest_responses(log, 86400, F.lit(now)).collect()] == ["page:just"]
+
+
+def _recall(spark, x: np.ndarray) -> float:
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    vectors = neighbours.usable(df)
+    queries = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
+    got = defaultdict(set)
+    for r in neighbours.search(vectors, queries).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, len(x), 20):
+        exact = (x * x[q]).sum(axis=1)
+        exact[q] = -np.inf
+        hits += len(got[q] & set(np.lexsort((np.arange(len(x)), -exact))[:20].tolist()))
+    return hits / (20 * len(range(0, len(x), 20)))
+
+
+def _tight(r, n: int, group: int) -> np.ndarray:
+    """Vectors at random, of which a group are near copies of one."""
+    x = r.normal(size=(n, 64))
+    x[:group] = x[0] + 1e-3 * r.normal(size=(group, 64))
+    return x
+
+
+CASES = {
+    "a tight group among others": lambda r: _tight(r, 6000, 3000),
+    "groups of near copies": lambda r: np.repeat(r.normal(size=(4, 64)), 1500, axis=0) + 1e-3 * r.normal(size=(6000, 64)),
+    "many dimensions": lambda r: r.normal(size=(4000, 512)),
+    "very uneven lengths": lambda r: r.normal(size=(6000, 64)) * r.lognormal(0, 3, size=(6000, 1)),
+}
+
+
+@pytest.mark.parametrize("case", sorted(CASES))
+def test_neighbours_however_vectors_lie(spark, case):
+    assert _recall(spark, CASES[case](np.random.default_rng(7))) >= 0.999
