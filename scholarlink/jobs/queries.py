@@ -721,7 +721,7 @@ def j9_author_notes(spark, sf_dir):
     from ..sources.jats import author_emails, parse_jats
 
     articles = spark.sql(ARTICLE.format(parts=_article_parts()), customer=_read(spark, sf_dir, "customer"))
-    return author_emails(parse_jats(articles)).select("doc_id", "no", "name", "corresp", F.array_join("emails", " ").alias("emails"))
+    return author_emails(settle(parse_jats(articles))).select("doc_id", "no", "name", "corresp", F.array_join("emails", " ").alias("emails"))
 
 
 @query(f"with p as ({_article_parts().format(customer='customer')}) select 'author' as kind, 2 * count(*) as n from p union all select 'email', count(*) from p where kind = 0 union all select 'xref', count(*) + count(*) filter (where kind = 2) from p where kind in (1, 2) union all select 'note', count(*) from p union all select 'note_email', count(*) + count(*) filter (where kind = 2) from p")
@@ -953,7 +953,7 @@ def j10_article_evidence(spark, sf_dir):
     from ..sources.jats import author_emails, parse_jats
 
     articles = spark.sql(ARTICLE.format(parts=_article_parts()), customer=_read(spark, sf_dir, "customer"))
-    authors = author_emails(parse_jats(articles)).withColumnRenamed("doc_id", "key")
+    authors = author_emails(settle(parse_jats(articles))).withColumnRenamed("doc_id", "key")
     return evidence.by_article(_readers(spark, sf_dir), authors, table(spark, sf_dir, "people").select("person_id", "name"), "article")
 
 

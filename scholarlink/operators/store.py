@@ -19,6 +19,11 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """df dealt by keys over as many tasks as shuffles have, before work that is heavy for its rows: a small file would be read, and a small shuffle merged, into few tasks."""
+    return df.repartition(max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """df, written and read again: no later step plans or runs what made it, and a lost executor loses none of it."""
     path = f"{shared_folder(df.sparkSession)}/settled-{uuid.uuid4().hex}"

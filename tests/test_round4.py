@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarlink.llm import neighbours
+from scholarlink.sources.jats import parse_jats
 from scholarlink.sources.records import latest_responses
 
 
@@ -54,3 +55,8 @@ CASES = {
 @pytest.mark.parametrize("case", sorted(CASES))
 def test_neighbours_however_vectors_lie(spark, case):
     assert _recall(spark, CASES[case](np.random.default_rng(7))) >= 0.999
+
+
+def test_articles_of_one_small_file_are_parsed_by_many_tasks(spark):
+    articles = spark.createDataFrame([(k, "<article/>") for k in range(20)], "doc_id long, xml string").coalesce(1)
+    assert parse_jats(articles).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
