@@ -13,6 +13,7 @@ from ..functions.orgs import domain_matches, host_of
 from ..functions.text import HEAD, SNIPPETS, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
 from .matching import where_same_person
 from .proximity import attributed_by_proximity
+from .store import spread
 
 #: Routes by which evidence comes, in the order that decides between equal findings.
 ROUTES = ("record", "bibliography", "article", "preprint", "pdf", "html", "homepage")
@@ -109,8 +110,8 @@ def by_full_text(reads: DataFrame, documents: DataFrame, names: DataFrame) -> Da
     go through the proximity rule; the first 20 addresses of a document have a quote.
     """
     wanted = reads.select("person_id", "url").distinct()
-    found = addresses_of(documents.join(wanted.select("url").distinct(), "url", "left_semi"))
-    each = wanted.join(found, "url").join(names.select("person_id", "names"), "person_id")
+    found = addresses_of(spread(documents.join(wanted.select("url").distinct(), "url", "left_semi"), "url"))
+    each = spread(wanted.join(names.select("person_id", "names"), "person_id"), "url").join(found, "url")
     account = attributed_by_account(F.substring_index("email", "@", 1), F.col("names"))
     by = F.when(account, "account").when(F.expr("contains(lower(head), email)") & attributed_by_proximity(F.col("head"), F.col("email"), F.col("names")), "place")
     return each.withColumn("by", by).where("by is not null").select("person_id", "url", "email", "by", F.when(F.col("kind") == "html", "html").otherwise("pdf").alias("source"), "snippet")

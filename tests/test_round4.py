@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scholarlink.llm import neighbours
+from scholarlink.operators import evidence
 from scholarlink.sources.jats import parse_jats
 from scholarlink.sources.records import latest_responses
 
@@ -60,3 +61,18 @@ def test_neighbours_however_vectors_lie(spark, case):
 def test_articles_of_one_small_file_are_parsed_by_many_tasks(spark):
     articles = spark.createDataFrame([(k, "<article/>") for k in range(20)], "doc_id long, xml string").coalesce(1)
     assert parse_jats(articles).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _tasks(plan) -> int:
+    """How many tables of a plan are dealt by url, over a number of tasks that isn't merged."""
+    return plan._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression [url")
+
+
+def test_texts_and_pages_are_dealt_before_they_are_searched(spark):
+    reads, names = spark.createDataFrame([(1, "u")], "person_id long, url string"), spark.createDataFrame([(1, ["Ann Lee"])], "person_id long, names array<string>")
+    texts = spark.createDataFrame([("u", "pdf", "Ann Lee <alee@x.example>")], "url string, kind string, text string")
+    found = evidence.by_full_text(reads, texts, names)
+    assert _tasks(found) == 2 and [r.email for r in found.collect()] == ["alee@x.example"]
+    pages = spark.createDataFrame([("u", 200, "text/html", "Ann Lee alee@x.example")], "url string, status int, content_type string, html string")
+    found = evidence.by_home_page(reads.selectExpr("person_id", "0 as pos", "url"), pages, names, spark.createDataFrame([], "person_id long, domain string"))
+    assert _tasks(found) == 2 and [r.email for r in found.collect()] == ["alee@x.example"]
