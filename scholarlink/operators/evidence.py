@@ -130,9 +130,10 @@ def by_home_page(urls: DataFrame, pages: DataFrame, names: DataFrame, domains: D
     urls (person_id, pos, url) of which the first two count, pages (url, status, content_type, html), domains (person_id, domain).
     """
     first = urls.withColumn("r", F.row_number().over(W.partitionBy("person_id").orderBy("pos", "url"))).where(F.col("r") <= most).select("person_id", "url")
-    wanted = pages.join(first.select("url").distinct(), "url", "left_semi")
+    wanted = spread(pages.join(first.select("url").distinct(), "url", "left_semi"), "url")
     read = wanted.select("url", page_head(F.col("html")).alias("head"), F.explode(home_page_emails(F.col("status"), F.col("content_type"), F.col("html"))).alias("email"))
-    each = first.join(read, "url").join(names.select("person_id", "names"), "person_id").join(own_domains(domains), "person_id", "left")
+    readers = first.join(names.select("person_id", "names"), "person_id").join(own_domains(domains), "person_id", "left")
+    each = spread(readers, "url").join(read, "url")
     local = F.substring_index("email", "@", 1)
     near = attributed_by_proximity(F.col("head"), F.col("email"), F.col("names"))
     by = F.when(attributed_by_account(local, F.col("names")), "account").when(near, "place").when(is_official(host_of(F.col("url"))) & ~is_department(local), "page")
