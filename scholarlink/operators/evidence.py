@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import name_tokens
+from ..functions.names import name_keys, name_tokens, same_person, with_nfkc
 from ..functions.orgs import domain_matches, host_of
 from ..functions.text import HEAD, SNIPPETS, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
 from .matching import where_same_person
@@ -143,8 +143,10 @@ def by_home_page(urls: DataFrame, pages: DataFrame, names: DataFrame, domains: D
 def by_author(works: DataFrame, authors: DataFrame, names: DataFrame, source: str) -> DataFrame:
     """Addresses of the authors of a person's works whose name can be the person's -> person_id, key, email, source.
 
-    works (person_id, key), authors (key, author, email), names (person_id, name). The works come first, so only authors of
-    wanted works are matched by name.
+    works (person_id, key), authors (key, author, email), names (person_id, name). Works and authors meet by the
+    work and a key of the name, so a record of many authors isn't paired with all that read it.
     """
-    near = works.select("person_id", "key").distinct().join(authors, "key").join(names, "person_id")
-    return where_same_person(near, "name", "author").select("person_id", "key", "email").distinct().withColumn("source", F.lit(source))
+    keyed = lambda rows, name, x: with_nfkc(rows, name, x).withColumn("_k", F.explode(name_keys(F.col(x))))
+    own = keyed(works.select("person_id", "key").distinct().join(names.select("person_id", "name"), "person_id"), "name", "_x")
+    near = own.join(keyed(authors.select("key", "author", "email"), "author", "_y"), ["key", "_k"])
+    return near.where(same_person(F.col("_x"), F.col("_y"))).select("person_id", "key", "email").distinct().withColumn("source", F.lit(source))

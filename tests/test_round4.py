@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from scholarlink.jobs.queries import ORACLES
 from scholarlink.llm import neighbours
 from scholarlink.operators import evidence
 from scholarlink.sources.jats import parse_jats
@@ -76,3 +77,11 @@ def test_texts_and_pages_are_dealt_before_they_are_searched(spark):
     pages = spark.createDataFrame([("u", 200, "text/html", "Ann Lee alee@x.example")], "url string, status int, content_type string, html string")
     found = evidence.by_home_page(reads.selectExpr("person_id", "0 as pos", "url"), pages, names, spark.createDataFrame([], "person_id long, domain string"))
     assert _tasks(found) == 2 and [r.email for r in found.collect()] == ["alee@x.example"]
+
+
+def test_records_of_bibliographic_evidence_have_the_authors_of_many_orders(spark):
+    assert "o_orderkey % 4000" in ORACLES["j8_bibliographic_evidence"]
+    works = spark.createDataFrame([(k, "d") for k in range(3)], "person_id long, key string")
+    names = spark.createDataFrame([(0, "Ann Lee"), (1, "A. Lee"), (2, None)], "person_id long, name string")
+    authors = spark.createDataFrame([("d", "LEE Ann", "a@x.example"), ("d", "Bo Kim", "b@x.example"), ("e", "Ann Lee", "c@x.example"), ("d", None, "d@x.example")], "key string, author string, email string")
+    assert sorted((r.person_id, r.email) for r in evidence.by_author(works, authors, names, "bibliography").collect()) == [(0, "a@x.example"), (1, "a@x.example")]
