@@ -59,8 +59,8 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, aliases: Alias
     """Distinct pairs (a, b) of the two columns of organisation names that name one organisation.
 
     Strict: one alias group or key, or equal content words. Else also an acronym of three letters or more that is the other's
-    key, a group key of four letters or more within the other's, or content words equal to those of an alias. All rules of equal
-    keys go by one join of the keys, each of its kind.
+    key, a group key of four letters or more within the other's, or an own key within the other's own (what a group goes by hides
+    none of its names), or content words equal to those of an alias. All rules of equal keys go by one join of the keys, each of its kind.
     """
     x, y = described(left, a, aliases).toDF(a, "k1", "o1", "r1", "w1"), described(right, b, aliases).toDF(b, "k2", "o2", "r2", "w2")
     if not strict:  # read by several joins below
@@ -75,9 +75,12 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, aliases: Alias
         same = same | F.coalesce(short("r1") == F.col("o2"), F.lit(False)) | F.coalesce(short("r2") == F.col("o1"), F.lit(False))
     found = [keyed(x, first).join(keyed(y, second), "key").where(same)]
     if not strict:
-        for inner, outer, k, m in ((x, y, "k1", "k2"), (y, x, "k2", "k1")):
+        both = lambda side, n: side.select("*", F.explode(F.array_distinct(F.array(f"k{n}", f"o{n}"))).alias(f"m{n}"))
+        xs, ys = both(x, 1), both(y, 2)
+        of = lambda sort: (F.col("m1") == F.col(f"{sort}1")) & (F.col("m2") == F.col(f"{sort}2"))  # noqa: E731  both group keys, or both own keys
+        for inner, outer, k, m in ((xs, ys, "m1", "m2"), (ys, xs, "m2", "m1")):
             pairs = contained_keys(inner, outer, k, m).where(F.col(m).contains(F.col(k)) & (F.col(k) != F.col(m)))
-            found.append(pairs.join(x, "k1").join(y, "k2"))
+            found.append(pairs.join(xs, "m1").join(ys, "m2").where(of("k") | of("o")))
         by_words = lambda p, q: p.join(q, core_key(F.col("w1")) == core_key(F.col("w2"))).where(same_tokens(F.col("w1"), F.col("w2")))
         other = with_nfkc(aliases.names, "name", "_c").select(F.col("canon"), F.col("name").alias("alias"), org_tokens(F.col("_c")).alias("said"))
         found.append(by_words(x.join(other, F.col("k1") == F.col("canon")).where(F.col("alias") != F.col(a)).select(a, F.col("said").alias("w1")), y))
