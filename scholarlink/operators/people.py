@@ -31,15 +31,18 @@ def candidates(forms: DataFrame, authors: DataFrame, pairs: DataFrame, affiliati
     """Authors that share a name and an institution with a person.
 
     forms (person_id, form_rank, form), authors (author_id, display_name, works_count, topics array, and, if wanted, alternatives array, of which ten count), affiliations
-    (author_id, institution, current), pairs (person_id, institution): the institutions that match the person's.
+    (author_id, institution, current), pairs (person_id, institution): the institutions that match the person's. They meet by the
+    name and the institution at once: by the name alone, all authors of a common name would meet all people of that name.
     -> person_id, author_id, display_name, works_count, topics, form_rank, current.
     """
     other = F.slice("alternatives", 1, 10) if "alternatives" in authors.columns else F.array().cast("array<string>")
     spelled = authors.select("author_id", F.explode(F.array_distinct(F.concat(F.array("display_name"), F.coalesce(other, F.array().cast("array<string>"))))).alias("spelling"))
     same = match_names(forms.select("form"), spelled.select("spelling"), "form", "spelling")
-    named = forms.join(same, "form").join(spelled, "spelling").join(authors, "author_id").groupBy("person_id", "author_id", "display_name", "works_count", "topics").agg(F.min("form_rank").alias("form_rank"))
-    linked = named.join(affiliations, "author_id").join(pairs, ["person_id", "institution"])
-    return linked.groupBy(*named.columns).agg(F.max("current").alias("current"))
+    asked = forms.join(same, "form").groupBy("person_id", "spelling").agg(F.min("form_rank").alias("form_rank")).join(pairs.select("person_id", "institution"), "person_id")
+    met = asked.join(spelled.join(affiliations, "author_id"), ["spelling", "institution"])
+    linked = met.groupBy("person_id", "author_id").agg(F.min("form_rank").alias("form_rank"), F.max("current").alias("current"))
+    known = authors.select("author_id", "display_name", "works_count", "topics").distinct()
+    return linked.join(known, "author_id").select("person_id", "author_id", "display_name", "works_count", "topics", "form_rank", "current")
 
 
 def on_topic(cands: DataFrame, terms: DataFrame) -> DataFrame:
