@@ -7,6 +7,7 @@ Where classes meet at an n-gram, these filters go inside the join, before a pair
   length      the smaller set has at least t times the larger one's size;
   positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed;
   suffix      the sets' parities in 512 cells of the hash range differ in no more cells than the sets may differ in n-grams;
+  sketch      in the last round, the prefixes' parities in 1,024 cells leave room for the common n-grams that the prefix filter asks for;
 and then, for the pairs made,
   prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come.
 What is left is verified once per pair, on the whole sets.
@@ -41,6 +42,10 @@ from .common import fields, gram_hashes, only, stash, word_hashes
 FREQUENT, LEAST, CHUNK = 1 << 18, 16, 4_000_000
 #: Longs of a sketch: 64 parities each.
 SKETCH = [f"s{k}" for k in range(8)]
+#: Longs of a prefix's sketch, for pairs of the last round.
+FIRST = [f"f{k}" for k in range(16)]
+#: N-grams that a task puts in one batch of sets or prefixes, a text's own never divided, so that batches don't grow with the texts.
+BATCH = 500_000
 #: Bits of the filter that picks the documents whose sets are fetched, and of each of its parts (what bitmap_construct_agg makes);
 #: its size is fixed, and a false hit only costs time.
 FILTER, PART = 1 << 23, 1 << 15
@@ -66,9 +71,10 @@ def signature(sets: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh3_128_digest(sets.tobytes(), seed=len(sets)), "<i8").tolist()) if len(sets) else (0, 0)
 
 
-def sketch(sets: np.ndarray) -> np.ndarray:
-    """512 parities: of how many n-grams fall in each cell of the hash range."""
-    odd = np.bincount((sets & np.uint64(511)).astype(np.int64), minlength=512) & 1
+def sketch(sets: np.ndarray, longs: int = len(SKETCH)) -> np.ndarray:
+    """64 parities a long: of how many n-grams fall in each cell of the hash range."""
+    cells = 64 * longs
+    odd = np.bincount((sets & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
@@ -133,26 +139,33 @@ def prefix_length(n, percent: int):
 
 
 def _prefixes(docs: DataFrame, n: int, percent: int, often, key: str) -> DataFrame:
-    """(key, t, n, c1, c2, sketch, cold, prefix): hash of the text; size, class and sketch of its set; its first n-grams, those below `cold` not taken for hot."""
-    schema = StructType([docs.schema[key], *fields(t="long", n="int", c1="long", c2="long", **dict.fromkeys(SKETCH, "long"), cold="int", prefix="longs")])
+    """(key, t, n, c1, c2, sketch, first, cold, prefix): hash of the text; size, class and sketch of its set; sketch of its prefix; its first n-grams, those below `cold` not taken for hot."""
+    schema = StructType([docs.schema[key], *fields(t="long", n="int", c1="long", c2="long", **dict.fromkeys(SKETCH + FIRST, "long"), cold="int", prefix="longs")])
 
     def run(batches):
         known, counts = often.value
         for b in batches:
-            ns, classes, sketches, cold, prefix = [], [], [], [], []
-            for text in b.column(2):
-                g = grams(text.as_py(), n)
+            start, held = 0, 0
+            ns, classes, sketches, firsts, cold, prefix = [], [], [], [], [], []
+            for k in range(b.num_rows):
+                g = grams(b.column(2)[k].as_py(), n)
                 ns.append(len(g))
                 classes.append(signature(g))
                 sketches.append(sketch(g))
                 f = counted(g, known, counts)
                 first = np.argsort(f, kind="stable")[: prefix_length(len(g), percent) if len(g) else 0]  # equal counts stay by hash
+                firsts.append(sketch(g[first], len(FIRST)))
                 prefix.append(_signed(g[first]))
                 cold.append(int((f[first] <= HOT).sum()))
-            sketches = np.stack(sketches) if sketches else np.zeros((0, len(SKETCH)), np.int64)
-            c = np.array(classes, np.int64).reshape(-1, 2)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prefix])))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ns, pa.int32()), pa.array(c[:, 0]), pa.array(c[:, 1]), *(pa.array(sketches[:, k]) for k in range(len(SKETCH))), pa.array(cold, pa.int32()), lists], names=schema.names)
+                held += len(first)
+                if held < BATCH and k + 1 < b.num_rows:
+                    continue
+                c, bits = np.array(classes, np.int64).reshape(-1, 2), np.hstack([np.stack(sketches), np.stack(firsts)])
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, prefix)]), pa.int32()), pa.array(np.concatenate(prefix)))
+                rows = b.slice(start, len(ns))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(ns, pa.int32()), pa.array(c[:, 0]), pa.array(c[:, 1]), *(pa.array(np.ascontiguousarray(x)) for x in bits.T), pa.array(cold, pa.int32()), lists], names=schema.names)
+                start, held = k + 1, 0
+                ns, classes, sketches, firsts, cold, prefix = [], [], [], [], [], []
 
     return docs.select(key, F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema)
 
@@ -216,15 +229,24 @@ def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("common") + F.greatest(after(na), after(nb)) >= needed(percent, na, nb))
 
 
+def _first_fits(a, b, percent: int) -> Column:
+    """Whether the prefixes can have the common n-grams that _near_enough() asks for, by their sketches."""
+    after = lambda n: F.ceil(n * percent / 100.0 - 1e-9) - 1
+    na, nb = a("n"), b("n")
+    apart = reduce(Column.__add__, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in FIRST])
+    both = na - after(na) + nb - after(nb)  # lengths of the prefixes
+    return both - apart >= 2 * (needed(percent, na, nb) - F.greatest(after(na), after(nb)))
+
+
 def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k)."""
+    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. rest has the prefixes' sketches; sizes: (token, k)."""
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     rows = rest.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("c", F.lit(9)), F.col("blocks")).cast("int"))
-    columns = ["c", "n", "pos", "label", "weight", *SKETCH]
+    columns = ["c", "n", "pos", "label", "weight", *SKETCH, *FIRST]
     side = lambda x, others: rows.select("token", F.explode(others).alias(f"block_{'b' if x == 'a' else 'a'}"), F.col("block").alias(f"block_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in columns])
     a, b = side("a", F.sequence("block", F.col("blocks") - 1)), side("b", F.sequence(F.lit(0), "block"))
     of = lambda x: lambda k: F.col(f"{k}_{x}")
-    fits = (F.col("label_a") != F.col("label_b")) & ((F.col("block_a") < F.col("block_b")) | (F.col("c_a") < F.col("c_b"))) & _fits(of("a"), of("b"), percent)
+    fits = (F.col("label_a") != F.col("label_b")) & ((F.col("block_a") < F.col("block_b")) | (F.col("c_a") < F.col("c_b"))) & _fits(of("a"), of("b"), percent) & _first_fits(of("a"), of("b"), percent)
     met = a.join(b, ["token", "block_a", "block_b"]).where(fits)
     pairs = met.select(*_pair(F.col("c_a"), F.col("c_b"), F.col("n_a"), F.col("n_b")), F.col("weight_a").alias("weight")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("common"))
     return _near_enough(pairs, percent).drop("common")
@@ -245,11 +267,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     picked = docs.sparkSession.sparkContext.broadcast(_filter(wanted))
     schema = StructType(fields(c1="long", c2="long", grams="longs"))
 
+    def batch(rows):
+        kinds = pa.int64(), pa.int64(), pa.list_(pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=schema.names)
+
     def run(batches):
         bits, done = picked.value, set()
         for b in batches:
             t = b.column(0).to_numpy() % FILTER
-            out = []
+            out, held = [], 0
             for k in np.flatnonzero(bits[t >> 3] >> (t & 7) & 1).tolist():
                 g = grams(b.column(1)[k].as_py(), n)
                 c = signature(g)
@@ -258,9 +284,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                         done.clear()
                     done.add(c)
                     out.append((*c, _signed(g)))
-            columns = zip(*out, strict=True) if out else ([],) * 3
-            kinds = pa.int64(), pa.int64(), pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=schema.names)
+                    held += len(g)
+                    if held >= BATCH:
+                        yield batch(out)
+                        out, held = [], 0
+            if out:
+                yield batch(out)
 
     found = docs.select(F.xxhash64("text").alias("t"), "text").mapInArrow(run, schema)
     return found.dropDuplicates(["c1", "c2"]).join(wanted.select("c", "c1", "c2"), ["c1", "c2"]).select("c", "c1", "c2", "grams")
@@ -324,7 +353,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
             pairs = _enough(stash(_starred(rest, best.select("token", "best.m", F.col("best.label").alias("label_m")), percent, F.col("label") != F.col("label_m")), "more"), met, percent)
         else:
             turn = "all"
-            pairs = _all_pairs(rest, open_, percent)
+            pairs = _all_pairs(rest.join(classes.select("c", *FIRST), "c"), open_, percent)
         found = _verified(docs, pairs, classes, n, percent, turn)
         links = links if found is None else links.unionByName(found)
         if turn == "all":
