@@ -5,7 +5,8 @@ similarity t or more share an n-gram among the first n - ceil(t n) + 1 of either
 one class from the start, by a 128-bit hash. Of a class's n-grams where just the same classes meet, the first stands for all.
 Where classes meet at an n-gram, these filters go inside the join, before a pair is made:
   length      the smaller set has at least t times the larger one's size;
-  positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed;
+  positional  what precedes and what follows the places of the common n-gram can still make up the overlap needed (in the last
+              round what follows alone, since a pair is made at the first n-gram that it has in common);
   suffix      the sets' parities in 512 cells of the hash range differ in no more cells than the sets may differ in n-grams;
 and then, for the pairs made,
   prefix      the common n-grams of the two prefixes, all that there are up to the nearer prefix's end, leave enough to come.
@@ -177,11 +178,11 @@ def _meetings(classes: DataFrame, percent: int) -> DataFrame:
     return first.join(classes.select("c", *SKETCH), "c")
 
 
-def _fits(a, b, percent: int) -> Column:
-    """The length, positional and suffix filters for two members of a group; a and b give their columns by name."""
+def _fits(a, b, percent: int, first: bool = False) -> Column:
+    """The length, positional and suffix filters for two members of a group; a and b give their columns by name. first: the group's n-gram has to be the first that they have in common."""
     na, nb, i, j = a("n"), b("n"), a("pos"), b("pos")
     need = needed(percent, na, nb)
-    reach = F.least(i, j) + 1 + F.least(na - i - 1, nb - j - 1)
+    reach = (0 if first else F.least(i, j)) + 1 + F.least(na - i - 1, nb - j - 1)
     apart = reduce(Column.__add__, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in SKETCH])
     return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (reach >= need) & (na + nb - apart >= 2 * need)
 
@@ -217,17 +218,21 @@ def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k)."""
+    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k).
+
+    A pair is made where its first common n-gram is: nothing before it counts, so that n-gram is early enough in both sets, and
+    within the first n - needed(n, n) + 1 of the smaller one. What pairs have in common is counted afterwards, on those few.
+    """
     blocks = F.ceil(F.col("k") / BLOCK).cast("int")
     rows = rest.join(sizes.select("token", blocks.alias("blocks")), "token").withColumn("block", F.pmod(F.xxhash64("c", F.lit(9)), F.col("blocks")).cast("int"))
-    columns = ["c", "n", "pos", "label", "weight", *SKETCH]
-    side = lambda x, others: rows.select("token", F.explode(others).alias(f"block_{'b' if x == 'a' else 'a'}"), F.col("block").alias(f"block_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in columns])
-    a, b = side("a", F.sequence("block", F.col("blocks") - 1)), side("b", F.sequence(F.lit(0), "block"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    side = lambda df, x, y: df.select("token", F.explode(every).alias(f"block_{y}"), F.col("block").alias(f"block_{x}"), *[F.col(k).alias(f"{k}_{x}") for k in ("c", "n", "pos", "label", *SKETCH)])
+    a, b = side(rows.where(F.col("pos") <= F.col("n") - needed(percent, F.col("n"), F.col("n"))), "a", "b"), side(rows, "b", "a")  # a is the smaller set
     of = lambda x: lambda k: F.col(f"{k}_{x}")
-    fits = (F.col("label_a") != F.col("label_b")) & ((F.col("block_a") < F.col("block_b")) | (F.col("c_a") < F.col("c_b"))) & _fits(of("a"), of("b"), percent)
+    fits = (F.col("label_a") != F.col("label_b")) & (F.struct("n_a", "c_a") < F.struct("n_b", "c_b")) & _fits(of("a"), of("b"), percent, first=True)
     met = a.join(b, ["token", "block_a", "block_b"]).where(fits)
-    pairs = met.select(*_pair(F.col("c_a"), F.col("c_b"), F.col("n_a"), F.col("n_b")), F.col("weight_a").alias("weight")).groupBy("a", "b", "n_a", "n_b").agg(F.sum("weight").alias("common"))
-    return _near_enough(pairs, percent).drop("common")
+    pairs = met.select(*_pair(F.col("c_a"), F.col("c_b"), F.col("n_a"), F.col("n_b"))).distinct()
+    return _enough(stash(pairs, "meeting"), rest, percent)  # n-grams of groups with one label are in no such pair
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:

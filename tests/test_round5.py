@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from scholarlink.llm import jaccard
 from scholarlink.operators import matching, people
 from scholarlink.operators.aliases import alias_table
 
@@ -29,3 +32,20 @@ def test_people_and_authors_of_one_name_meet_at_their_institutions_alone(spark):
     joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in line]
     named = [line for line in joins if line.count("spelling#") > 1]
     assert named and all("institution#" in line for line in named)
+
+
+def test_sets_that_meet_late_in_their_prefixes_make_no_pairs(spark, monkeypatch):
+    """op7: in the last round a pair is made at its first common n-gram alone, which has to be early enough in both sets; links are kept."""
+    made = []
+    near_enough = jaccard._near_enough
+    monkeypatch.setattr(jaccard, "_near_enough", lambda pairs, percent: made.append(pairs.count()) or near_enough(pairs, percent))
+    n, rows = 1000, []  # 251 n-grams in a prefix; sketches that tell nothing apart
+    rows += [(7, c, n, 200) for c in range(40)]  # met late: 800 n-grams at most in common, 858 needed
+    rows += [(8, c, n, 142 + c % 2) for c in (50, 51, 52)]  # at the edge: 858 of both
+    rows += [(9, c, n, 150) for c in (50, 52)]  # their second common n-gram
+    rest = spark.createDataFrame(rows, "token long, c long, n int, pos int").withColumns({"label": F.col("c"), "weight": F.when(F.col("token") == 7, 1).otherwise(60), **{k: F.lit(0).cast("long") for k in jaccard.SKETCH}})
+    sizes = rest.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
+    got = {(r.a, r.b) for r in jaccard._all_pairs(rest, sizes, 75).collect()}
+    assert got == {(50, 52)} and made == [1]
+    monkeypatch.setattr(jaccard, "BLOCK", 1)
+    assert {(r.a, r.b) for r in jaccard._all_pairs(rest, sizes, 75).collect()} == got
