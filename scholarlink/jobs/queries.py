@@ -959,7 +959,7 @@ def j10_article_evidence(spark, sf_dir):
     from ..sources.jats import author_emails, parse_jats
 
     articles = spark.sql(ARTICLE.format(parts=_article_parts()), customer=_read(spark, sf_dir, "customer"))
-    authors = author_emails(settle(parse_jats(articles))).withColumnRenamed("doc_id", "key")
+    authors = settle(author_emails(settle(parse_jats(articles)))).withColumnRenamed("doc_id", "key")
     return evidence.by_article(_readers(spark, sf_dir), authors, table(spark, sf_dir, "people").select("person_id", "name"), "article")
 
 

@@ -161,7 +161,7 @@ def resolve(people: DataFrame, snapshot: dict[str, DataFrame], surnames: DataFra
     routes.append(_hits(E.by_author(first, t["bibliography"].select(F.col("doi").alias("key"), "author", "email"), each_name, "bibliography"), 1, doi, F.col("key"), F.lit("author of the record")))
     wanted = t["articles"].withColumn("key", F.col("doi")).join(first.select("key").distinct(), "key", "left_semi").where("source != 'preprint' or startswith(key, '10.1101/')")
     split = lambda n: F.split_part("doc_id", F.lit(" "), F.lit(n))
-    parsed = author_emails(settle(parse_jats(wanted.select(F.concat_ws(" ", "source", "key").alias("doc_id"), "xml")))).select(split(1).alias("kind"), split(2).alias("key"), "name", "corresp", "emails")
+    parsed = settle(author_emails(settle(parse_jats(wanted.select(F.concat_ws(" ", "source", "key").alias("doc_id"), "xml")))).select(split(1).alias("kind"), split(2).alias("key"), "name", "corresp", "emails"))
     for nth, kind in enumerate(("article", "preprint")):
         routes.append(_hits(E.by_article(first, parsed.where(F.col("kind") == kind), each_name, kind), 2 + nth, doi, F.col("key"), F.concat(F.lit("author tag '"), "author", F.lit("'"), F.when(F.col("corresp"), " (corresponding)").otherwise(""))))
     early = settle(reduce(DataFrame.unionByName, routes))

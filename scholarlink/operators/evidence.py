@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions.names import name_keys, name_tokens, same_person, with_nfkc
 from ..functions.orgs import domain_matches, host_of
 from ..functions.text import HEAD, SNIPPETS, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
-from .matching import where_same_person
 from .proximity import attributed_by_proximity
 from .store import spread
 
@@ -96,10 +95,13 @@ def ranked(hits: DataFrame) -> DataFrame:
 def by_article(works: DataFrame, authors: DataFrame, names: DataFrame, source: str) -> DataFrame:
     """Addresses that articles give for authors whose name can be the person's -> person_id, key, email, author, corresp, source.
 
-    works (person_id, key), authors (key, name, corresp, emails) as jats.author_emails() has them, names (person_id, name).
+    works (person_id, key), authors (key, name, corresp, emails) as jats.author_emails() has them, names (person_id, name). Names are
+    composed before works and authors meet, so what comes of the joins is made once. authors are read twice: settle() them first.
     """
-    near = works.select("person_id", "key").distinct().join(authors.select("key", F.col("name").alias("author"), "corresp", F.explode("emails").alias("email")), "key").join(names, "person_id")
-    hits = where_same_person(near, "name", "author").groupBy("person_id", "key", "email", "author").agg(F.max("corresp").alias("corresp"))
+    own = with_nfkc(names.select("person_id", "name"), "name", "_x")
+    said = with_nfkc(authors.select("key", F.col("name").alias("author"), "corresp", F.explode("emails").alias("email")), "author", "_y")
+    near = works.select("person_id", "key").distinct().join(said, "key").join(own, "person_id")
+    hits = near.where(same_person(F.col("_x"), F.col("_y"))).groupBy("person_id", "key", "email", "author").agg(F.max("corresp").alias("corresp"))
     return hits.withColumn("source", F.lit(source))
 
 

@@ -88,12 +88,6 @@ def match_orgs(left: DataFrame, right: DataFrame, a: str, b: str, aliases: Alias
     return reduce(DataFrame.unionByName, [df.select(a, b) for df in found]).distinct()
 
 
-def where_same_person(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """The rows whose two names can be one person's: a test of rows that a key has already brought together, no join by likeness."""
-    composed = with_nfkc(with_nfkc(rows, a, "_a"), b, "_b")
-    return composed.where(same_person(F.col("_a"), F.col("_b"))).select(*rows.columns)
-
-
 def where_same_org(rows: DataFrame, a: str, b: str, aliases: Aliases) -> DataFrame:
     """The rows whose two names are strictly one organisation's: as match_orgs(strict=True), within the row."""
     x = described(rows, a, aliases).select(F.col(a), F.col("canonical").alias("_k1"), F.col("words").alias("_w1"))
