@@ -201,12 +201,18 @@ def _starred(rows: DataFrame, centres: DataFrame, percent: int, more: Column | N
     return both.where(fits if more is None else more & fits).select(*_pair(F.col("c"), F.col("m.c"), F.col("n"), F.col("m.n"))).distinct()
 
 
-def _enough(pairs: DataFrame, met: DataFrame, percent: int) -> DataFrame:
-    """The pairs that pass the prefix filter, by the lists of the n-grams where their classes meet others."""
+def _lists(met: DataFrame) -> DataFrame:
+    """(c, ones, more) once for each class: the n-grams where it meets others, those that stand for themselves apart from (token, weight) of the rest; a prefix has no more."""
+    one = F.col("weight") == 1  # numbers are looked up when lists are compared, but each struct is held against all others
+    return met.groupBy("c").agg(F.collect_list(F.when(one, F.col("token"))).alias("ones"), F.collect_list(F.when(~one, F.struct("token", "weight"))).alias("more"))
+
+
+def _enough(pairs: DataFrame, lists: DataFrame, percent: int) -> DataFrame:
+    """The pairs that pass the prefix filter, by the lists of their classes: one row for each class, however many n-grams it has."""
     wanted = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).distinct()
-    lists = met.join(wanted, "c", "left_semi").groupBy("c").agg(F.collect_list(F.struct("token", "weight")).alias("at"))  # a prefix has no more
-    both = pairs.join(lists.toDF("a", "at_a"), "a").join(lists.toDF("b", "at_b"), "b")
-    common = F.aggregate(F.array_intersect("at_a", "at_b"), F.lit(0).cast("long"), lambda s, x: s + x["weight"])
+    lists = lists.join(wanted, "c", "left_semi")
+    both = pairs.join(lists.toDF("a", "ones_a", "more_a"), "a").join(lists.toDF("b", "ones_b", "more_b"), "b")
+    common = F.aggregate(F.array_intersect("more_a", "more_b"), F.size(F.array_intersect("ones_a", "ones_b")).cast("long"), lambda s, x: s + x["weight"])
     return _near_enough(both.withColumn("common", common), percent).select("a", "b", "n_a", "n_b")
 
 
@@ -217,8 +223,8 @@ def _near_enough(pairs: DataFrame, percent: int) -> DataFrame:
     return pairs.where(F.col("common") + F.greatest(after(na), after(nb)) >= needed(percent, na, nb))
 
 
-def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k).
+def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int, lists: DataFrame | None = None) -> DataFrame:
+    """(a, b, n_a, n_b) once: all members of a group with different labels, as far as the filters let them. sizes: (token, k); lists: those of rest, if made before.
 
     A pair is made where its first common n-gram is: nothing before it counts, so that n-gram is early enough in both sets, and
     within the first n - needed(n, n) + 1 of the smaller one. What pairs have in common is counted afterwards, on those few.
@@ -232,7 +238,7 @@ def _all_pairs(rest: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     fits = (F.col("label_a") != F.col("label_b")) & (F.struct("n_a", "c_a") < F.struct("n_b", "c_b")) & _fits(of("a"), of("b"), percent, first=True)
     met = a.join(b, ["token", "block_a", "block_b"]).where(fits)
     pairs = met.select(*_pair(F.col("c_a"), F.col("c_b"), F.col("n_a"), F.col("n_b"))).distinct()
-    return _enough(stash(pairs, "meeting"), rest, percent)  # n-grams of groups with one label are in no such pair
+    return _enough(stash(pairs, "meeting"), _lists(rest) if lists is None else lists, percent)  # n-grams of groups with one label are common to no such pair
 
 
 def _filter(wanted: DataFrame) -> np.ndarray:
@@ -309,11 +315,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
     classes = documents.where("n > 0").drop(key).dropDuplicates(["c1", "c2"]).withColumn("c", F.monotonically_increasing_id())
     classes = stash(classes, "classes")  # so the numbers stay
     met = stash(_meetings(classes, percent), "met")
+    lists = stash(_lists(met), "lists")  # for all rounds
 
     member = F.struct("c", "n", "pos", *SKETCH)
     links = spark.createDataFrame([], "a long, b long")
     first = stash(_starred(met, met.groupBy("token").agg(F.min(F.struct("own", "c", "n", "pos", *SKETCH)).alias("m")), percent), "first")
-    found = _verified(docs, _enough(first, met, percent), classes, n, percent, "own")
+    found = _verified(docs, _enough(first, lists, percent), classes, n, percent, "own")
     links = links if found is None else found
     for turn in ("centres", "all"):
         label = stash(components(links), "components").withColumnRenamed("node", "c")
@@ -326,10 +333,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 75, key: str = "
         if turn == "centres" and (size.pairs or 0) > CROWDED * (size.rows or 0):
             share = F.pmod(F.xxhash64("c", F.lit(4)), F.lit(CENTRES))
             best = rest.groupBy("token", share.alias("share")).agg(F.max(F.struct("degree", F.col("label").alias("label"), member.alias("m"))).alias("best"))
-            pairs = _enough(stash(_starred(rest, best.select("token", "best.m", F.col("best.label").alias("label_m")), percent, F.col("label") != F.col("label_m")), "more"), met, percent)
+            pairs = _enough(stash(_starred(rest, best.select("token", "best.m", F.col("best.label").alias("label_m")), percent, F.col("label") != F.col("label_m")), "more"), lists, percent)
         else:
             turn = "all"
-            pairs = _all_pairs(rest, open_, percent)
+            pairs = _all_pairs(rest, open_, percent, lists)
         found = _verified(docs, pairs, classes, n, percent, turn)
         links = links if found is None else links.unionByName(found)
         if turn == "all":
