@@ -19,8 +19,8 @@ DEPARTMENT = "enquir|inquir|info|office|admin|contact|webmaster|support|general|
 BRACES = r"(?U)\{([^{}]{1,120})\}\s*@\s*([A-Za-z0-9.-]+\.[A-Za-z]{2,})"
 MAILTO = r"(?i)href=[\"']mailto:([^\"'?]+)"
 NO_TEXT, TAG = r"(?is)<script.*?</script>|<style.*?</style>", "<[^>]+>"
-# Limits of what is read, in characters, and of quotes.
-PAGE_LIMIT, ROBOT_LIMIT, HEAD, SNIPPETS = 2_000_000, 20_000, 8_000, 20
+# Limits of what is read, in characters, and the width of quotes to each side.
+PAGE_LIMIT, ROBOT_LIMIT, HEAD, QUOTE = 2_000_000, 20_000, 8_000, 70
 
 
 def may_hold_address(text: Column) -> Column:
@@ -109,7 +109,7 @@ def is_robot_page(html: Column) -> Column:
     return F.substring(html, 1, ROBOT_LIMIT).rlike(f"(?i){ROBOT_PAGE}")
 
 
-def snippet(text: Column, needle: Column, width: int = 70) -> Column:
+def snippet(text: Column, needle: Column, width: int = QUOTE) -> Column:
     """What stands around the first place of needle in text, in any case, without tags; empty if it isn't there."""
     at = F.instr(F.lower(text), F.lower(needle))
     start = F.greatest(at - width, F.lit(1))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.names import name_keys, name_tokens, same_person, with_nfkc
+from ..functions.names import let, name_keys, name_tokens, same_person, with_nfkc
 from ..functions.orgs import domain_matches, host_of
-from ..functions.text import HEAD, SNIPPETS, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
-from .proximity import attributed_by_proximity
+from ..functions.text import QUOTE, extract_emails, home_page_emails, is_department, is_personal_mail, page_head, snippet
+from .proximity import WINDOW, attributed_by_proximity, follows_name, parts_around
 from .store import spread
 
 #: Routes by which evidence comes, in the order that decides between equal findings.
@@ -109,21 +109,66 @@ def by_full_text(reads: DataFrame, documents: DataFrame, names: DataFrame) -> Da
     """Addresses of documents that bear the person's name or stand next to it -> person_id, url, email, by ('account' or 'place'), source, snippet.
 
     reads (person_id, url), documents (url, kind, text), names (person_id, names array). Only rows that no account rule settles
-    go through the proximity rule; the first 20 addresses of a document have a quote.
+    go through the proximity rule, by every place of the address in the whole text; the quote is of the first place.
     """
     wanted = reads.select("person_id", "url").distinct()
     found = addresses_of(spread(documents.join(wanted.select("url").distinct(), "url", "left_semi"), "url"))
     each = spread(wanted.join(names.select("person_id", "names"), "person_id"), "url").join(found, "url")
     account = attributed_by_account(F.substring_index("email", "@", 1), F.col("names"))
-    by = F.when(account, "account").when(F.expr("contains(lower(head), email)") & attributed_by_proximity(F.col("head"), F.col("email"), F.col("names")), "place")
+    by = F.when(account, "account").when(follows_name(F.col("before"), F.col("names")), "place")
     return each.withColumn("by", by).where("by is not null").select("person_id", "url", "email", "by", F.when(F.col("kind") == "html", "html").otherwise("pdf").alias("source"), "snippet")
 
 
+#: Fixed value: how many of an account's last letters an address and its places share before they are compared.
+ENDING = 3
+
+
+def _places(text: Column, longest: Column) -> Column:
+    """Array (at, before, after) of each @ of text that something follows, with all that an address there needs: the characters of a window and of a quote.
+
+    before goes one address further back, since a window ends at an earlier place of its address. Neither takes more pieces than its characters can hold.
+    """
+
+    def place(pieces: Column, k: Column, most: Column) -> Column:
+        before = F.array_join(F.slice(pieces, F.greatest(k - WINDOW, F.lit(1)), F.least(k + 1, F.lit(WINDOW + 2))), "@")
+        after = F.array_join(F.slice(pieces, k + 2, F.lit(QUOTE + 1)), "@")
+        stands = F.struct(k.alias("at"), F.right(before, 2 * most + WINDOW).alias("before"), F.left(after, most + QUOTE).alias("after"))
+        return F.when(F.get(pieces, k + 1) != "", stands)
+
+    cut = lambda pieces: F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    return F.array_compact(let(F.split(text, "@"), lambda pieces: let(longest, lambda most: F.transform(cut(pieces), lambda _, k: place(pieces, k, most)))))
+
+
+def _mentions(text: Column, emails: Column) -> Column:
+    """Array of an entry for each address (email) and for each place of _places(), with the ending that they share if the address may stand there; null without addresses."""
+    local = lambda e: F.substring_index(e, "@", 1)
+    sizes = F.array_distinct(F.transform(emails, lambda e: F.least(F.length(local(e)), F.lit(ENDING))))
+    none = F.lit(None).cast("struct<at:int,before:string,after:string>")
+    entry = lambda ending, email, place: F.struct(ending.alias("ending"), email.alias("email"), place.alias("place"))
+    wanted = F.transform(emails, lambda e: entry(F.right(local(e), F.lit(ENDING)), e, none))
+    by_ending = lambda p, each: F.transform(each, lambda n: entry(F.lower(F.right(p["before"], n)), F.lit(None).cast("string"), p))
+    met = let(sizes, lambda each: F.transform(_places(text, F.array_max(F.transform(emails, F.length))), lambda p: by_ending(p, each)))
+    return F.when(F.size(emails) > 0, F.concat(wanted, F.flatten(met)))
+
+
 def addresses_of(documents: DataFrame) -> DataFrame:
-    """documents (url, kind, text) -> url, kind, email, head, snippet: the addresses of each document, found once however many people it is read for."""
-    each = documents.select("url", "kind", "text", F.posexplode(extract_emails(F.col("text"))).alias("nth", "email"))
-    quote = F.when(F.col("nth") < SNIPPETS, snippet(F.col("text"), F.col("email"))).otherwise("")
-    return each.select("url", "kind", "email", F.substring("text", 1, HEAD).alias("head"), quote.alias("snippet"))
+    """documents (url, kind, text) -> url, kind, email, before, snippet: the addresses of each document, found once however many people it is read for.
+
+    before is what stands before the places of the address, in the whole text. A text is cut at each @ once and its places meet the addresses
+    with the same ending, so a long text of many addresses is not searched for each of them.
+    """
+    found = documents.select("url", "kind", "text", F.xxhash64("text").alias("doc"), extract_emails(F.col("text")).alias("emails"))
+    rows = found.select("url", "kind", "doc", F.inline(_mentions(F.col("text"), F.col("emails"))))  # not by a column of its own, which Spark would make once more to see whether it is empty
+    met = rows.groupBy("url", "kind", "doc", "ending").agg(F.collect_list("email").alias("emails"), F.collect_list("place").alias("places"))
+    local, domain = F.substring_index("email", "@", 1), F.substring_index("email", "@", -1)
+    here = lambda p: (F.lower(F.right(p["before"], F.length(local))) == local) & (F.lower(F.left(p["after"], F.length(domain))) == domain)
+    each = met.select("url", "kind", "places", F.explode("emails").alias("email")).withColumn("places", F.array_sort(F.filter("places", here)))
+    ahead = lambda p: F.left(p["before"], F.length(p["before"]) - F.length(local))
+    window = lambda p: F.right(F.element_at(parts_around(ahead(p), F.col("email")), -1), F.lit(WINDOW))
+    first = F.get("places", F.lit(0))
+    passage = F.concat(F.right(first["before"], F.length(local) + QUOTE), F.lit("@"), F.left(first["after"], F.length(domain) + QUOTE))
+    quote = F.coalesce(snippet(passage, F.col("email")), F.lit(""))
+    return each.select("url", "kind", "email", F.array_distinct(F.transform("places", window)).alias("before"), quote.alias("snippet"))
 
 
 def by_home_page(urls: DataFrame, pages: DataFrame, names: DataFrame, domains: DataFrame, most: int = 2) -> DataFrame:
